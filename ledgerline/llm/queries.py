@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import lines, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,53 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = mixing.mix_report(mixing.sizes(_table(spark, sf_dir, "documents")))
+    return report.select(report["key"].alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op8_quality_rules": op8_quality_rules,
+}
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": f"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size,
+                   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
+            FROM documents),
+        t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (
+            SELECT *, 2 * source_size AS most,
+                   [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight
+            FROM t),
+        l AS (
+            SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0))
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+            FROM w
+            WINDOW before AS (ORDER BY CAST(most AS DOUBLE) / weight, source NULLS LAST
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        g AS (
+            SELECT source, source_size,
+                   least(CAST(most AS DOUBLE), coalesce(weight * max(CASE WHEN level <= CAST(most AS DOUBLE) / weight THEN level END)
+                         OVER (), CAST(most AS DOUBLE))) AS target
+            FROM l),
+        s AS (
+            SELECT d.doc_id, d.source, d.size, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS words,
+                   sum(d.size) OVER (PARTITION BY d.source ORDER BY shuffle, doc_id, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
+            FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+        SELECT doc_id, source, size, source_size, target,
+               CAST(CASE WHEN source_size = 0 THEN 0
+                         ELSE size * (words // source_size)
+                              + greatest(0, least(size, words % source_size - start)) END AS BIGINT) AS taken
+        FROM s""",
+}

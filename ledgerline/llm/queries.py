@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, quality
+from . import decontaminate, lines, minhash, mixing, quality, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,30 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_report(_table(spark, sf_dir, "documents"), minhash.Near(shingle=4, percent=80))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(_table(spark, sf_dir, "pages"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_url_filters": op10_url_filters,
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"

@@ -64,3 +64,46 @@ def mix(docs, weights=(3, 1, 2), share=1.5, cap=2):
             out[d] = (sizes[d], total[s], target[s], passes * sizes[d] + max(0, min(sizes[d], rest - start)))
             start += sizes[d]
     return out
+
+
+def shingles(text, k):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(text)]
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def near_report(docs, k=4, percent=80):
+    """docs: (doc_id, text) with distinct ids. -> {doc_id: (n_shingles, component_id, kept)}"""
+    sets = {d: shingles(t, k) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = {}
+    for d, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(d)
+    pairs = {(a, b) for ds in by.values() for i, a in enumerate(ds) for b in ds[i + 1:]} if max(map(len, by.values()), default=0) < 400 else {
+        (a, b) for a in sets for b in sets if a < b}
+    for a, b in pairs:
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
+
+
+def url_parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S)
+    return m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]
+
+
+def url_rule(url, rules):
+    """rules: (allow, host, path) -> (rule, verdict) or (None, None)"""
+    host, path = url_parts(url)
+    fit = [(len(h + p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (max(fit)[1], "allow" if max(fit)[2] else "block") if fit else (None, None)

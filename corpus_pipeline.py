@@ -7,17 +7,23 @@ folder and reads it back as the next one's docs. All but the last return the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, lines, minhash, mixing, quality
 from ledgerline.llm.shared import written
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it now is."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality_clean(docs)
+    return _counted(quality.quality_clean(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.line_clean(docs)
+    return _counted(lines.line_clean(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,32 +35,40 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: list[str | None], lower: bool = True, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ends): hashes of the words of all texts one after another; words of text i end before ends[i].
+class Words:
+    """The words of a batch of texts, one after another: starts and ends are byte positions in data, and those of text i
+    come before stops[i]. With marks=False, ASCII punctuation separates words as white space does.
 
-    With marks=False, ASCII punctuation separates words as white space does. The hash of a word is a polynomial over its bytes, modulo 2**64, computed from prefix sums over the batch.
+    The hash of a run of bytes is a polynomial modulo 2**64, read off prefix sums over the batch.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    stops = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
-    if not raw:
-        return np.empty(0, np.uint64), stops
-    space = (_SPACE if marks else _PLAIN)[data]
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
-    starts, ends = edge[::2], edge[1::2]
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(data))
-    n_words = np.searchsorted(starts, stops)
-    if lower:
-        data = _LOWER[data]
-    with np.errstate(over="ignore"):
-        forward = _powers(_BASE, len(data) + 1)
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_VALUES[data] * forward[:-1], out=sums[1:])
-        back = _powers(_INVERSE, len(data) + 1)
-        hashes = mixed((sums[ends] - sums[starts]) * back[starts])
-    return hashes, n_words
+
+    def __init__(self, texts: list[str | None], lower: bool = True, marks: bool = True, table: np.ndarray | None = None):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        self.text_ends = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
+        seen = self.data if table is None else table[self.data]
+        space = (_SPACE if marks else _PLAIN)[seen]
+        edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.stops = np.searchsorted(self.starts, self.text_ends)
+        seen = _LOWER[seen] if lower else seen
+        with np.errstate(over="ignore"):
+            self._sums = np.empty(len(seen) + 1, np.uint64)
+            self._sums[0] = 0
+            np.cumsum(_VALUES[seen] * _powers(_BASE, len(seen)), out=self._sums[1:])
+            self._back = _powers(_INVERSE, len(seen) + 1)[self.starts]
+
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """Of each word, or of its first so many bytes (of the whole of shorter ones)."""
+        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
+        with np.errstate(over="ignore"):
+            return mixed((self._sums[ends] - self._sums[self.starts]) * self._back)
+
+
+def word_hashes(texts: list[str | None], lower: bool = True, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, stops): hashes of the words of all texts one after another; words of text i come before stops[i]."""
+    w = Words(texts, lower, marks)
+    return w.hashes(), w.stops
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:

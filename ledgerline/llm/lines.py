@@ -37,7 +37,9 @@ ORD = ["null_id", "id", "text_hash", "pos"]
 def _lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     """The lines that may go: id, text_hash, pos, line (words with one space between them), n (words)."""
     df = docs.select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    odd = F.col("raw").rlike(r"[\x09\x0B-\x0D]|  |^ | $")
+    odd = F.col("raw").startswith(" ") | F.col("raw").endswith(" ")
+    for mark in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.col("raw").contains(mark)
     tidy = F.when(odd, F.trim(F.regexp_replace("raw", SPACE, " "))).otherwise(F.col("raw"))
     df = df.select("id", "text_hash", "pos", tidy.alias("line")).filter(F.col("line") != "")
     spaces = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
@@ -56,10 +58,6 @@ def _half_keys(rules: LineRules) -> Column:
     return F.when(F.col("n") >= rules.near_words, F.array(*halves("n"), *halves("n - 1"))).otherwise(none)
 
 
-def _earliest() -> Column:
-    return F.min(F.struct(*ORD))
-
-
 def _variants(n: Column, hashes: Column) -> Column:
     """Own key with i = -1 and the key without each word i, with the number of words that it stands for."""
     without = F.transform(
@@ -84,48 +82,49 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), ahead == short - 1).otherwise((long - short == 1) & (front + back >= short))
 
 
-def removed_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[DataFrame, DataFrame]:
-    """(first, near) for docs with id, text_hash and text.
+def _hashed_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
+    """The table of lines that everything else reads: hashes and half keys, no text."""
+    lines = _lines(docs, rules).withColumn("halves", _half_keys(rules))
+    return written(lines.select(F.col("id").isNull().alias("null_id"), *DOC, "pos", F.xxhash64("line").alias("h"),
+                                F.hash("line").alias("g"), "halves"), "lines")
+
+
+def removed_lines(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first, near) for docs with id, text_hash and text and their table of lines.
 
-    first: id, text_hash, pos of each group of equal lines' first line. near: those of them that go since an earlier line
-    is one edit away.
+    first: line (a number in the order of lines), id, text_hash, pos of each group of equal lines' first line. near: the
+    numbers of those that go since an earlier line is one edit away.
     """
-    lines = _lines(docs, rules).withColumn("halves", _half_keys(rules))
-    lines = lines.select(F.col("id").isNull().alias("null_id"), "id", "text_hash", "pos", "halves",
-                         F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    first = lines.groupBy("h", "g").agg(_earliest().alias("o"), F.first("halves").alias("halves"))
-    first = written(first.select("o.*", "halves"), "lines-first")
+    first = lines.groupBy("h", "g").agg(F.min(F.struct(*ORD)).alias("o"), F.first("halves").alias("halves"))
+    first = first.select("o.*", "halves").orderBy(*ORD)
+    first = written(first.withColumn("line", F.monotonically_increasing_id()), "lines-first")
 
-    half = first.select(*ORD, F.explode("halves").alias("half")).repartition("half")
+    half = first.select("line", F.explode("halves").alias("half")).repartition("half")
     shared = half.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    able = written(half.join(shared, "half", "left_semi").select(*DOC, "pos").distinct(), "lines-able")
+    able = half.join(shared, "half", "left_semi").select("line").distinct()
+    places = first.join(able, "line").groupBy(*DOC).agg(F.collect_list(F.struct("pos", "line")).alias("places"))
 
-    texts = docs.select(*DOC, "text")
-    places = able.groupBy(*DOC).agg(F.collect_list("pos").alias("places"))
+    #: The same join at every size: the lines wanted grow with the documents.
+    texts = docs.select(*DOC, "text").hint("merge")
     on = [texts["id"].eqNullSafe(places["id"]), texts["text_hash"] == places["text_hash"]]
-    split = texts.join(places, on).select(texts["id"], texts["text_hash"], "places", F.split("text", "\n").alias("all"))
-    at = F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("all", p).alias("line")))
-    some = split.select(*DOC, F.explode(at).alias("x")).select(*DOC, "x.pos", words(F.col("x.line")).alias("words"))
-    some = some.select(*DOC, "pos", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    some = written(some, "lines-some")
-
-    emitted = some.select(F.col("id").isNull().alias("null_id"), *DOC, "pos",
-                          F.explode(_variants(F.size("hashes"), F.col("hashes"))).alias("x"))
-    emitted = emitted.select(F.struct(*ORD).alias("o"), "x.v", "x.m", "x.i").repartition("v", "m")
-    replaced = emitted.filter("i >= 0").groupBy("v", "m", "i").agg(F.min("o").alias("to"), F.count("*").alias("c"))
-    replaced = replaced.filter("c > 1").drop("c")
-    pairs = emitted.join(replaced, ["v", "m", "i"]).select("o", "to")
-    whole = emitted.filter("i = -1").groupBy("v", "m").agg(F.min("o").alias("to"))
-    longer = emitted.filter("i >= 0").groupBy("v", "m").agg(F.min("o").alias("to"))
-    pairs = pairs.unionByName(emitted.filter("i >= 0").join(whole, ["v", "m"]).select("o", "to"))
-    pairs = pairs.unionByName(emitted.filter("i = -1").join(longer, ["v", "m"]).select("o", "to"))
-    pairs = pairs.filter(F.col("to") < F.col("o")).groupBy("o").agg(F.min("to").alias("to"))
-
-    keyed = some.select(F.struct(F.col("id").isNull().alias("null_id"), *DOC, "pos").alias("k"), "hashes")
-    a, b = (keyed.select(F.col("k").alias(f"k{x}"), F.col("hashes").alias(x)) for x in "ab")
-    found = pairs.join(a, F.col("o").eqNullSafe(F.col("ka"))).join(b, F.col("to").eqNullSafe(F.col("kb")))
-    near = found.filter(_one_edit(F.col("a"), F.col("b"))).select("o.id", "o.text_hash", "o.pos")
-    return first.select(*DOC, "pos"), written(near, "lines-near")
+    split = texts.join(places, on).select("places", F.split("text", "\n").alias("all"))
+    at = F.transform("places", lambda p: F.struct(p["line"].alias("line"), F.get("all", p["pos"]).alias("text")))
+    some = split.select(F.explode(at).alias("x")).select("x.line", words(F.col("x.text")).alias("words"))
+    some = written(some.select("line", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), "lines-some")
+
+    emitted = some.select("line", F.explode(_variants(F.size("hashes"), F.col("hashes"))).alias("x"))
+    emitted = written(emitted.select("line", F.xxhash64("x.v", "x.m").alias("key"), "x.i"), "lines-variants")
+    replaced = emitted.filter("i >= 0").groupBy("key", "i").agg(F.min("line").alias("to"), F.count("*").alias("c"))
+    replaced = emitted.join(replaced.filter("c > 1").drop("c"), ["key", "i"]).select("line", "to")
+    whole, part = F.min(F.when(F.col("i") < 0, F.col("line"))), F.min(F.when(F.col("i") >= 0, F.col("line")))
+    inserted = emitted.groupBy("key").agg(whole.alias("whole"), part.alias("part")).filter("whole is not null and part is not null")
+    inserted = emitted.join(inserted, "key").select("line", F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole")).alias("to"))
+    pairs = replaced.unionByName(inserted).filter("to < line").groupBy("line").agg(F.min("to").alias("to"))
+
+    own = some.select("line", F.col("hashes").alias("a"))
+    other = some.select(F.col("line").alias("to"), F.col("hashes").alias("b"))
+    near = pairs.join(own, "line").join(other, "to").filter(_one_edit(F.col("a"), F.col("b"))).select("line")
+    return first.drop("halves"), written(near.distinct(), "lines-near")
 
 
 def _prepared(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -135,11 +134,9 @@ def _prepared(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 def _kept(first: DataFrame, near: DataFrame) -> DataFrame:
     """By document: kept (positions of first lines that stay) and n_near (those that go)."""
-    every = first.select(*DOC, "pos", F.lit(False).alias("goes"))
-    every = every.unionByName(near.select(*DOC, "pos", F.lit(True).alias("goes")))
-    every = every.groupBy(*DOC, "pos").agg(F.max("goes").alias("goes"))
-    return every.groupBy(*DOC).agg(F.collect_list(F.when(~F.col("goes"), F.col("pos"))).alias("kept"),
-                                   F.count_if("goes").alias("n_near"))
+    marked = first.join(near.select("line", F.lit(True).alias("goes")), "line", "left")
+    return marked.groupBy(*DOC).agg(F.collect_list(F.when(F.col("goes").isNull(), F.col("pos"))).alias("kept"),
+                                    F.count("goes").alias("n_near"))
 
 
 def line_report(docs: DataFrame, rules: LineRules = LineRules(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,10 +146,11 @@ def line_report(docs: DataFrame, rules: LineRules = LineRules(), id: str = "doc_
     have the same result; rows of one id with different texts are different documents. Extra columns are dropped.
     """
     prepared = _prepared(docs, id, text)
-    first, near = removed_lines(prepared, rules)
+    lines = _hashed_lines(prepared, rules)
+    first, near = removed_lines(prepared, lines)
     kept = _kept(first, near).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"),
                                      F.size("kept").cast("long").alias("n_kept"), "n_near")
-    counted = _lines(prepared, rules).groupBy(*DOC).agg(F.count("*").alias("n"))
+    counted = lines.groupBy(*DOC).agg(F.count("*").alias("n"))
     rows = prepared.groupBy(*DOC).agg(F.count("*").alias("rows"))
     both = [rows["id"].eqNullSafe(counted["id"]), rows["text_hash"] == counted["text_hash"]]
     df = rows.join(counted, both, "left").select(rows["id"], rows["text_hash"], "rows", F.coalesce("n", F.lit(0)).alias("n"))
@@ -167,7 +165,7 @@ def line_report(docs: DataFrame, rules: LineRules = LineRules(), id: str = "doc_
 def line_clean(docs: DataFrame, rules: LineRules = LineRules(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all their columns, text without the removed lines; documents left without a word go."""
     prepared = _prepared(docs, id, text)
-    first, near = removed_lines(prepared, rules)
+    first, near = removed_lines(prepared, _hashed_lines(prepared, rules))
     kept = _kept(first, near).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"))
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
     df = hashed.join(kept, [hashed[id].eqNullSafe(kept["__id"]), hashed["__text_hash"] == kept["__hash"]], "left")

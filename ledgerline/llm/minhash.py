@@ -6,8 +6,9 @@ further round serves one bin with all shingles, so that every coordinate fills.
 probability of their similarity, and the number of agreements concentrates as for independent ones.
 
 Documents with equal sets become one class first. Classes that share a band of the sketch are candidates. In each bucket
-all are verified against its smallest class; then, for buckets that still hold several components, the members outside the
-largest one are verified against all. So a bucket of copies costs its size, not its square, and no link is given up.
+all are verified against its hub, the class that shares most buckets with others; then, for buckets that still hold several
+components, the members outside the largest one are paired with all others by an exact prefix filter on their rarest
+shingles, and verified. So a bucket of copies costs its size, not its square, and no link is given up.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .shared import written
@@ -103,7 +105,7 @@ def _sets(near: Near):
         for batch in batches:
             for start, stop in in_chunks(batch["text"].tolist()):
                 part = batch.iloc[start:stop]
-                yield pd.DataFrame({"node": part["node"], "set": [s.tobytes() for s in shingle_sets(part["text"].tolist(), near.shingle)]})
+                yield pd.DataFrame({"node": part["node"], "set": [s.view(np.int64) for s in shingle_sets(part["text"].tolist(), near.shingle)]})
 
     return run
 
@@ -113,7 +115,6 @@ def _linked(near: Near):
         for batch in batches:
             ok = []
             for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= near.percent * (len(x) + len(y) - both))
             yield batch.loc[ok, ["a", "b"]]
@@ -131,6 +132,39 @@ def _may_link(near: Near, n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= near.percent * F.greatest(n, m)
 
 
+def _rarest_shared(open_: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) of an outside class and any other of another part that may be linked: exact prefix filters.
+
+    If each set is put in order of its shingles' frequency, rarest first, two linked sets share a shingle that is among
+    the first n - ceil(n * p) + 1 of the larger and the first m - ceil(m * 2p / (1 + p)) + 1 of the smaller one, p the
+    least similarity; and where they first meet, enough must be left of both. Passages that many documents share are
+    frequent, so they come late and make no pairs here.
+    """
+    spread = open_.join(sets, "node").select("node", "part", "outside", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    spread = written(spread, "near-spread")
+    often = spread.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    #: Shingles that no other has come first and make no pairs; only their number counts.
+    shared = spread.join(often, "shingle")
+    own = Window.partitionBy("node")
+    rank = F.row_number().over(own.orderBy("often", "shingle")) + F.col("n") - F.count("*").over(own)
+    p = near.percent
+    prefix = shared.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * p / 100) + 1).drop("often")
+    prefix = written(prefix, "near-prefix")
+    small = prefix.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * p) / (100 + p)) + 1)
+    small = small.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "part", "outside", "n", "rank")])
+    need = F.ceil((F.col("n") + F.col("x_n")) * p / (100 + p))
+    may = (
+        (F.col("part") != F.col("x_part"))
+        & ((F.col("n") > F.col("x_n")) | ((F.col("n") == F.col("x_n")) & (F.col("node") != F.col("x_node"))))
+        & _may_link(near, F.col("n"), F.col("x_n"))
+        & (1 + F.least(F.col("n") - F.col("rank"), F.col("x_n") - F.col("x_rank")) >= need)
+    )
+    #: Two of the largest parts never meet: one of a pair is outside.
+    pairs = small.filter("x_outside").join(prefix, "shingle").filter(may).select("x_node", "node")
+    pairs = pairs.unionByName(small.filter("not x_outside").join(prefix.filter("outside"), "shingle").filter(may).select("x_node", "node"))
+    return pairs.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+
+
 def _order() -> list[Column]:
     return [F.col("id").isNull().alias("null_id"), F.col("id"), F.col("text_hash")]
 
@@ -147,28 +181,32 @@ def near_groups(docs: DataFrame, near: Near = Near(), id: str = "doc_id", text:
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
     banded = classes.select("node", F.col("n").alias("n"), F.explode("keys").alias("key")).repartition("key")
-    buckets = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("c")).filter("c > 1")
-    crowded = written(banded.join(buckets.drop("c"), "key"), "near-buckets")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    crowded = written(banded.join(buckets, "key"), "near-crowded")
+    #: The hub of a bucket is the class that meets most others over all its buckets: what copies were made of comes first.
+    met = crowded.groupBy("node").agg(F.sum("c").alias("met"))
+    hubs = crowded.join(met, "node")
+    pivots = hubs.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("first"), "node", "n")).alias("pivot"))
+    crowded = written(crowded.join(pivots, "key").select("key", "node", "n", F.struct("pivot.node", "pivot.n").alias("pivot")), "near-buckets")
     stars = crowded.filter(F.col("node") != F.col("pivot.node")).filter(_may_link(near, F.col("n"), F.col("pivot.n")))
-    stars = written(stars.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
+    stars = stars.select(F.least("pivot.node", "node").alias("a"), F.greatest("pivot.node", "node").alias("b"))
+    stars = written(stars.distinct(), "near-stars")
 
     wanted = crowded.select("node").distinct().join(classes, "node").select("node", "first")
     on = [plain["id"].eqNullSafe(F.col("first.id")), plain["text_hash"] == F.col("first.text_hash")]
     texts = plain.join(wanted, on).select("node", plain["text"])
-    sets = written(texts.mapInPandas(_sets(near), "node long, set binary").dropDuplicates(["node"]), "near-sets")
+    sets = written(texts.mapInPandas(_sets(near), "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
     links = written(_verified(stars, sets, near), "near-links")
     labels = components(links)
 
-    #: Buckets whose members are not all in one component yet: those outside the largest part meet all the others.
+    #: Buckets whose members are not all in one component yet: those outside the largest part may link with any other.
     placed = crowded.join(labels, crowded["node"] == labels["id"], "left")
-    placed = placed.select("key", "node", "n", F.coalesce("component", "node").alias("part"))
+    placed = placed.select("key", "node", F.coalesce("component", "node").alias("part"))
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
     largest = parts.groupBy("key").agg(F.max(F.struct("c", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
     open_ = placed.join(largest.select("key", F.col("most.part").alias("main")), "key")
-    outside = open_.filter("part <> main").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"), F.col("main"))
-    rest = outside.join(open_.select("key", "node", "n", "part"), "key").filter((F.col("part") != F.col("xp")))
-    rest = rest.filter((F.col("part") == F.col("main")) | (F.col("x") < F.col("node"))).filter(_may_link(near, F.col("n"), F.col("xn")))
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    open_ = written(open_.groupBy("node", "part").agg(F.max(F.col("part") != F.col("main")).alias("outside")), "near-open")
+    rest = _rarest_shared(open_, sets, near)
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
         more = written(_verified(rest, sets, near), "near-links")

@@ -6,8 +6,8 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
@@ -51,7 +51,7 @@ class Words:
         edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
         self.starts, self.ends = edge[::2], edge[1::2]
         self.stops = np.searchsorted(self.starts, self.text_ends)
-        seen = _LOWER[seen] if lower else seen
+        seen = LOWER[seen] if lower else seen
         with np.errstate(over="ignore"):
             self._sums = np.empty(len(seen) + 1, np.uint64)
             self._sums[0] = 0

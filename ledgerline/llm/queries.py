@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, minhash, mixing, quality, tokens, toxicity, urls, warc
+from . import decontaminate, lines, lm, minhash, mixing, quality, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_report(_table(spark, sf_dir, "documents"), minhash.Near(shingle=4, percent=80))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,

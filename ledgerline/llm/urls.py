@@ -11,7 +11,6 @@ shares) fall on the wrong side.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,32 +80,32 @@ def _grams(text: Column) -> Column:
 
 
 def _markov(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, llr) for each wanted gram: log10 of its last character's probability, accepted over rejected.
+    """(fold, gram, llr) for each wanted gram: log10 of its last character's probability, accepted over rejected.
 
-    counts: gram, n_good, n_bad, of whole grams. Tables here have a row for each gram, not for each URL.
+    counts: fold, gram, n_good, n_bad, of whole grams; each fold is a model of its own. Tables here have a row for each
+    gram, not for each URL. Each order is written before the next, so that no plan holds them all.
     """
     alphabet = 97.0
     df = wanted.withColumn("p_good", F.lit(1 / alphabet)).withColumn("p_bad", F.lit(1 / alphabet))
     for k in range(ORDER + 1):
         tail = F.substring("gram", ORDER + 1 - k, k + 1)
-        level = counts.groupBy(tail.alias("tail")).agg(F.sum("n_good").alias("c_good"), F.sum("n_bad").alias("c_bad"))
-        context = level.groupBy(F.expr(f"left(tail, {k})").alias("context")).agg(
+        level = counts.groupBy("fold", tail.alias("tail")).agg(F.sum("n_good").alias("c_good"), F.sum("n_bad").alias("c_bad"))
+        context = level.groupBy("fold", F.expr(f"left(tail, {k})").alias("context")).agg(
             *[F.sum(f"c_{x}").alias(f"n_{x}") for x in ("good", "bad")],
             *[F.count_if(F.col(f"c_{x}") > 0).alias(f"t_{x}") for x in ("good", "bad")],
         )
         df = df.withColumn("tail", tail).withColumn("context", F.expr(f"left(tail, {k})"))
-        df = df.join(level, "tail", "left").join(context, "context", "left")
+        df = df.join(level, ["fold", "tail"], "left").join(context, ["fold", "context"], "left")
         for x in ("good", "bad"):
             c, n, t = (F.coalesce(F.col(f"{y}_{x}"), F.lit(0)) for y in "cnt")
             df = df.withColumn(f"p_{x}", F.when(n == 0, F.col(f"p_{x}")).otherwise((c + t * F.col(f"p_{x}")) / (n + t)))
-        df = df.select("gram", "p_good", "p_bad")
-    return df.select("gram", F.log10(F.col("p_good") / F.col("p_bad")).alias("llr"))
+        df = written(df.select("fold", "gram", "p_good", "p_bad"), "url-model")
+    return df.select("fold", "gram", F.log10(F.col("p_good") / F.col("p_bad")).alias("llr"))
 
 
-def _scored(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """(spelled, score): the mean llr of the grams of each spelled URL."""
-    grams = urls.select("spelled", F.explode(_grams(F.col("spelled"))).alias("gram"))
-    return grams.join(model, "gram").groupBy("spelled").agg(F.avg("llr").alias("score"))
+def _scored(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(fold, spelled, score): the mean llr of the grams (fold, spelled, gram) of each spelled URL."""
+    return grams.join(model, ["fold", "gram"]).groupBy("fold", "spelled").agg(F.avg("llr").alias("score"))
 
 
 def _threshold(scored: DataFrame) -> float:
@@ -138,22 +137,20 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "p
     known = df.filter(F.col("rule").isNotNull()).groupBy("spelled").agg(
         F.count_if(allowed).alias("n_good"), F.count_if(~allowed).alias("n_bad"))
     known = known.withColumn("half", F.pmod(F.xxhash64("spelled"), F.lit(2)))
+    known = written(known, "url-known")
     grams = known.select("half", "n_good", "n_bad", F.explode(_grams(F.col("spelled"))).alias("gram"))
     counts = written(grams.groupBy("half", "gram").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad")), "url-grams")
 
-    #: Each half is scored by the model of the other: the threshold is set on URLs that the model has not seen.
-    halves = []
-    for half in (0, 1):
-        own, other = (known.filter(F.col("half") == h) for h in (half, 1 - half))
-        wanted = counts.filter(F.col("half") == half).select("gram").distinct()
-        model = _markov(counts.filter(F.col("half") == 1 - half).select("gram", "n_good", "n_bad"), wanted)
-        halves.append(_scored(own, model).join(own.select("spelled", "n_good", "n_bad"), "spelled"))
-    threshold = _threshold(reduce(DataFrame.unionByName, halves))
-
-    asked = df.filter(F.col("rule").isNull()).select("spelled").distinct()
-    wanted = asked.select(F.explode(_grams(F.col("spelled"))).alias("gram")).distinct()
-    both = counts.groupBy("gram").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"))
-    scores = _scored(asked, _markov(both, wanted)).select(F.col("spelled").alias("__spelled"), "score")
+    #: Folds 0 and 1: each half of the known URLs, by the model of the other half, which has not seen them; they set the
+    #: threshold. Fold 2: the URLs that no rule decides, by the model of both.
+    asked = df.filter(F.col("rule").isNull()).select(F.lit(2).alias("fold"), "spelled").distinct()
+    every = known.select(F.col("half").cast("int").alias("fold"), "spelled").unionByName(asked)
+    every = written(every.select("fold", "spelled", F.explode(_grams(F.col("spelled"))).alias("gram")), "url-asked")
+    taught = counts.select(F.explode(F.array((1 - F.col("half")).cast("int"), F.lit(2))).alias("fold"), "gram", "n_good", "n_bad")
+    taught = written(taught.groupBy("fold", "gram").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad")), "url-taught")
+    scored = written(_scored(every, _markov(taught, every.select("fold", "gram").distinct())), "url-scores")
+    threshold = _threshold(scored.filter("fold < 2").join(known.select("spelled", "n_good", "n_bad"), "spelled"))
+    scores = scored.filter("fold = 2").select(F.col("spelled").alias("__spelled"), "score")
     #: Pages that no rule decides look for their score; a spelling that many pages share is dealt over SALTS tasks.
     open_ = df.filter(F.col("rule").isNull()).withColumn("salt", F.pmod(F.xxhash64("id", "host"), F.lit(SALTS)))
     salted = scores.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

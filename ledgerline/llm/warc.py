@@ -26,6 +26,8 @@ DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 REVISIT_BYTES = 1000
 #: An archive is closed after so many bytes of records; an index is read, and records are fetched, in runs of this size.
 ARCHIVE_BYTES, RUN_BYTES = 64 << 20, 4 << 20
+#: Up to so many payloads that occur twice or more (about 15 MB) their table goes to every task; beyond, pages are shuffled.
+BROADCAST_COPIES = 200_000
 #: Fixed values of the ZIP format.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
@@ -152,8 +154,8 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     df = pages.select(pages[id].cast("long").alias("id"), pages[url].alias("url"), pages[html].alias("html"),
                       F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     largest = df.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("id").alias("largest"), F.count("*").alias("c"))
-    largest = largest.filter("c > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "largest")
-    df = df.join(largest, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
+    largest = written(largest.filter("c > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "largest"), "warc-copies")
+    df = df.join(F.broadcast(largest) if largest.count() <= BROADCAST_COPIES else largest, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
     revisit = F.when(~F.col("id").eqNullSafe(F.col("largest")), F.col("largest"))
     html_ = F.when(revisit.isNull(), F.col("html"))
     df = df.select("id", "url", html_.alias("html"), "digest", "size", revisit.alias("revisit"))

@@ -2,10 +2,10 @@
 
 The index holds the items (long ones in segments) with impacts divided by the segment's own full score, so that a score is
 the weighted share of the segment's terms that the passage has. Passages are overlapping windows of words over whole texts.
-All segments at or above the threshold are retrieved by block-max WAND; before it, a passage is passed over if even the
-largest impacts of its essential terms (those outside the frequent ones whose impacts cannot reach the threshold without
-them) do not reach it. That bound is exact: nothing above the threshold is lost. Hits are verified on question and answer:
-both parts of the item must have enough of their three-word shingles near the passage.
+All segments at or above the threshold are retrieved by block-max WAND. Before it, block maxima are added up for all passages
+of a batch at once: a passage is searched only if the largest impacts of its distinct terms reach the threshold in some
+group of blocks. That bound is exact: nothing above the threshold is lost. Hits are verified on question and answer: both
+parts of the item must have enough of their three-word shingles near the passage.
 
 The benchmark is small by nature, and its size is checked: beyond SHARD_BYTES it is searched in shards, one pass each.
 """
@@ -29,7 +29,9 @@ from .minhash import in_chunks
 from .shared import only
 from .wordhash import mixed, word_hashes
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
+#: Groups of segments that bounds are kept for: terms times groups numbers, whatever the size of the index.
+GROUPS = 64
 
 
 @dataclass(frozen=True)
@@ -78,8 +80,7 @@ class Index:
     parts: dict = field(default_factory=dict)  # by item id: shingles of question and answer, words
     terms: np.ndarray = None
     postings: list = field(default_factory=list)
-    essential: np.ndarray = None  # by term: the largest impact, 0 for terms that are not essential
-    least: float = 0.0  # what essential terms must reach
+    most: np.ndarray = None  # by term and group of segments: the largest impact
 
     @classmethod
     def of(cls, rows: list[tuple], rules: Leaks) -> Index:
@@ -111,17 +112,10 @@ class Index:
             most = np.zeros(blocks)
             np.maximum.at(most, np.asarray(docs) // rules.block, impacts)
             self.postings.append((docs, impacts, most))
-        #: Frequent terms, most frequent first, as long as they cannot make up half of the threshold in any segment.
-        frequent = np.zeros(len(segments))
-        self.essential = np.asarray([max(p[1]) for p in self.postings])
-        for t, _ in df.most_common():
-            docs, impacts, _ = self.postings[at[t]]
-            more = frequent.copy()
-            more[docs] += impacts
-            if more.max() > rules.threshold / 2:
-                break
-            frequent, self.essential[at[t]] = more, 0.0
-        self.least = rules.threshold - (frequent.max() if len(segments) else 0.0)
+        group = max(1, math.ceil(len(segments) / GROUPS))
+        self.most = np.zeros((len(found), max(1, math.ceil(len(segments) / group))), np.float32)
+        for t, (docs, impacts) in enumerate(found):
+            np.maximum.at(self.most[t], np.asarray(docs) // group, np.asarray(impacts, np.float32))
         return self
 
     def search(self, terms: list[int]) -> list[int]:
@@ -182,23 +176,31 @@ class Index:
         place = np.searchsorted(self.terms, words)
         place[place == len(self.terms)] = 0
         known = self.terms[place] == words
-        sums = np.concatenate([[0.0], np.cumsum(np.where(known, self.essential[place], 0.0))])
-        start = 0
-        for i, end in enumerate(ends):
-            if sums[end] - sums[start] >= self.least - 1e-6:
-                first = np.arange(start, max(start + 1, end - r.passage + r.step), r.step)
-                last = np.minimum(first + r.passage, end)
-                found = set()
-                for a, z in zip(first, last, strict=True):
-                    if sums[z] - sums[a] < self.least - 1e-6:
-                        continue
-                    for segment in self.search(np.unique(place[a:z][known[a:z]]).tolist()):
-                        item = self.items[segment]
-                        if item not in found and self._verified(item, words[max(start, a - self.parts[item][2]) : min(end, z + self.parts[item][2])]):
-                            found.add(item)
-                out[i] = sorted(found)
-            start = end
-        return out
+        begins = np.concatenate([[0], ends[:-1]])
+        #: Passages of all texts: text, first word, end.
+        n = np.maximum(1, -(-(ends - begins - r.passage + r.step) // r.step))
+        text = np.repeat(np.arange(len(ends)), n)
+        first = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * r.step
+        last = np.minimum(first + r.passage, ends[text])
+        size = last - first
+        inside = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        pairs = (np.repeat(np.arange(len(text)), size) * len(self.terms) + place[inside])[known[inside]]
+        passage, term = np.divmod(np.unique(pairs), len(self.terms))
+        edges = np.flatnonzero(np.diff(passage, prepend=-1))
+        if not len(edges):
+            return out
+        bound = np.add.reduceat(self.most[term], edges, axis=0).max(axis=1)
+        stops = np.append(edges[1:], len(term))
+        #: The slack is above what 32-bit sums can be off by.
+        for k in np.flatnonzero(bound >= r.threshold - 1e-3):
+            at = passage[edges[k]]
+            i, a, z = text[at], first[at], last[at]
+            for segment in self.search(term[edges[k] : stops[k]].tolist()):
+                item = self.items[segment]
+                near = words[max(begins[i], a - self.parts[item][2]) : min(ends[i], z + self.parts[item][2])]
+                if item not in out[i] and self._verified(item, near):
+                    out[i].append(item)
+        return [sorted(x) for x in out]
 
     def _verified(self, item, near: np.ndarray) -> bool:
         question, answer, _ = self.parts[item]

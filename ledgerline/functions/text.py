@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Short forms in job titles.
 TITLE_WORDS = {
@@ -33,7 +34,7 @@ NOT_HELD = r"\b(former|deputy|assistant|associate|retired|outgoing|incoming)\b"
 NOT_CHIEF = r"\b(former|deputy|vice|assistant|retired|outgoing|incoming)\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Small letters without accents."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) != "Mn").lower())
@@ -45,12 +46,16 @@ def search_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}]+", " "))
 
 
+def _begins(name: Column, word: str) -> Column:
+    return F.exists(F.split(name, " "), lambda n: n.startswith(word))
+
+
 def name_score(name: Column, query: str) -> Column:
     """95 the name itself, 80 its beginning, 60 if every word begins one of its words, 30 if it holds the text; else 0."""
     words = [w for w in query.split(" ") if w]
     every = F.lit(True)
     for w in words:
-        every = every & F.exists(F.split(name, " "), lambda n, w=w: n.startswith(w))
+        every = every & _begins(name, w)
     inside = name.contains(query) if len(query) >= 3 else F.lit(False)
     return F.when(name == query, 95).when(name.startswith(query), 80).when(every, 60).when(inside, 30).otherwise(0)
 
@@ -89,11 +94,11 @@ def employer_key(name: Column) -> Column:
     n = F.regexp_replace(n, r"\b(d/?b/?a|dba)\b.*$", " ")
     n = F.regexp_replace(F.replace(n, F.lit(" & "), F.lit(" and ")), "&", "")
     n = F.trim(F.regexp_replace(n, r"[^a-z0-9]+", " "))
-    n = F.regexp_replace(n, r"^the (?=.)", "")
-    return F.regexp_replace(n, rf"(?<=[a-z0-9])( ({'|'.join(LEGAL_WORDS)}))+$", "")
+    n = F.regexp_replace(n, r"^the ", "")
+    return F.regexp_replace(n, rf"( ({'|'.join(LEGAL_WORDS)}))+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 

@@ -56,10 +56,10 @@ def indicators(periods: DataFrame, cagr_years: int = 5, history_years: int = 10)
 
 def with_growth(periods: DataFrame) -> DataFrame:
     """Each period with its growth over the same quarter (or the year) a year before, by key and not by row."""
-    before = periods.select("company_id", "period_type", (F.col("fiscal_year") + 1).alias("y"), F.col("fiscal_quarter").alias("q"), F.col("revenue").alias("before"))
-    on = [periods[c] == before[c] for c in KEY] + [periods["fiscal_year"] == before["y"], periods["fiscal_quarter"].eqNullSafe(before["q"])]
-    joined = periods.join(before, on, "left")
-    return joined.select(*[periods[c] for c in periods.columns], growth(periods["revenue"], F.col("before")).alias("growth"))
+    before = periods.select(F.col("company_id").alias("c"), F.col("period_type").alias("p"), (F.col("fiscal_year") + 1).alias("y"),
+                            F.col("fiscal_quarter").alias("q"), F.col("revenue").alias("before"))
+    on = F.expr("company_id = c AND period_type = p AND fiscal_year = y AND fiscal_quarter <=> q")
+    return periods.join(before, on, "left").withColumn("growth", growth(F.col("revenue"), F.col("before"))).drop("c", "p", "y", "q", "before")
 
 
 def history(periods: DataFrame, years: int) -> DataFrame:

@@ -60,8 +60,8 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, off = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(4,2)")
     net = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(price * (F.lit("0.20").cast("decimal(4,2)") - off)).alias("net"))
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("fiscal_year"),
-        F.quarter("o_orderdate").alias("fiscal_quarter"), F.col("o_totalprice").cast("decimal(18,2)").alias("revenue"))
+        "o_orderkey", F.col("o_custkey").alias("company_id"), F.year("o_orderdate").cast("long").alias("fiscal_year"),
+        F.quarter("o_orderdate").cast("long").alias("fiscal_quarter"), F.col("o_totalprice").cast("decimal(18,2)").alias("revenue"))
     joined = orders.join(net, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     quarters = joined.groupBy("company_id", "fiscal_year", "fiscal_quarter").agg(
         F.sum("revenue").alias("revenue"), F.coalesce(F.sum("net"), F.lit(0)).alias("net_income"))
@@ -73,7 +73,7 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person_id, name, title, company_id, year, total): one row for a person, a company and a year."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("year"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("company_id"), F.year("o_orderdate").cast("long").alias("year"))
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("part"))
     rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(

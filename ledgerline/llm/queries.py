@@ -68,6 +68,13 @@ QUERIES = {
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+        l AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS largest FROM p)
+        SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN largest IS NOT NULL AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> largest THEN largest END AS refers_to, true AS checked
+        FROM l""",
     "op2_mix_sources": f"""
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size,

@@ -1,0 +1,271 @@
+import random
+import struct
+import sys
+import zipfile
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
+from ledgerline.llm import decontaminate, lines, lm, minhash, mixing, quality, tokens, toxicity, urls, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, source string, lang string"
+VOCABULARY = [f"w{i}" for i in range(60)]
+
+
+def made(n=60, seed=1):
+    """Texts with equal lines, near lines, copies and near copies."""
+    r = random.Random(seed)
+    sentence = lambda: " ".join(r.choices(VOCABULARY, k=r.randint(3, 30)))
+    pool = [sentence() for _ in range(30)]
+    out = []
+    for i in range(n):
+        ls = [r.choice(pool) if r.random() < 0.5 else sentence() for _ in range(r.randint(1, 6))]
+        if out and r.random() < 0.3:
+            w = r.choice(out)[1].split(" ")
+            k = r.randrange(len(w))
+            ls = [" ".join(w[:k] + ([] if r.random() < 0.5 else ["x"]) + w[k + 1:])] if r.random() < 0.7 else [" ".join(w)]
+        out.append((i, "\n".join(ls), r.choice(["a", "b", "c", None]), "en"))
+    return out
+
+
+ODD = [(1, None, None, None), (2, "", "a", "en"), (3, "  \n\t", "a", None), (None, "one two three four five six seven eight nine ten eleven", "b", "en"),
+       (4, "same words here and there again now ok fine yes", "a", "en"), (4, "same words here and there again now ok fine yes", "a", "en"),
+       (5, "long " * 60_000, "c", "en"), (6, "ÄÖ é 日本 🙂\nline", "a", "de")]
+OPERATORS = {
+    "tokens": lambda d: tokens.token_report(d), "mixing": lambda d: mixing.mix_report(mixing.sizes(d)), "lines": lambda d: lines.line_report(d),
+    "near": lambda d: minhash.near_report(d), "quality": lambda d: quality.quality_report(d), "lm": lambda d: lm.lm_report(d),
+    "leaks": lambda d: decontaminate.leak_report(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+    "toxicity": lambda d: toxicity.toxicity_report(d, d.select("doc_id", F.lit(1).alias("toxic"))),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_empty_tables_and_clashing_columns(spark, name):
+    df = spark.createDataFrame(ODD, DOCS)
+    for extra in ("id", "n", "score", "line", "key", "text_hash", "size", "words"):
+        df = df.withColumn(extra, F.lit(None).cast("string"))
+    rows = OPERATORS[name](df).collect()
+    assert len(rows) == len(ODD)
+    assert OPERATORS[name](df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("clean", [quality.quality_clean, lines.line_clean, minhash.near_clean, mixing.mix_documents])
+def test_cleaning_keeps_columns_and_survives_odd_rows(spark, clean):
+    df = spark.createDataFrame(ODD, DOCS)
+    out = clean(df)
+    assert out.columns[: len(df.columns)] == df.columns
+    out.collect()
+    assert clean(df.filter("false")).count() == 0
+
+
+def test_mixing_matches_brute_force(spark):
+    rows = made() + [(100, None, "a", "en"), (101, "", None, "en")]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = brute.mix([(d, t, s) for d, t, s, _ in rows])
+    for mix in (mixing.Mix(block_words=7, cell_rows=5), mixing.Mix()):
+        got = {r["key"]: r for r in mixing.mix_report(mixing.sizes(docs), mix).collect()}
+        for d, (size, total, target, _) in want.items():
+            assert (got[d]["size"], got[d]["source_size"]) == (size, total)
+            assert abs(got[d]["target"] - target) < 1e-6 and got[d]["taken"] <= 2 * size
+        for s in {r[2] for r in rows}:
+            own = [r for r in got.values() if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lines_match_brute_force(spark, seed):
+    rows = made(seed=seed)
+    got = {r["doc_id"]: tuple(r)[1:] for r in lines.line_report(spark.createDataFrame(rows, DOCS)).collect()}
+    want = brute.line_report([(d, t) for d, t, *_ in rows])
+    assert got == want
+    cleaned = lines.line_clean(spark.createDataFrame(rows, DOCS)).collect()
+    long = {r["doc_id"]: sum(len(brute.words(x)) >= 5 for x in r["text"].split("\n")) for r in cleaned}
+    assert all(long.get(d, 0) == w[3] for d, w in want.items())
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_groups_match_brute_force(spark, k):
+    rows = made(120, seed=7) + [(500 + i, "a b c d e f g h i j k l m n o p q r s t " + ("z " * (i % 2)), "a", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_report(docs, minhash.Near(shingle=k)).collect()}
+    want = brute.near_report([(d, t) for d, t, *_ in rows], k)
+    assert got == want
+    kept = {r["doc_id"] for r in minhash.near_clean(docs, minhash.Near(shingle=k)).collect()}
+    assert kept == {d for d, w in want.items() if w[2]}
+
+
+def test_sketches_agree_as_often_as_sets_do():
+    r = np.random.default_rng(0)
+    base = r.integers(0, 2**63, 400).astype(np.uint64)
+    for shared in (100, 200, 300):
+        a, b = base[:300], base[300 - shared: 600 - shared]
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        agree = (minhash.sketch(a, 2000) == minhash.sketch(b, 2000)).mean()
+        assert abs(agree - true) < 0.05
+    assert (minhash.sketch(base[:1], 240) != np.iinfo(np.uint64).max).all()
+
+
+def test_quality_counts_match_brute_force(spark):
+    texts = [t for _, t, *_ in made(40, seed=5)] + ["a b c d e a b c d e f", "# x * y", "x\nx\n\nx", None, ""]
+    got = quality.quality_report(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        w = brute.words(t)
+        windows = [tuple(w[i: i + 5]) for i in range(len(w) - 4)]
+        inside = {i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(5)}
+        some = [x for x in (t or "").split("\n") if brute.words(x)]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(inside))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in t or "") and r["n_dup_lines"] == len(some) - len(set(some))
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(inside) > 20 * len(w))
+        assert not (r["kept"] and r["base_failed"])
+
+
+def test_quality_removes_lines_first(spark):
+    prose = "The river rose over night and the people of the town moved to the hills before dawn."
+    menu = "Home | News | Sport | About | Contact"
+    rows = [(1, f"{menu}\n{prose}", "a", "en"), (2, "\n".join([menu] * 9 + ["We met there once and left."]), "a", "en"), (3, prose, "a", "en")]
+    out = {r["doc_id"]: r["text"] for r in quality.quality_clean(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {1: prose, 3: prose}
+
+
+def test_wand_finds_what_full_scoring_finds():
+    r = random.Random(3)
+    rules = decontaminate.Leaks(block=3, segment=16)
+    items = [(i, " ".join(r.choices([f"t{j}" for j in range(80)], k=40)) + ". " + " ".join(r.choices([f"t{j}" for j in range(80)], k=12))) for i in range(60)]
+    index = decontaminate.Index.of(items, rules)
+    for _ in range(300):
+        text = r.choice(items)[1].split()[: r.randint(5, 52)] + r.choices([f"t{j}" for j in range(80)], k=r.randint(0, 20))
+        words = decontaminate.word_hashes([" ".join(text)], marks=False)[0]
+        terms = sorted({int(p) for p in np.searchsorted(index.terms, words) if p < len(index.terms)} & {
+            i for i, t in enumerate(index.terms.tolist()) if t in set(words.tolist())})
+        scores = np.zeros(len(index.items))
+        for t in terms:
+            for d, x in zip(*index.postings[t][:2]):
+                scores[d] += x
+        assert index.search(terms) == np.flatnonzero(scores >= rules.threshold - 1e-9).tolist()
+
+
+def test_planted_items_are_found(spark):
+    filler = " ".join(f"f{i}" for i in range(900))
+    item = "which planet is the third from the sun and has one large moon. the answer is of course the planet earth itself"
+    docs = [(1, filler, "a", "en"), (2, f"{filler} {item.upper()} {filler}", "a", "en"), (3, item, "a", "en"), (4, "the planet and the sun", "a", "en")]
+    bench = spark.createDataFrame([(7, item), (8, None), (None, "x")], "item_id long, text string")
+    d = spark.createDataFrame(docs, DOCS)
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.leak_report(d, bench).collect()}
+    assert got == {1: [], 2: [7], 3: [7], 4: []}
+    assert {r["doc_id"] for r in decontaminate.leak_clean(d, bench).collect()} == {1, 4}
+
+
+def test_token_counts_over_tiny_blocks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    form = tokens.TokenFormat(block_bytes=1000, file_bytes=50_000)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_report(docs, form).collect()}
+    assert got == {r["doc_id"]: len(tokens.encoded(r["text"], form)) for r in docs.select("doc_id", "text").collect()}
+
+
+def test_token_file_without_last_end(spark, tmp_path):
+    np.asarray([5, 6, 50256, 50256, 7], "<u2").tofile(tmp_path / "a.tokens")
+    (tmp_path / "b.tokens").write_bytes(b"")
+    got = tokens.scan_token_files(tokens.token_files(spark, [str(tmp_path / "a.tokens"), str(tmp_path / "b.tokens")]), tokens.TokenFormat(block_bytes=4)).collect()
+    assert sorted((r["ordinal"], r["n_tokens"], r["ended"]) for r in got) == [(0, 2, True), (1, 0, True), (2, 1, False)]
+
+
+def test_archives_round_trip(spark):
+    big = "é" * 600
+    rows = [(1, "http://a/", big), (2, "http://b/ x", big), (3, None, big), (4, "u", "small"), (5, "v", "small"), (6, "w", None), (None, "n", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit("clash"))
+    got = {r["page_id"]: r for r in warc.warc_report(pages).collect()}
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {
+        1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None)}
+    assert all(r["checked"] for r in got.values()) and got[3]["payload_bytes"] == 1200
+    assert warc.warc_report(pages.filter("false")).count() == 0
+
+
+def test_zip64_members_are_located(tmp_path):
+    path = tmp_path / "a.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in (("x", b"abc" * 50), ("y", b"hello")):
+            with z.open(zipfile.ZipInfo(name), "w", force_zip64=True) as m:
+                m.write(data)
+    raw = path.read_bytes()
+    for m, want in zip(warc.zip_members(str(path)), (b"abc" * 50, b"hello")):
+        assert raw[m.offset: m.offset + m.size] == want and m.stored
+    end = raw.rindex(b"PK\x05\x06")
+    count, size, at = struct.unpack_from("<10xHII", raw, end)
+    wide = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, size, at) + struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
+    path.write_bytes(raw[:end] + wide + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    assert [m.name for m in warc.zip_members(str(path))] == ["x", "y"]
+
+
+def test_urls_follow_rules_and_models(spark):
+    some = ["http://EXAMPLE.org/es/a?b", "http://sub.example.org/en/12#x", "http://x.org/", "http://org", "https://a.com/fr/1", "https://a.com/de/1",
+            "notaurl", "", None, "http://b.net/p?q", "http://b.net", "ftp://c.net/x y/é"]
+    some += [f"http://good{i}.com/fr/article" for i in range(40)] + [f"http://casino{i}.com/de/win-big" for i in range(40)]
+    some += ["http://good.net/xx/article", "http://casino.net/yy/win-big"]
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.url_verdicts(pages).collect()}
+    rules = [(r.allow, r.host, r.path) for r in urls.RULES]
+    for i, u in enumerate(some):
+        assert (got[i]["host"], got[i]["path"]) == brute.url_parts(u)
+        name, verdict = brute.url_rule(u, rules)
+        assert got[i]["rule"] == name and (name is None or got[i]["verdict"] == verdict) and got[i]["verdict"] in ("allow", "block")
+    assert got[len(some) - 2]["verdict"] == "allow" and got[len(some) - 1]["verdict"] == "block"
+    assert urls.url_verdicts(pages.filter("false")).count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity_report(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    pos, neg = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
+    auc = (pos[:, None] > neg[None, :]).mean() + 0.5 * (pos[:, None] == neg[None, :]).mean()
+    assert auc > 0.95 and got.score.between(0, 1).all()
+
+
+def test_windows_score_each_token_once():
+    rules = lm.Lm()
+    lengths = np.asarray([1, 63, 64, 65, 116, 117, 500])
+    start, length, scored = lm.windows(lengths, rules)
+    seen = np.zeros(lengths.sum(), int)
+    for s, n, f in zip(start, length, scored):
+        seen[s + f: s + n] += 1
+    assert (seen == 1).all()
+
+
+def test_gradient_is_that_of_the_loss():
+    net = lm.Network(lm.Lm(digit=4, width=6, hidden=5, window=8, step=6))
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    r = np.random.default_rng(1)
+    seen, rows, targets = r.integers(0, 16, (3, 8)), np.arange(24), r.integers(0, 16, 24)
+    g, _ = net.gradient(seen, rows, targets)
+    for name in net.w:
+        at = tuple(r.integers(0, n) for n in net.w[name].shape)
+        old, losses = net.w[name][at], []
+        for e in (1e-4, -1e-4):
+            net.w[name][at] = old + e
+            losses.append(net.gradient(seen, rows, targets)[1])
+        net.w[name][at] = old
+        assert abs((losses[0] - losses[1]) / 2e-4 - g[name][at]) < 1e-3
+
+
+def test_lm_base_matches_brute_force_and_model_learns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r for r in lm.lm_report(docs).collect()}
+    rows = docs.select("doc_id", "text", toxicity.fold(F.col("doc_id"), 10).alias("fold")).collect()
+    lower = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in brute.words(t)] + [""]
+    counts: dict = {}
+    for r in rows:
+        if r["fold"] != 0:
+            for w in lower(r["text"]):
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    for r in rows:
+        w, g = lower(r["text"]), got[r["doc_id"]]
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(w), sum(x in counts for x in w), n)
+        assert abs(g["base_score"] - sum(np.log10((counts.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-6 * max(1, len(w))
+        assert np.isfinite(g["score"]) and g["score"] < 0

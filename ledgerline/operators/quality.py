@@ -32,15 +32,18 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.groupBy(*keys).agg(first).select(*keys, *[f"first.{c}" for c in rest])
 
 
-def checks(companies: DataFrame, locations: DataFrame, periods: DataFrame, this_year: int) -> DataFrame:
-    """(area, name, severity, n) of each check; n is 0 where all is well."""
+def checks(companies: DataFrame, locations: DataFrame, periods: DataFrame, this_year: int, least_usd: float = 10_000_000) -> DataFrame:
+    """(area, name, severity, n) of each check; n is 0 where all is well. Jumps and profits count from a revenue of
+    least_usd dollars on."""
     ids = lambda df: df.select("company_id").distinct()
     hq = locations.filter("type = 'Headquarters'")
     annual = periods.filter("period_type = 'Annual'").join(companies.select("company_id", "currency"), "company_id")
     annual = annual.withColumn("usd", F.col("revenue").cast("double") * usd_rate(F.col("currency")))
     own = Window.partitionBy("company_id").orderBy("fiscal_year")
     steps = annual.withColumn("before", F.lag("revenue").over(own)).withColumn("year_before", F.lag("fiscal_year").over(own))
-    jump = (F.col("fiscal_year") == F.col("year_before") + 1) & ((F.col("revenue") > 10 * F.col("before")) | (F.col("before") > 10 * F.col("revenue")))
+    large = F.col("usd") >= least_usd
+    both = F.least("revenue", "before").cast("double") * usd_rate(F.col("currency")) >= least_usd
+    jump = both & (F.col("fiscal_year") == F.col("year_before") + 1) & ((F.col("revenue") > 10 * F.col("before")) | (F.col("before") > 10 * F.col("revenue")))
     quarters = periods.filter("period_type = 'Quarterly'").groupBy("company_id", "fiscal_year").agg(F.sum("revenue").alias("sum"), F.count("*").alias("c"))
     sums = annual.join(quarters.filter("c = 4"), ["company_id", "fiscal_year"])
     newest = annual.groupBy("company_id").agg(F.max("fiscal_year").alias("y"))
@@ -55,9 +58,9 @@ def checks(companies: DataFrame, locations: DataFrame, periods: DataFrame, this_
         _row(periods, "Financials", "Negative revenue", "Warning", F.col("revenue") < 0),
         _row(periods, "Financials", "Period in the future", "Error", F.col("fiscal_year") > this_year),
         _row(repeated(periods, ["company_id", "period_type", "fiscal_year", "fiscal_quarter"]), "Financials", "Duplicate period", "Error", true),
-        _row(annual, "Financials", "Profit far bigger than revenue", "Warning", F.col("net_income") > 3 * F.col("revenue")),
+        _row(annual, "Financials", "Profit far bigger than revenue", "Warning", large & (F.col("net_income") > 3 * F.col("revenue"))),
         _row(steps, "Financials", "Revenue jumps tenfold", "Warning", jump),
-        _row(sums, "Financials", "Quarters don't add up", "Warning", F.abs(F.col("sum") - F.col("revenue")) > F.lit("0.02").cast("decimal(4,2)") * F.abs("revenue")),
+        _row(sums, "Financials", "Quarters don't add up", "Warning", large & (F.abs(F.col("sum") - F.col("revenue")) > F.lit("0.02").cast("decimal(4,2)") * F.abs("revenue"))),
         _row(newest, "Financials", "Out of date", "Warning", F.col("y") < this_year - 2),
     ])
 

@@ -112,7 +112,7 @@ def test_grid_pushes_cells_aside():
 def test_checks_flag_each_defect(spark):
     c = spark.createDataFrame([(1, "A", "USD"), (2, "A", "USD")], "company_id long, name string, currency string")
     places = spark.createDataFrame([(1, 1, "Office", " ", 95.0, 0.0)], "location_id long, company_id long, type string, city string, latitude double, longitude double")
-    p = periods(spark, [], [(1, 2020, 100, 900), (1, 2021, 5, 0), (1, 2021, 5, 0), (1, 2030, -1, 0)])
+    p = periods(spark, [], [(1, 2020, 200_000_000, 900_000_000), (1, 2021, 12_000_000, 0), (1, 2021, 12_000_000, 0), (1, 2030, -1, 0)])
     got = {r["name"]: r["n"] for r in quality.checks(c, places, p, 2025).collect()}
     assert {k: v for k, v in got.items() if v} == {
         "No location at all": 1, "Only a local office": 1, "Same name under two ids": 1, "Missing city": 1, "Outside the world": 1, "No figures at all": 1,

@@ -31,7 +31,7 @@ SEED = (
 SECOND_PERSON = "you your yours yourself ur u du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split()
 #: What stands for which letter in obfuscated words.
 LEET = dict(zip(b"013457@$!", b"oieastasi", strict=True))
-PREFIXES = (4, 5, 6, None)
+PREFIXES = (4, 5, 6, 7, None)
 FEATURES = (
     "log_words", "seed_density", "seed_log", "learnt_density", "learnt_log", "learnt_weight", "second_person", "near_second_person",
     "capitals", "shouted", "exclaims", "asks", "marks", "mixed_words", "unmasked", "stretched",
@@ -40,13 +40,14 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Training:
-    """sample: most labelled rows to learn from; lexicon: most learnt entries; least_df, least_odds: an entry's least
-    documents labelled toxic and log-odds. near: words between a hit and a second-person word."""
+    """sample: most labelled rows to learn from; lexicon: most learnt entries; least_df, least_odds, least_z: an entry's
+    least documents labelled toxic, log-odds, and standard deviations above the documents that chance would give it. near: words between a hit and a second-person word."""
 
     sample: int = 20_000
     lexicon: int = 20_000
     least_df: int = 4
-    least_odds: float = 2.5
+    least_odds: float = 1.5
+    least_z: float = 4.0
     near: int = 5
     trees: int = 80
     depth: int = 3
@@ -256,6 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id: st
     counts = first.select("text", "toxic").mapInPandas(_grams, "hash long, toxic int").groupBy("hash").agg(
         F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
+    chance = (F.col("t") + F.col("c")) * (n_toxic / max(1, n_toxic + n_clean))
+    counts = counts.filter(F.col("t") - chance >= how.least_z * F.sqrt(chance))
     entries = counts.withColumn("odds", odds).filter((F.col("t") >= how.least_df) & (F.col("odds") >= how.least_odds))
     rows = entries.orderBy(F.desc("odds"), F.desc("t"), "hash").limit(how.lexicon).select("hash", "odds").toPandas()
     hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)

@@ -30,6 +30,9 @@ class LineRules:
     near_words: int = 8
 
 
+#: Every line that has a word loses its exact copies: the rules of the query and of the pipeline's stage.
+EVERY_LINE = LineRules(min_words=1)
+
 DOC = ["id", "text_hash"]
 ORD = ["null_id", "id", "text_hash", "pos"]
 
@@ -162,7 +165,7 @@ def line_report(docs: DataFrame, rules: LineRules = LineRules(), id: str = "doc_
                      n_near.alias("n_near"), n_kept.alias("n_kept"))
 
 
-def line_clean(docs: DataFrame, rules: LineRules = LineRules(), id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_clean(docs: DataFrame, rules: LineRules = EVERY_LINE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all their columns, text without the removed lines; documents left without a word go."""
     prepared = _prepared(docs, id, text)
     first, near = removed_lines(prepared, _hashed_lines(prepared, rules))

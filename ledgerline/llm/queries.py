@@ -21,7 +21,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(_table(spark, sf_dir, "documents"))
+    return lines.line_report(_table(spark, sf_dir, "documents"), lines.EVERY_LINE)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

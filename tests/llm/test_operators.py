@@ -269,3 +269,13 @@ def test_lm_base_matches_brute_force_and_model_learns(spark):
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(w), sum(x in counts for x in w), n)
         assert abs(g["base_score"] - sum(np.log10((counts.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-6 * max(1, len(w))
         assert np.isfinite(g["score"]) and g["score"] < 0
+
+
+def test_short_lines_lose_exact_copies(spark):
+    rows = made(seed=4) + [(200 + i, "All rights reserved.\nNext\n\nAll  rights reserved.\nonly here " + str(i), "a", "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: tuple(r)[1:] for r in lines.line_report(docs, lines.EVERY_LINE).collect()}
+    assert got == brute.line_report([(d, t) for d, t, *_ in rows], min_words=1)
+    cleaned = {r["doc_id"]: r["text"] for r in lines.line_clean(docs).collect()}
+    assert [cleaned[200 + i] for i in range(3)] == ["All rights reserved.\nNext\n\nonly here 0", "\nonly here 1", "\nonly here 2"]
+    assert all(sum(bool(brute.words(x)) for x in cleaned.get(d, "").split("\n")) == w[3] for d, w in got.items())

@@ -279,3 +279,18 @@ def test_short_lines_lose_exact_copies(spark):
     cleaned = {r["doc_id"]: r["text"] for r in lines.line_clean(docs).collect()}
     assert [cleaned[200 + i] for i in range(3)] == ["All rights reserved.\nNext\n\nonly here 0", "\nonly here 1", "\nonly here 2"]
     assert all(sum(bool(brute.words(x)) for x in cleaned.get(d, "").split("\n")) == w[3] for d, w in got.items())
+
+
+def test_every_training_document_teaches(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text").filter(~(toxicity.fold(F.col("doc_id"), 10) == 0))
+    some = docs.orderBy("id").limit(20).cache()
+    whole = lm.train(some).packed()
+    assert whole != lm.Network(lm.Lm()).packed()
+    assert lm.train(some.filter(F.col("id") != some.first()["id"])).packed() != whole
+
+
+def test_lm_beats_an_untrained_network_on_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = lm.lm_report(docs).filter("held_out").join(docs, "doc_id").toPandas()
+    untrained = lm.Network(lm.Lm()).score(*lm.cut_texts(got["text"].tolist(), lm.Lm()))
+    assert (got["score"].to_numpy() > untrained).all() and got["score"].sum() > 0.8 * untrained.sum()

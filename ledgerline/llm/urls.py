@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .shared import only, written
 
 ORDER = 3
-#: Characters of a URL as the models see them: small letters, digits as 0, all beyond printable ASCII as one.
+#: Characters of a URL as the models see them: the whole text as it is, all beyond printable ASCII as one.
 OTHER = "\x7f"
 START, END = "\x02", "\x03"
 SALTS = 8
@@ -67,10 +67,9 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     ])
 
 
-def _spelled(host: Column, path: Column) -> Column:
-    """What the models read: host and path, numbers as 0."""
-    text = F.regexp_replace(F.lower(F.concat(host, path)), r"[0-9]+", "0")
-    return F.regexp_replace(text, r"[^\x20-\x7e]", OTHER)
+def _spelled(url: Column) -> Column:
+    """What the models read: the whole URL, an empty text for null."""
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[^\x20-\x7e]", OTHER)
 
 
 def _grams(text: Column) -> Column:
@@ -95,6 +94,8 @@ def _markov(counts: DataFrame, wanted: DataFrame) -> DataFrame:
             *[F.count_if(F.col(f"c_{x}") > 0).alias(f"t_{x}") for x in ("good", "bad")],
         )
         df = df.withColumn("tail", tail).withColumn("context", F.expr(f"left(tail, {k})"))
+        #: Up to two characters make no more rows than the alphabet squared for each fold; many grams share each.
+        level, context = F.broadcast(level) if k < 2 else level, F.broadcast(context) if k < 3 else context
         df = df.join(level, ["fold", "tail"], "left").join(context, ["fold", "context"], "left")
         for x in ("good", "bad"):
             c, n, t = (F.coalesce(F.col(f"{y}_{x}"), F.lit(0)) for y in "cnt")
@@ -104,8 +105,10 @@ def _markov(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _scored(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """(fold, spelled, score): the mean llr of the grams (fold, spelled, gram) of each spelled URL."""
-    return grams.join(model, ["fold", "gram"]).groupBy("fold", "spelled").agg(F.avg("llr").alias("score"))
+    """(key, score): the mean llr of the grams (fold, key, gram) of each URL. Grams that most URLs have are dealt over SALTS tasks."""
+    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    grams = grams.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return grams.join(salted, ["fold", "gram", "salt"]).groupBy("key").agg(F.avg("llr").alias("score"))
 
 
 def _threshold(scored: DataFrame) -> float:
@@ -125,14 +128,14 @@ def _threshold(scored: DataFrame) -> float:
 def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (or null), verdict (allow or block), score (null where a rule decides).
 
-    Null URLs and those without :// have empty host and path, no rule, and the models' verdict on an empty text. Equal
+    Null URLs and those without :// have empty host and path, no rule, and the models' verdict on their text. Equal
     URLs share their verdict. Without URLs that rules allow, or none that they block, the models see both as alike where
     they know nothing. Extra columns are dropped; an empty table gives no rows.
     """
     df = only(pages, id, url)
-    df = df.select(F.col(id).alias("id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    df = written(df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-                   .withColumn("spelled", _spelled(F.col("host"), F.col("path"))), "urls")
+    df = df.select(F.col(id).alias("id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"),
+                   _spelled(F.col(url)).alias("spelled"))
+    df = written(df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)), "urls")
     allowed = F.col("rule").isin([r.name for r in rules if r.allow])
     known = df.filter(F.col("rule").isNotNull()).groupBy("spelled").agg(
         F.count_if(allowed).alias("n_good"), F.count_if(~allowed).alias("n_bad"))
@@ -144,12 +147,15 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "p
     #: Folds 0 and 1: each half of the known URLs, by the model of the other half, which has not seen them; they set the
     #: threshold. Fold 2: the URLs that no rule decides, by the model of both.
     asked = df.filter(F.col("rule").isNull()).select(F.lit(2).alias("fold"), "spelled").distinct()
-    every = known.select(F.col("half").cast("int").alias("fold"), "spelled").unionByName(asked)
-    every = written(every.select("fold", "spelled", F.explode(_grams(F.col("spelled"))).alias("gram")), "url-asked")
+    asked = asked.select("fold", "spelled", F.lit(0).cast("long").alias("n_good"), F.lit(0).cast("long").alias("n_bad"))
+    spelled = known.select(F.col("half").cast("int").alias("fold"), "spelled", "n_good", "n_bad").unionByName(asked)
+    spelled = written(spelled.withColumn("key", F.monotonically_increasing_id()), "url-spelled")
+    every = written(spelled.select("fold", "key", F.explode(_grams(F.col("spelled"))).alias("gram")), "url-asked")
     taught = counts.select(F.explode(F.array((1 - F.col("half")).cast("int"), F.lit(2))).alias("fold"), "gram", "n_good", "n_bad")
     taught = written(taught.groupBy("fold", "gram").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad")), "url-taught")
-    scored = written(_scored(every, _markov(taught, every.select("fold", "gram").distinct())), "url-scores")
-    threshold = _threshold(scored.filter("fold < 2").join(known.select("spelled", "n_good", "n_bad"), "spelled"))
+    scored = _scored(every, _markov(taught, every.select("fold", "gram").distinct()))
+    scored = written(spelled.join(scored, "key"), "url-scores")
+    threshold = _threshold(scored.filter("fold < 2"))
     scores = scored.filter("fold = 2").select(F.col("spelled").alias("__spelled"), "score")
     #: Pages that no rule decides look for their score; a spelling that many pages share is dealt over SALTS tasks.
     open_ = df.filter(F.col("rule").isNull()).withColumn("salt", F.pmod(F.xxhash64("id", "host"), F.lit(SALTS)))

@@ -294,3 +294,13 @@ def test_lm_beats_an_untrained_network_on_held_out_documents(spark):
     got = lm.lm_report(docs).filter("held_out").join(docs, "doc_id").toPandas()
     untrained = lm.Network(lm.Lm()).score(*lm.cut_texts(got["text"].tolist(), lm.Lm()))
     assert (got["score"].to_numpy() > untrained).all() and got["score"].sum() > 0.8 * untrained.sum()
+
+
+def test_url_models_read_the_whole_url(spark):
+    known = [f"http://a{i}.com/fr/x?topic=news{i}" for i in range(30)] + [f"http://a{i}.com/de/x?topic=casino{i}" for i in range(30)]
+    asked = ["http://q.net/x?topic=news1", "http://q.net/x?topic=casino1", "http://q.net/x#news7", "http://q.net/x9", "http://q.net/x11", "topic=news1", "topic=casino1", None]
+    pages = spark.createDataFrame(list(enumerate(known + asked)), "page_id long, url string")
+    got = [r["verdict"] for r in urls.url_verdicts(pages).orderBy("page_id").collect()][len(known):]
+    score = [r["score"] for r in urls.url_verdicts(pages).orderBy("page_id").collect()][len(known):]
+    assert got[:2] == ["allow", "block"] and score[5] > score[6]
+    assert len(set(score)) == len(asked)

@@ -5,7 +5,9 @@ the weighted share of the segment's terms that the passage has. Passages are ove
 All segments at or above the threshold are retrieved by block-max WAND. Before it, block maxima are added up for all passages
 of a batch at once: a passage is searched only if the largest impacts of its distinct terms reach the threshold in some
 group of blocks. That bound is exact: nothing above the threshold is lost. Hits are verified on question and answer: both
-parts of the item must have enough of their three-word shingles near the passage.
+parts of the segment, or of the item, must have enough of their three-word shingles near the passage. A question with nearly
+all of its shingles in a text counts by itself; texts meet questions by so many of the rarest shingles that one must be there.
+Items too short for scores are found as whole sequences of words.
 
 The benchmark is small by nature, and its size is checked: beyond SHARD_BYTES it is searched in shards, one pass each.
 """
@@ -37,7 +39,8 @@ GROUPS = 64
 @dataclass(frozen=True)
 class Leaks:
     """passage, step: words of a window and between windows. threshold: least share of a segment's score. question,
-    answer: least shares of their shingles. Items of fewer than min_words words cannot be told from chance and are left out."""
+    answer: least shares of their shingles; alone: of a question's that counts without its answer. Items of fewer than
+    min_words words must be there word by word; questions of fewer do not count without their answer."""
 
     passage: int = 128
     step: int = 64
@@ -46,6 +49,7 @@ class Leaks:
     threshold: float = 0.6
     question: float = 0.5
     answer: float = 0.5
+    alone: float = 0.9
     min_words: int = 8
     k1: float = 1.2
     b: float = 0.75
@@ -61,14 +65,19 @@ def question_and_answer(text: str, shingle: int = 3) -> tuple[str, str]:
     return " ".join(w[:cut]), " ".join(w[cut:])
 
 
-def _shingles(h: np.ndarray, k: int = 3) -> np.ndarray:
-    if len(h) < k:
-        k = max(1, len(h))
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k words in a row."""
     out = np.zeros(max(0, len(h) - k + 1), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
-    return np.unique(out)
+    return out
+
+
+def _shares(words: np.ndarray, near: np.ndarray) -> float:
+    """The share of the distinct shingles of words that near has; 1 without words."""
+    k = min(3, len(words))
+    return float(np.isin(np.unique(_runs(words, k)), _runs(near, k)).mean()) if k else 1.0
 
 
 @dataclass
@@ -77,24 +86,41 @@ class Index:
 
     rules: Leaks
     items: list = field(default_factory=list)  # by segment: item id
-    parts: dict = field(default_factory=dict)  # by item id: shingles of question and answer, words
+    parts: dict = field(default_factory=dict)  # by item id: words, how many of them are the question's
+    spans: list = field(default_factory=list)  # by segment: first and last place in the item's words
+    short: dict = field(default_factory=dict)  # by number of words: hashes of the runs, and each one's item and words
+    asked: tuple = ()  # the questions' rarest shingles, sorted, and the item of each
     terms: np.ndarray = None
     postings: list = field(default_factory=list)
     most: np.ndarray = None  # by term and group of segments: the largest impact
 
     @classmethod
     def of(cls, rows: list[tuple], rules: Leaks) -> Index:
-        self, segments = cls(rules), []
+        self, segments, shorts, questions = cls(rules), [], {}, []
         for item, text in rows:
             words = word_hashes([text], marks=False)[0]
             if len(words) < rules.min_words:
+                if len(words):
+                    shorts.setdefault(len(words), []).append((_runs(words, len(words))[0], item, words))
                 continue
-            question, answer = question_and_answer(text)
-            self.parts[item] = (*(_shingles(word_hashes([x], marks=False)[0]) for x in (question, answer)), len(words))
-            n = math.ceil(len(words) / rules.segment)
-            for part in np.array_split(words, n):
+            asked = len(word_hashes([question_and_answer(text)[0]], marks=False)[0])
+            self.parts[item] = (words, asked)
+            if asked >= rules.min_words:
+                questions.append((item, np.unique(_runs(words[:asked], 3)).tolist()))
+            edges = np.linspace(0, len(words), math.ceil(len(words) / rules.segment) + 1).astype(int).tolist()
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
                 self.items.append(item)
-                segments.append(Counter(part.tolist()))
+                self.spans.append((a, z))
+                segments.append(Counter(words[a:z].tolist()))
+        for n, found in shorts.items():
+            found.sort(key=lambda x: x[0])
+            self.short[n] = (np.asarray([x[0] for x in found], np.uint64), [x[1:] for x in found])
+        common, keys = Counter(x for _, q in questions for x in q), []
+        for item, q in questions:
+            spare = len(q) - math.ceil(rules.alone * len(q) - 1e-9)
+            keys += [(x, item) for x in sorted(q, key=lambda x: (common[x], x))[: spare + 1]]
+        keys.sort(key=lambda x: x[0])
+        self.asked = np.asarray([x for x, _ in keys], np.uint64), [item for _, item in keys]
         df = Counter(t for s in segments for t in s)
         self.terms = np.asarray(sorted(df), np.uint64)
         at = {t: i for i, t in enumerate(self.terms.tolist())}
@@ -169,9 +195,9 @@ class Index:
 
     def all_hits(self, words: np.ndarray, ends: np.ndarray) -> list[list]:
         """hits of texts one after another; words of text i end before ends[i]."""
-        out: list[list] = [[] for _ in ends]
+        out = self._exact(words, ends)
         if not len(self.terms) or not len(words):
-            return out
+            return [sorted(x) for x in out]
         r = self.rules
         place = np.searchsorted(self.terms, words)
         place[place == len(self.terms)] = 0
@@ -188,7 +214,7 @@ class Index:
         passage, term = np.divmod(np.unique(pairs), len(self.terms))
         edges = np.flatnonzero(np.diff(passage, prepend=-1))
         if not len(edges):
-            return out
+            return [sorted(x) for x in out]
         bound = np.add.reduceat(self.most[term], edges, axis=0).max(axis=1)
         stops = np.append(edges[1:], len(term))
         #: The slack is above what 32-bit sums can be off by.
@@ -197,16 +223,53 @@ class Index:
             i, a, z = text[at], first[at], last[at]
             for segment in self.search(term[edges[k] : stops[k]].tolist()):
                 item = self.items[segment]
-                near = words[max(begins[i], a - self.parts[item][2]) : min(ends[i], z + self.parts[item][2])]
-                if item not in out[i] and self._verified(item, near):
+                if item in out[i]:
+                    continue
+                more = len(self.parts[item][0])
+                if self._verified(segment, words[max(begins[i], a - more) : min(ends[i], z + more)]):
                     out[i].append(item)
         return [sorted(x) for x in out]
 
-    def _verified(self, item, near: np.ndarray) -> bool:
-        question, answer, _ = self.parts[item]
-        have = _shingles(near)
-        share = lambda part: np.isin(part, have).mean() if len(part) else 1.0
-        return share(question) >= self.rules.question and share(answer) >= self.rules.answer
+    def _exact(self, words: np.ndarray, ends: np.ndarray) -> list[list]:
+        """The short items whose words one text has in a row, and the items of which it has nearly the whole question."""
+        out: list[list] = [[] for _ in ends]
+        for n, (hashes, items) in self.short.items():
+            if len(words) < n:
+                continue
+            runs = _runs(words, n)
+            left, right = (np.searchsorted(hashes, runs, side) for side in ("left", "right"))
+            for at in np.flatnonzero(left < right):
+                i = np.searchsorted(ends, at, "right")
+                for item, own in items[left[at] : right[at]] if at + n <= ends[i] else ():
+                    if item not in out[i] and (words[at : at + n] == own).all():
+                        out[i].append(item)
+        hashes, items = self.asked
+        if not len(hashes) or len(words) < 3:
+            return out
+        runs = _runs(words, 3)
+        left = np.searchsorted(hashes, runs)
+        left[left == len(hashes)] = 0
+        at = np.flatnonzero(hashes[left] == runs)
+        met = np.stack([np.searchsorted(ends, at, "right"), left[at]], axis=1)
+        tried: set = set()
+        for i, k in np.unique(met, axis=0).tolist():
+            for item in items[k : np.searchsorted(hashes, hashes[k], "right")]:
+                if (i, item) not in tried and item not in out[i]:
+                    tried.add((i, item))
+                    own, asked = self.parts[item]
+                    if _shares(own[:asked], words[ends[i - 1] if i else 0 : ends[i]]) >= self.rules.alone:
+                        out[i].append(item)
+        return out
+
+    def _verified(self, segment: int, near: np.ndarray) -> bool:
+        words, asked = self.parts[self.items[segment]]
+        a, z = self.spans[segment]
+        r, cut = self.rules, min(max(a, asked), z)
+
+        def held(first: int, middle: int, last: int) -> bool:
+            return _shares(words[first:middle], near) >= r.question and _shares(words[middle:last], near) >= r.answer
+
+        return held(0, asked, len(words)) or len(words) > r.segment and held(a, cut, z)
 
 
 def _searched(index):

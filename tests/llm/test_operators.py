@@ -304,3 +304,19 @@ def test_url_models_read_the_whole_url(spark):
     score = [r["score"] for r in urls.url_verdicts(pages).orderBy("page_id").collect()][len(known):]
     assert got[:2] == ["allow", "block"] and score[5] > score[6]
     assert len(set(score)) == len(asked)
+
+
+def test_short_items_parts_of_long_items_and_questions_are_found():
+    word = lambda a, n: [f"{a}{i}" for i in range(n)]
+    long, short_q = word("l", 300), word("q", 12)
+    items = [(1, "Who wrote Hamlet?"), (2, " ".join(long)), (3, " ".join(short_q) + "? " + " ".join(word("r", 40)) + "."), (4, "yes")]
+    index = decontaminate.Index.of(items, decontaminate.Leaks())
+    pad = word("p", 150)
+    find = lambda w: index.all_hits(*decontaminate.word_hashes([" ".join(pad), " ".join([*pad, *w, *pad]), " ".join(w)], marks=False))
+    assert find(["who", "WROTE", "hamlet"]) == [[], [1], [1]]
+    assert find(["who", "wrote", "x", "hamlet"]) == [[], [], []]
+    for at in (0, 60, 120, 180, 240):
+        assert find(long[at: at + 60]) == [[], [2], [2]]
+    assert find(long[:200]) == [[], [2], [2]] and find(long[:20]) == [[], [], []]
+    assert find(short_q) == [[], [3], [3]] and find(short_q[:7]) == [[], [], []]
+    assert index.all_hits(*decontaminate.word_hashes(["x who wrote", "hamlet x yes"], marks=False)) == [[], [4]]

@@ -9,7 +9,10 @@ parts of the segment, or of the item, must have enough of their three-word shing
 all of its shingles in a text counts by itself; texts meet questions by so many of the rarest shingles that one must be there.
 Items too short for scores are found as whole sequences of words.
 
-The benchmark is small by nature, and its size is checked: beyond SHARD_BYTES it is searched in shards, one pass each.
+Document frequencies, the number of segments and their mean length are counted once over all items. The index is built in
+tasks, in shards of about SHARD_BYTES of text, and written to the shared folder; tasks that search read it from there, shard
+by shard, and keep as many as KEPT allows. So scores are the same however many shards there are, and nothing but the paths
+of shards passes the driver.
 """
 
 from __future__ import annotations
@@ -17,21 +20,26 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+import pickle
 import re
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .minhash import in_chunks
-from .shared import only
+from .arrow import extended, runs, utf8
+from .files import file_size, read_range, write_once
+from .shared import fresh_path, only, written
 from .wordhash import mixed, word_hashes
 
 SHARD_BYTES = 8 << 20
+#: Bytes of shards of the index that a Python worker keeps.
+KEPT = 256 << 20
 #: Groups of segments that bounds are kept for: terms times groups numbers, whatever the size of the index.
 GROUPS = 64
 
@@ -80,6 +88,21 @@ def _shares(words: np.ndarray, near: np.ndarray) -> float:
     return float(np.isin(np.unique(_runs(words, k)), _runs(near, k)).mean()) if k else 1.0
 
 
+def _cut(words: np.ndarray, rules: Leaks) -> list[tuple[int, int]]:
+    """First and last place of the segments of an item."""
+    edges = np.linspace(0, len(words), math.ceil(len(words) / rules.segment) + 1).astype(int).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+@dataclass
+class Corpus:
+    """Counts over all items that are long enough for scores: segments, their words, and segments by term."""
+
+    segments: int
+    words: int
+    df: dict
+
+
 @dataclass
 class Index:
     """Postings of each term in order of segment, with impacts, and the largest impact of each block of segments."""
@@ -95,7 +118,8 @@ class Index:
     most: np.ndarray = None  # by term and group of segments: the largest impact
 
     @classmethod
-    def of(cls, rows: list[tuple], rules: Leaks) -> Index:
+    def of(cls, rows: list[tuple], rules: Leaks, corpus: Corpus | None = None) -> Index:
+        """The index of rows (id, text); corpus: counts over all items, where rows are not all of them."""
         self, segments, shorts, questions = cls(rules), [], {}, []
         for item, text in rows:
             words = word_hashes([text], marks=False)[0]
@@ -107,8 +131,7 @@ class Index:
             self.parts[item] = (words, asked)
             if asked >= rules.min_words:
                 questions.append((item, np.unique(_runs(words[:asked], 3)).tolist()))
-            edges = np.linspace(0, len(words), math.ceil(len(words) / rules.segment) + 1).astype(int).tolist()
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
+            for a, z in _cut(words, rules):
                 self.items.append(item)
                 self.spans.append((a, z))
                 segments.append(Counter(words[a:z].tolist()))
@@ -121,14 +144,15 @@ class Index:
             keys += [(x, item) for x in sorted(q, key=lambda x: (common[x], x))[: spare + 1]]
         keys.sort(key=lambda x: x[0])
         self.asked = np.asarray([x for x, _ in keys], np.uint64), [item for _, item in keys]
-        df = Counter(t for s in segments for t in s)
-        self.terms = np.asarray(sorted(df), np.uint64)
+        corpus = corpus or Corpus(len(segments), sum(sum(s.values()) for s in segments), Counter(t for s in segments for t in s))
+        df, n = corpus.df, corpus.segments
+        self.terms = np.asarray(sorted({t for s in segments for t in s}), np.uint64)
         at = {t: i for i, t in enumerate(self.terms.tolist())}
-        mean = sum(sum(s.values()) for s in segments) / max(1, len(segments))
+        mean = corpus.words / max(1, n)
         found = [([], []) for _ in at]
         for j, s in enumerate(segments):
             norm = rules.k1 * (1 - rules.b + rules.b * sum(s.values()) / mean)
-            impact = {t: math.log(1 + (len(segments) - df[t] + 0.5) / (df[t] + 0.5)) * c * (rules.k1 + 1) / (c + norm) for t, c in s.items()}
+            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (rules.k1 + 1) / (c + norm) for t, c in s.items()}
             full = sum(impact.values())
             for t, x in impact.items():
                 found[at[t]][0].append(j)
@@ -272,28 +296,72 @@ class Index:
         return held(0, asked, len(words)) or len(words) > r.segment and held(a, cut, z)
 
 
-def _searched(index):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _terms(rules: Leaks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shard, term, df, words) of the segments of each batch; df of a row without a term counts segments."""
         for batch in batches:
-            texts = batch["text"].tolist()
-            items: list[list] = []
-            for start, stop in in_chunks(texts):
-                items += index.value.all_hits(*word_hashes(texts[start:stop], marks=False))
-            before = batch["items"].tolist()
-            yield batch.assign(items=[[*x, *y] for x, y in zip(before, items, strict=True)])
+            for shard, text in zip(batch.column("shard").to_pylist(), utf8(batch), strict=True):
+                words = word_hashes([text], marks=False)[0]
+                if len(words) < rules.min_words:
+                    continue
+                cut = _cut(words, rules)
+                terms, n = np.unique(np.concatenate([np.unique(words[a:z]) for a, z in cut]), return_counts=True)
+                columns = [[shard] * (len(terms) + 1), [*terms.view(np.int64).tolist(), None], [*n.tolist(), len(cut)], [0] * len(terms) + [len(words)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "term", "df", "words"])
 
     return run
 
 
-def _indexes(benchmark: DataFrame, rules: Leaks, id: str, text: str) -> list:
-    """The index of the items, in as many shards as the size of their texts asks for, each sent to the executors."""
-    items = benchmark.select(benchmark[id].alias("id"), F.coalesce(benchmark[text], F.lit("")).alias("text")).filter("id is not null")
-    items = items.filter(F.col("text") != "")
+def build_index(benchmark: DataFrame, rules: Leaks, id: str = "item_id", text: str = "text") -> list[str]:
+    """Writes the index of the items and returns the paths of its shards.
+
+    A row of a shard's group is an item or a term with its count over all items; a group holds about SHARD_BYTES of text.
+    """
+    items = benchmark.select(benchmark[id].alias("item"), F.coalesce(benchmark[text], F.lit("")).alias("text")).filter("item is not null and text <> ''")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
-    context = benchmark.sparkSession.sparkContext
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards))
-    return [context.broadcast(Index.of(sorted(map(tuple, items.filter(shard == k).collect())), rules)) for k in range(shards)]
+    items = written(items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("long")), "leak-items")
+    found = items.mapInArrow(_terms(rules), "shard long, term long, df long, words long").groupBy("shard", "term").agg(
+        F.sum("df").alias("df"), F.sum("words").alias("words"))
+    found = written(found, "leak-terms")
+    n, words = found.filter("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    terms = found.filter("term is not null")
+    df = terms.groupBy("term").agg(F.sum("df").alias("df"))
+    folder = fresh_path(benchmark.sparkSession, "leak-index")
+
+    def build(key: tuple, rows: pa.Table, terms: pa.Table) -> pa.Table:
+        known = dict(zip(terms.column("term").to_numpy().view(np.uint64).tolist(), terms.column("df").to_pylist(), strict=True))
+        pairs = sorted(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True))
+        data = pickle.dumps(Index.of(pairs, rules, Corpus(n, words, known)))
+        return pa.table({"path": [write_once(folder, ".index", lambda out: out.write(data))], "items": pa.array([len(pairs)], pa.int64())})
+
+    both = items.groupBy("shard").cogroup(terms.select("shard", "term").join(df, "term").groupBy("shard"))
+    return sorted(r["path"] for r in written(both.applyInArrow(build, "path string, items long"), "leak-shards").filter("items > 0").collect())
+
+
+_LOADED: OrderedDict = OrderedDict()
+
+
+def _shard(path: str) -> Index:
+    """A shard of the index; a Python worker keeps the last ones it used, KEPT bytes at most, or one."""
+    if path not in _LOADED:
+        size = file_size(path)
+        while _LOADED and size + sum(n for n, _ in _LOADED.values()) > KEPT:
+            _LOADED.popitem(last=False)
+        _LOADED[path] = size, pickle.loads(read_range(path, 0, size))
+    _LOADED.move_to_end(path)
+    return _LOADED[path][1]
+
+
+def _found(paths: list[str], texts: list) -> list[list]:
+    """The items that each text holds, ascending. All texts of a batch are searched in one shard before the next is read."""
+    out: list[set] = [set() for _ in texts]
+    for path in paths:
+        index = _shard(path)
+        for start, stop in runs(texts):
+            for own, more in zip(out[start:stop], index.all_hits(*word_hashes(texts[start:stop], marks=False)), strict=True):
+                own.update(more)
+    return [sorted(x) for x in out]
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, rules: Leaks = Leaks(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,26 +371,25 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, rules: Leaks = Leaks(), i
     Repeated rows have the same result. Extra columns are dropped; an empty table gives no rows.
     """
     plain = only(docs, id, text).withColumnRenamed(id, "id").withColumnRenamed(text, "text")
-    kind = plain.schema["id"].dataType.simpleString()
-    item = benchmark.schema["item_id"].dataType.simpleString()
-    df = plain.withColumn("items", F.array().cast(f"array<{item}>"))
-    for index in _indexes(benchmark, rules, "item_id", "text"):
-        df = df.mapInPandas(_searched(index), f"id {kind}, text string, items array<{item}>")
-    items = F.array_sort(F.array_distinct("items"))
+    paths = build_index(benchmark, rules)
+    item = benchmark.schema["item_id"].dataType
+
+    def searched(batches: Iterator[pa.RecordBatch], kind=to_arrow_type(item)) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield extended(batch, ["id"], items=pa.array(_found(paths, utf8(batch)), pa.list_(kind)))
+
+    df = plain.mapInArrow(searched, f"id {plain.schema['id'].dataType.simpleString()}, items array<{item.simpleString()}>")
     return df.select(F.col("id").alias(id), (F.size("items") > 0).alias("contaminated"),
-                     F.size("items").cast("long").alias("n_items"), items.alias("item_ids"))
+                     F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"))
 
 
 def leak_clean(docs: DataFrame, benchmark: DataFrame, rules: Leaks = Leaks(), text: str = "text") -> DataFrame:
-    """The documents that hold no item, all their columns; with one index, in one pass without a shuffle."""
-    out = docs
-    for index in _indexes(benchmark, rules, "item_id", "text"):
-        def clean(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                texts = batch[text].tolist()
-                for start, stop in in_chunks(texts):
-                    found = index.value.all_hits(*word_hashes(texts[start:stop], marks=False))
-                    yield batch.iloc[start:stop][[not x for x in found]]
-
-        out = out.mapInPandas(clean, docs.schema)
-    return out
+    """The documents that hold no item, all their columns, in one pass without a shuffle: rows of batches are dropped, no
+    value of them is touched."""
+    paths = build_index(benchmark, rules)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not x for x in _found(paths, utf8(batch, text))], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -18,13 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .arrow import chunks, extended, lists
 from .components import components
-from .shared import written
+from .shared import dropped, written
 from .wordhash import mixed, shingle_sets
 
 
@@ -39,23 +40,6 @@ class Near:
     rows: int = 6
 
 
-#: Text of at most so many bytes is hashed at a time, unless a single document has more.
-CHUNK = 1 << 20
-
-
-def in_chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """(start, stop) of runs of texts that hold at most so many characters, or one text."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > start and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
     """t coordinates of a set of 64-bit shingle hashes that is not empty."""
     n, out, done = len(shingles), np.full(t, np.iinfo(np.uint64).max, np.uint64), 0
@@ -85,39 +69,39 @@ def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sketched(near: Near):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start, stop in in_chunks(batch["text"].tolist()):
-                part = batch.iloc[start:stop]
-                sets = shingle_sets(part["text"].tolist(), near.shingle)
-                with np.errstate(over="ignore"):
-                    h1 = [np.bitwise_xor.reduce(mixed(s)).view(np.int64) if len(s) else np.int64(0) for s in sets]
-                    h2 = [np.add.reduce(mixed(s + np.uint64(77))).view(np.int64) if len(s) else np.int64(0) for s in sets]
-                keys = [band_keys(sketch(s, near.bands * near.rows), near.bands) if len(s) else np.empty(0, np.int64) for s in sets]
-                yield pd.DataFrame({"id": part["id"], "text_hash": part["text_hash"], "n": [len(s) for s in sets],
-                                    "h1": h1, "h2": h2, "keys": keys})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            sets = shingle_sets(texts, near.shingle)
+            h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+            keys = [np.empty(0, np.int64)] * len(sets)
+            with np.errstate(over="ignore"):
+                for i, s in enumerate(sets):
+                    if len(s):
+                        h1[i], h2[i] = np.bitwise_xor.reduce(mixed(s)), np.add.reduce(mixed(s + np.uint64(77)))
+                        keys[i] = band_keys(sketch(s, near.bands * near.rows), near.bands)
+            yield extended(part, ["id", "text_hash"], n=pa.array([len(s) for s in sets], pa.int64()), h1=pa.array(h1.view(np.int64)),
+                           h2=pa.array(h2.view(np.int64)), keys=lists(keys, np.int64))
 
     return run
 
 
 def _sets(near: Near):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start, stop in in_chunks(batch["text"].tolist()):
-                part = batch.iloc[start:stop]
-                yield pd.DataFrame({"node": part["node"], "set": [s.view(np.int64) for s in shingle_sets(part["text"].tolist(), near.shingle)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            yield extended(part, ["node"], set=lists([s.view(np.int64) for s in shingle_sets(texts, near.shingle)], np.int64))
 
     return run
 
 
 def _linked(near: Near):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
+            for x, y in zip(*(batch.column(c) for c in ("set_a", "set_b")), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= near.percent * (len(x) + len(y) - both))
-            yield batch.loc[ok, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -125,7 +109,7 @@ def _linked(near: Near):
 def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").mapInPandas(_linked(near), "a long, b long")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(_linked(near), "a long, b long")
 
 
 def _may_link(near: Near, n: Column, m: Column) -> Column:
@@ -162,7 +146,10 @@ def _rarest_shared(open_: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     #: Two of the largest parts never meet: one of a pair is outside.
     pairs = small.filter("x_outside").join(prefix, "shingle").filter(may).select("x_node", "node")
     pairs = pairs.unionByName(small.filter("not x_outside").join(prefix.filter("outside"), "shingle").filter(may).select("x_node", "node"))
-    return pairs.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+    pairs = written(pairs.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct(), "near-met")
+    dropped(spread)
+    dropped(prefix)
+    return pairs
 
 
 def _order() -> list[Column]:
@@ -175,12 +162,12 @@ def near_groups(docs: DataFrame, near: Near = Near(), id: str = "doc_id", text:
     t = F.coalesce(docs[text], F.lit(""))
     plain = docs.select(docs[id].alias("id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
     schema = f"id {plain.schema['id'].dataType.simpleString()}, text_hash long, n long, h1 long, h2 long, keys array<long>"
-    sketched = written(plain.mapInPandas(_sketched(near), schema), "near-sketches")
+    sketched = written(plain.mapInArrow(_sketched(near), schema), "near-sketches")
     classes = sketched.filter("n > 0").groupBy("h1", "h2", "n").agg(
         F.min(F.struct(*_order())).alias("first"), F.min_by("keys", F.struct(*_order())).alias("keys"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
-    banded = classes.select("node", F.col("n").alias("n"), F.explode("keys").alias("key")).repartition("key")
+    banded = classes.select("node", F.col("n").alias("n"), F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     crowded = written(banded.join(buckets, "key"), "near-crowded")
     #: The hub of a bucket is the class that meets most others over all its buckets: what copies were made of comes first.
@@ -195,7 +182,7 @@ def near_groups(docs: DataFrame, near: Near = Near(), id: str = "doc_id", text:
     wanted = crowded.select("node").distinct().join(classes, "node").select("node", "first")
     on = [plain["id"].eqNullSafe(F.col("first.id")), plain["text_hash"] == F.col("first.text_hash")]
     texts = plain.join(wanted, on).select("node", plain["text"])
-    sets = written(texts.mapInPandas(_sets(near), "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+    sets = written(texts.mapInArrow(_sets(near), "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
     links = written(_verified(stars, sets, near), "near-links")
     labels = components(links)
 
@@ -208,6 +195,7 @@ def near_groups(docs: DataFrame, near: Near = Near(), id: str = "doc_id", text:
     open_ = written(open_.groupBy("node", "part").agg(F.max(F.col("part") != F.col("main")).alias("outside")), "near-open")
     rest = _rarest_shared(open_, sets, near)
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    dropped(stars)
     if rest.limit(1).count():
         more = written(_verified(rest, sets, near), "near-links")
         if more.limit(1).count():
@@ -243,4 +231,8 @@ def near_clean(docs: DataFrame, near: Near = Near(), id: str = "doc_id", text: s
     stay = groups.filter(own).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
     kept = hashed.join(stay, hashed[id].eqNullSafe(stay["__id"]) & (hashed["__text_hash"] == stay["__hash"]), "left_semi")
-    return kept.dropDuplicates([id, "__text_hash"]).select(*docs.columns)
+    #: Of rows that repeat id and text, the one whose columns have the smallest hash: the same in every run.
+    own = [c for c in docs.columns if "map" not in docs.schema[c].dataType.simpleString()]
+    least = F.min_by(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), F.xxhash64(*own)).alias("__row")
+    kept = kept.groupBy(F.col(id).alias("__key"), "__text_hash").agg(least)
+    return kept.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -16,12 +16,12 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .files import file_size, filesystem, read_range, write_once
-from .minhash import in_chunks
 from .shared import fresh_path, only, written
 
 #: How texts are cut before byte-pair merges (a fixed value of the vocabulary).
@@ -30,7 +30,9 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 @dataclass(frozen=True)
 class TokenFormat:
-    """ids of width bytes (little endian), end behind each document; blocks of block_bytes, files of about file_bytes."""
+    """ids of width bytes (little endian), end behind each document; blocks of block_bytes, files of about file_bytes.
+
+    The vocabulary file must be at the same path on every executor, or in a store that all of them reach."""
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     width: int = 2
@@ -61,25 +63,28 @@ def encoded(text: str | None, form: TokenFormat) -> np.ndarray:
 
 
 def _token_files(folder: str, form: TokenFormat):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
-        ids: list = []
+        ids: list[pa.Array] = []
         total, end = 0, np.asarray([form.end], form.kind).tobytes()
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             path = write_once(folder, ".tokens", lambda out: [out.write(p) for p in parts])
-            return pd.DataFrame({"id": ids, "path": path, "bytes": total, "ordinal": range(len(ids))}).astype({"id": object})
+            n = len(parts)
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(ids), pa.array([path] * n), pa.array([total] * n, pa.int64()), pa.array(range(n), pa.int64())],
+                names=["id", "path", "bytes", "ordinal"])
 
         for batch in batches:
-            for id, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 part = encoded(text, form).tobytes() + end
                 parts.append(part)
-                ids.append(None if pd.isna(id) else id)
+                ids.append(batch.column("id").slice(i, 1))
                 total += len(part)
                 if total >= form.file_bytes:
                     yield close()
                     parts, ids, total = [], [], 0
-        if ids:
+        if parts:
             yield close()
 
     return run
@@ -90,7 +95,7 @@ def write_token_files(docs: DataFrame, folder: str, form: TokenFormat = TokenFor
     written before any file is read, so that a lost executor cannot lead to other files under the same names."""
     plain = only(docs, id, text).withColumnRenamed(id, "id").withColumnRenamed(text, "text")
     kind = plain.schema["id"].dataType.simpleString()
-    return written(plain.mapInPandas(_token_files(folder, form), f"id {kind}, path string, bytes long, ordinal long"), "token-files")
+    return written(plain.mapInArrow(_token_files(folder, form), f"id {kind}, path string, bytes long, ordinal long"), "token-files")
 
 
 def _blocks(form: TokenFormat):

@@ -12,12 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .minhash import in_chunks
-from .shared import only
+from .arrow import chunks, extended, lists
+from .shared import only, written
 from .wordhash import Words, word_hashes
 
 #: Seed words for insults and contempt, by language.
@@ -40,11 +40,10 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Training:
-    """sample: most labelled rows to learn from; lexicon: most learnt entries; least_df, least_odds, least_z: an entry's
+    """sample: most labelled rows to learn from; least_df, least_odds, least_z: an entry's
     least documents labelled toxic, log-odds, and standard deviations above the documents that chance would give it. near: words between a hit and a second-person word."""
 
     sample: int = 20_000
-    lexicon: int = 20_000
     least_df: int = 4
     least_odds: float = 1.5
     least_z: float = 4.0
@@ -81,7 +80,7 @@ _LEET = np.arange(256, dtype=np.uint8)
 _LEET[list(LEET)] = list(LEET.values())
 
 
-def features(texts: list[str | None], lexicon: tuple[np.ndarray, np.ndarray], near: int = 5) -> np.ndarray:
+def features(texts: list[str | bytes | None], lexicon: tuple[np.ndarray, np.ndarray], near: int = 5) -> np.ndarray:
     """A row of FEATURES for each text; lexicon: sorted hashes of words and beginnings, and their weights."""
     seed, second = _sorted_hashes(SEED), _sorted_hashes(SECOND_PERSON)
     w = Words(texts, marks=False)
@@ -208,7 +207,7 @@ class Model:
     rate: float
     near: int
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | bytes | None]) -> np.ndarray:
         """The calibrated probability; where calibration ties, the trees' own probability decides, by a hundredth at most."""
         if self.trees is None:
             return np.full(len(texts), self.rate)
@@ -222,20 +221,18 @@ def fold(id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct hashes of words and beginnings of each document, with its label."""
-    for batch in batches:
-        for start, stop in in_chunks(batch["text"].tolist()):
-            part = batch.iloc[start:stop]
-            w = Words(part["text"].tolist(), marks=False)
-            rows = np.repeat(np.arange(len(part)), np.diff(w.stops, prepend=0))
-            out = [np.empty((0, 2), np.uint64)]
-            for k in PREFIXES:
-                long = np.ones(len(rows), bool) if k is None else w.ends - w.starts >= k
-                out.append(np.column_stack([rows[long].astype(np.uint64), w.hashes(k)[long]]))
-            seen = np.unique(np.concatenate(out), axis=0)
-            toxic = part["toxic"].to_numpy()[seen[:, 0].astype(np.int64)]
-            yield pd.DataFrame({"hash": seen[:, 1].astype(np.int64), "toxic": toxic})
+    for part, texts in chunks(batches):
+        w = Words(texts, marks=False)
+        rows = np.repeat(np.arange(len(texts)), np.diff(w.stops, prepend=0))
+        out = [np.empty((0, 2), np.uint64)]
+        for k in PREFIXES:
+            long = np.ones(len(rows), bool) if k is None else w.ends - w.starts >= k
+            out.append(np.column_stack([rows[long].astype(np.uint64), w.hashes(k)[long]]))
+        seen = np.unique(np.concatenate(out), axis=0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen[:, 1].astype(np.int64)), part.column("toxic").take(pa.array(seen[:, 0].astype(np.int64)))], names=["hash", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id: str = "doc_id", text: str = "text") -> Model:
@@ -248,32 +245,34 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id: st
     known = known.filter(fold(F.col("id"), 5) != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("sample"), F.col("id").cast("string"))
     sample = known.withColumn("order", order).orderBy("order", "id").limit(how.sample)
-    #: At most how.sample rows of two numbers.
+    #: At most how.sample rows of three numbers.
     plain = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = plain.join(F.broadcast(sample.select("id", "toxic", F.pmod("order", F.lit(3)).alias("part"))), "id")
+    joined = plain.join(F.broadcast(sample.withColumn("part", F.pmod("order", F.lit(3)))), "id")
+    #: One text for each sampled id, however many rows repeat it: so the bound holds for rows too.
+    joined = joined.groupBy("id", "order", "toxic", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    joined = written(joined, "toxicity-sample")
 
     first = joined.filter("part = 0")
     n_toxic, n_clean = first.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    counts = first.select("text", "toxic").mapInPandas(_grams, "hash long, toxic int").groupBy("hash").agg(
+    counts = first.select("text", "toxic").mapInArrow(_grams, "hash long, toxic int").groupBy("hash").agg(
         F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     chance = (F.col("t") + F.col("c")) * (n_toxic / max(1, n_toxic + n_clean))
     counts = counts.filter(F.col("t") - chance >= how.least_z * F.sqrt(chance))
     entries = counts.withColumn("odds", odds).filter((F.col("t") >= how.least_df) & (F.col("odds") >= how.least_odds))
-    rows = entries.orderBy(F.desc("odds"), F.desc("t"), "hash").limit(how.lexicon).select("hash", "odds").toPandas()
+    #: Entries are in four or more documents of a third of the sample, so the sample bounds them.
+    rows = entries.orderBy(F.desc("odds"), F.desc("t"), "hash").select("hash", "odds").toPandas()
     hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(hashes)
     lexicon = (hashes[at], rows["odds"].to_numpy(float)[at])
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start, stop in in_chunks(batch["text"].tolist()):
-                part = batch.iloc[start:stop]
-                yield part[["id", "toxic"]].assign(x=list(features(part["text"].tolist(), lexicon, how.near)))
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            yield extended(part, ["order", "id", "toxic"], x=lists(list(features(texts, lexicon, how.near)), np.float64))
 
     kind = plain.schema["id"].dataType.simpleString()
-    data = joined.filter("part <> 0").select("id", "toxic", "text").mapInPandas(measured, f"id {kind}, toxic int, x array<double>")
-    data = data.toPandas().sort_values("id", kind="stable")
+    data = joined.filter("part <> 0").select("order", "id", "toxic", "text").mapInArrow(measured, f"order long, id {kind}, toxic int, x array<double>")
+    data = data.toPandas().sort_values(["order", "id"], kind="stable")
     y = data["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0, how.near)
@@ -294,13 +293,11 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, how: Training = Training
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, how, id, text))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start, stop in in_chunks(batch["text"].tolist()):
-                part = batch.iloc[start:stop]
-                yield part[["id", "held_out"]].assign(score=model.value.score(part["text"].tolist()))
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            yield extended(part, ["id", "held_out"], score=pa.array(model.value.score(texts)))
 
     plain = only(docs, id, text).select(F.col(id).alias("id"), (fold(F.col(id), 5) == 0).alias("held_out"), F.col(text).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    df = plain.mapInPandas(scored, f"id {kind}, held_out boolean, score double")
+    df = plain.mapInArrow(scored, f"id {kind}, held_out boolean, score double")
     return df.select(F.col("id").alias(id), "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

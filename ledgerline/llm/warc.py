@@ -15,16 +15,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import utf8
 from .files import file_size, read_range, write_once
 from .shared import fresh_path, only, written
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 #: Payloads from so many bytes on are stored once.
 REVISIT_BYTES = 1000
-#: An archive is closed after so many bytes of records; an index is read, and records are fetched, in runs of this size.
+#: An archive is closed after so many bytes of records (its index is a small part of that and is read as a whole); records
+#: are fetched in runs of neighbours of about RUN_BYTES.
 ARCHIVE_BYTES, RUN_BYTES = 64 << 20, 4 << 20
 #: Up to so many payloads that occur twice or more (about 15 MB) their table goes to every task; beyond, pages are shuffled.
 BROADCAST_COPIES = 200_000
@@ -109,12 +112,12 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _packed(folder: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[bytes] = []
         index: list[str] = []
         total = 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             def write(out) -> None:
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
                     for name, parts in ((DATA, records), (INDEX, ["\n".join(index).encode()])):
@@ -123,14 +126,12 @@ def _packed(folder: str):
                                 member.write(p)
 
             path = write_once(folder, ".wacz", write)
-            return pd.DataFrame({"path": [path], "records": [len(index)]})
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(index)], pa.int64())], names=["path", "records"])
 
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                digest, size = r.digest, int(r.size)
-                refers = None if r.revisit is None or pd.isna(r.revisit) else int(r.revisit)
-                page = None if pd.isna(r.id) else int(r.id)
-                record = record_bytes(page, r.url, (r.html or "").encode("utf-8", "surrogatepass"), size, digest, refers)
+            columns = [batch.column(c).to_pylist() for c in ("id", "url", "digest", "size", "revisit")]
+            for page, url, digest, size, refers, html in zip(*columns, utf8(batch, "html"), strict=True):
+                record = record_bytes(page, url, html or b"", size, digest, refers)
                 index.append(json.dumps({"id": page, "offset": total, "length": len(record), "digest": digest}))
                 records.append(record)
                 total += len(record)
@@ -159,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     revisit = F.when(~F.col("id").eqNullSafe(F.col("largest")), F.col("largest"))
     html_ = F.when(revisit.isNull(), F.col("html"))
     df = df.select("id", "url", html_.alias("html"), "digest", "size", revisit.alias("revisit"))
-    return written(df.mapInPandas(_packed(folder), "path string, records long"), "archives")
+    return written(df.mapInArrow(_packed(folder), "path string, records long"), "archives")
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,21 +183,25 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["path", "start", "lengths"])
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+RECORD = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
+                    ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for run in batch.itertuples(index=False):
-            data, rows, at = read_range(run.path, int(run.start), int(sum(run.lengths))), [], 0
-            for n in run.lengths:
-                headers, payload = parse_record(data[at : at + int(n)])
+        for path, start, lengths in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "lengths")), strict=True):
+            data, rows, at = read_range(path, start, sum(lengths)), [], 0
+            for n in lengths:
+                headers, payload = parse_record(data[at : at + n])
                 page, refers = headers["warc-page-id"], headers.get("warc-refers-to")
                 rows.append((
                     int(page) if page else None, headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:"),
                     int(headers["warc-payload-length"]), int(refers[len("<urn:page:") : -1]) if refers else None,
                     headers["warc-target-uri"], payload,
                 ))
-                at += int(n)
-            yield pd.DataFrame(rows, columns=["page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "url", "payload"]).astype(
-                {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+                at += n
+            columns = zip(*rows, strict=True) if rows else [()] * len(RECORD)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RECORD, strict=True)], schema=RECORD)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -206,7 +211,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """
     tasks = max(1, archives.sparkSession.sparkContext.defaultParallelism * 4)
     runs = archives.select("path").repartition(tasks).mapInPandas(_runs, "path string, start long, lengths array<long>")
-    return runs.repartition(tasks).mapInPandas(
+    return runs.repartition(tasks).mapInArrow(
         _records, "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, payload binary")
 
 

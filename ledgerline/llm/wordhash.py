@@ -42,8 +42,8 @@ class Words:
     The hash of a run of bytes is a polynomial modulo 2**64, read off prefix sums over the batch.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = True, marks: bool = True, table: np.ndarray | None = None):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = True, marks: bool = True, table: np.ndarray | None = None):
+        raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         self.text_ends = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
         seen = self.data if table is None else table[self.data]
@@ -65,13 +65,13 @@ class Words:
             return mixed((self._sums[ends] - self._sums[self.starts]) * self._back)
 
 
-def word_hashes(texts: list[str | None], lower: bool = True, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | bytes | None], lower: bool = True, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, stops): hashes of the words of all texts one after another; words of text i come before stops[i]."""
     w = Words(texts, lower, marks)
     return w.hashes(), w.stops
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of the k-word shingles of each text; of the whole sequence where it has fewer words."""
     words, ends = word_hashes(texts)
     with np.errstate(over="ignore"):

@@ -19,19 +19,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, words, written
+from .shared import SPACE, dropped, words, written
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """Lines of fewer than min_words words always stay; only lines of near_words words or more have near copies."""
+    """Lines of fewer than min_words words always stay; only lines of near_words words or more have near copies, shorter ones
+    lose exact copies alone."""
 
-    min_words: int = 5
+    min_words: int = 1
     near_words: int = 8
 
 
 #: Every line that has a word loses its exact copies: the rules of the query and of the pipeline's stage.
-EVERY_LINE = LineRules(min_words=1)
+EVERY_LINE = LineRules()
 
 DOC = ["id", "text_hash"]
 ORD = ["null_id", "id", "text_hash", "pos"]
@@ -61,15 +62,37 @@ def _half_keys(rules: LineRules) -> Column:
     return F.when(F.col("n") >= rules.near_words, F.array(*halves("n"), *halves("n - 1"))).otherwise(none)
 
 
-def _variants(n: Column, hashes: Column) -> Column:
-    """Own key with i = -1 and the key without each word i, with the number of words that it stands for."""
-    without = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            F.xxhash64(F.slice(hashes, 1, i), F.slice(hashes, i + 2, F.greatest(n - i - 1, F.lit(0)))).alias("v"),
-            (n - 1).alias("m"), i.alias("i")))
-    own = F.array(F.struct(F.xxhash64(hashes, F.array().cast("array<long>")).alias("v"), n.alias("m"), F.lit(-1).alias("i")))
-    return F.concat(own, without)
+def _running(values: Column, n: Column) -> Column:
+    """The exclusive or of the first, the first two, ... of an array of n numbers, in as many rounds as n has binary digits:
+    each round takes in what lies twice as far back."""
+    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(n)).cast("int") - 1, F.lit(0)))
+
+    def further(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x.bitwiseXOR(F.coalesce(F.get(sums, i - back), F.lit(0).cast("long"))))
+
+    return F.aggregate(rounds, values, further)
+
+
+def _placed(hashes: Column, back: int) -> Column:
+    """Hashes of words together with their places, counted from minus back."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, i - back))
+
+
+def _variants(line: DataFrame) -> DataFrame:
+    """(line, v, m, i): the key of a line's n words with i = -1, and the keys without each word i, with the number of words
+    each stands for; line has line and hashes.
+
+    A key is the exclusive or of the hashes of words and places. What comes behind a word that is left out moves up by one
+    place, so each key is one of two running sums up to there and the other from there on: work grows as n log n.
+    """
+    n = F.size("hashes")
+    df = line.select("line", n.alias("n"), _running(_placed(F.col("hashes"), 0), n).alias("kept"), _running(_placed(F.col("hashes"), 1), n).alias("moved"))
+    end = F.get("moved", F.col("n") - 1)
+    without = F.transform("moved", lambda x, i: F.coalesce(F.get("kept", i - 1), F.lit(0).cast("long")).bitwiseXOR(end).bitwiseXOR(x))
+    every = F.concat(F.array(F.get("kept", F.col("n") - 1)), without)
+    df = df.select("line", "n", F.posexplode(every).alias("at", "v"))
+    return df.select("line", "v", F.when(F.col("at") == 0, F.col("n")).otherwise(F.col("n") - 1).alias("m"), (F.col("at") - 1).alias("i"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -102,7 +125,7 @@ def removed_lines(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFra
     first = first.select("o.*", "halves").orderBy(*ORD)
     first = written(first.withColumn("line", F.monotonically_increasing_id()), "lines-first")
 
-    half = first.select("line", F.explode("halves").alias("half")).repartition("half")
+    half = first.select("line", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
     able = half.join(shared, "half", "left_semi").select("line").distinct()
     places = first.join(able, "line").groupBy(*DOC).agg(F.collect_list(F.struct("pos", "line")).alias("places"))
@@ -115,8 +138,7 @@ def removed_lines(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFra
     some = split.select(F.explode(at).alias("x")).select("x.line", words(F.col("x.text")).alias("words"))
     some = written(some.select("line", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), "lines-some")
 
-    emitted = some.select("line", F.explode(_variants(F.size("hashes"), F.col("hashes"))).alias("x"))
-    emitted = written(emitted.select("line", F.xxhash64("x.v", "x.m").alias("key"), "x.i"), "lines-variants")
+    emitted = written(_variants(some).select("line", F.xxhash64("v", "m").alias("key"), "i"), "lines-variants")
     replaced = emitted.filter("i >= 0").groupBy("key", "i").agg(F.min("line").alias("to"), F.count("*").alias("c"))
     replaced = emitted.join(replaced.filter("c > 1").drop("c"), ["key", "i"]).select("line", "to")
     whole, part = F.min(F.when(F.col("i") < 0, F.col("line"))), F.min(F.when(F.col("i") >= 0, F.col("line")))
@@ -127,7 +149,10 @@ def removed_lines(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFra
     own = some.select("line", F.col("hashes").alias("a"))
     other = some.select(F.col("line").alias("to"), F.col("hashes").alias("b"))
     near = pairs.join(own, "line").join(other, "to").filter(_one_edit(F.col("a"), F.col("b"))).select("line")
-    return first.drop("halves"), written(near.distinct(), "lines-near")
+    near = written(near.distinct(), "lines-near")
+    dropped(some)
+    dropped(emitted)
+    return first.drop("halves"), near
 
 
 def _prepared(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -142,7 +167,7 @@ def _kept(first: DataFrame, near: DataFrame) -> DataFrame:
                                     F.count("goes").alias("n_near"))
 
 
-def line_report(docs: DataFrame, rules: LineRules = LineRules(), id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, rules: LineRules = EVERY_LINE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_lines (of min_words words or more), n_exact and n_near (removed), n_kept.
 
     Null and empty texts have no lines. Null ids come after all others. Rows that repeat id and text count as one row and

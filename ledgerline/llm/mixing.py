@@ -103,7 +103,7 @@ def mix_slices(sized: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame
     """The mix of the rows of sized: key (any column), source, size (words), shuffle (string: the order within a source).
 
     Returns (rows, slices). rows: sized with source_size, target and row, an id of the row. slices: what the slots take:
-    row, slot and words (the part of the row that the slot's block holds). Each source gives its target, rounded; no row
+    row, slot, start (in the source's words) and words (the part of the row that the slot's block holds). Each source gives its target, rounded; no row
     more than cap times its size.
     """
     sized = written(only(sized, "key", "source", "size", "shuffle"), "mix-sizes")
@@ -148,7 +148,8 @@ def mix_slices(sized: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame
     taken = taken.select("s", "block", "slot", (F.col("block") * mix.block_words).alias("from"), to.alias("to"))
     slices = taken.join(held, ["s", "block"])
     part = F.least("to", "end") - F.greatest("from", "start")
-    return rows, slices.withColumn("words", part).filter("words > 0").select("row", "slot", "words")
+    slices = slices.withColumn("words", part).filter("words > 0")
+    return rows, slices.select("row", "slot", F.greatest("from", "start").alias("start"), "words")
 
 
 def mix_report(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -164,24 +165,52 @@ def mix_report(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def sizes(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs as mix_report takes them: key is the id, the order within a source that of the id's MD5."""
+    """docs as mix_report takes them: key is the id, the order within a source that of an MD5."""
     return docs.select(
         docs[id].alias("key"), docs[source].alias("source"), F.size(words(docs[text])).cast("long").alias("size"),
-        F.md5(F.coalesce(docs[id].cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
+        _shuffle(docs[id], docs[text]).alias("shuffle"),
     )
 
 
+def _shuffle(id: Column, text: Column) -> Column:
+    """The order within a source: the MD5 of id and text, so that null ids, or rows of one id, spread as others do."""
+    return F.md5(F.concat(F.coalesce(id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+ADDED = ("size", "source_size", "target", "taken")
+
+
+def _keyed(docs: DataFrame, id: str, text: str, source: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """docs with a key for each row, what mix_slices takes of them, and the columns of docs that stay.
+
+    Rows that share id and text follow by the hash of their other columns; those that share all are alike.
+    """
+    own = [c for c in docs.columns if c not in ADDED]
+    stored = written(docs.select(*own).withColumn("__key", F.monotonically_increasing_id()), "mix-docs")
+    plain = [c for c in own if "map" not in stored.schema[c].dataType.simpleString()]
+    order = F.concat(_shuffle(F.col(id), F.col(text)), F.lpad(F.hex(F.xxhash64(*plain)), 16, "0"))
+    size = F.size(words(F.col(text))).cast("long")
+    sized = stored.select(F.col("__key").alias("key"), F.col(source).alias("source"), size.alias("size"), order.alias("shuffle"))
+    return stored, sized, own
+
+
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents that the mix takes, all their columns, with size, source_size, target and taken.
 
     A column of docs by one of these names goes. Documents of which the mix takes nothing go.
     """
-    added = ("size", "source_size", "target", "taken")
-    own = [c for c in docs.columns if c not in added]
-    stored = written(docs.select(*own).withColumn("__key", F.monotonically_increasing_id()), "mix-docs")
-    sized = stored.select(
-        F.col("__key").alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
-    )
-    report = mix_report(sized, mix).filter("taken > 0").select(F.col("key").alias("__key"), *added)
-    return stored.join(report, "__key").select(*own, *added)
+    stored, sized, own = _keyed(docs, id, text, source)
+    report = mix_report(sized, mix).filter("taken > 0").select(F.col("key").alias("__key"), *ADDED)
+    return stored.join(report, "__key").select(*own, *ADDED)
+
+
+def mix_sequence(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: (id, source, slot, start, words), a row for each part of a document that a slot takes.
+
+    Read in order of slot, then start (where the part begins among its source's words), it is the training sequence: every
+    prefix holds the sources near their shares. Documents may be cut between two slots.
+    """
+    stored, sized, _ = _keyed(docs, id, text, source)
+    rows, slices = mix_slices(sized, mix)
+    parts = slices.join(rows.select("row", "key"), "row").select(F.col("key").alias("__key"), "slot", "start", "words")
+    return parts.join(stored.select("__key", id, source), "__key").select(id, source, "slot", "start", "words")

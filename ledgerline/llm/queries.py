@@ -17,11 +17,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = mixing.mix_report(mixing.sizes(_table(spark, sf_dir, "documents")))
-    return report.select(report["key"].alias("doc_id"), "source", "size", "source_size", "target", "taken")
+    return report.select(report["key"].alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(_table(spark, sf_dir, "documents"), lines.EVERY_LINE)
+    return lines.line_report(_table(spark, sf_dir, "documents"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": f"""
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size,
-                   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
+                   md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS shuffle
             FROM documents),
         t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         w AS (
@@ -101,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
                    sum(d.size) OVER (PARTITION BY d.source ORDER BY shuffle, doc_id, size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
             FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-        SELECT doc_id, source, size, source_size, target,
+        SELECT doc_id, size, source_size, target, source,
                CAST(CASE WHEN source_size = 0 THEN 0
                          ELSE size * (words // source_size)
                               + greatest(0, least(size, words % source_size - start)) END AS BIGINT) AS taken

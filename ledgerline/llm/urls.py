@@ -22,6 +22,8 @@ ORDER = 3
 #: Characters of a URL as the models see them: the whole text as it is, all beyond printable ASCII as one.
 OTHER = "\x7f"
 START, END = "\x02", "\x03"
+#: A spelling that more pages have than this is dealt over one task for each so many.
+HOT_PAGES = 100_000
 SALTS = 8
 
 
@@ -157,9 +159,17 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "p
     scored = written(spelled.join(scored, "key"), "url-scores")
     threshold = _threshold(scored.filter("fold < 2"))
     scores = scored.filter("fold = 2").select(F.col("spelled").alias("__spelled"), "score")
-    #: Pages that no rule decides look for their score; a spelling that many pages share is dealt over SALTS tasks.
-    open_ = df.filter(F.col("rule").isNull()).withColumn("salt", F.pmod(F.xxhash64("id", "host"), F.lit(SALTS)))
-    salted = scores.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    #: Pages that no rule decides look for their score; a spelling that many pages share is dealt over as many tasks as its
+    #: pages ask for.
+    asking = df.filter(F.col("rule").isNull())
+    often = asking.groupBy("spelled").agg(F.count("*").alias("pages")).select(
+        F.col("spelled").alias("__spelled"), F.ceil(F.col("pages") / HOT_PAGES).cast("int").alias("__salts"))
+    scores = written(scores.join(often, "__spelled"), "url-verdicts")
+    hot = scores.filter("__salts > 1").select(F.col("__spelled").alias("__hot"), F.col("__salts").alias("__of"))
+    #: No more hot spellings than pages over HOT_PAGES.
+    open_ = asking.join(F.broadcast(hot) if hot.count() <= HOT_PAGES else hot, F.col("spelled") == F.col("__hot"), "left")
+    open_ = open_.withColumn("salt", F.pmod(F.xxhash64("id", "host"), F.coalesce("__of", F.lit(1))).cast("int"))
+    salted = scores.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
     scored = open_.join(salted, (open_["spelled"] == salted["__spelled"]) & (open_["salt"] == salted["__salt"]))
     closed = df.filter(F.col("rule").isNotNull())
     columns = [F.col("id").alias(id), "host", "path", "rule"]

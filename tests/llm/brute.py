@@ -20,7 +20,7 @@ def one_edit(a, b):
     return len(a) - len(b) == 1 and any(a[:i] + a[i + 1:] == b for i in range(len(a)))
 
 
-def line_report(docs, min_words=5, near_words=8):
+def line_report(docs, min_words=1, near_words=8):
     """docs: (doc_id, text) with distinct ids. -> {doc_id: (n_lines, n_exact, n_near, n_kept)}"""
     lines = [(d, p, words(x)) for d, t in docs for p, x in enumerate((t or "").split("\n")) if len(words(x)) >= min_words]
     lines.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))

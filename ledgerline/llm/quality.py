@@ -23,7 +23,9 @@ class QualityRules:
 
     A line fails if its symbols exceed max_symbols of its words, if at least min_bars bars (or bullets, arrows) make up
     max_bars of its words, if max_shouted of its words (of five or more) have no small letter but two capitals, or if it
-    is a short line with a boilerplate phrase. A document is rejected that keeps less than min_kept of its word characters.
+    is a line of at most boilerplate_words words that has a boilerplate phrase, or that ends as a teaser does: with an
+    ellipsis, with or without a word that leads on. A document is rejected that keeps less than min_kept of its word
+    characters.
     """
 
     min_words: int = 10
@@ -38,7 +40,11 @@ class QualityRules:
         "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies",
         "enable javascript", "click here to", "sign up for our newsletter", "share this page", "lorem ipsum",
         "skip to content", "powered by wordpress", "back to top",
+        "tous droits réservés", "mentions légales", "politique de confidentialité", "nous utilisons des cookies", "cliquez ici pour",
+        "alle rechte vorbehalten", "nutzungsbedingungen gelten", "datenschutzerklärung lesen", "wir verwenden cookies", "klicken sie hier",
+        "todos los derechos reservados", "aviso legal", "política de privacidad", "utilizamos cookies", "haga clic aquí",
     )
+    teaser: str = r"(\.\.\.|…)[\x20\x09-\x0D]*(\[?(more|read more|lire la suite|weiterlesen|leer más)\]?)?[\x20\x09-\x0D»>]*$"
 
 
 def _symbols(text: Column) -> Column:
@@ -69,7 +75,9 @@ def repeat_words(w: Column) -> Column:
 def _line_fails(line: Column, rules: QualityRules) -> Column:
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     bars = F.regexp_count(line, F.lit(r"[|»•·]"))
-    shouted = F.regexp_count(line, F.lit(r"\p{Lu}[\p{Lu}\p{P}]*\p{Lu}(?![\p{L}\p{P}]*\p{Ll})"))
+    #: Few lines have two capitals in a word; only their words are looked at one by one.
+    loud = F.size(F.filter(words(line), lambda w: w.rlike(r"\p{Lu}.*\p{Lu}") & ~w.rlike(r"\p{Ll}")))
+    shouted = F.when(line.rlike(r"\p{Lu}[^\x20\x09-\x0D\p{Ll}]*\p{Lu}"), loud).otherwise(0)
     low = F.lower(line)
     phrase = F.lit(False)
     for p in rules.boilerplate:
@@ -78,7 +86,7 @@ def _line_fails(line: Column, rules: QualityRules) -> Column:
         (_symbols(line) > n * rules.max_symbols)
         | let(bars, lambda b: (b >= rules.min_bars) & (b >= n * rules.max_bars))
         | ((n >= 5) & (shouted > n * rules.max_shouted))
-        | ((n <= rules.boilerplate_words) & phrase)))
+        | ((n <= rules.boilerplate_words) & (phrase | low.rlike(rules.teaser)))))
 
 
 def _lines(text: Column) -> Column:

@@ -67,7 +67,39 @@ QUERIES = {
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _quality_sql(rules: quality.QualityRules) -> str:
+    """What quality_report states, over words and lines as rows; windows of five words are equal if their words are."""
+    phrases = " OR ".join(f"contains(lower(line), '{p}')" for p in rules.boilerplate)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT k, unnest(regexp_extract_all(t, {_WORD})) AS w, generate_subscripts(regexp_extract_all(t, {_WORD}), 1) AS i FROM d),
+        g AS (SELECT k, i, row(w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS five, lead(w, 4) OVER o IS NOT NULL AS whole
+              FROM w WINDOW o AS (PARTITION BY k ORDER BY i)),
+        twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, five) AS c FROM g WHERE whole) WHERE c > 1),
+        r AS (SELECT k, count(DISTINCT i + j) AS n FROM twice, range(5) s(j) GROUP BY k),
+        l AS (SELECT k, line, len(regexp_extract_all(line, {_WORD})) AS n FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d)
+              WHERE regexp_matches(line, {_WORD})),
+        f AS (SELECT k, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+                     length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > n * {rules.max_symbols}::DOUBLE
+                     OR (len(regexp_extract_all(line, '[|»•·]')) >= {rules.min_bars} AND len(regexp_extract_all(line, '[|»•·]')) >= n * {rules.max_bars}::DOUBLE)
+                     OR (n >= 5 AND len(list_filter(regexp_extract_all(line, {_WORD}), lambda x: regexp_matches(x, '\\p{{Lu}}.*\\p{{Lu}}')
+                         AND NOT regexp_matches(x, '\\p{{Ll}}'))) > n * {rules.max_shouted}::DOUBLE)
+                     OR (n <= {rules.boilerplate_words} AND ({phrases} OR regexp_matches(lower(line), '{rules.teaser}'))) AS bad
+              FROM l),
+        s AS (SELECT k, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS bad, sum(chars) FILTER (NOT bad) AS kept_chars FROM f GROUP BY k),
+        c AS (SELECT k, doc_id, len(regexp_extract_all(t, {_WORD}))::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols FROM d),
+        b AS (SELECT c.*, coalesce(s.dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(s.bad, 0)::BIGINT AS n_bad_lines,
+                     coalesce(kept_chars, 0) AS kept_chars FROM c LEFT JOIN s USING (k) LEFT JOIN r USING (k))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND kept_chars >= word_chars * {rules.min_kept}::DOUBLE AS kept, n_bad_lines
+        FROM (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM b)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": _quality_sql(quality.QualityRules()),
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
         l AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS largest FROM p)

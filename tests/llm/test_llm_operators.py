@@ -322,7 +322,7 @@ def test_short_lines_lose_exact_copies(spark):
 def test_every_training_document_teaches(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text").filter(~(toxicity.fold(F.col("doc_id"), 10) == 0))
     some = docs.orderBy("id").limit(20).cache()
-    form = lm.Lm(first=2, shard_docs=5)
+    form = lm.Lm(first=2, shard_bytes=5_000)
     whole = lm.train(some, form).packed()
     assert whole != lm.Network(form).packed()
     for row in some.collect()[::5]:
@@ -338,10 +338,10 @@ def test_lm_beats_an_untrained_network_on_held_out_documents(spark):
 
 def test_lm_beats_the_word_base_on_held_out_documents_and_repeats(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    got = lm.lm_report(docs, lm.Lm(shard_docs=20_000)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    got = lm.lm_report(docs, lm.Lm()).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
     small = spark.read.parquet(f"{SF}/documents.parquet")
-    one, two = ({r["doc_id"]: r["score"] for r in lm.lm_report(small, lm.Lm(shard_docs=50)).collect()} for _ in range(2))
+    one, two = ({r["doc_id"]: r["score"] for r in lm.lm_report(small, lm.Lm(shard_bytes=100_000)).collect()} for _ in range(2))
     assert one == two
 
 

@@ -88,6 +88,28 @@ def job_key(title: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
 
 
+#: Words that titles keep in capitals, and those that they write small.
+CAPITALS = frozenset("AI ML QA IT HR UX UI SAP AWS SQL VP CEO CFO R&D ERP CRM API SRE PMO ETL BI II III IV".split())
+SMALL = frozenset("and of the for in to at on with a an".split())
+
+
+def job_title(spelling: Column) -> Column:
+    """A job title as it is shown: short forms spelled out, capitals at the beginning of words, acronyms kept."""
+    short = F.create_map(*[F.lit(x) for pair in TITLE_WORDS.items() if not pair[0].isdigit() for x in pair])
+    capitals, small = (F.array(*[F.lit(w) for w in sorted(ws)]) for ws in (CAPITALS, SMALL))
+
+    def word(w: Column, i: Column) -> Column:
+        bare = F.regexp_replace(w, r"[.,]+$", "")
+        end = F.substr(w, F.length(bare) + 1)
+        every = F.forall(F.split(F.upper(bare), "/"), lambda p: F.array_contains(capitals, p))
+        full = F.coalesce(F.try_element_at(short, F.lower(bare)), F.lower(bare))
+        shown = F.when(every, F.upper(bare)).when((i > 0) & F.array_contains(small, F.lower(bare)), F.lower(bare)).otherwise(F.initcap(full))
+        return F.concat(shown, end)
+
+    words = F.filter(F.split(F.trim(spelling), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, word), " ")
+
+
 def employer_key(name: Column) -> Column:
     """What employers are matched by: small letters, one space between words, without legal endings."""
     n = F.regexp_replace(F.lower(name), r"['’]", "")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import convert, usd_rate
 from ..functions.text import chief_role
-from .ranking import percentiles
+from .ranking import log_bucket, percentiles, ranked, summed_before
 
 
 def people_near(pay: DataFrame, nearby: DataFrame, years: int, as_of: int) -> DataFrame:
@@ -90,8 +91,15 @@ def top_paid(pay: DataFrame, companies: DataFrame, as_of: int, top: int = 100) -
     return df.select("person_id", "name", "title", "ticker", "year", "total", "currency", "role")
 
 
+def pay_market(ticker: Column) -> Column:
+    """Which kind of pay report a company files, by the ending of its ticker."""
+    up = F.upper(ticker)
+    return F.when(up.endswith(".L"), "uk").when(up.endswith(".KA"), "pk").otherwise("sec")
+
+
 def pay_of_companies(pay: DataFrame, stats: DataFrame, as_of: int) -> DataFrame:
-    """(company_id, sector, revenue_usd, currency, year, role, top_pay, other_median): the latest year of each company."""
+    """(company_id, ticker, sector, market, revenue_usd, currency, year, role, top_pay, other_median): the latest year of each
+    company."""
     paid = pay.filter((F.col("total") > 0) & (F.col("year") <= as_of))
     latest = paid.withColumn("newest", F.max("year").over(Window.partitionBy("company_id"))).filter("year = newest")
     latest = latest.withColumn("role", chief_role(F.col("title"))).withColumn("total", F.col("total").cast("double"))
@@ -102,25 +110,210 @@ def pay_of_companies(pay: DataFrame, stats: DataFrame, as_of: int) -> DataFrame:
     df = df.groupBy("company_id", "year").agg(F.first("best").alias("best"), F.when(F.count(others) >= 2, F.median(others)).alias("other_median"))
     role = F.when(F.col("best.role") == "CEO", "CEO").otherwise("top-paid executive director")
     df = df.select("company_id", "year", role.alias("role"), F.col("best.total").alias("top_pay"), "other_median")
-    return df.join(stats.select("company_id", "sector", "currency", "revenue_usd").filter("revenue_usd > 0"), "company_id")
+    own = stats.select("company_id", "ticker", "sector", pay_market(F.col("ticker")).alias("market"), "currency", "revenue_usd").filter("revenue_usd > 0")
+    return df.join(own, "company_id")
+
+
+PANEL = ["sector", "market", "since"]
+
+
+def _panels(companies_pay: DataFrame) -> DataFrame:
+    """The companies of each panel: those of a sector and a market whose pay is of the year since or later, with pos, their
+    place by revenue, and n; one of year since + 1 (its asked) compares itself in it. A company is in a few panels, one for
+    each year that any of its sector compares from."""
+    c = companies_pay.select("company_id", "ticker", "sector", "market", "currency", "year", "revenue_usd", "top_pay")
+    years = c.select("sector", "market", (F.col("year") - 1).alias("since")).distinct()
+    panels = c.join(years, ["sector", "market"]).filter("year >= since").withColumn("asked", F.col("year") == F.col("since") + 1)
+    placed = ranked(panels, PANEL, [F.col("revenue_usd"), F.col("company_id")], log_bucket(F.col("revenue_usd")), "pos")
+    #: Read several times below: kept on disk, and worked out again where an executor is lost.
+    return placed.withColumn("pos", F.col("pos") - 1).persist(StorageLevel.DISK_ONLY)
+
+
+def _in_band(panels: DataFrame, band: float) -> DataFrame:
+    """(PANEL, company_id, low, high): the places of the companies from a band-th to band times the revenue."""
+    edges = F.explode(F.array(
+        F.struct((F.col("revenue_usd") / band).alias("at"), F.lit(0).alias("side")),
+        F.struct((F.col("revenue_usd") * band).alias("at"), F.lit(2).alias("side"))))
+    asked = panels.filter("asked").select(*PANEL, "company_id", edges.alias("e")).select(*PANEL, "company_id", "e.at", "e.side")
+    points = panels.select(*PANEL, "company_id", F.col("revenue_usd").alias("at"), F.lit(1).alias("side"))
+    both = points.unionByName(asked)
+    placed = summed_before(both, PANEL, [F.col("at"), F.col("side")], log_bucket(F.col("at")), (F.col("side") == 1).cast("long"), "before")
+    placed = placed.filter("side <> 1").groupBy(*PANEL, "company_id")
+    return placed.agg(F.max(F.when(F.col("side") == 0, F.col("before"))).alias("low"), F.max(F.when(F.col("side") == 2, F.col("before"))).alias("high"))
+
+
+def _blocks(low: Column, high: Column, base: int, levels: int) -> Column:
+    """The blocks (size, block) that a range of places is made of: at each size those at its two ends that no larger one takes."""
+    kind = "struct<size:bigint,block:bigint>"
+
+    def run(first: Column, end: Column, size: Column) -> Column:
+        some = F.transform(F.sequence(first, end - 1), lambda i: F.struct(size.alias("size"), i.alias("block")))
+        return F.when(end > first, some).otherwise(F.array()).cast(f"array<{kind}>")
 
+    def step(state: Column, size: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        up = F.least(F.ceil(lo / base) * base, hi)
+        down = F.greatest(F.floor(hi / base) * base, up)
+        parts = F.concat(state["parts"], run(lo, up, size), run(down, hi, size))
+        return F.struct(F.floor(up / base).alias("lo"), F.floor(down / base).alias("hi"), parts.alias("parts"))
 
-def peer_pay(companies_pay: DataFrame, band: float = 3, least: int = 5) -> DataFrame:
-    """(company_id, peers, top_pay, lower, percentile): each company's top pay against all peers of its sector and size.
+    start = F.struct(low.cast("long").alias("lo"), high.cast("long").alias("hi"), F.array().cast(f"array<{kind}>").alias("parts"))
+    sizes = F.array(*[F.lit(base**k).cast("long") for k in range(levels)])
+    return F.aggregate(sizes, start, step, lambda state: state["parts"])
 
-    Peers report at most a year earlier and have a third to three times the revenue (in dollars); pay is compared in the
-    company's currency. Companies with fewer than least peers have no row. Candidates meet by cells of the logarithm of
-    revenue as wide as the band; pairs are only counted, so no list of peers is held.
+
+def _paid_less(panels: DataFrame, asked: DataFrame, base: int = 4) -> DataFrame:
+    """(PANEL, company_id, below): how many at the places low to high are paid less than its company, in its currency.
+
+    Places are cut into blocks of base, base squared, ... of which each range is a few; in a block the answer is the number
+    of smaller amounts before a row. So work grows as n log n, whatever the ranges hold: no pair of companies is made.
+    """
+    most, levels = panels.agg(F.max("pos").alias("n")).first()["n"] or 0, 2
+    while base ** (levels - 1) <= most + 1:
+        levels += 1
+    currencies = panels.select("sector", "market", F.col("currency").alias("into")).distinct()
+    points = panels.join(currencies, ["sector", "market"])
+    sizes = F.array(*[F.lit(base**k).cast("long") for k in range(levels)])
+    block = F.explode(F.transform(sizes, lambda s: F.struct(s.alias("size"), F.floor(F.col("pos") / s).alias("block"))))
+    paid = convert(F.col("top_pay"), F.col("currency"), F.col("into"))
+    points = points.select(*PANEL, "into", paid.alias("amount"), block.alias("b")).select(
+        *PANEL, "into", "b.size", "b.block", "amount", F.lit(None).cast("long").alias("company_id"))
+    queries = asked.withColumn("b", F.explode(_blocks(F.col("low"), F.col("high"), base, levels)))
+    queries = queries.select(*PANEL, F.col("currency").alias("into"), "b.size", "b.block", F.col("top_pay").alias("amount"), "company_id")
+    group = [*PANEL, "into", "size", "block"]
+    point = F.col("company_id").isNull().cast("long")
+    counted = summed_before(points.unionByName(queries), group, [F.col("amount"), point], log_bucket(F.col("amount")), point, "below")
+    return counted.filter("company_id is not null").groupBy(*PANEL, "company_id").agg(F.sum("below").alias("below"))
+
+
+def _neighbours(panels: DataFrame, reach: int) -> DataFrame:
+    """(company_id, currency, top_pay, peer..., gap, near): the reach companies closest in size to each one that asks, by
+    places next to its own: the closest reach are among the reach before and the reach behind it."""
+    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    asked = panels.filter("asked").select(*PANEL, "company_id", "currency", "top_pay", F.col("revenue_usd").alias("own_usd"), "pos", steps.alias("step"))
+    asked = asked.filter("step <> 0").withColumn("pos", F.col("pos") + F.col("step"))
+    peers = panels.select(*PANEL, "pos", F.col("company_id").alias("peer_id"), F.col("ticker").alias("peer"), F.col("currency").alias("peer_currency"),
+                          F.col("top_pay").alias("peer_pay"), "revenue_usd")
+    gap = F.round(F.abs(F.ln(F.col("revenue_usd") / F.col("own_usd"))), 9)
+    met = asked.join(peers, [*PANEL, "pos"]).withColumn("gap", gap)
+    near = F.row_number().over(Window.partitionBy("company_id").orderBy("gap", "peer_id"))
+    met = met.withColumn("near", near).filter(F.col("near") <= reach)
+    return met.withColumn("amount", convert(F.col("peer_pay"), F.col("peer_currency"), F.col("currency")))
+
+
+def peer_pay(companies_pay: DataFrame, band: float = 3, closest: int = 20, least: int = 5) -> DataFrame:
+    """(company_id, peers, top_pay, lower, percentile): each company's top pay against peers of its sector and pay market.
+
+    Peers report at most a year earlier and have a third to three times the revenue (in dollars); with fewer than closest of
+    these, the closest in size are the peers. Pay is compared in the company's currency. Companies with fewer than least
+    peers have no row. Places in the order of revenue take the place of pairs: see _paid_less and _neighbours.
     """
-    c = companies_pay.withColumn("cell", F.floor(F.ln("revenue_usd") / F.ln(F.lit(float(band)))))
-    me = c.select("company_id", "sector", "currency", "year", "revenue_usd", "top_pay", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"))
-    you = c.select(F.col("company_id").alias("peer_id"), "sector", F.col("currency").alias("peer_currency"), F.col("year").alias("peer_year"),
-                   F.col("revenue_usd").alias("peer_usd"), F.col("top_pay").alias("peer_pay"), "cell")
-    pairs = me.join(you, ["sector", "cell"]).filter("company_id <> peer_id and peer_year >= year - 1")
-    pairs = pairs.filter((F.col("peer_usd") >= F.col("revenue_usd") / band) & (F.col("peer_usd") <= F.col("revenue_usd") * band))
-    lower = convert(F.col("peer_pay"), F.col("peer_currency"), F.col("currency")) < F.col("top_pay")
-    found = pairs.groupBy("company_id", "top_pay").agg(F.count("*").alias("peers"), F.count_if(lower).alias("lower"))
-    return found.filter(F.col("peers") >= least).withColumn("percentile", F.bround(F.col("lower") * 100.0 / F.col("peers"), 0).cast("long"))
+    panels = _panels(companies_pay)
+    ranges = panels.filter("asked").join(_in_band(panels, band), [*PANEL, "company_id"]).withColumn("peers", F.col("high") - F.col("low") - 1)
+    wide = ranges.filter(F.col("peers") >= closest)
+    by_band = wide.select(*PANEL, "company_id", "top_pay", "peers").join(_paid_less(panels, wide), [*PANEL, "company_id"])
+    by_band = by_band.select("company_id", "top_pay", "peers", F.col("below").alias("lower"))
+    few = ranges.filter(F.col("peers") < closest).select("company_id")
+    near = _neighbours(panels, closest).join(few, "company_id", "left_semi")
+    by_size = near.groupBy("company_id", "top_pay").agg(F.count("*").alias("peers"), F.count_if(F.col("amount") < F.col("top_pay")).alias("lower"))
+    found = by_band.unionByName(by_size).filter(F.col("peers") >= least)
+    return found.withColumn("percentile", F.bround(F.col("lower") * 100.0 / F.col("peers"), 0).cast("long"))
+
+
+def peers_listed(companies_pay: DataFrame, listed: int = 8) -> DataFrame:
+    """(company_id, place, ticker, amount, is_self): each company among the closest in size, the best paid first."""
+    near = _neighbours(_panels(companies_pay), listed)
+    mine = companies_pay.select("company_id", F.col("ticker").alias("peer"), F.col("top_pay").alias("amount"), F.lit(True).alias("is_self"))
+    mine = mine.join(near.select("company_id").distinct(), "company_id", "left_semi")
+    every = near.select("company_id", "peer", "amount", F.lit(False).alias("is_self")).unionByName(mine)
+    order = Window.partitionBy("company_id").orderBy(F.desc("amount"), "peer")
+    return every.select("company_id", F.row_number().over(order).cast("long").alias("place"), F.col("peer").alias("ticker"), F.bround("amount", 0).alias("amount"), "is_self")
+
+
+def pay_against_results(pay: DataFrame, companies: DataFrame, periods: DataFrame, as_of: int) -> DataFrame:
+    """(company_id, person_id, year, pay_change, revenue_change): the chief executive's pay beside the revenue of the fiscal
+    year of the same number, both against the year before."""
+    best = F.max_by(F.struct("person_id", "year", "total", "role"), F.struct("usd", (-F.col("person_id")).alias("p"))).alias("b")
+    top = chiefs(pay, companies, as_of).groupBy("company_id").agg(best).select("company_id", "b.*").filter("role = 'CEO'")
+    earlier = pay.groupBy("company_id", "person_id", (F.col("year") + 1).alias("year")).agg(F.sum("total").cast("double").alias("prior"))
+    years = periods.filter("period_type = 'Annual'").select("company_id", F.col("fiscal_year").alias("year"), F.col("revenue").cast("double").alias("revenue"))
+    last = years.select("company_id", (F.col("year") + 1).alias("year"), F.col("revenue").alias("last_revenue"))
+    df = top.join(earlier, ["company_id", "person_id", "year"]).join(years, ["company_id", "year"]).join(last, ["company_id", "year"])
+    df = df.filter("prior > 0 and last_revenue > 0")
+    return df.select("company_id", "person_id", "year", F.bround(F.col("total") / F.col("prior") - 1, 4).alias("pay_change"),
+                     F.bround(F.col("revenue") / F.col("last_revenue") - 1, 4).alias("revenue_change"))
+
+
+def hours_for_median(pay: DataFrame, medians: DataFrame) -> DataFrame:
+    """pay (amount, country) with hours: how long the amount takes to reach the country's median year; null if it is less."""
+    hours = F.when(F.col("amount") > F.col("median"), F.bround(F.col("median") / F.col("amount") * 8766, 2))
+    return pay.join(F.broadcast(medians), "country", "left").withColumn("hours", hours).drop("median")
+
+
+def tagged_pay(rows: DataFrame, tags: DataFrame) -> DataFrame:
+    """(tag_id, outcome, person_id, year, total): what tagged totals of chief executives say about the table's rows.
+
+    rows: company_id, person_id, name, year, total, other. tags: tag_id, company_id, name, fiscal_year, period_end_year,
+    tagged. A tag that equals a total of its year (also a power of a thousand apart) verifies it. Else, if one row of its
+    year bears its name, and the totals are within a factor of two, the tag corrects that row, or, where the rest of the row
+    cannot take up the difference, drops it. All else is unmatched. Tags meet rows by company and year, of which there are
+    a handful.
+    """
+    years = F.array_distinct(F.array("fiscal_year", "period_end_year"))
+    asked = tags.filter("tagged > 0").withColumn("year", F.explode(years))
+    met = asked.join(rows.withColumnRenamed("name", "row_name"), ["company_id", "year"], "left")
+
+    def close(a: Column, b: Column) -> Column:
+        return F.abs(a - b) <= F.greatest(F.lit(1.0), F.abs(b) * 0.001)
+
+    t, g = F.col("total"), F.col("tagged")
+    same = F.coalesce(close(t, g) | close(t * 1e3, g) | close(t * 1e6, g) | close(t, g * 1e3), F.lit(False))
+    named = F.when(F.lower("name") == F.lower("row_name"), F.struct("person_id", "year", "total", "other"))
+    df = met.groupBy("tag_id", "tagged").agg(F.max(same).alias("same"), F.count(named).alias("n"), F.max(named).alias("row"))
+    far = (F.col("row.total") > 0) & ((g > 2 * F.col("row.total")) | (g < F.col("row.total") / 2))
+    fits = F.col("row.other") + g - F.col("row.total") >= 0
+    outcome = F.when(F.col("same"), "verified").when(F.col("n") != 1, "unmatched").when(far, "unmatched").when(fits, "corrected").otherwise("dropped")
+    df = df.withColumn("outcome", outcome)
+    told = F.col("outcome").isin("corrected", "dropped")
+    return df.select("tag_id", "outcome", F.when(told, F.col("row.person_id")).alias("person_id"), F.when(told, F.col("row.year")).alias("year"),
+                     F.when(F.col("outcome") == "corrected", g).alias("total"))
+
+
+EXECUTIVE_SORTS = ("Pay", "Growth", "Total", "Name", "Company")
+
+
+def executive_page(people: DataFrame, sort: str, text: str | None = None, number: int = 1, size: int = 25) -> DataFrame:
+    """One page of people (latest_pay, growth, window_pay, name, ticker, title), filtered by a text in name or title."""
+    some = people
+    if text and text.strip():
+        low = text.strip().lower()
+        some = some.filter(F.lower("name").contains(low) | F.lower("title").contains(low))
+    key = {"Pay": F.desc_nulls_last("latest_pay"), "Growth": F.desc_nulls_last("growth"), "Total": F.desc_nulls_last("window_pay"),
+           "Name": F.asc("name"), "Company": F.asc("ticker")}[sort]
+    top = some.orderBy(key, "person_id").limit(number * size)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(key, "person_id"))).filter(F.col("place") > (number - 1) * size)
+
+
+def recent(appointments: DataFrame, today: str, months: int = 12) -> DataFrame:
+    """Appointments that start (or, without a start, were announced) within so many months before today, or later."""
+    return appointments.filter(F.coalesce("starts_on", "announced_on") >= F.add_months(F.lit(today).cast("date"), -months))
+
+
+def package_totals(appointments: DataFrame) -> DataFrame:
+    """(appointment_id, total, lines): a pay package as its sum and its parts summed by label, as JSON, largest first."""
+    parts = appointments.select("appointment_id", F.explode("package").alias("p")).select("appointment_id", "p.kind", "p.label", "p.amount")
+    lines = parts.groupBy("appointment_id", "kind", "label").agg(F.sum("amount").alias("amount"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("amount")).alias("o"), "label", "kind", "amount")))
+    by_kind = {k: F.sum(F.when(F.col("kind") == k, F.col("amount")).otherwise(0)).alias(k.lower()) for k in ("Salary", "Bonus", "Stock")}
+    df = lines.groupBy("appointment_id").agg(F.sum("amount").alias("total"), listed.alias("l"), *by_kind.values())
+    return df.select("appointment_id", "total", *map(str.lower, by_kind), F.to_json(F.transform("l", lambda x: F.struct(x["label"], x["amount"]))).alias("lines"))
+
+
+def with_profiles(appointments: DataFrame, pay: DataFrame) -> DataFrame:
+    """appointments with has_profile: whether their person has any pay row."""
+    known = pay.select(F.col("person_id").alias("__p")).distinct().withColumn("has", F.lit(True))
+    df = appointments.join(known, F.col("person_id") == F.col("__p"), "left")
+    return df.withColumn("has_profile", F.coalesce("has", F.lit(False))).drop("has", "__p")
 
 
 def with_appointments(people: DataFrame, appointments: DataFrame) -> DataFrame:

@@ -63,3 +63,22 @@ def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, f
         part = F.max(at - below)
         out.append((a + (b - a) * part).alias(name))
     return placed.groupBy(*group).agg(*out)
+
+
+def summed_before(df: DataFrame, group: list[str], order: list[Column], bucket: Column, add: Column, name: str) -> DataFrame:
+    """df with the sum of add over the rows of its group that come before it in order; bucket must not fall along the order.
+
+    As in ranked: buckets are summed first, so that a window holds the rows of a bucket, never those of a group.
+    """
+    df = df.withColumn("__bucket", bucket).withColumn("__add", add)
+    sums = df.groupBy(*group, "__bucket").agg(F.sum("__add").alias("__s"))
+    sums = sums.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__bucket").alias("__b"), "__s")
+    ahead = Window.partitionBy(*[f"__g_{g}" for g in group]).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__start", F.coalesce(F.sum("__s").over(ahead), F.lit(0)))
+    own = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__inside", F.coalesce(F.sum("__add").over(own), F.lit(0)))
+    on = F.col("__bucket") == F.col("__b")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    joined = df.join(sums, on).withColumn(name, F.col("__start") + F.col("__inside"))
+    return joined.drop("__bucket", "__add", "__b", "__s", "__start", "__inside", *[f"__g_{g}" for g in group])

@@ -7,25 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import text, web
 from ..operators import markup, metrics, people, quality, salaries, search, visitors
 from ..sources import directory as d
-from .sql import MILES, USD, with_tables
+from .catalogue import ORACLE_SQL, QUERIES
+from .catalogue import query as _query
+from .sql import MILES, USD
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 AS_OF = 2001
 POINT = (40.3916, -111.8508, 250.0)
 DAYS = ("2024-01-03", "2024-01-20")
 
 
-def _query(name: str, sql: str | None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = with_tables(sql)
-        return f
-
-    return keep
-
-
 def _stats(s, sf):
     return metrics.in_dollars(d.companies(s, sf), metrics.indicators(d.periods(s, sf)))
 
@@ -228,21 +218,35 @@ def q_top_paid(s, sf):
     return people.top_paid(d.pay(s, sf), d.companies(s, sf), AS_OF)
 
 
-@_query("q_company_pay", "SELECT company_id, year, role, top_pay, other_median, sector, currency, revenue_usd FROM companies_pay")
+@_query("q_company_pay", "SELECT company_id, year, role, top_pay, other_median, ticker, sector, market, currency, revenue_usd FROM companies_pay")
 def q_company_pay(s, sf):
     return people.pay_of_companies(d.pay(s, sf), _stats(s, sf), AS_OF)
 
 
-@_query("q_peer_pay", f"""SELECT company_id, top_pay, peers, lower, round_even(lower * 100.0::DOUBLE / peers, 0)::BIGINT AS percentile FROM (
-    SELECT a.company_id, a.top_pay, count(*) AS peers, count(*) FILTER (CASE WHEN a.currency = b.currency THEN b.top_pay
-        ELSE round_even(b.top_pay * b.rate / a.rate, 0) END < a.top_pay) AS lower
-    FROM (SELECT *, {USD} AS rate FROM companies_pay) a JOIN (SELECT *, {USD} AS rate FROM companies_pay) b ON a.sector = b.sector AND a.company_id <> b.company_id
-        AND b.year >= a.year - 1 AND b.revenue_usd BETWEEN a.revenue_usd / 3.0::DOUBLE AND a.revenue_usd * 3.0::DOUBLE
-    GROUP BY 1, 2) WHERE peers >= 5""")
+@_query("q_peer_pay", """SELECT company_id, top_pay, peers, lower, round_even(lower * 100.0::DOUBLE / peers, 0)::BIGINT AS percentile FROM (
+    SELECT company_id, top_pay, count(*) AS peers, count(*) FILTER (amount < top_pay) AS lower FROM peers
+    WHERE CASE WHEN banded >= 20 THEN inside ELSE near <= 20 END GROUP BY 1, 2) WHERE peers >= 5""")
 def q_peer_pay(s, sf):
     return people.peer_pay(people.pay_of_companies(d.pay(s, sf), _stats(s, sf), AS_OF))
 
 
+@_query("q_peers_listed", """SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY raw DESC, ticker) AS place, ticker, round_even(raw, 0) AS amount, is_self
+    FROM (SELECT company_id, peer AS ticker, amount AS raw, false AS is_self FROM peers WHERE near <= 8
+          UNION ALL SELECT company_id, ticker, top_pay, true FROM companies_pay WHERE company_id IN (SELECT company_id FROM peers))""")
+def q_peers_listed(s, sf):
+    return people.peers_listed(people.pay_of_companies(d.pay(s, sf), _stats(s, sf), AS_OF))
+
+
+@_query("q_pay_vs_results", """SELECT company_id, person_id, year, round_even(total::DOUBLE / prior - 1, 4) AS pay_change, round_even(revenue / last_revenue - 1, 4) AS revenue_change
+    FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY usd DESC, person_id) AS n FROM chiefs) WHERE n = 1 AND role = 'CEO')
+    JOIN (SELECT company_id, person_id, year + 1 AS year, sum(total)::DOUBLE AS prior FROM pay GROUP BY ALL) USING (company_id, person_id, year)
+    JOIN (SELECT company_id, fiscal_year AS year, revenue::DOUBLE AS revenue FROM periods WHERE period_type = 'Annual') USING (company_id, year)
+    JOIN (SELECT company_id, fiscal_year + 1 AS year, revenue::DOUBLE AS last_revenue FROM periods WHERE period_type = 'Annual') USING (company_id, year)
+    WHERE prior > 0 AND last_revenue > 0""")
+def q_pay_vs_results(s, sf):
+    return people.pay_against_results(d.pay(s, sf), d.companies(s, sf), d.periods(s, sf), AS_OF)
+
+
 @_query("q_roles", """SELECT person_id, title = 'Chief Executive Officer' AS ceo, title = 'Chief Financial Officer' AS cfo, false AS coo,
     title = 'General Counsel' AS legal, title = 'Executive Director' AS other FROM (SELECT DISTINCT person_id, title FROM pay)""")
 def q_roles(s, sf):

@@ -8,7 +8,8 @@ MILES = "2 * 3958.8 * asin(least(1.0, sqrt(power(sin(radians({b}.latitude - {a}.
 CTE = {
     "places": """SELECT n_nationkey AS place_key, n_name AS city, r_name AS state,
         (['USD', 'GBP', 'EUR', 'CAD', 'SEK'])[n_regionkey % 5 + 1] AS currency FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "companies": """SELECT c_custkey AS company_id, 'T' || c_custkey AS ticker, c_name AS name, c_mktsegment AS sector, city, state, currency,
+    "companies": """SELECT c_custkey AS company_id,
+        'T' || c_custkey || CASE WHEN c_custkey % 11 = 0 THEN '.L' WHEN c_custkey % 13 = 0 THEN '.KA' ELSE '' END AS ticker, c_name AS name, c_mktsegment AS sector, city, state, currency,
         CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 900 + 1) * 10 END AS employees,
         25 + (c_custkey * 37 % 2400)::DOUBLE / 100 AS latitude, -120 + (c_custkey * 53 % 5000)::DOUBLE / 100 AS longitude
         FROM customer JOIN places ON c_nationkey = place_key""",
@@ -65,7 +66,8 @@ CTE = {
         JOIN (SELECT company_id, max(year) AS year FROM pay WHERE year <= 2001 GROUP BY 1) USING (company_id, year) JOIN companies c USING (company_id)
         WHERE title IN ('Chief Executive Officer', 'Executive Director') AND total > 0
           AND year >= (SELECT max(year) FROM pay WHERE year <= 2001) - 1""",
-    "companies_pay": """SELECT company_id, year, role, top_pay, CASE WHEN others >= 2 THEN other_median END AS other_median, s.sector, s.currency, s.revenue_usd
+    "companies_pay": """SELECT company_id, year, role, top_pay, CASE WHEN others >= 2 THEN other_median END AS other_median, s.ticker, s.sector,
+        CASE WHEN ends_with(s.ticker, '.L') THEN 'uk' WHEN ends_with(s.ticker, '.KA') THEN 'pk' ELSE 'sec' END AS market, s.currency, s.revenue_usd
         FROM (SELECT company_id, year, any_value(best_role) AS role, any_value(best_pay)::DOUBLE AS top_pay,
                      count(*) FILTER (person_id <> best) AS others, median(total::DOUBLE) FILTER (person_id <> best) AS other_median
               FROM (SELECT *, first_value(person_id) OVER w AS best, first_value(total) OVER w AS best_pay,
@@ -74,9 +76,16 @@ CTE = {
                     FROM (SELECT *, max(year) OVER (PARTITION BY company_id) AS newest FROM pay WHERE total > 0 AND year <= 2001) WHERE year = newest
                     WINDOW w AS (PARTITION BY company_id ORDER BY title IN ('Chief Executive Officer', 'Executive Director') DESC, total DESC, person_id))
               WHERE has_chief GROUP BY company_id, year) JOIN (SELECT * FROM stats WHERE revenue_usd > 0) s USING (company_id)""",
+    "peer_pairs": f"""SELECT a.company_id, a.top_pay, b.company_id AS peer_id, b.ticker AS peer, round(abs(ln(b.revenue_usd / a.revenue_usd)), 9) AS gap,
+        b.revenue_usd BETWEEN a.revenue_usd / 3.0::DOUBLE AND a.revenue_usd * 3.0::DOUBLE AS inside,
+        CASE WHEN a.currency = b.currency THEN b.top_pay ELSE round_even(b.top_pay * b.rate / a.rate, 0) END AS amount
+        FROM (SELECT *, {USD} AS rate FROM companies_pay) a JOIN (SELECT *, {USD} AS rate FROM companies_pay) b
+        ON a.sector = b.sector AND a.market = b.market AND a.company_id <> b.company_id AND b.year >= a.year - 1""",
+    "peers": """SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY gap, peer_id) AS near,
+        count(*) FILTER (inside) OVER (PARTITION BY company_id) AS banded FROM peer_pairs""",
 }
 
 
-def with_tables(body: str) -> str:
+def with_tables(body: str, extra: str = "") -> str:
     """body after the common table expressions; DuckDB leaves out those that it does not use."""
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in CTE.items()) + "\n" + body
+    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in CTE.items()) + extra + "\n" + body

@@ -35,7 +35,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(places(spark, sf_dir), F.col("c_nationkey") == F.col("place_key"))
     key = F.col("c_custkey")
     return c.select(
-        key.alias("company_id"), F.concat(F.lit("T"), key).alias("ticker"), F.col("c_name").alias("name"),
+        key.alias("company_id"), F.concat(F.lit("T"), key, F.when(key % 11 == 0, ".L").when(key % 13 == 0, ".KA").otherwise("")).alias("ticker"), F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("sector"), "city", "state", "currency",
         F.when(key % 7 != 0, (key % 900 + 1) * 10).alias("employees"),
         (25 + (key * 37 % 2400).cast("double") / 100).alias("latitude"), (-120 + (key * 53 % 5000).cast("double") / 100).alias("longitude"),

@@ -1,91 +1,190 @@
-"""Figures out of text and markup: pay ranges of ads, cells of HTML tables, links."""
+"""Figures out of text and markup: pay ranges of ads, pay ratios, cells of HTML tables, links.
+
+Tables and ranges need a parser: small Python helpers that Arrow batches call; Spark spreads the texts. All else is columns.
+"""
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+
+def _doubles(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
+
+
+#: An amount: its digits, whether a currency stands by it, and a k for thousands.
+_AMOUNT = regex.compile(r"(?<![\w.,])(?P<before>USD ?|\$ ?)?(?P<digits>\d[\d,]*(?:\.\d+)?) ?(?P<k>[kK]\b)?(?P<after> ?USD\b)?(?: ?/ ?(?:hr|hour|yr|year)\b)?")
+_JOINS = regex.compile(r"\s*(?:-|–|—|to|and)\s*")
+#: Words that tell the time an amount is paid for, by the factor that makes it a year's.
+_TIMES = ((2080, regex.compile(r"\b(?:per|an) hour|\bhourly|/ ?(?:hr|hour)\b|\bhour\b", regex.I)), (1, regex.compile(r"\b(?:per|a) year|\bannual|\byearly|/ ?(?:yr|year)\b|\bsalary", regex.I)),
+          (12, regex.compile(r"\b(?:per|a) month|\bmonthly|/ ?mo\b", regex.I)))
+_LARGE = regex.compile(r"\s*(?:million|billion|mm|m|bn?)\b", regex.I)
+#: What an hour's and a month's pay may be, and a year's.
+BOUNDS = {2080: (7, 500), 12: (1500, 150_000), 1: (0, 3_000_000)}
+LEAST_YEAR, MOST_YEAR, WIDEST = 15_000, 3_000_000, 4
+
+
+def _said(text: str, last: bool = False) -> int | None:
+    """The factor of the time that a text names first, or last."""
+    found = [(m.start(), times) for times, words in _TIMES if (m := words.search(text))]
+    return (max if last else min)(found)[1] if found else None
+
+
+def first_range(text: str | None) -> dict | None:
+    """The first range of two amounts that is a plausible yearly pay: two amounts joined by a dash or a word, one of them in
+    dollars, in the time that is named in or behind them, or else before them."""
+    text = text or ""
+    tokens = list(_AMOUNT.finditer(text))
+    for a, b in zip(tokens, tokens[1:]):
+        if not _JOINS.fullmatch(text, a.end(), b.start()) or not any(t[g] for t in (a, b) for g in ("before", "after")):
+            continue
+        if _LARGE.match(text, b.end()):
+            continue
+        low, high = sorted(float(t["digits"].replace(",", "")) * (1000 if t["k"] else 1) for t in (a, b))
+        times = _said(text[a.start() : b.end() + 40]) or _said(text[max(0, a.start() - 80) : a.start()], last=True)
+        times = times or (2080 if high < 300 else 1 if high >= LEAST_YEAR else None)
+        if times and BOUNDS[times][0] <= high <= BOUNDS[times][1]:
+            low, high = low * times, high * times
+            if low >= LEAST_YEAR and high <= MOST_YEAR and high <= low * WIDEST:
+                return {"pay_min": float(round(low)), "pay_max": float(round(high))}
+    return None
+
+
+@F.pandas_udf(_doubles("pay_min", "pay_max"))
+def pay_range(text: pd.Series) -> pd.DataFrame:
+    """struct(pay_min, pay_max): the first plausible range of yearly pay in a text without markup, or nulls."""
+    found = [first_range(t) or {"pay_min": None, "pay_max": None} for t in text]
+    return pd.DataFrame(found, columns=["pay_min", "pay_max"]).astype("float64")
+
+
+_DOLLARS = regex.compile(r"(?P<d>\$ ?)?(?<![\d,.])(?P<n>\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?P<m> million)?", regex.I)
+_RATIO = regex.compile(r"(?<![\d,.$])(\d[\d,]*(?:\.\d+)?)(?: ?-?to-? ?| ?: ?)(?:1|one)\b(?![\d,.]\d)|(?<![\d,.$])1(?: ?: ?| to )(\d[\d,]*(?:\.\d+)?)|(?<![\d,.$])(\d[\d,]*(?:\.\d+)?) times\b", regex.I)
+
+
+def ratio_agrees(computed: float, stated: float) -> bool:
+    """A stated ratio is rounded: one either way, or two percent."""
+    return abs(computed - stated) <= max(1.0, 0.02 * stated)
+
+
+def stated_ratio(text: str | None) -> dict | None:
+    """median, ceo and ratio of a pay-ratio text: a stated ratio and two amounts that have it, the median nearest to that word."""
+    text = " ".join((text or "").split())
+    at = regex.search(r"pay ratio|median", text, regex.I)
+    if not at:
+        return None
+    part = text[max(0, at.start() - 1500) : at.start() + 5000]
+    ratios = [float(next(g for g in m.groups() if g).replace(",", "")) for m in _RATIO.finditer(part)]
+    ratios = [r for r in ratios if 2 <= r <= 20_000 and not 1900 <= r < 2100]
+    amounts = [(round(float(m["n"].replace(",", "")) * (1e6 if m["m"] else 1)), m.start(), bool(m["d"])) for m in _DOLLARS.finditer(part)]
+    words = [m.start() for m in regex.finditer("median", part, flags=regex.I)] or [0]
+    pairs = [(min(abs(w - where) for w in words), n, low, high, ratio)
+             for ratio in ratios for n, (low, where, dollar) in enumerate(amounts) if dollar and 1000 <= low <= 1_500_000
+             for high, _, paid in amounts if (paid or high >= 1_000_000) and high > low and high >= 50_000 and ratio_agrees(high / low, ratio)]
+    if not pairs:
+        return None
+    _, _, low, high, ratio = min(pairs, key=lambda p: p[:2])
+    return {"median": float(low), "ceo": float(high), "ratio": ratio}
+
+
+@F.pandas_udf(_doubles("median", "ceo", "ratio"))
+def pay_ratio(text: pd.Series) -> pd.DataFrame:
+    """struct(median, ceo, ratio) of a text about a pay ratio, nulls where no amounts have a stated ratio."""
+    found = [stated_ratio(t) or {"median": None, "ceo": None, "ratio": None} for t in text]
+    return pd.DataFrame(found, columns=["median", "ceo", "ratio"]).astype("float64")
+
+
+class _Tables(HTMLParser):
+    """Lays out the cells of every table of a page: a set holds the places that are taken, each cell goes to the first free
+    one of its row, and takes as many columns and rows as it spans. Tables inside a cell belong to its text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables: list[list[tuple[int, int, int, str]]] = []
+        self.depth, self.row, self.taken, self.cells, self.open = 0, -1, set(), [], None
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "table"
+        if self.depth != 1:
+            return
+        if tag == "table":
+            self.row, self.taken, self.cells = -1, set(), []
+        elif tag == "tr":
+            self._close()
+            self.row += 1
+        elif tag in ("td", "th") and self.row >= 0:
+            self._close()
+            given = dict(attrs)
+            wide, tall = (self._span(given.get(a)) for a in ("colspan", "rowspan"))
+            column = next(c for c in range(len(self.taken) + 1) if (self.row, c) not in self.taken)
+            self.taken |= {(self.row + r, column + c) for r in range(tall) for c in range(wide)}
+            self.open = (self.row, column, column + wide - 1, [])
+
+    @staticmethod
+    def _span(text: str | None) -> int:
+        digits = "".join(c for c in text or "" if c.isdigit())
+        return int(digits) if digits and 0 < int(digits) < 50 else 1
+
+    def handle_endtag(self, tag):
+        if self.depth == 1 and tag in ("td", "th", "tr", "table"):
+            self._close()
+        if tag == "table" and self.depth:
+            self.depth -= 1
+            if not self.depth:
+                self.tables.append(self.cells)
+
+    def handle_data(self, data):
+        if self.open:
+            self.open[3].append(data)
 
-_NUMBER = r"([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{1,2})?|[0-9]+(?:\.[0-9]{1,2})?)\s?([kK]\b)?"
-#: Two amounts with a dash or a word between them, and what follows, unconsumed.
-RANGE = rf"(USD\s?|\$)?{_NUMBER}\s?(USD)?(?:\s?/\s?(?:hr|hour|yr|year))?\s*(?:-|–|—|to|and)\s*(USD\s?|\$)?{_NUMBER}\s?(USD)?(?=(.{{0,40}}))"
-#: Words of a period, and what makes an amount millions.
-HOUR, MONTH = r"(?i)\b(per hour|an hour|hourly|hour\b)|/\s?(hr|hour)\b", r"(?i)\b(per month|a month|monthly)|/\s?mo\b"
-YEAR, MILLIONS = r"(?i)\b(per year|a year|annual(ly|ized)?|yearly|salary)|/\s?(yr|year)\b", r"(?i)^\s*(million|billion|mm\b|m\b|bn?\b)"
-
-
-def pay_range(text: Column) -> Column:
-    """struct(pay_min, pay_max): the first plausible range of yearly pay in a text without markup, or null.
-
-    Hours count 2080 times, months twelve times; without a period, under 300 is an hour's pay and from 15000 on a year's.
-    A year's range lies between 15000 and 3000000 and spans at most four times. One amount must bear a currency.
-    """
-    part = [F.regexp_extract_all(text, F.lit(RANGE), F.lit(i)) for i in range(10)]
-    found = F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(part)])
-
-    def number(digits: Column, thousands: Column) -> Column:
-        return F.replace(digits, F.lit(","), F.lit("")).try_cast("double") * F.when(thousands != "", 1000.0).otherwise(1.0)
-
-    def yearly(m: Column) -> Column:
-        a, b = number(m["g2"], m["g3"]), number(m["g6"], m["g7"])
-        low, high = F.least(a, b), F.greatest(a, b)
-        said = F.concat(m["g0"], m["g9"])
-        hour = said.rlike(HOUR) | (~said.rlike(YEAR) & ~said.rlike(MONTH) & (high < 300))
-        month = ~hour & ~said.rlike(YEAR) & said.rlike(MONTH)
-        times = F.when(hour, F.when(high.between(7, 500), 2080.0)).when(month, F.when(high.between(1500, 150_000), 12.0)).otherwise(1.0)
-        paid = F.concat(m["g1"], m["g4"], m["g5"], m["g8"]) != ""
-        fits = paid & ~m["g9"].rlike(MILLIONS) & (low * times >= 15_000) & (high * times <= 3_000_000) & (high <= low * 4)
-        return F.when(fits, F.struct(F.bround(low * times, 0).alias("pay_min"), F.bround(high * times, 0).alias("pay_max")))
-
-    return F.get(F.filter(F.transform(found, yearly), lambda r: r.isNotNull()), F.lit(0))
-
-
-_ROW, _CELL = re.compile(r"<tr\b.*?</tr>", re.I | re.S), re.compile(r"<t[dh]\b([^>]*)>(.*?)</t[dh]>", re.I | re.S)
-
-
-def _span(attributes: str, name: str) -> int:
-    m = re.search(rf"{name}\s*=\s*[\"']?(\d+)", attributes, re.I)
-    return int(m[1]) if m and 0 < int(m[1]) < 50 else 1
-
-
-def grid(table: str) -> list[tuple[int, int, int, str]]:
-    """(row, first column, last column, text) of the cells of one HTML table; cells that span rows push later ones aside.
-    Rows without text do not count."""
-    out, covered, n = [], {}, 0
-    for row in _ROW.findall(table or ""):
-        cells, column, later = [], 0, {c: left - 1 for c, left in covered.items() if left > 1}
-        for attributes, inner in _CELL.findall(row):
-            while covered.get(column, 0) > 0:
-                column += 1
-            wide, tall = _span(attributes, "colspan"), _span(attributes, "rowspan")
-            text = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
-            cells.append((column, column + wide - 1, text))
-            if tall > 1:
-                later.update({c: tall - 1 for c in range(column, column + wide)})
-            column += wide
-        covered = later
-        if any(t for _, _, t in cells):
-            out += [(n, a, z, t) for a, z, t in cells]
-            n += 1
+    def _close(self):
+        if self.open:
+            row, first, last, parts = self.open
+            self.cells.append((row, first, last, " ".join(" ".join(parts).split())))
+            self.open = None
+
+
+def grids(page: str | None) -> list[list[tuple[int, int, int, str]]]:
+    """(row, first column, last column, text) of the cells of each table of a page; rows without any text do not count."""
+    parser = _Tables()
+    parser.feed(page or "")
+    parser.close()
+    out = []
+    for cells in parser.tables:
+        rows = sorted({c[0] for c in cells if any(d[3] for d in cells if d[0] == c[0])})
+        place = {r: n for n, r in enumerate(rows)}
+        out.append([(place[r], a, z, t) for r, a, z, t in cells if r in place])
     return out
 
 
 def table_cells(pages: DataFrame, id: str, markup: str) -> DataFrame:
     """(id, n_table, row, first_column, last_column, text): every cell of every table of every page."""
+    names = ("n_table", "row", "first_column", "last_column")
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, *cell) for i, page in zip(batch["id"], batch["markup"], strict=True)
-                    for k, table in enumerate(re.findall(r"<table\b.*?</table>", page or "", re.I | re.S)) for cell in grid(table)]
-            yield pd.DataFrame(rows, columns=["id", "n_table", "row", "first_column", "last_column", "text"])
+            rows = [(i, k, *cell) for i, page in enumerate(batch.column("markup").to_pylist()) for k, table in enumerate(grids(page)) for cell in table]
+            which, *numbers, texts = map(list, zip(*rows)) if rows else [[] for _ in range(6)]
+            ids = batch.column("id").take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(n, pa.int64()) for n in numbers], pa.array(texts, pa.string())], names=["id", *names, "text"])
 
     plain = pages.select(F.col(id).alias("id"), F.col(markup).alias("markup"))
     kind = plain.schema["id"].dataType.simpleString()
-    return plain.mapInPandas(cells, f"id {kind}, n_table long, row long, first_column long, last_column long, text string")
+    return plain.mapInArrow(cells, f"id {kind}, {', '.join(f'{n} long' for n in names)}, text string")
+
+
+def modal_columns(cells: DataFrame) -> DataFrame:
+    """(id, n_table, columns): how many columns most rows of a table have, of equals the more."""
+    rows = cells.groupBy("id", "n_table", "row").agg((F.max("last_column") + 1).alias("columns"))
+    counts = rows.groupBy("id", "n_table", "columns").agg(F.count("*").alias("n"))
+    return counts.groupBy("id", "n_table").agg(F.max_by("columns", F.struct("n", "columns")).alias("columns"))
 
 
 def links(pages: DataFrame, id: str, markup: str) -> DataFrame:
@@ -103,3 +202,73 @@ def link_score(href: Column, text: Column, scores: dict[str, int]) -> Column:
     for word, score in scores.items():
         total = total + F.when(both.contains(word), score).otherwise(0)
     return total.cast("long")
+
+
+# --- sentences and lines of filings -----------------------------------------------------------------------------------
+
+_SHORT = r"\b(Mr|Mrs|Ms|Dr|Inc|Corp|Co|Ltd|Jr|Sr|St|No|\p{Lu})\."
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text; a short form's point does not end one."""
+    kept = F.regexp_replace(text, _SHORT, "$1\u0001")
+    parts = F.split(kept, r"(?<=[.!?])\s+(?=\p{Lu})")
+    return F.transform(parts, lambda p: F.trim(F.replace(p, F.lit("\u0001"), F.lit("."))))
+
+
+def money(text: Column) -> Column:
+    """The dollar amounts of a text in order; million, billion and k count."""
+    pattern = r"(?i)\$ ?(\d[\d,]*(?:\.\d+)?) ?(million|billion|thousand|mm|bn|m|k)?\b"
+    pairs = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "n"), (2, "u"))])
+    unit = F.create_map(*[F.lit(x) for p in {"million": 1e6, "mm": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "thousand": 1e3, "k": 1e3}.items() for x in p])
+    return F.transform(pairs, lambda p: F.replace(p["n"], F.lit(","), F.lit("")).cast("double") * F.coalesce(F.try_element_at(unit, F.lower(p["u"])), F.lit(1.0)))
+
+
+def bonus_percent(text: Column) -> Column:
+    """A target bonus in percent of salary, from 5 to 500; none for a range or a most."""
+    found = F.regexp_extract(text, r"(?i)target[^.%]{0,80}?\b(\d{1,3}(?:\.\d+)?) ?%", 1).try_cast("double")
+    open_ = text.rlike(r"(?i)\d ?% ?(?:-|–|to) ?\d{1,3}|up to \d{1,3} ?%|maximum of \d{1,3} ?%")
+    return F.when(found.between(5, 500) & ~open_, found)
+
+
+def without_totals(amounts: Column) -> Column:
+    """An array of amounts without those that the two or more behind them add up to, within a percent."""
+
+    def total(x: Column, i: Column) -> Column:
+        counts = F.filter(F.sequence(F.lit(2), F.greatest(F.size(amounts) - i - 1, F.lit(2))), lambda k: k <= F.size(amounts) - i - 1)
+        return F.exists(counts, lambda k: F.abs(F.aggregate(F.slice(amounts, i + 2, k), F.lit(0.0), lambda a, v: a + v) - x) <= x * 0.01)
+
+    return F.filter(amounts, lambda x, i: ~F.coalesce(total(x, i), F.lit(False)))
+
+
+def nearest_kind(clause: Column, at: Column, kinds: list[tuple[str, str]]) -> Column:
+    """The kind whose word (pattern) is nearest to a place in a clause; of equally near ones the first."""
+    found = [F.when(clause.rlike(p), F.struct(F.abs(F.regexp_instr(clause, F.lit(p)) - at).alias("far"), F.lit(n).alias("n"), F.lit(k).alias("kind"))) for n, (k, p) in enumerate(kinds)]
+    return F.least(*found)["kind"]
+
+
+def statement_unit(line: Column) -> Column:
+    """struct(scale, currency) of a statement's header line; null without either."""
+    low = F.lower(line)
+    scale = F.when(low.rlike(r"\bbillions?\b|\bbn\b"), 1e9).when(low.rlike(r"\bmillions?\b|[$€£]m\b"), 1e6).when(low.rlike(r"\bthousands?\b|['’]000|\b000s?\b"), 1e3)
+    currency = F.coalesce(F.nullif(F.regexp_extract(line, r"\b(AUD|NZD|USD|GBP|EUR|PKR|CAD)\b", 1), F.lit("")), F.when(low.rlike(r"a\$"), "AUD").when(low.rlike(r"nz\$"), "NZD")
+                          .when(low.rlike(r"us\$"), "USD").when(line.contains("£"), "GBP").when(line.contains("€"), "EUR").when(low.rlike(r"\brs\b|rupees"), "PKR"))
+    return F.when(scale.isNotNull() | currency.isNotNull(), F.struct(F.coalesce(scale, F.lit(1.0)).alias("scale"), currency.alias("currency")))
+
+
+def column_years(line: Column) -> Column:
+    """struct(year, newest_first) of a header with two adjacent years or more."""
+    years = F.transform(F.regexp_extract_all(line, F.lit(r"\b((?:19|20)\d\d)\b"), F.lit(1)), lambda y: y.cast("int"))
+    a, b = F.get(years, F.lit(0)), F.get(years, F.lit(1))
+    return F.when(F.abs(a - b) == 1, F.struct(F.greatest(a, b).alias("year"), (a > b).alias("newest_first")))
+
+
+def labelled_row(line: Column) -> Column:
+    """struct(label, amounts) of a statement's line: the text before the figures, without the number of a note; figures with
+    brackets are negative, a dash is none at all."""
+    digits = r"\(?-?\d{1,3}(?:[, ]\d{3})*(?:\.\d+)?\)?|[-–—](?=\s|$)"
+    label = F.regexp_extract(line, r"^\s*(\D.*?)(?:\s+\d{1,2}(?:\.\d)?)?\s+(?=[(\d–—-])", 1)
+    rest = F.substr(line, F.length(F.regexp_extract(line, r"^\s*\D.*?(?:\s+\d{1,2}(?:\.\d)?(?=\s+[(\d–—-]))?\s+(?=[(\d–—-])", 0)) + 1)
+    found = F.regexp_extract_all(rest, F.lit(f"({digits})"), F.lit(1))
+    number = lambda t: F.regexp_replace(t, r"[(), ]", "").try_cast("double") * F.when(t.startswith("("), -1).otherwise(1)
+    return F.when(label != "", F.struct(F.trim(label).alias("label"), F.transform(found, number).alias("amounts")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +19,8 @@ from ..functions.numbers import MILES_PER_DEGREE, box, convert, miles, usd_rate
 def near(locations: DataFrame, latitude: float, longitude: float, radius: float) -> DataFrame:
     """(company_id, location_id, city, state, miles, has_hq): each company's nearest location within radius miles.
 
-    The box around the circle reaches the scan as four comparisons; equally near locations: the one with the smaller id.
+    The box around the circle comes first: stored coordinates can be skipped by it in a scan. Equally near locations: the one
+    with the smaller id.
     """
     south, north, west, east = box(latitude, longitude, radius)
     inside = locations.filter(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
@@ -104,26 +106,74 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest_place(points: DataFrame, places: DataFrame, key: str, radius: float) -> DataFrame:
-    """points with the nearest of places (place, to_latitude, to_longitude) within radius miles; none: null."""
-    best = within(points, places, radius).groupBy(key).agg(F.min(F.struct(F.bround("miles", 6).alias("miles"), "place")).alias("b"))
+    """points with the nearest of places (place, to_latitude, to_longitude) on a flat map around each, and its distance; null
+    if that one is not within radius miles. Only places within twice the radius are looked at: a nearer one on the flat map
+    is never further away than that."""
+    flat = F.pow(F.col("to_latitude") - F.col("latitude"), F.lit(2.0)) + F.pow((F.col("to_longitude") - F.col("longitude")) * F.cos(F.radians("latitude")), F.lit(2.0))
+    best = within(points, places, 2 * radius).groupBy(key).agg(F.min(F.struct(F.round(flat, 12).alias("flat"), "place", "miles")).alias("b")).filter(F.col("b.miles") <= radius)
     found = best.select(F.col(key).alias("__key"), F.col("b.place").alias("place"), F.bround("b.miles", 2).alias("miles"))
     return points.join(found, points[key] == found["__key"], "left").drop("__key")
 
 
+def areas(points: DataFrame, places: DataFrame, radius: float = 30, top: int = 25) -> DataFrame:
+    """(area, events, visitors): search points (latitude, longitude, events, visitors) summed by the nearest place, or as near a
+    point where none is within radius; the most visited first."""
+    named = nearest_place(points.withColumn("__p", F.monotonically_increasing_id()), places, "__p", radius)
+    away = F.format_string("Near %.2f, %.2f", "latitude", "longitude")
+    df = named.groupBy(F.coalesce("place", away).alias("area")).agg(F.sum("events").alias("events"), F.sum("visitors").alias("visitors"))
+    return df.orderBy(F.desc("visitors"), F.desc("events"), "area").limit(top)
+
+
+def matching(rows: DataFrame, text: str | None) -> DataFrame:
+    """Companies whose name holds a text, whatever its accents and case, or whose ticker begins with it; all without a text."""
+    if not text or not text.strip():
+        return rows
+    asked = text.strip()
+    inside = F.contains(F.collate("name", "UNICODE_CI_AI"), F.collate(F.lit(asked), "UNICODE_CI_AI"))
+    return rows.filter(inside | F.col("ticker").startswith(asked.upper()))
+
+
+#: Searches for neighbours widen in these steps, in shares of the radius.
+RINGS = (1 / 16, 1.0)
+
+
+def _closest(own: DataFrame, other: DataFrame, radius: float, top: int, same: bool) -> DataFrame:
+    """The best top of other for each of own within radius: by whole miles, then revenue.
+
+    Companies search a small circle first; only those that it leaves with fewer than top that no further one could push out
+    search the next. So where companies are dense each meets few others.
+    """
+    found, open_ = None, own
+    for n, share in enumerate(RINGS):
+        reach = radius * share
+        pairs = within(open_, other, reach).filter("company_id <> other_id")
+        pairs = pairs.filter("sector = other_sector") if same else pairs
+        whole = F.bround("miles", 0)
+        best = Window.partitionBy("company_id").orderBy(whole, F.desc("revenue_usd"), "other_id")
+        pairs = pairs.withColumn("whole", whole).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
+        pairs = pairs.select("company_id", "other_id", "miles", "whole", "place")
+        if n + 1 < len(RINGS):
+            pairs = pairs.persist(StorageLevel.DISK_ONLY)
+            #: One further away than reach is at whole miles of floor(reach - 0.5) at least.
+            done = pairs.groupBy("company_id").agg(F.count_if(F.col("whole") < F.floor(F.lit(reach) - 0.5)).alias("sure")).filter(F.col("sure") >= top)
+            pairs, open_ = pairs.join(done, "company_id", "left_semi"), open_.join(done, "company_id", "left_anti")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.withColumn("same_sector", F.lit(same))
+
+
 def similar(stats: DataFrame, sector_miles: float = 100, any_miles: float = 25, top: int = 5) -> DataFrame:
     """(company_id, other_id, miles, same_sector, place): the five nearest of its sector, or, with fewer than two, of any.
 
-    Whole miles count, then revenue in dollars. Each company keeps its five best of either kind as pairs are aggregated.
+    Whole miles count, then revenue in dollars.
     """
+    stats = stats.select("company_id", "sector", "latitude", "longitude", "ttm_revenue", "revenue_usd").persist(StorageLevel.DISK_ONLY)
     own = stats.select("company_id", "sector", "latitude", "longitude")
     other = stats.filter("ttm_revenue > 0").select(F.col("company_id").alias("other_id"), F.col("sector").alias("other_sector"), "revenue_usd",
                                                    F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"))
-    same = within(own, other, sector_miles).filter("sector = other_sector and company_id <> other_id").withColumn("same_sector", F.lit(True))
-    any_ = within(own, other, any_miles).filter("company_id <> other_id").withColumn("same_sector", F.lit(False))
-    best = Window.partitionBy("company_id", "same_sector").orderBy(F.bround("miles", 0), F.desc("revenue_usd"), "other_id")
-    pairs = same.unionByName(any_).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
-    enough = F.count_if("same_sector").over(Window.partitionBy("company_id")) >= 2
-    pairs = pairs.withColumn("enough", enough).filter(F.col("same_sector") == F.col("enough"))
+    same = _closest(own, other, sector_miles, top, True)
+    enough = same.groupBy("company_id").agg(F.count("*").alias("n")).filter("n >= 2").select("company_id")
+    any_ = _closest(own.join(enough, "company_id", "left_anti"), other, any_miles, top, False)
+    pairs = same.join(enough, "company_id", "left_semi").unionByName(any_)
     return pairs.select("company_id", "other_id", F.bround("miles", 1).alias("miles"), "same_sector", F.col("place").cast("long").alias("place"))
 
 

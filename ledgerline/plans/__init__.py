@@ -1,3 +1,3 @@
 """The registered queries and their SQL: importing this package registers them all in catalogue."""
 
-from . import queries, text  # noqa: F401
+from . import queries, text, lists  # noqa: F401, I001

@@ -22,7 +22,8 @@ def _stats(s, sf):
 
 def _found(s, sf):
     c = d.companies(s, sf)
-    return search.results(search.near(d.locations(c), *POINT), c, metrics.indicators(d.periods(s, sf)))
+    hits = search.near(d.locations(c), *POINT)
+    return search.results(hits, c, metrics.indicators(d.periods(s, sf, hits)))
 
 
 @_query("q_indicators", "SELECT * FROM indicators")
@@ -137,8 +138,9 @@ _TOWNS = "SELECT s_name AS place, 25 + (s_suppkey * 41 % 2400)::DOUBLE / 100 AS
 
 
 @_query("q_nearest_place", f"""SELECT company_id, place, round_even(m, 2) AS miles FROM companies LEFT JOIN (SELECT * FROM (
-    SELECT company_id, place, m, row_number() OVER (PARTITION BY company_id ORDER BY round_even(m, 6), place) AS n FROM (
-        SELECT c.company_id, t.place, {MILES.format(a='c', b='t')} AS m FROM companies c, ({_TOWNS}) t) WHERE m <= 60) WHERE n = 1) USING (company_id)""")
+    SELECT company_id, place, m, row_number() OVER (PARTITION BY company_id ORDER BY round(flat, 12), place) AS n FROM (
+        SELECT c.company_id, t.place, {MILES.format(a='c', b='t')} AS m, power(t.latitude - c.latitude, 2) + power((t.longitude - c.longitude) * cos(radians(c.latitude)), 2) AS flat
+        FROM companies c, ({_TOWNS}) t)) WHERE n = 1 AND m <= 60) USING (company_id)""")
 def q_nearest_place(s, sf):
     points = d.companies(s, sf).select("company_id", "latitude", "longitude")
     return search.nearest_place(points, _towns(s, sf), "company_id", 60.0).select("company_id", "place", "miles")
@@ -259,13 +261,14 @@ def q_roles(s, sf):
     SELECT *, trim(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]+', ' ', 'g')) AS n FROM stats)
     WHERE n LIKE 'cust%' AND n LIKE '% 00000001%' ORDER BY 3 DESC, revenue_usd DESC, name LIMIT 20""")
 def q_name_search(s, sf):
-    df = _stats(s, sf).withColumn("score", text.name_score(text.search_name(F.col("name")), "cust 00000001")).filter("score > 0")
+    df = _stats(s, sf).withColumn("score", text.name_score(text.search_name(F.col("name")), "cust 00000001", F.col("ticker"))).filter("score > 0")
     return df.orderBy(F.desc("score"), F.desc("revenue_usd"), "name").limit(20).select("company_id", "name", "score")
 
 
 @_query("q_accent_search", "SELECT doc_id, source FROM documents WHERE contains(strip_accents(lower(text)), 'reeau')")
 def q_accent_search(s, sf):
-    return d.table(s, sf, "documents").filter(text.folded(F.col("text")).contains("reeau")).select("doc_id", "source")
+    found = F.contains(F.collate("text", "UNICODE_CI_AI"), F.collate(F.lit("réEau"), "UNICODE_CI_AI"))
+    return d.table(s, sf, "documents").filter(found).select("doc_id", "source")
 
 
 @_query("q_job_keys", """SELECT DISTINCT 'Sr. ' || p_name || ' Engr (' || p_brand || ') - JR' || p_size AS title, 'senior ' || p_name || ' engineer' AS key FROM part""")
@@ -326,13 +329,28 @@ def q_table_cells(s, sf):
     return markup.table_cells(r.select(F.col("r_regionkey").cast("long").alias("key"), table.alias("html")), "key", "html")
 
 
-@_query("q_links", None)
+@_query("q_links", r"""SELECT page_id AS id, place::BIGINT AS place, href, trim(regexp_replace(t, '<[^>]+>', ' ', 'g')) AS text,
+    (5 * contains(b, 'report')::INT + 3 * contains(b, 'annual')::INT + contains(b, 'the')::INT)::BIGINT AS score FROM (
+    SELECT *, lower(trim(regexp_replace(t, '<[^>]+>', ' ', 'g')) || ' ' || href) AS b FROM (
+        SELECT page_id, generate_subscripts(h, 1) - 1 AS place, unnest(h) AS href, unnest(x) AS t FROM (
+            SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h,
+                   regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS x FROM pages)))""")
 def q_links(s, sf):
     df = markup.links(d.table(s, sf, "pages"), "page_id", "html")
     return df.withColumn("score", markup.link_score(F.col("href"), F.col("text"), {"report": 5, "annual": 3, "the": 1}))
 
 
-@_query("q_plain_text", None)
+def _decoded(x: str) -> str:
+    for entity, mark in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&#39;", "chr(39)"), ("&amp;", "chr(1)")):
+        x = f"replace({x}, '{entity}', {mark})"
+    return f"replace({x}, chr(1), '&')"
+
+
+_ESCAPED = "CASE WHEN contains({x}, '&lt;') OR contains({x}, '&amp;') THEN {y} ELSE {x} END"
+
+
+@_query("q_plain_text", f"""SELECT page_id, trim(regexp_replace({_decoded("regexp_replace(t, '<[^>]+>', ' ', 'g')")}, '[\\s\\x{{A0}}]+', ' ', 'g')) AS text
+    FROM (SELECT page_id, {_ESCAPED.format(x='t', y=_decoded('t'))} AS t FROM (SELECT page_id, {_ESCAPED.format(x='html', y=_decoded('html'))} AS t FROM pages))""")
 def q_plain_text(s, sf):
     return d.table(s, sf, "pages").select("page_id", text.plain_text(F.col("html")).alias("text"))
 
@@ -352,7 +370,8 @@ def q_report_daily(s, sf):
 
 
 for _name, _value, _where in (("subjects", "subject", "name = 'purchase'"), ("countries", "country", None), ("devices", "device", None), ("names", "name", None),
-                              ("places", "coalesce(country, '') || '|' || coalesce(device, '')", None)):
+                              ("places", "coalesce(country, '') || '|' || coalesce(device, '')", None), ("regions", "region", None), ("cities", "city", None), ("browsers", "browser", None),
+                              ("systems", "os", None), ("referrers", "referrer", "referrer is not null"), ("paths", "path", "name = 'view'")):
 
     def _top(s, sf, value=_value, where=_where):
         return visitors.top_values(d.events(s, sf), F.expr(value), where and F.expr(where))
@@ -390,17 +409,46 @@ def q_referrers(s, sf):
     return d.table(s, sf, "pages").select("page_id", web.referrer_host(F.col("url"), "site.invalid").alias("host"))
 
 
-@_query("q_checks", None)
+_CHECKED = f"""paid AS (SELECT p.*, p.total::DOUBLE * {USD} AS usd FROM pay p LEFT JOIN companies USING (company_id)),
+    years AS (SELECT p.*, revenue::DOUBLE * {USD} AS usd, {USD} AS rate, lag(revenue) OVER w AS before, lag(fiscal_year) OVER w AS year_before FROM periods p JOIN companies USING (company_id)
+              WHERE period_type = 'Annual' WINDOW w AS (PARTITION BY company_id ORDER BY fiscal_year)),
+    whole AS (SELECT company_id, fiscal_year, sum(revenue) AS qsum FROM periods WHERE period_type = 'Quarterly' GROUP BY 1, 2 HAVING count(*) = 4),
+    own AS (SELECT company_id, count(*) AS n, max(fiscal_year) FILTER (period_type = 'Annual') AS newest, count(*) FILTER (period_type = 'Annual') AS years FROM periods GROUP BY 1)"""
+
+
+@_query("q_checks", """SELECT * FROM (VALUES
+    ('Companies', 'Currency without a rate', 'Error', 0), ('Companies', 'No location at all', 'Error', 0), ('Companies', 'Only a local office', 'Warning', 0),
+    ('Financials', 'No figures at all', 'Error', (SELECT count(*) FROM companies WHERE company_id NOT IN (SELECT company_id FROM own))),
+    ('Financials', 'Out of date', 'Warning', (SELECT count(*) FROM own WHERE newest < 1999)), ('Financials', 'Quarters only', 'Warning', 0),
+    ('Companies', 'Same name under two ids', 'Warning', (SELECT count(*) FROM (SELECT name FROM companies GROUP BY 1 HAVING count(*) > 1))),
+    ('Locations', 'Missing city', 'Warning', 0), ('Locations', 'Outside the world', 'Error', 0),
+    ('Financials', 'Negative revenue', 'Warning', (SELECT count(*) FROM periods WHERE revenue < 0)), ('Financials', 'Period in the future', 'Error', (SELECT count(*) FROM periods WHERE fiscal_year > 2001)),
+    ('Financials', 'Quarter out of range', 'Error', 0), ('Financials', 'Duplicate period', 'Error', 0),
+    ('Financials', 'Implausibly large revenue', 'Warning', (SELECT count(*) FROM years WHERE usd > 8e11)),
+    ('Financials', 'Profit far bigger than revenue', 'Warning', (SELECT count(*) FROM years WHERE usd >= 1e5 AND net_income > 3 * revenue)),
+    ('Financials', 'Revenue jumps tenfold', 'Warning', (SELECT count(*) FROM years WHERE least(revenue, before)::DOUBLE * rate >= 1e5 AND fiscal_year = year_before + 1 AND (revenue > 10 * before OR before > 10 * revenue))),
+    ('Financials', 'Quarters don''t add up', 'Warning', (SELECT count(*) FROM years JOIN whole USING (company_id, fiscal_year) WHERE usd >= 1e5 AND abs(qsum - revenue) > 0.02 * abs(revenue))),
+    ('Pay', 'Negative amount', 'Error', (SELECT count(*) FROM paid WHERE total < 0)), ('Pay', 'Year in the future', 'Error', (SELECT count(*) FROM paid WHERE year > 2001)),
+    ('Pay', 'Person record missing', 'Error', (SELECT count(*) FROM paid WHERE person_id % 10 = 0)), ('Pay', 'Impossibly large total', 'Error', (SELECT count(*) FROM paid WHERE usd > 3e9)),
+    ('Pay', 'Very large total', 'Warning', (SELECT count(*) FROM paid WHERE usd > 1.5e8)), ('Pay', 'Tiny total', 'Warning', (SELECT count(*) FROM paid WHERE total > 0 AND total < 10000)),
+    ('Pay', 'Name is no person''s', 'Warning', (SELECT count(*) FROM paid)), ('Pay', 'Same person, company and year twice', 'Error', 0)
+    ) v(area, name, severity, n)""", extra=",\n" + _CHECKED)
 def q_checks(s, sf):
+    """Checks with the limit of revenue lowered to what the tables hold; every tenth person has no record."""
     c = d.companies(s, sf)
-    return quality.checks(c, d.locations(c), d.periods(s, sf), AS_OF)
+    people_ = d.table(s, sf, "supplier").filter("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("person_id"))
+    return quality.checks(c, d.locations(c), d.periods(s, sf), d.pay(s, sf), people_, AS_OF, 1e5)
 
 
 @_query("q_tallies", """SELECT 'sector' AS kind, sector AS value, count(*) AS n FROM companies GROUP BY 2 UNION ALL SELECT 'currency', currency, count(*) FROM companies GROUP BY 2
-    UNION ALL SELECT 'state', state, count(*) FROM companies GROUP BY 2 UNION ALL SELECT 'period', period_type, count(*) FROM periods GROUP BY 2
-    UNION ALL SELECT 'year', fiscal_year::VARCHAR, count(*) FROM periods GROUP BY 2""")
+    UNION ALL SELECT 'state', state, count(*) FROM companies GROUP BY 2 UNION ALL SELECT 'market', regexp_extract(ticker, '\\.(\\w+)$', 1), count(*) FROM companies GROUP BY 2
+    UNION ALL SELECT 'paid', state, count(*) FROM companies WHERE company_id IN (SELECT company_id FROM pay) GROUP BY 2
+    UNION ALL SELECT 'history', CASE WHEN years = 0 THEN '0' WHEN years <= 2 THEN '1-2' WHEN years <= 5 THEN '3-5' WHEN years <= 9 THEN '6-9' ELSE '10+' END, count(*) FROM own GROUP BY 2
+    UNION ALL SELECT 'newest', newest::VARCHAR, count(*) FROM own GROUP BY 2
+    UNION ALL SELECT 'period', period_type, count(*) FROM periods GROUP BY 2 UNION ALL SELECT 'year', fiscal_year::VARCHAR, count(*) FROM periods GROUP BY 2
+    UNION ALL SELECT 'rows', 'companies', count(*) FROM companies UNION ALL SELECT 'rows', 'periods', count(*) FROM periods UNION ALL SELECT 'rows', 'pay', count(*) FROM pay""", extra=",\n" + _CHECKED)
 def q_tallies(s, sf):
-    return quality.tallies(d.companies(s, sf), d.periods(s, sf))
+    return quality.tallies(d.companies(s, sf), d.periods(s, sf), d.pay(s, sf))
 
 
 @_query("q_orphans", "SELECT DISTINCT c_custkey AS company_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

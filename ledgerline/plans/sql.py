@@ -52,7 +52,11 @@ CTE = {
     "site": """SELECT event_id, ts AS "at", strftime(ts, '%Y-%m-%d') AS day, user_id AS visitor, event_type AS name,
         CAST(json_extract_string(props, '$.k') AS BIGINT) AS subject, 'item ' || json_extract_string(props, '$.k') AS label,
         25 + (user_id % 20)::DOUBLE / 4 AS latitude, -100 + (user_id % 15)::DOUBLE / 4 AS longitude,
-        (['US', 'UK', 'FR'])[user_id % 3 + 1] AS country, (['Desktop', 'Phone'])[user_id % 2 + 1] AS device FROM events""",
+        (['US', 'UK', 'FR'])[user_id % 3 + 1] AS country, (['Desktop', 'Phone'])[user_id % 2 + 1] AS device,
+        (['North', 'South', 'East', 'West'])[user_id % 4 + 1] AS region, 'town ' || user_id % 30 AS city, (['Chrome', 'Safari', 'Firefox'])[user_id % 3 + 1] AS browser,
+        (['Windows', 'iOS', 'Android', 'Linux'])[user_id % 4 + 1] AS os,
+        CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0 THEN 'site' || CAST(json_extract_string(props, '$.k') AS BIGINT) % 12 || '.example' END AS referrer,
+        '/page/' || CAST(json_extract_string(props, '$.k') AS BIGINT) % 40 AS path FROM events""",
     "nearest": """SELECT company_id, location_id, city, state, round_even(exact, 2) AS miles, has_hq FROM (
         SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY exact, location_id) AS n,
                bool_or(type = 'Headquarters') OVER (PARTITION BY company_id) AS has_hq

@@ -52,16 +52,21 @@ def locations(companies: DataFrame) -> DataFrame:
                      F.col("l.lat").alias("latitude"), F.col("l.lng").alias("longitude"))
 
 
-def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+def periods(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Quarterly and annual rows: revenue is the sum of orders, net income that of prices after a cost of four fifths.
 
-    Line items are summed by order before they meet their orders, so the join moves one row for an order.
+    Line items are summed by order before they meet their orders, so the join moves one row for an order. only (company_id):
+    the companies asked for; orders and items of others go before anything is summed.
     """
     price, off = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(4,2)")
-    net = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(price * (F.lit("0.20").cast("decimal(4,2)") - off)).alias("net"))
+    items = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("company_id"), F.year("o_orderdate").cast("long").alias("fiscal_year"),
         F.quarter("o_orderdate").cast("long").alias("fiscal_quarter"), F.col("o_totalprice").cast("decimal(18,2)").alias("revenue"))
+    if only is not None:
+        orders = orders.join(only.select("company_id").distinct(), "company_id", "left_semi")
+        items = items.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    net = items.groupBy("l_orderkey").agg(F.sum(price * (F.lit("0.20").cast("decimal(4,2)") - off)).alias("net"))
     joined = orders.join(net, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     quarters = joined.groupBy("company_id", "fiscal_year", "fiscal_quarter").agg(
         F.sum("revenue").alias("revenue"), F.coalesce(F.sum("net"), F.lit(0)).alias("net_income"))
@@ -92,7 +97,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, at, day, visitor, name, subject, label, latitude, longitude, country, device) of each site event."""
+    """(event_id, at, day, visitor, name, subject, label, place, device, browser, os, referrer, path) of each site event."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     return e.select(
@@ -100,4 +105,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("name"), k.alias("subject"), F.concat(F.lit("item "), k).alias("label"),
         (25 + (F.col("user_id") % 20).cast("double") / 4).alias("latitude"), (-100 + (F.col("user_id") % 15).cast("double") / 4).alias("longitude"),
         _one_of(("US", "UK", "FR"), F.col("user_id") % 3).alias("country"), _one_of(("Desktop", "Phone"), F.col("user_id") % 2).alias("device"),
+        _one_of(("North", "South", "East", "West"), F.col("user_id") % 4).alias("region"), F.concat(F.lit("town "), F.col("user_id") % 30).alias("city"),
+        _one_of(("Chrome", "Safari", "Firefox"), F.col("user_id") % 3).alias("browser"), _one_of(("Windows", "iOS", "Android", "Linux"), F.col("user_id") % 4).alias("os"),
+        F.when(k % 3 == 0, F.concat(F.lit("site"), k % 12, F.lit(".example"))).alias("referrer"), F.concat(F.lit("/page/"), k % 40).alias("path"),
     )

@@ -84,7 +84,7 @@ def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
             value = number(cell)
         elif kind == "date":
             serial = F.date_add(F.lit("1899-12-30").cast("date"), F.when(cell.rlike(r"^\d{4,6}$"), cell.try_cast("int")))
-            value = F.coalesce(cell.try_cast("date"), serial)
+            value = F.coalesce(F.when(cell.rlike(r"^\d{4}-\d\d?-\d\d?$"), cell.try_cast("date")), serial)
         elif "|" in kind:
             bare = F.lower(F.regexp_replace(cell, r"\s", ""))
             value = F.coalesce(*[F.when(bare == v.lower(), v) for v in kind.split("|")])

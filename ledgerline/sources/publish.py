@@ -20,23 +20,23 @@ def _hadoop(spark: SparkSession, path: str):
 
 def current(spark: SparkSession, root: str) -> str | None:
     """The path of the current version, or None before the first."""
-    files, p = _hadoop(spark, f"{root}/_CURRENT")
+    files, p = _hadoop(spark, f"{root}/CURRENT")
     if not files.exists(p):
         return None
-    return f"{root}/{spark.read.text(f'{root}/_CURRENT').first()[0]}"
+    return f"{root}/{spark.read.text(f'{root}/CURRENT').first()[0]}"
 
 
 def _switch(spark: SparkSession, root: str, version: str) -> None:
     """Makes a version the current one: a new file takes the old one's name."""
     jvm = spark.sparkContext._jvm
-    files, new = _hadoop(spark, f"{root}/_NEXT-{version}")
+    files, new = _hadoop(spark, f"{root}/next-{version}")
     out = files.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT"), rename)
+    context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT"), rename)
 
 
 def replace_partition(root: str, rows: DataFrame, by: str, value: str, checks: dict[str, Column | None] | None = None, key: list[str] | None = None) -> str:

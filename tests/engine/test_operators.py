@@ -98,7 +98,7 @@ def test_text_rules(spark):
     assert one(numbers.yearly_pay(F.lit("$45.50"), F.lit("Hour"))) == 94640.0
     for t, want in (("$45 - $60 per hour", (93600.0, 124800.0)), ("$120,000 to $160,000", (120000.0, 160000.0)), ("$2 - $3 billion", None), ("10 - 20 people", None)):
         r = one(markup.pay_range(F.lit(t)))
-        assert (None if r is None else tuple(r)) == want
+        assert tuple(r) == (want or (None, None))
     ua = one(web.user_agent(F.lit("Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120")))
     assert tuple(ua) == ("Desktop", "Edge", "Windows", False) and one(web.user_agent(F.lit("")))["is_bot"]
     assert one(web.referrer_host(F.lit("https://www.Google.com/x"), "site.org")) == "google.com" and one(web.referrer_host(F.lit("https://site.org/a"), "site.org")) is None
@@ -106,17 +106,22 @@ def test_text_rules(spark):
 
 def test_grid_pushes_cells_aside():
     table = "<table><tr><th rowspan=2>a</th><td colspan='2'>b</td></tr><tr><td>c</td><td>d</td></tr><tr><td></td></tr></table>"
-    assert markup.grid(table) == [(0, 0, 0, "a"), (0, 1, 2, "b"), (1, 1, 1, "c"), (1, 2, 2, "d")]
+    assert markup.grids(table)[0] == [(0, 0, 0, "a"), (0, 1, 2, "b"), (1, 1, 1, "c"), (1, 2, 2, "d")]
 
 
 def test_checks_flag_each_defect(spark):
     c = spark.createDataFrame([(1, "A", "USD"), (2, "A", "USD")], "company_id long, name string, currency string")
     places = spark.createDataFrame([(1, 1, "Office", " ", 95.0, 0.0)], "location_id long, company_id long, type string, city string, latitude double, longitude double")
     p = periods(spark, [], [(1, 2020, 200_000_000, 900_000_000), (1, 2021, 12_000_000, 0), (1, 2021, 12_000_000, 0), (1, 2030, -1, 0)])
-    got = {r["name"]: r["n"] for r in quality.checks(c, places, p, 2025).collect()}
+    pay = spark.createDataFrame([(7, "Ann Lee", 1, 2020, Decimal(500)), (7, "Ann Lee", 1, 2020, Decimal(600)), (8, "Total 3", 2, 2031, Decimal(-1)), (7, "Ann Lee", 2, 2020, Decimal(4 * 10**9))],
+                                "person_id long, name string, company_id long, year long, total decimal(18,2)")
+    known = spark.createDataFrame([(7,)], "person_id long")
+    got = {r["name"]: r["n"] for r in quality.checks(c, places, p, pay, known, 2025).collect()}
     assert {k: v for k, v in got.items() if v} == {
         "No location at all": 1, "Only a local office": 1, "Same name under two ids": 1, "Missing city": 1, "Outside the world": 1, "No figures at all": 1,
-        "Negative revenue": 1, "Period in the future": 1, "Duplicate period": 1, "Profit far bigger than revenue": 1, "Revenue jumps tenfold": 1}
+        "Negative revenue": 1, "Period in the future": 1, "Duplicate period": 1, "Profit far bigger than revenue": 1, "Revenue jumps tenfold": 1,
+        "Negative amount": 1, "Year in the future": 1, "Person record missing": 1, "Impossibly large total": 1, "Very large total": 1, "Tiny total": 2, "Name is no person's": 1,
+        "Same person, company and year twice": 1}
 
 
 def test_employers_match_by_tiers(spark):

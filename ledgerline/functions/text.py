@@ -130,7 +130,10 @@ def job_title(spelling: Column) -> Column:
 def employer_key(name: Column) -> Column:
     """What employers are matched by: small letters, one space between words, without legal endings."""
     n = F.regexp_replace(F.lower(name), r"['’]", "")
+    #: A register's mark of a state, the name that a firm trades under, and points within initials.
+    n = F.regexp_replace(n, r"\s*[/\\][a-z. ]{0,12}[/\\]?\s*$", "")
     n = F.regexp_replace(n, r"\b(d/?b/?a|dba)\b.*$", " ")
+    n = F.regexp_replace(n, r"(?<=\b[a-z])\.(?=[a-z]\.)|(?<=\.[a-z])\.", "")
     n = F.regexp_replace(F.replace(n, F.lit(" & "), F.lit(" and ")), "&", "")
     n = F.trim(F.regexp_replace(n, r"[^a-z0-9]+", " "))
     n = F.regexp_replace(n, r"^the ", "")

@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.numbers import yearly_pay
 from ..functions.text import employer_key, job_key
 from .ranking import percentiles
 
@@ -49,18 +51,81 @@ def ads(postings: DataFrame) -> DataFrame:
     return df.select("company_id", F.col("key").alias("title"), "city", "ads", "low", "p25", F.least(F.greatest("p50", "p25"), "p75").alias("p50"), "p75", "high")
 
 
-def matched_employers(employers: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
-    """employers (employer) with company_id and how: alias, name (if one company has it), or subsidiary: the longest
-    company name of two words or more that the employer's name begins with."""
+#: Words behind a company's name that say what part of it an employer is.
+UNIT_WORDS = (
+    "services", "service", "technologies", "technology", "associates", "stores", "usa", "us", "america", "north", "operations", "bank", "digital",
+    "labs", "solutions", "international", "global", "com", "web", "development", "center", "enterprises", "software", "health", "healthcare",
+    "financial", "securities", "research", "and", "of", "inc", "llc", "corp", "na", "n", "a", "americas", "manufacturing", "logistics",
+    "fulfillment", "retail", "commercial", "capital", "management", "networks", "systems", "markets",
+)
+
+
+def matched_employers(employers: DataFrame, companies: DataFrame, aliases: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """employers (employer, maybe ein) with key, company_id and how: ein (its number in numbers: ein, company_id), alias, name (if
+    one company has it), or subsidiary: the longest company name that the employer's name begins with.
+
+    A name of one word counts as a beginning only if it has five letters and all words behind it are those of a unit.
+    """
     e = employers.withColumn("key", employer_key(F.col("employer")))
     names = companies.withColumn("key", employer_key(F.col("name"))).filter(F.length("key") >= 3)
     unique = names.groupBy("key").agg(F.min("company_id").alias("by_name"), F.count_distinct("company_id").alias("n")).filter("n = 1").drop("n")
-    named = aliases.select(employer_key(F.col("alias")).alias("key"), F.col("company_id").alias("by_alias")).dropDuplicates(["key"])
-    first = F.substring_index("key", " ", 2)
-    long_names = unique.filter(F.contains("key", F.lit(" "))).select(first.alias("first"), F.col("key").alias("whole"), F.col("by_name").alias("by_start"))
-    starts = e.select("key").distinct().withColumn("first", first).join(long_names, "first")
-    starts = starts.filter(F.col("key").startswith(F.concat("whole", F.lit(" "))))
+    named = aliases.groupBy(employer_key(F.col("alias")).alias("key")).agg(F.min("company_id").alias("by_alias"))
+    first = F.substring_index("key", " ", 1)
+    starts = e.select("key").distinct().withColumn("first", first)
+    whole = unique.select(first.alias("first"), F.col("key").alias("whole"), F.col("by_name").alias("by_start"))
+    starts = starts.join(whole, "first").filter(F.col("key").startswith(F.concat("whole", F.lit(" "))))
+    rest = F.split(F.substr("key", F.length("whole") + 2), " ")
+    unit = F.forall(rest, lambda w: w.isin(*UNIT_WORDS)) & (F.length("whole") >= 5)
+    starts = starts.filter(F.contains("whole", F.lit(" ")) | unit)
     starts = starts.groupBy("key").agg(F.max_by("by_start", F.length("whole")).alias("by_start"))
     df = e.join(named, "key", "left").join(unique, "key", "left").join(starts, "key", "left")
-    how = F.when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_name").isNotNull(), "name").when(F.col("by_start").isNotNull(), "subsidiary")
-    return df.select("employer", "key", F.coalesce("by_alias", "by_name", "by_start").alias("company_id"), how.alias("how"))
+    by_number = F.lit(None).cast("long")
+    if numbers is not None:
+        digits = numbers.groupBy(F.regexp_replace("ein", r"\D", "").alias("__ein")).agg(F.min("company_id").alias("by_ein"))
+        df = df.join(digits, F.regexp_replace("ein", r"\D", "") == F.col("__ein"), "left")
+        by_number = F.when(F.length("__ein") == 9, F.col("by_ein"))
+    tiers = {"ein": by_number, "alias": F.col("by_alias"), "name": F.col("by_name"), "subsidiary": F.col("by_start")}
+    how = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in tiers.items()])
+    return df.select("employer", "key", F.coalesce(*tiers.values()).alias("company_id"), how.alias("how"))
+
+
+def eligible_filings(filings: DataFrame, least: float = 15_000, most: float = 3_000_000) -> DataFrame:
+    """filings (case_number, status, full_time, employer, title, rate, unit) with salary and reason: null for those that count, else
+    why not: repeated, not certified, part time, implausible pay, no title. Of rows of one case the first by all columns counts."""
+    df = filings.withColumn("salary", yearly_pay(F.col("rate"), F.col("unit")))
+    own = Window.partitionBy("case_number").orderBy(*[F.col(c) for c in filings.columns if c != "case_number"])
+    df = df.withColumn("__n", F.row_number().over(own))
+    reason = (
+        F.when((F.coalesce("case_number", F.lit("")) == "") | (F.col("__n") > 1), "repeated").when(F.lower("status") != "certified", "not certified")
+        .when(~F.coalesce(F.col("full_time").startswith("Y"), F.lit(False)), "part time").when(~F.coalesce(F.col("salary").between(least, most), F.lit(False)), "implausible pay")
+        .when(F.coalesce(job_key(F.col("title")), F.lit("")) == "", "no title")
+    )
+    return df.withColumn("reason", reason).drop("__n")
+
+
+def counters(matched: DataFrame, column: str) -> DataFrame:
+    """(value, rows): how many rows were matched how, or left out why."""
+    return matched.groupBy(F.coalesce(column, F.lit("none")).alias("value")).agg(F.count("*").alias("rows"))
+
+
+def unmatched(matched: DataFrame, top: int = 150) -> DataFrame:
+    """The employers without a company that have most rows. The limit is the report's length."""
+    counts = matched.filter("company_id is null").groupBy("employer").agg(F.count("*").alias("rows"))
+    return counts.orderBy(F.desc("rows"), "employer").limit(top)
+
+
+def titles_with_places(salaries: DataFrame, places: int = 4) -> DataFrame:
+    """(company_id, title, filings, places): the rows of whole companies, most filings first, each with its largest places as JSON."""
+    own = Window.partitionBy("company_id", "title").orderBy(F.desc("filings"), "city")
+    inner = salaries.filter("city is not null").withColumn("n", F.row_number().over(own)).filter(F.col("n") <= places)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "city", "filings"))), lambda p: F.struct(p["city"], p["filings"]))
+    inner = inner.groupBy("company_id", "title").agg(F.to_json(listed).alias("places"))
+    return salaries.filter("city is null").select("company_id", "title", "filings").join(inner, ["company_id", "title"], "left")
+
+
+def title_search(salaries: DataFrame, text: str) -> DataFrame:
+    """Rows whose title holds every word of a text."""
+    df = salaries
+    for w in text.lower().split():
+        df = df.filter(F.lower("title").contains(w))
+    return df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, web
+from ..functions import companies, text, web
 from ..operators import markup, metrics, people, quality, salaries, search, visitors
 from ..sources import directory as d
 from .catalogue import ORACLE_SQL, QUERIES
@@ -277,14 +277,35 @@ def q_job_keys(s, sf):
     return d.table(s, sf, "part").select(t.alias("title")).distinct().select("title", text.job_key(F.col("title")).alias("key"))
 
 
-@_query("q_employers", """SELECT 'The ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' Holdings, Inc.' ELSE ' Services LLC' END AS employer,
-    replace(lower(c_name), '#', ' ') || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' services' END AS key, c_custkey AS company_id,
-    CASE WHEN c_custkey % 2 = 0 THEN 'name' ELSE 'subsidiary' END AS how FROM customer""")
+@_query("q_employers", """SELECT c_custkey AS company_id, (['ein', 'name', 'subsidiary', 'alias'])[c_custkey % 4 + 1] AS how FROM customer""")
 def q_employers(s, sf):
-    end = F.when(F.col("c_custkey") % 2 == 0, " Holdings, Inc.").otherwise(" Services LLC")
-    employers = d.table(s, sf, "customer").select(F.concat(F.lit("The "), "c_name", end).alias("employer"))
+    k = F.col("c_custkey")
+    c = d.table(s, sf, "customer")
+    end = F.when(k % 4 == 1, " Holdings, Inc.").when(k % 4 == 2, " Services LLC").otherwise(" elsewhere")
+    start = F.when(k % 4 == 3, F.concat(F.lit("Trading as "), k)).when(k % 4 == 0, F.concat(F.lit("Other "), k)).otherwise(F.concat(F.lit("The "), "c_name"))
+    ein = F.when(k % 4 == 0, F.format_string("%02d-%07d", F.lit(1), k))
+    employers = c.select(F.concat(start, end).alias("employer"), ein.alias("ein"))
+    aliases = c.filter("c_custkey % 4 = 3").select(F.concat(F.lit("trading as "), k, F.lit(" elsewhere")).alias("alias"), k.alias("company_id"))
+    numbers_ = c.select(F.format_string("%09d", k + 10_000_000).alias("ein"), k.alias("company_id"))
+    return salaries.matched_employers(employers, d.companies(s, sf).select("company_id", "name"), aliases, numbers_).select("company_id", "how")
+
+
+@_query("q_filing_reasons", """SELECT CASE WHEN l_linenumber = 2 THEN 'not certified' WHEN l_linenumber = 3 THEN 'part time' WHEN l_linenumber = 4 THEN 'implausible pay' WHEN l_linenumber = 5 THEN 'no title' ELSE 'none' END AS value,
+    count(*) AS rows FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1
+    UNION ALL SELECT 'repeated', count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem""")
+def q_filing_reasons(s, sf):
+    n = F.col("l_linenumber")
+    f = d.table(s, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", n).alias("case_number"), F.when(n == 2, "Withdrawn").otherwise("CERTIFIED").alias("status"), F.when(n == 3, "N").otherwise("Y").alias("full_time"), F.lit("e").alias("employer"),
+        F.when(n == 5, "(#12)").otherwise("Engineer").alias("title"), F.when(n == 4, "5").otherwise("$90,000").alias("rate"), F.lit("Year").alias("unit"))
+    return salaries.counters(salaries.eligible_filings(f), "reason")
+
+
+@_query("q_unmatched", "SELECT 'Nobody ' || c_nationkey AS employer, count(*) AS rows FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def q_unmatched(s, sf):
+    e = d.table(s, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Nobody "), "c_nationkey")).otherwise(F.col("c_name")).alias("employer"))
     none = s.createDataFrame([], "alias string, company_id long")
-    return salaries.matched_employers(employers, d.companies(s, sf).select("company_id", "name"), none)
+    return salaries.unmatched(salaries.matched_employers(e, d.companies(s, sf).select("company_id", "name"), none), 10)
 
 
 _SALARY = """count(*) AS filings, min(salary) AS low, round_even(quantile_cont(salary, 0.25), 0) AS p25, round_even(quantile_cont(salary, 0.5), 0) AS p50,
@@ -297,6 +318,41 @@ def q_salaries(s, sf):
     return salaries.by_title_and_place(d.filings(s, sf))
 
 
+@_query("q_titles_with_places", """SELECT company_id, title, filings, places FROM (SELECT company_id, title, count(*) AS filings FROM filings GROUP BY 1, 2 HAVING count(*) >= 3) LEFT JOIN (
+    SELECT company_id, title, '[' || string_agg('{"city":"' || city || '","filings":' || c || '}', ',' ORDER BY c DESC, city) || ']' AS places FROM (
+        SELECT company_id, title, city, count(*) AS c FROM filings GROUP BY 1, 2, 3 HAVING count(*) >= 3) GROUP BY 1, 2) USING (company_id, title) WHERE contains(title, 'blue') AND contains(title, 'bolt')""")
+def q_titles_with_places(s, sf):
+    whole = salaries.by_title_and_place(d.filings(s, sf))
+    return salaries.titles_with_places(salaries.title_search(whole, "Bolt blue"))
+
+
+@_query("q_sectors", """SELECT p_partkey, (['Semiconductors', 'Healthcare', 'Finance', 'Other', 'Industrials'])[p_partkey % 5 + 1] AS by_code, (['Finance', 'Media & telecom', 'Other'])[p_partkey % 3 + 1] AS by_name FROM part""")
+def q_sectors(s, sf):
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % len(values)).cast("int"))
+    return d.table(s, sf, "part").select("p_partkey", companies.sector_of_code(pick([3674, 5122, 6100, None, 3000])).alias("by_code"), companies.sector_of_name(pick(["Retail Banks", "Telecom", None])).alias("by_name"))
+
+
+@_query("q_addresses", """SELECT c_custkey, '~sec/' || c_custkey AS short, 'https://www.sec.gov/Archives/edgar/data/' || c_custkey AS long, 'mary-jones' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '-smith' END AS person,
+    true AS same, c_custkey % 2 = 0 AS mentioned, CASE WHEN c_custkey % 2 = 0 THEN 'NYSE:BRK.B' END AS symbol, (['greenhouse', 'lever', 'workday', NULL])[c_custkey % 4 + 1] AS system, (['acme', 'acme', 'acme/Ext', NULL])[c_custkey % 4 + 1] AS board FROM customer""")
+def q_addresses(s, sf):
+    k = F.col("c_custkey")
+    pick = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int"))
+    full = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), k)
+    board = companies.job_board(pick("https://boards.greenhouse.io/embed/job_board?for=Acme", "https://jobs.lever.co/acme/12", "https://acme.wd5.myworkdayjobs.com/en-US/Ext/job/1", "https://acme.com/jobs"))
+    return d.table(s, sf, "customer").select(
+        "c_custkey", companies.shortened(full).alias("short"), companies.expanded(companies.shortened(full)).alias("long"),
+        companies.person_key(F.when(k % 2 == 0, "Mary T. Jones, Jr.").otherwise("Mary Jones-Smith III")).alias("person"),
+        companies.same_name(F.lit("Analog Devices, Inc."), F.lit("AnalogDevices")).alias("same"), companies.mentions(pick("Work at Analog  Devices!", "an analog job"), F.lit("Analog Devices Inc")).alias("mentioned"),
+        companies.price_symbol(F.lit("BRK-B"), pick("NYSE", "LSE"), {"NYSE": "NYSE"}).alias("symbol"), board["system"].alias("system"), board["board"].alias("board"))
+
+
+@_query("q_filtered_search", "SELECT company_id FROM found WHERE has_hq AND upper(sector) = 'BUILDING'")
+def q_filtered_search(s, sf):
+    c = d.companies(s, sf)
+    hits = search.near(d.locations(c), *POINT)
+    return search.results(hits, c, metrics.indicators(d.periods(s, sf, hits)), " building ", True).select("company_id")
+
+
 @_query("q_spellings", "SELECT title AS key, title, count(*) AS filings FROM filings GROUP BY 1, 2")
 def q_spellings(s, sf):
     return salaries.spellings(d.filings(s, sf))

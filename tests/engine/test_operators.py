@@ -125,8 +125,9 @@ def test_checks_flag_each_defect(spark):
 
 
 def test_employers_match_by_tiers(spark):
-    c = spark.createDataFrame([(1, "Amazon.com Inc"), (2, "Target Corp"), (3, "Twin Name"), (4, "Twin Name")], "company_id long, name string")
-    e = spark.createDataFrame([("Amazon.com Services LLC",), ("Target Corporation",), ("Twin Name Inc",), ("Search Co",)], "employer string")
+    c = spark.createDataFrame([(1, "Amazon.com Inc"), (2, "Target Corp"), (3, "Twin Name"), (4, "Twin Name"), (5, "Walmart Inc.")], "company_id long, name string")
+    e = spark.createDataFrame([("Amazon.com Services LLC",), ("Target Corporation",), ("Twin Name Inc",), ("Search Co",), ("Walmart Associates",), ("Walmart Tree Farm",)], "employer string")
     a = spark.createDataFrame([("Search", 9)], "alias string, company_id long")
     got = {r["employer"]: (r["company_id"], r["how"]) for r in salaries.matched_employers(e, c, a).collect()}
-    assert got == {"Amazon.com Services LLC": (1, "subsidiary"), "Target Corporation": (2, "name"), "Twin Name Inc": (None, None), "Search Co": (9, "alias")}
+    assert got == {"Amazon.com Services LLC": (1, "subsidiary"), "Target Corporation": (2, "name"), "Twin Name Inc": (None, None), "Search Co": (9, "alias"),
+                   "Walmart Associates": (5, "subsidiary"), "Walmart Tree Farm": (None, None)}

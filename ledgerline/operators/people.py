@@ -326,3 +326,30 @@ def with_appointments(people: DataFrame, appointments: DataFrame) -> DataFrame:
                        F.col("a").isNotNull().alias("is_new"))
     fresh = appointments.filter("person_id is null")
     return listed.unionByName(fresh.select("person_id", "name", "title", "company_id", F.col("package").alias("latest_pay"), F.lit(True).alias("is_new")))
+
+
+def plausible_pay(pay: DataFrame) -> DataFrame:
+    """Rows whose pay can be right for their market (market, total, salary or null, verified): a British total of 150 thousand to
+    25 million that is verified or at most fifteen salaries, a Pakistani one of a million to ten billion rupees, any other above zero."""
+    t = F.col("total")
+    fits = F.col("verified") | F.coalesce(t <= 15 * F.col("salary"), F.lit(False))
+    return pay.filter(F.when(F.col("market") == "uk", t.between(150_000, 25_000_000) & fits).when(F.col("market") == "pk", t.between(1e6, 1e10)).otherwise(t > 0))
+
+
+def report_years(rows: DataFrame) -> DataFrame:
+    """Rows (company_id, report_year, currency, year, ...) whose year is at most two before their report's or one after it, in
+    the currency of the company's newest report."""
+    inside = rows.filter((F.col("year") >= F.col("report_year") - 2) & (F.col("year") <= F.col("report_year") + 1))
+    newest = inside.groupBy("company_id").agg(F.max_by("currency", F.struct("report_year", "currency")).alias("__main"))
+    return inside.join(newest, "company_id").filter(F.col("currency").eqNullSafe(F.col("__main"))).drop("__main")
+
+
+def listed(companies: DataFrame, this_year: int, least_revenue: float = 1_000_000) -> DataFrame:
+    """Companies (newest_year, exchange, revenue_usd) that are shown: figures of the last two years, and an exchange or enough revenue."""
+    current = F.col("newest_year") >= this_year - 2
+    return companies.filter(current & (F.coalesce(F.trim("exchange"), F.lit("")) != "") | current & (F.col("revenue_usd") >= least_revenue))
+
+
+def area_top_paid(people: DataFrame, top: int = 100) -> DataFrame:
+    """The best-paid people of an area by their latest pay. The limit is the page's length."""
+    return people.filter("is_current").orderBy(F.desc("latest_pay"), "person_id").limit(top)

@@ -96,3 +96,48 @@ def fuzzy_members(constituents: DataFrame, filers: DataFrame) -> DataFrame:
     every = F.forall(F.split("f_key", " "), lambda w: F.exists(F.split("key", " "), lambda k: k.startswith(w)))
     order = F.struct(F.length("f_key").alias("l"), (-F.col("filings")).alias("n"), F.col("filer_id"))
     return met.filter(every).groupBy("ticker").agg(F.min_by("filer_id", order).alias("filer_id"))
+
+
+def of_ids(df: DataFrame, key: str, ids: list) -> DataFrame:
+    """The rows of a few ids, whatever the case of text ids: a filter that reaches the scan."""
+    if dict(df.dtypes)[key] == "string":
+        return df.filter(F.upper(key).isin([i.upper() for i in ids]))
+    return df.filter(F.col(key).isin(ids))
+
+
+def second_pass(asked: DataFrame, table: DataFrame, key: str, relaxed: Column, value: str) -> DataFrame:
+    """asked with value by key, and for the rows that this leaves without one by a relaxed form of the key."""
+    t = table.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias(value))
+    first = asked.join(t, F.col(key) == F.col("__key"), "left").drop("__key")
+    rest = first.filter(F.col(value).isNull()).drop(value).withColumn("__relaxed", relaxed)
+    again = rest.join(t, F.col("__relaxed") == F.col("__key"), "left").drop("__key", "__relaxed")
+    return first.filter(F.col(value).isNotNull()).unionByName(again)
+
+
+def preferred(first: Column, second: Column, differs: Column) -> Column:
+    """A place that is better known over one that is registered: the first where it is there and differs, else the second."""
+    return F.when(first.isNotNull() & (second.isNull() | differs), first).otherwise(F.coalesce(second, first))
+
+
+def newest_wins(rows: DataFrame, key: list[str], order: str, same: list[str]) -> DataFrame:
+    """One row for a key (company_id and more): the newest by order; only rows that agree with their company's newest one in
+    the columns same, so that a series never mixes two bases."""
+    basis = rows.groupBy("company_id").agg(F.max_by(F.struct(*same), F.struct(order, *same)).alias("__basis"))
+    df = rows.join(basis, "company_id")
+    for c in same:
+        df = df.filter(F.col(c).eqNullSafe(F.col(f"__basis.{c}")))
+    rest = [c for c in rows.columns if c not in key]
+    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("b"))
+    return best.select(*key, *[f"b.{c}" for c in rest])
+
+
+def unique_names(asked: DataFrame, people: DataFrame, name: str, id: str) -> DataFrame:
+    """asked with the id of a person whose name one person alone has."""
+    one = people.select(F.lower(name).alias("__name"), id).distinct().groupBy("__name").agg(F.min(id).alias("__id"), F.count("*").alias("n")).filter("n = 1")
+    return asked.join(one.select("__name", "__id"), F.lower(asked[name]) == F.col("__name"), "left").drop("__name").withColumnRenamed("__id", id)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[Column], top: int | None = None) -> DataFrame:
+    """df with place: its number within a (small) group in order; the first top of each. Groups are the rows of one company."""
+    out = df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return out if top is None else out.filter(F.col("place") <= top)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import numbers, text, web
-from ..operators import facts, markup, pages, people, search, sets, visitors
+from ..functions import companies, numbers, text, web
+from ..operators import facts, markup, metrics, pages, people, search, sets, visitors
 from ..sources import directory as d
 from ..sources import publish
 from ..streaming import events as stream
 from .catalogue import query
 from .queries import _VISITS
+from .sql import MILES
 from .text import _pick, _sql_array, _text
 
 POINT = (40.3916, -111.8508, 250.0)
@@ -389,3 +390,108 @@ def q_filled_years(s, sf):
 def q_modal_columns(s, sf):
     html = _text("<table><tr><td>", F.col("r_name"), "</td></tr><tr><td>a</td><td>b</td><td>c</td></tr><tr><td colspan=2>d</td><td>e</td></tr></table>")
     return markup.modal_columns(markup.table_cells(d.table(s, sf, "region").withColumn("h", html), "r_regionkey", "h"))
+
+
+# --- lookups and orders of single companies ---------------------------------------------------------------------------
+
+
+@query("q_facets", "SELECT * FROM (SELECT company_id, ticker FROM companies) WHERE upper(ticker) IN ('T1', 'T11.L', 'T26.KA')")
+def q_facets(s, sf):
+    return sets.of_ids(d.companies(s, sf).select("company_id", "ticker"), "ticker", ["t1", "T11.l", "t26.ka"])
+
+
+@query("q_location_order", "SELECT location_id, row_number() OVER (PARTITION BY company_id ORDER BY type <> 'Headquarters', city, location_id) AS place FROM locations")
+def q_location_order(s, sf):
+    order = [F.col("type") != "Headquarters", F.col("city"), F.col("location_id")]
+    return sets.numbered(d.locations(d.companies(s, sf)), ["company_id"], order).select("location_id", F.col("place").cast("long").alias("place"))
+
+
+@query("q_title_order", """SELECT company_id, title, place FROM (SELECT company_id, title, row_number() OVER (PARTITION BY company_id ORDER BY n DESC, lower(title), title) AS place FROM (
+    SELECT company_id, title, count(*) AS n FROM filings GROUP BY 1, 2)) WHERE place <= 25""")
+def q_title_order(s, sf):
+    counts = d.filings(s, sf).groupBy("company_id", "title").agg(F.count("*").alias("n"))
+    return sets.numbered(counts, ["company_id"], [F.desc("n"), F.lower("title"), F.col("title")], 25).select("company_id", "title", F.col("place").cast("long").alias("place"))
+
+
+@query("q_second_pass", "SELECT c_custkey, c_nationkey::BIGINT AS lat FROM customer")
+def q_second_pass(s, sf):
+    k = F.col("c_nationkey")
+    asked = d.table(s, sf, "customer").select("c_custkey", F.concat(k, F.lit(" Main St"), F.when(F.col("c_custkey") % 2 == 0, " Suite 5").otherwise("")).alias("street"))
+    table = d.table(s, sf, "nation").select(F.concat("n_nationkey", F.lit(" Main St")).alias("street"), F.col("n_nationkey").cast("long").alias("lat"))
+    return sets.second_pass(asked, table, "street", F.regexp_replace("street", r"(?i)\s+(suite|ste|floor|unit)\b.*$", ""), "lat").select("c_custkey", "lat")
+
+
+@query("q_preferred_office", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Head' WHEN 1 THEN 'Registered' ELSE 'Both' END AS town FROM customer")
+def q_preferred_office(s, sf):
+    k = F.col("c_custkey")
+    head, registered = F.when(k % 3 == 0, "Head").when(k % 3 == 2, "Both"), F.when(k % 3 == 1, "Registered").when(k % 3 == 2, "both")
+    return d.table(s, sf, "customer").select("c_custkey", F.initcap(sets.preferred(head, registered, F.lower(head) != F.lower(registered))).alias("town"))
+
+
+@query("q_newest_wins", "SELECT l_suppkey AS company_id, year(l_shipdate) AS year, max(l_orderkey) AS value FROM lineitem GROUP BY 1, 2")
+def q_newest_wins(s, sf):
+    """Each year of a supplier twice: in a filing of its newest concept, and in an older one of another."""
+    rows = d.table(s, sf, "lineitem").groupBy(F.col("l_suppkey").alias("company_id"), F.year("l_shipdate").alias("year")).agg(F.max("l_orderkey").alias("value"))
+    kinds = F.explode(F.array(F.struct(F.lit(1).alias("filed"), F.lit("old").alias("concept"), F.lit(0).alias("off")), F.struct(F.lit(2).alias("filed"), F.lit("new").alias("concept"), F.lit(0).alias("off")),
+                              F.struct(F.lit(1).alias("filed"), F.lit("new").alias("concept"), F.lit(7).alias("off"))))
+    rows = rows.withColumn("k", kinds).select("company_id", "year", (F.col("value") - F.col("k.off")).alias("value"), "k.filed", "k.concept")
+    return sets.newest_wins(rows, ["company_id", "year"], "filed", ["concept"]).select("company_id", "year", "value")
+
+
+@query("q_unique_names", "SELECT s_suppkey AS row, CASE WHEN s_suppkey >= 4 THEN s_suppkey END AS person_id FROM supplier")
+def q_unique_names(s, sf):
+    k = F.col("s_suppkey")
+    t = d.table(s, sf, "supplier")
+    name = F.when(k < 4, _text("Twin ", k % 2)).otherwise(F.col("s_name"))
+    people_ = t.select(name.alias("name"), k.alias("person_id"))
+    return sets.unique_names(t.select(k.alias("row"), F.upper(name).alias("name")), people_, "name", "person_id").select("row", "person_id")
+
+
+@query("q_not_shown_elsewhere", "SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+def q_not_shown_elsewhere(s, sf):
+    c = d.table(s, sf, "customer").select("c_custkey", companies.company_key(F.concat("c_name", F.lit(" Ltd."))).alias("key"))
+    other = d.table(s, sf, "customer").filter("c_custkey % 3 = 0").select(companies.company_key(F.concat(F.upper("c_name"), F.lit(", Inc"))).alias("key"))
+    return sets.without(c, other, ["key"]).select("c_custkey")
+
+
+@query("q_best_filers", "SELECT c_mktsegment AS name, arg_max(c_custkey, (c_nationkey, -c_custkey)) AS filer FROM customer GROUP BY 1")
+def q_best_filers(s, sf):
+    f = d.table(s, sf, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("filer"), F.col("c_nationkey").alias("filings"))
+    return sets.best_of(f, ["name"], [-F.col("filings"), F.col("filer")]).select("name", "filer")
+
+
+@query("q_plausible_pay", """SELECT s_suppkey FROM supplier WHERE CASE s_suppkey % 3 WHEN 0 THEN s_suppkey * 10000 BETWEEN 150000 AND 25000000 AND s_suppkey % 2 = 0 WHEN 1 THEN s_suppkey * 10000 >= 1000000 ELSE s_suppkey > 0 END""")
+def q_plausible_pay(s, sf):
+    k = F.col("s_suppkey")
+    rows = d.table(s, sf, "supplier").select(k, F.when(k % 3 == 0, "uk").when(k % 3 == 1, "pk").otherwise("sec").alias("market"), (k * 10_000).cast("double").alias("total"),
+                                             F.when(k % 4 == 0, k * 1000.0).otherwise(k * 1.0).alias("salary"), (k % 4 == 2).alias("verified"))
+    return people.plausible_pay(rows).select("s_suppkey")
+
+
+@query("q_report_years", "SELECT s_suppkey AS company_id, y AS year FROM supplier, range(1999, 2003) a(y)")
+def q_report_years(s, sf):
+    rows = d.table(s, sf, "supplier").select(F.col("s_suppkey").alias("company_id"), F.explode(F.sequence(F.lit(1990), F.lit(2010))).alias("year"))
+    newest = rows.select("company_id", "year", F.lit(2001).alias("report_year"), F.lit("GBP").alias("currency"))
+    return people.report_years(newest.unionByName(rows.select("company_id", "year", F.lit(1995).alias("report_year"), F.lit("USD").alias("currency")))).select("company_id", "year")
+
+
+@query("q_listed", "SELECT company_id FROM stats JOIN (SELECT company_id, max(fiscal_year) AS newest FROM periods GROUP BY 1) USING (company_id) WHERE newest >= 1999 AND (company_id % 2 = 0 OR revenue_usd >= 300000)")
+def q_listed(s, sf):
+    newest = d.periods(s, sf).groupBy("company_id").agg(F.max("fiscal_year").alias("newest_year"))
+    df = metrics.in_dollars(d.companies(s, sf), metrics.indicators(d.periods(s, sf))).join(newest, "company_id")
+    return people.listed(df.withColumn("exchange", F.when(F.col("company_id") % 2 == 0, "NYSE").otherwise(" ")), 2001, 300_000).select("company_id")
+
+
+@query("q_area_top_paid", "SELECT person_id, latest_pay FROM near WHERE is_current ORDER BY latest_pay DESC, person_id LIMIT 100", extra=",\n" + _NEAR)
+def q_area_top_paid(s, sf):
+    return people.area_top_paid(_near(s, sf)).select("person_id", "latest_pay")
+
+
+@query("q_nearest_codes", f"""SELECT s_suppkey, code FROM (SELECT s.s_suppkey, c.code, row_number() OVER (PARTITION BY s.s_suppkey ORDER BY round(power(c.latitude - s.latitude, 2) + power((c.longitude - s.longitude) * cos(radians(s.latitude)), 2), 12), c.code) AS n,
+    {MILES.format(a='s', b='c')} AS m FROM (SELECT s_suppkey, 25 + (s_suppkey * 41 % 2400)::DOUBLE / 100 AS latitude, -120 + (s_suppkey * 59 % 5000)::DOUBLE / 100 AS longitude FROM supplier) s,
+    (SELECT 'C' || company_id AS code, latitude, longitude FROM companies) c) WHERE n = 1 AND m <= 15""")
+def q_nearest_codes(s, sf):
+    k = F.col("s_suppkey")
+    points = d.table(s, sf, "supplier").select(k, (25 + (k * 41 % 2400).cast("double") / 100).alias("latitude"), (-120 + (k * 59 % 5000).cast("double") / 100).alias("longitude"))
+    codes = d.companies(s, sf).select(_text("C", F.col("company_id")).alias("place"), F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"))
+    return search.nearest_place(points, codes, "s_suppkey", 15).filter("place is not null").select("s_suppkey", F.col("place").alias("code"))

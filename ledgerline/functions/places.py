@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,7 +210,3 @@ def biggest_cities(rows: DataFrame) -> DataFrame:
     cities = rows.groupBy(F.upper("city").alias("name"), F.upper("state").alias("state")).agg(
         F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.count("*").alias("codes"))
     return cities.groupBy("name").agg(F.min_by(F.struct("state", "latitude", "longitude", "codes"), F.struct(-F.col("codes"), "state")).alias("b")).select("name", "b.*")
-
-
-def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(Column.__or__, [text.contains(w) for w in words])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import places, text
-from ledgerline.operators import markup, people, search, visitors
+from ledgerline.operators import markup, people, quality, search, visitors
 from ledgerline.sources import files, publish
 from ledgerline.streaming import events as stream
 
@@ -153,3 +153,16 @@ def test_pay_ratios_need_amounts_that_have_them(spark):
     rows = [(1, good), (2, good.replace("926", "500")), (3, "no such thing"), (4, None), (5, "median employee $50,000; CEO 8,965,642; ratio 1:179.3")]
     got = {r["n"]: r["r"]["ratio"] for r in spark.createDataFrame(rows, "n int, t string").select("n", markup.pay_ratio(F.col("t")).alias("r")).collect()}
     assert {k: v and round(v, 1) for k, v in got.items()} == {1: 926.0, 2: None, 3: None, 4: None, 5: 179.3}
+
+
+def test_reports_and_exports_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(2, 'b, "x"'), (1, "a|b"), (3, None)], "id int, name string")
+    publish.write_csv(df, str(tmp_path / "out"), ["id"])
+    back = spark.read.csv(str(tmp_path / "out"), header=True, quote='"', escape='"').collect()
+    assert [(r["id"], r["name"]) for r in sorted(back, key=lambda r: r["id"])] == [("1", "a|b"), ("2", 'b, "x"'), ("3", None)]
+    assert publish.markdown(df.orderBy("id"), 2).split("\n") == ["| id | name |", "| --- | --- |", "| 1 | a\\|b |", '| 2 | b, "x" |']
+    assert [r["example"] for r in quality.examples(df, F.col("id") > 1, F.concat(F.lit("row "), "id"), 1).collect()] == ["row 2"]
+    old = spark.createDataFrame([("h1b", "x"), ("postings", "y")], "source string, title string")
+    publish.replace_partition(str(tmp_path / "s"), old.filter("source = 'h1b'").drop("source"), "source", "h1b")
+    publish.replace_partition(str(tmp_path / "s"), spark.createDataFrame([("z",)], "title string"), "source", "postings")
+    assert {(r["title"], r["source"]) for r in spark.read.parquet(publish.current(spark, str(tmp_path / "s"))).collect()} == {("x", "h1b"), ("z", "postings")}

@@ -71,3 +71,16 @@ def yearly_pay(rate: Column, unit: Column) -> Column:
     amount = F.regexp_replace(rate, r"[$,]", "").try_cast("double")
     times = F.create_map(*[F.lit(x) for pair in {"year": 1, "hour": 2080, "week": 52, "bi-weekly": 26, "month": 12}.items() for x in pair])
     return F.when(amount > 0, F.bround(amount * F.try_element_at(times, F.lower(F.trim(unit))), 0))
+
+
+def unit_factor(revenue: Column, net: Column, eps: Column, shares: Column, market_cap: Column) -> Column:
+    """1000 if a statement's figures are a thousandth of what earnings a share times shares, or the market's value, say; else 1."""
+    by_share = F.when((eps != 0) & (shares > 0) & (net != 0), F.abs(eps * shares / net))
+    by_market = F.when((market_cap > 0) & (revenue > 0), market_cap / revenue)
+    return F.when(by_share.between(600, 1700), 1000).when(by_share.isNull() & (by_market > 5000), 1000).otherwise(1)
+
+
+def last_days(days: int | None, today: Column) -> tuple[Column, Column]:
+    """The first and last day of a report over so many days up to today; 30 if none are asked for, 1 at least, 400 at most."""
+    n = 30 if days is None else max(1, min(400, days))
+    return F.date_sub(today, n - 1), today

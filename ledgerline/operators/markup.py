@@ -272,3 +272,15 @@ def labelled_row(line: Column) -> Column:
     found = F.regexp_extract_all(rest, F.lit(f"({digits})"), F.lit(1))
     number = lambda t: F.regexp_replace(t, r"[(), ]", "").try_cast("double") * F.when(t.startswith("("), -1).otherwise(1)
     return F.when(label != "", F.struct(F.trim(label).alias("label"), F.transform(found, number).alias("amounts")))
+
+
+def table_rows(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(id, n_table, row, a column for each of columns): the rows of tables that have a first row with these headers (text in
+    small letters), whatever their order."""
+    heads = {name: F.max(F.when((F.col("row") == 0) & (F.lower("text") == head), F.col("first_column"))).alias(f"__{name}") for name, head in columns.items()}
+    own = cells.groupBy("id", "n_table").agg(*heads.values())
+    for name in columns:
+        own = own.filter(F.col(f"__{name}").isNotNull())
+    met = cells.filter("row > 0").join(own, ["id", "n_table"])
+    picked = [F.max(F.when(F.col(f"__{name}").between(F.col("first_column"), F.col("last_column")), F.col("text"))).alias(name) for name in columns]
+    return met.groupBy("id", "n_table", "row").agg(*picked)

@@ -141,3 +141,10 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], top: int | No
     """df with place: its number within a (small) group in order; the first top of each. Groups are the rows of one company."""
     out = df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return out if top is None else out.filter(F.col("place") <= top)
+
+
+def overlaid(rows: DataFrame, found: DataFrame, key: str, guard: str, take: list[str]) -> DataFrame:
+    """rows with what was found for them, as long as the text that it was found for (guard) is still theirs."""
+    f = found.select(F.col(key).alias("__key"), F.col(guard).alias("__guard"), *[F.col(c).alias(f"__{c}") for c in take])
+    df = rows.join(f, (F.col(key) == F.col("__key")) & F.col(guard).eqNullSafe(F.col("__guard")), "left")
+    return df.select(*[F.coalesce(f"__{c}", c).alias(c) if c in take else rows[c] for c in rows.columns])

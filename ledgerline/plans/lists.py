@@ -495,3 +495,41 @@ def q_nearest_codes(s, sf):
     points = d.table(s, sf, "supplier").select(k, (25 + (k * 41 % 2400).cast("double") / 100).alias("latitude"), (-120 + (k * 59 % 5000).cast("double") / 100).alias("longitude"))
     codes = d.companies(s, sf).select(_text("C", F.col("company_id")).alias("place"), F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"))
     return search.nearest_place(points, codes, "s_suppkey", 15).filter("place is not null").select("s_suppkey", F.col("place").alias("code"))
+
+
+@query("q_table_rows", "SELECT c_nationkey AS id, c_name AS name, c_custkey::VARCHAR AS ticker FROM customer")
+def q_table_rows(s, sf):
+    """Members in the second table of a page, beside one without the headers."""
+    row = _text("<tr><td>", F.col("c_custkey"), "</td><td>x</td><td><a href='#'>", F.col("c_name"), "</a></td></tr>")
+    rows = d.table(s, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    html = _text("<table><tr><td>a</td></tr></table><table><tr><th>Ticker</th><th>Sector</th><th>Company</th></tr>", F.col("rows"), "</table>")
+    cells = markup.table_cells(rows.withColumn("h", html), "id", "h")
+    return markup.table_rows(cells, {"name": "company", "ticker": "ticker"}).select("id", "name", "ticker")
+
+
+@query("q_overlaid", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS latitude FROM supplier")
+def q_overlaid(s, sf):
+    k = F.col("s_suppkey")
+    rows = d.table(s, sf, "supplier").select(k, F.lit("1 Main St").alias("street"), F.lit(1.0).alias("latitude"))
+    found = rows.select(k, F.when(k % 3 == 0, "1 Main St").otherwise("old street").alias("street"), F.lit(2.0).alias("latitude"))
+    return sets.overlaid(rows, found, "s_suppkey", "street", ["latitude"]).select("s_suppkey", "latitude")
+
+
+@query("q_filing_urls", "SELECT o_orderkey, 'https://filings.xbrl.org/' || o_custkey AS url FROM orders")
+def q_filing_urls(s, sf):
+    o = d.table(s, sf, "orders")
+    dictionary = o.select("o_custkey").distinct().select("o_custkey", companies.expanded(_text("~xbrl/", F.col("o_custkey"))).alias("url"))
+    return o.select("o_orderkey", "o_custkey").join(dictionary, "o_custkey", "left").select("o_orderkey", "url")
+
+
+@query("q_unit_factors", "SELECT s_suppkey, (CASE WHEN s_suppkey % 2 = 0 THEN 1000 ELSE 1 END)::INTEGER AS factor FROM supplier")
+def q_unit_factors(s, sf):
+    k = F.col("s_suppkey")
+    net = F.when(k % 2 == 0, 5.0).otherwise(5000.0)
+    return d.table(s, sf, "supplier").select(k, numbers.unit_factor(net * 10, net, F.lit(2.5), F.lit(2000.0), F.lit(1e6)).alias("factor"))
+
+
+@query("q_last_days", "SELECT event_id FROM site WHERE day >= '2024-01-24'")
+def q_last_days(s, sf):
+    first, last = numbers.last_days(7, F.lit("2024-01-30").cast("date"))
+    return d.events(s, sf).filter(F.to_date("day").between(first, last)).select("event_id")

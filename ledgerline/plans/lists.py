@@ -212,8 +212,8 @@ def q_newest_visits(s, sf):
 @query("q_areas", """SELECT area, events, visitors FROM (SELECT CASE WHEN latitude < 27.2 THEN 'South town' ELSE 'Near ' || printf('%.2f, %.2f', latitude, longitude) END AS area, sum(events)::BIGINT AS events, sum(visitors)::BIGINT AS visitors
     FROM (SELECT latitude, longitude, count(*) AS events, count(DISTINCT visitor) AS visitors FROM site WHERE name = 'click' GROUP BY 1, 2 ORDER BY 4 DESC, 3 DESC, 1, 2 LIMIT 100) GROUP BY 1) ORDER BY visitors DESC, events DESC, area LIMIT 25""")
 def q_areas(s, sf):
-    towns = s.range(25, 27).select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q"), F.col("id")).select((F.col("id") + F.col("q") / 4).alias("to_latitude")).crossJoin(
-        s.range(0, 15).select((-100 + F.col("id") / 4).alias("to_longitude"))).withColumn("place", F.lit("South town"))
+    quarter = lambda first, n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: first + i / 4))
+    towns = s.range(1).select(quarter(25.0, 8).alias("to_latitude")).select("to_latitude", quarter(-100.0, 15).alias("to_longitude"), F.lit("South town").alias("place"))
     return search.areas(visitors.search_points(d.events(s, sf)), towns)
 
 

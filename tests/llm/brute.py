@@ -58,7 +58,7 @@ def mix(docs, weights=(3, 1, 2), share=1.5, cap=2):
     out = {}
     for s in sources:
         words_, start = int(target[s] + 0.5), 0
-        own = sorted((hashlib.md5(str(d).encode()).hexdigest(), d) for d, _, x in docs if x == s)
+        own = sorted((hashlib.md5(f"{'' if d is None else d}|{t or ''}".encode()).hexdigest(), d) for d, t, x in docs if x == s)
         for _, d in own:
             passes, rest = divmod(words_, total[s]) if total[s] else (0, 0)
             out[d] = (sizes[d], total[s], target[s], passes * sizes[d] + max(0, min(sizes[d], rest - start)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, lm, minhash, mixing, quality, tokens, toxicity, urls, warc
+from . import bpe, decontaminate, fim, lines, lm, minhash, mixing, quality, spelling, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_line_dedup": op3_line_dedup,
@@ -63,6 +75,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -98,7 +113,58 @@ def _quality_sql(rules: quality.QualityRules) -> str:
         FROM (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM b)"""
 
 
+def _crc_table() -> list[int]:
+    """The crc32 of each byte, before the last complement: eight shifts, each with the polynomial where a bit falls out."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+def _spelling_sql(s: spelling.Spelling) -> str:
+    """What spelling_report states. Pairs are found by leaving out each letter: two words of one length are one
+    replacement apart if they agree without the same letter; the longer of two lengths is the other one without a letter."""
+    return f"""
+        WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+            unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        g AS (SELECT id, run, count(*) AS c FROM r WHERE length(run) >= {s.min_chars} GROUP BY id, run),
+        h AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)),
+                lambda x: x::BIGINT)), lambda a, b: xor(a >> 8, CAST({_crc_table()} AS BIGINT[])[(xor(a, b) & 255) + 1]))) AS h FROM g),
+        d AS (SELECT CASE WHEN h % {s.damage} = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c FROM h),
+        w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM d WHERE length(word) >= {s.min_chars} GROUP BY word HAVING sum(c) >= {s.min_count}),
+        v AS (SELECT word, n, length(word) AS l, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        p AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM v a JOIN v b USING (less, i, l) WHERE a.word <> b.word
+              UNION SELECT v.word, v.n, w.word, w.n FROM v JOIN w ON v.less = w.word UNION SELECT w.word, w.n, v.word, v.n FROM v JOIN w ON v.less = w.word),
+        b AS (SELECT word, count(*) AS n_near, min({{'less': -other_n, 'form': other}}) AS best FROM p GROUP BY word),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= {s.times} * w.n THEN best.form END AS form,
+                     CASE WHEN -best.less >= {s.times} * w.n THEN -best.less END AS form_n FROM w LEFT JOIN b USING (word)),
+        t AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL),
+        e AS (SELECT word, max_by(root, step) AS root FROM t GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)"""
+
+
+def _fim_sql(f: fim.Fim) -> str:
+    """What fim_report states, over arrays of units."""
+    p, s, m = f.sentinels
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                          sha256('{f.seed}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        e AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM d),
+        c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                     CASE WHEN t = '' OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR h[3] % 100 >= {f.changed_percent} THEN 'plain'
+                          WHEN h[4] % 100 < {f.spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM e),
+        x AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('{p}', pre, '{s}', suf, '{m}', mid) ELSE concat('{s}', suf, '{p}', pre, '{m}', mid) END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM x"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_variants": _spelling_sql(spelling.Spelling()),
+    "op12_fill_in_middle": _fim_sql(fim.Fim()),
     "op8_quality_rules": _quality_sql(quality.QualityRules()),
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),

@@ -10,10 +10,11 @@ States and moves are made when a text first needs them and kept up to a bound.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, partial
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -29,9 +30,10 @@ from .shared import only
 #: contractions stand for themselves), numbers, white space and the rest. (A fixed value of the vocabulary.)
 PIECES = re.compile(rb"'(?:[stmd]|re|ve|ll)| ?[Lstrevmld]+| ?N+| ?[O']+|[ W]+(?![^ W])|[ W]+")
 KEPT = b"strevmld '"
+#: The same over ASCII as it is.
+PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+", re.ASCII)
 #: Where a long text may be cut, and after how many characters it is.
 CUT, BLOCK = re.compile(rb"[^ W](?=[ W])"), 1 << 19
-BYTES = [bytes([i]) for i in range(256)]
 NEVER = 1 << 62
 
 
@@ -41,22 +43,24 @@ class Bpe:
     and of pieces met before."""
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-    max_states: int = 200_000
-    max_pieces: int = 200_000
+    max_states: int = 150_000
+    max_pieces: int = 100_000
     piece_chars: int = 48
 
 
 @cache
 def _folds() -> np.ndarray:
-    """The class of each code point, by the Unicode tables of the tokenizer library: one call for all letters."""
+    """The class of each code point, by the Unicode tables of the tokenizer library: not by those of this language."""
     import tiktoken
 
     single = {bytes([i]): i for i in range(256)}
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     table = np.full(0x110000, ord("O"), np.uint8)
     for pattern, mark in ((r"\p{L}+", "L"), (r"\p{N}+", "N"), (r"\s+", "W")):
-        found = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(everything)
-        table[np.frombuffer(bytes(found).decode().encode("utf-32-le"), "<u4")] = ord(mark)
+        only = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        for block in range(0, 0x110000, 0x1000):
+            if not 0xD800 <= block < 0xE000:
+                found = only.encode_ordinary("".join(map(chr, range(block, block + 0x1000))))
+                table[np.frombuffer(bytes(found).decode().encode("utf-32-le"), "<u4")] = ord(mark)
     table[list(KEPT)] = list(KEPT)
     return table
 
@@ -69,21 +73,35 @@ def pieces(text: str) -> Iterator[list[str]]:
     while start < len(folded):
         cut = CUT.search(folded, start + BLOCK)
         stop = cut.end() if cut else len(folded)
-        ends = list(accumulate(map(len, PIECES.findall(folded, start, stop)), initial=start))
-        yield [text[a:b] for a, b in pairwise(ends)]
+        if text.isascii():
+            yield PLAIN.findall(text, start, stop)
+        else:
+            ends = list(accumulate(map(len, PIECES.findall(folded, start, stop)), initial=start))
+            yield [text[a:b] for a, b in pairwise(ends)]
         start = stop
 
 
 class Vocabulary:
-    """Ranks by bytes, bytes by rank, and all beginnings of tokens."""
+    """Ranks by bytes, bytes by rank, and all beginnings of tokens as a tree: children of a node by byte, and the token that
+    a node is (-1: none)."""
 
     def __init__(self, path: str):
         store, inner = filesystem(path)
         with store.open_input_stream(inner) as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
         self.tokens = {r: t for t, r in self.ranks.items()}
-        #: By itself, so that all paths share one object.
-        self.beginnings = {b: b for b in {t[:i] for t in self.ranks for i in range(1, len(t))}}
+        self.children: list[dict[int, int]] = [{}]
+        self.token: list[int] = [-1]
+        for data, rank in self.ranks.items():
+            node = 0
+            for byte in data:
+                below = self.children[node]
+                node = below.get(byte, 0)
+                if not node:
+                    node = below[byte] = len(self.children)
+                    self.children.append({})
+                    self.token.append(-1)
+            self.token[node] = rank
 
         self.histories: dict[int, tuple[list, list]] = {}
 
@@ -122,7 +140,7 @@ class Vocabulary:
         """Whether the two tokens' bytes, one behind the other, become these two: both histories run side by side, and
         at no time is the join over the border the next one."""
         (left_ranks, left_parts), (right_ranks, right_parts) = self.history(left), self.history(right)
-        if not left_parts or not right_parts:
+        if not left_parts or not right_parts or self.tokens[left] + self.tokens[right] in self.ranks:
             return False
         i = j = 0
         while True:
@@ -140,13 +158,14 @@ class Vocabulary:
 
 
 class Transducer:
-    """Moves by state and byte, made when first asked for. Paths are (pending tokens, last token, bytes of the next)."""
+    """Moves by state and byte, made when first asked for. A path is the node of the next token and the tokens pending; where
+    none are, -2 less the last token emitted (-1 at the beginning)."""
 
-    START = (((), -1, b""),)
+    START = ((0, -1),)
 
     def __init__(self, vocabulary: Vocabulary, max_states: int):
         self.v, self.max_states = vocabulary, max_states
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.fitting: dict[int, bool] = {}
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: list[dict[int, tuple[int, tuple]]] = []
@@ -167,70 +186,95 @@ class Transducer:
 
     def fits(self, last: int, token: int) -> bool:
         """Whether both tokens, one behind the other, are encoded as themselves (last -1: a token at the beginning)."""
-        found = self.fitting.get((last, token))
+        key = (last + 1) << 32 | token
+        found = self.fitting.get(key)
         if found is None:
-            if len(self.fitting) > 5 * self.max_states:
+            if len(self.fitting) > 2 * self.max_states:
                 self.fitting.clear()
-            found = self.v.apart(last, token) if last >= 0 else bool(self.v.history(token)[1])
-            self.fitting[last, token] = found
+            found = self.fitting[key] = self.v.apart(last, token) if last >= 0 else bool(self.v.history(token)[1])
         return found
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        paths, ended, read = [], None, BYTES[byte]
-        ranks, beginnings = self.v.ranks, self.v.beginnings
-        for pending, last, begun in self.states[state]:
-            begun += read
+        paths, ended, children, tokens = [], None, self.v.children, self.v.token
+        for path in self.states[state]:
+            node = children[path[0]].get(byte)
+            if node is None:
+                continue
             if ended is None:
-                token = ranks.get(begun)
-                if token is not None and self.fits(last, token):
-                    ended = ((*pending, token), token, b"")
-            begun = beginnings.get(begun)
-            if begun:
-                paths.append((pending, last, begun))
+                token = tokens[node]
+                if token >= 0:
+                    last = path[-1]
+                    if self.fits(last if last >= 0 else -2 - last, token):
+                        ended = (0, token) if last < 0 else (0, *path[1:], token)
+            if children[node]:
+                paths.append((node, *path[1:]))
         paths.append(ended)
-        shared = 0
-        for column in zip(*[p[0] for p in paths]):
-            if column.count(column[0]) < len(column):
-                break
-            shared += 1
-        out = ended[0][:shared]
-        after = tuple([(pending[shared:], last, begun) for pending, last, begun in paths]) if shared else tuple(paths)
-        if len(self.states) >= self.max_states and after not in self.ids:
-            self._forget()
-            return self._state(after), out
-        to = self._state(after)
-        self.moves[state][byte] = to, out
-        return to, out
-
-    def stream(self, data: bytes) -> Iterator[int]:
-        """The tokens of one piece, each as soon as no further byte can change it."""
-        state, moves = 0, self.moves
+        shared, out = 1, ()
+        if all(path[1] >= 0 for path in paths):
+            for column in zip(*[path[1:] for path in paths]):
+                if column.count(column[0]) < len(column):
+                    break
+                shared += 1
+            out = ended[1:shared]
+            if out:
+                paths = [(path[0], *(path[shared:] or (-2 - out[-1],))) for path in paths]
+        after = tuple(paths)
+        to = self.ids.get(after)
+        if to is None:
+            if len(self.states) >= self.max_states:
+                self._forget()
+                return self._state(after), out
+            to = self._state(after)
+        found = self.moves[state][byte] = to, out
+        return found
+
+    def encode(self, data: bytes) -> tuple[int, ...]:
+        """The tokens of one piece."""
+        state, moves, ids = 0, self.moves, ()
         for byte in data:
             found = moves[state].get(byte)
             state, out = found if found is not None else self._move(state, byte)
+            if out:
+                ids += out
+        return ids + self._rest(state)
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """The tokens of one piece, each as soon as no further byte can change it."""
+        state = 0
+        for byte in data:
+            found = self.moves[state].get(byte)
+            state, out = found if found is not None else self._move(state, byte)
             if out:
                 yield from out
-        for pending, _, begun in self.states[state]:
-            if not begun:
-                yield from pending
+        yield from self._rest(state)
+
+    def _rest(self, state: int) -> tuple[int, ...]:
+        """What is pending where a piece ends: of the one path that ends a token there."""
+        return next((path[1:] if path[-1] >= 0 else ()) for path in reversed(self.states[state]) if not path[0])
 
 
 class Pieces(dict):
-    """Tokens by piece. One that is a token as a whole is that token, whatever its bytes would merge to; long ones are
-    encoded as they are read and not kept."""
+    """Tokens by piece, those of the last pieces met and of the ones before. A piece that is a token as a whole is that token,
+    whatever its bytes would merge to; long ones are encoded as they are read and not kept."""
 
     def __init__(self, transducer: Transducer, bpe: Bpe):
         self.transducer, self.bpe = transducer, bpe
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> Iterable[int]:
+        found = self.older.get(piece)
+        if found is not None:
+            self[piece] = found
+            return found
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.transducer.v.ranks.get(data)
-        found = self.transducer.stream(data) if whole is None else (whole,)
         if len(piece) > self.bpe.piece_chars:
-            return found
+            return self.transducer.stream(data) if whole is None else (whole,)
+        found = self.transducer.encode(data) if whole is None else (whole,)
         if len(self) >= self.bpe.max_pieces:
+            self.older = dict(self)
             self.clear()
-        self[piece] = found = tuple(found)
+        self[piece] = found
         return found
 
 
@@ -253,8 +297,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 @cache
 def encoder(bpe: Bpe = Bpe()) -> Encoder:
-    """One for each Python worker, so what one batch has taught serves the next."""
-    return Encoder(bpe)
+    """One for each Python worker, so what one batch has taught serves the next. Garbage is not looked for in the vocabulary."""
+    made = Encoder(bpe)
+    gc.freeze()
+    return made
 
 
 class Utf8:
@@ -304,26 +350,26 @@ class Utf8:
 
 
 class Decoder:
-    """Ids to text, token by token; a token that meets no open character and leaves none has its text looked up."""
+    """Ids to text, token by token; the text of tokens that are whole characters by themselves is looked up."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.closed: dict[int, str] = {}
-
-    def text(self, token: int) -> str | None:
-        """The text of a token that is whole characters by itself, else None."""
-        if token not in self.closed:
+        for token, data in v.tokens.items():
             machine = Utf8()
-            t = machine.feed(self.v.tokens.get(token, b"\xff"))
-            self.closed[token] = t if not machine.left and not machine.replaced else None
-        return self.closed[token]
+            text = machine.feed(data)
+            if not machine.left and not machine.replaced:
+                self.closed[token] = text
 
-    def stream(self, ids: np.ndarray, machine: Utf8) -> Iterator[str]:
+    def decode(self, ids: np.ndarray, machine: Utf8) -> str:
         """An id that the vocabulary lacks counts as one wrong byte."""
-        for token in ids.tolist():
-            t = None if machine.left else self.text(token)
-            yield machine.feed(self.v.tokens.get(token, b"\xff")) if t is None else t
-        yield machine.close()
+        tokens = ids.tolist()
+        whole = list(map(self.closed.get, tokens))
+        if None in whole:
+            for i, token in enumerate(tokens):
+                if machine.left or whole[i] is None:
+                    whole[i] = machine.feed(self.v.tokens.get(token, b"\xff"))
+        return "".join(whole) + machine.close()
 
 
 @cache
@@ -336,14 +382,29 @@ def packed(ids: np.ndarray) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def _encoded(bpe: Bpe):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(bpe)
-        for batch, texts in chunks(batches):
-            ids = [packed(coder.encode((t or b"").decode("utf-8", "replace"))) for t in texts]
-            yield extended(batch, ["id"], n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(bpe: Bpe, batches: Batches) -> Batches:
+    """(id, text) to (id, n_tokens, ids)."""
+    coder = encoder(bpe)
+    for batch, texts in chunks(batches):
+        ids = [packed(coder.encode((t or b"").decode("utf-8", "replace"))) for t in texts]
+        yield extended(batch, ["id"], n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
-    return run
+
+def _decoded(bpe: Bpe, keep: list[str], ids: str, text: str, batches: Batches) -> Batches:
+    """Batches with the text of a column of ids."""
+    d = decoder(bpe.vocabulary)
+    for batch in batches:
+        all_ids = batch.column(ids).to_pylist()
+        for start, stop in runs(all_ids):
+            texts, wrong = [], []
+            for data in all_ids[start:stop]:
+                machine, data = Utf8(), data or b""
+                texts.append(d.decode(np.frombuffer(data[: len(data) // 4 * 4], "<u4"), machine))
+                wrong.append(machine.replaced)
+            yield extended(batch.slice(start, stop - start), keep, **{text: pa.array(texts, pa.string()), "n_replaced": pa.array(wrong, pa.int64())})
 
 
 def encode_documents(docs: DataFrame, bpe: Bpe = Bpe(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,24 +415,7 @@ def encode_documents(docs: DataFrame, bpe: Bpe = Bpe(), id: str = "doc_id", text
     """
     plain = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    return plain.mapInArrow(_encoded(bpe), f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id)
-
-
-def _decoded(path: str, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = decoder(path)
-        for batch in batches:
-            all_ids = batch.column("__ids").to_pylist()
-            for start, stop in runs(all_ids):
-                texts, wrong = [], []
-                for data in all_ids[start:stop]:
-                    machine = Utf8()
-                    whole = len(data or b"") // 4 * 4
-                    texts.append("".join(d.stream(np.frombuffer((data or b"")[:whole], "<u4"), machine)))
-                    wrong.append(machine.replaced)
-                yield extended(batch.slice(start, stop - start), keep, text=pa.array(texts, pa.string()), n_replaced=pa.array(wrong, pa.int64()))
-
-    return run
+    return plain.mapInArrow(partial(_encoded, bpe), f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id)
 
 
 def decode_documents(encoded: DataFrame, bpe: Bpe = Bpe(), ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -380,12 +424,20 @@ def decode_documents(encoded: DataFrame, bpe: Bpe = Bpe(), ids: str = "ids", tex
     Null ids are an empty text; bytes beyond the last whole id are not read; an unknown id is replaced.
     """
     names = [c for c in encoded.columns if c not in (text, "n_replaced")]
-    given = encoded.select(*[encoded[c] for c in names], encoded[ids].alias("__ids"))
+    given = encoded.select(*[encoded[c] for c in names])
     kinds = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in names)
-    return given.mapInArrow(_decoded(bpe.vocabulary, names), f"{kinds}, __text string, n_replaced long").withColumnRenamed("__text", text)
+    return given.mapInArrow(partial(_decoded, bpe, names, ids, text), f"{kinds}, `{text}` string, n_replaced long")
+
+
+def round_trip(docs: DataFrame, bpe: Bpe = Bpe(), id: str = "doc_id", text: str = "text") -> DataFrame:
+    """decode_documents(encode_documents(docs)) in one pass of Python."""
+    plain = docs.select(docs[id].alias("id"), docs[text].alias("text"))
+    kind = plain.schema["id"].dataType.simpleString()
+    both = lambda batches: _decoded(bpe, ["id", "n_tokens", "ids"], "ids", "decoded", _encoded(bpe, batches))
+    return plain.mapInArrow(both, f"id {kind}, n_tokens long, ids binary, decoded string, n_replaced long").withColumnRenamed("id", id)
 
 
 def bpe_report(docs: DataFrame, bpe: Bpe = Bpe(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, and digests of the ids and of the text decoded from them."""
-    out = decode_documents(encode_documents(only(docs, id, text), bpe, id, text), bpe)
+    out = round_trip(only(docs, id, text), bpe, id, text)
     return out.select(id, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

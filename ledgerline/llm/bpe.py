@@ -43,8 +43,8 @@ class Bpe:
     and of pieces met before."""
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-    max_states: int = 150_000
-    max_pieces: int = 100_000
+    max_states: int = 300_000
+    max_pieces: int = 200_000
     piece_chars: int = 48
 
 

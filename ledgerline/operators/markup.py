@@ -216,11 +216,15 @@ def sentences(text: Column) -> Column:
     return F.transform(parts, lambda p: F.trim(F.replace(p, F.lit("\u0001"), F.lit("."))))
 
 
+#: A dollar amount: its digits and a word of scale.
+MONEY = r"(?i)\$ ?(\d[\d,]*(?:\.\d+)?) ?(?:(million|billion|thousand|mm|bn|m|k)\b)?"
+_SCALES = {"million": 1e6, "mm": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "thousand": 1e3, "k": 1e3}
+
+
 def money(text: Column) -> Column:
     """The dollar amounts of a text in order; million, billion and k count."""
-    pattern = r"(?i)\$ ?(\d[\d,]*(?:\.\d+)?) ?(million|billion|thousand|mm|bn|m|k)?\b"
-    pairs = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "n"), (2, "u"))])
-    unit = F.create_map(*[F.lit(x) for p in {"million": 1e6, "mm": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "thousand": 1e3, "k": 1e3}.items() for x in p])
+    pairs = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(MONEY), F.lit(i)).alias(n) for i, n in ((1, "n"), (2, "u"))])
+    unit = F.create_map(*[F.lit(x) for p in _SCALES.items() for x in p])
     return F.transform(pairs, lambda p: F.replace(p["n"], F.lit(","), F.lit("")).cast("double") * F.coalesce(F.try_element_at(unit, F.lower(p["u"])), F.lit(1.0)))
 
 
@@ -231,14 +235,21 @@ def bonus_percent(text: Column) -> Column:
     return F.when(found.between(5, 500) & ~open_, found)
 
 
-def without_totals(amounts: Column) -> Column:
-    """An array of amounts without those that the two or more behind them add up to, within a percent."""
+def is_total(amounts: Column, i: Column) -> Column:
+    """Whether the two or more amounts behind the i-th add up to it, within a percent."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(False).alias("met"))
+    x = F.get(amounts, i)
 
-    def total(x: Column, i: Column) -> Column:
-        counts = F.filter(F.sequence(F.lit(2), F.greatest(F.size(amounts) - i - 1, F.lit(2))), lambda k: k <= F.size(amounts) - i - 1)
-        return F.exists(counts, lambda k: F.abs(F.aggregate(F.slice(amounts, i + 2, k), F.lit(0.0), lambda a, v: a + v) - x) <= x * 0.01)
+    def step(a: Column, v: Column) -> Column:
+        total = a["sum"] + v
+        return F.struct(total.alias("sum"), (a["n"] + 1).alias("n"), (a["met"] | ((a["n"] > 0) & (F.abs(total - x) <= x * 0.01))).alias("met"))
 
-    return F.filter(amounts, lambda x, i: ~F.coalesce(total(x, i), F.lit(False)))
+    return F.aggregate(F.slice(amounts, i + 2, F.size(amounts)), start, step)["met"]
+
+
+def without_totals(amounts: Column) -> Column:
+    """An array of amounts without those that the two or more behind them add up to, within a percent."""
+    return F.filter(amounts, lambda x, i: ~is_total(amounts, i))
 
 
 def nearest_kind(clause: Column, at: Column, kinds: list[tuple[str, str]]) -> Column:

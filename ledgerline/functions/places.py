@@ -162,32 +162,37 @@ def title_case(text: Column) -> Column:
     return t
 
 
+#: The country as ads write it, and words for where work is done.
+COUNTRY = ("us", "usa", "u.s.", "u.s.a.", "u.s.a", "united states", "united states of america")
+WORKPLACE = ("remote", "hybrid", "onsite", "on-site", "headquarters", "hq")
+
+
 def us_places(text: Column) -> Column:
     """array<struct<city, state>>: the US cities that the location of a job ad names, each once.
 
-    Parts are separated by semicolons, bars, slashes or the word "or"; each is "City, State", with the country behind it or
-    not, or begins with the country and the state's code.
+    Ads part places by semicolons, bars, slashes or "or". The pieces of a place, between commas and dashes, are a country, a
+    state, a kind of workplace, or else a city; the city is what stands before the last state, or behind it if it is first.
     """
-    parts = F.split(text, r"\s*(?:;|\||/|•|\n|\s+or\s+)\s*")
-    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"(?i)\((?:hq|headquarters|onsite|on-site|hybrid|remote|in office)[^)]*\)", "")))
-
-    def place(p: Column) -> Column:
-        led = r"(?i)^(?:US|USA)\s*[-,]\s*([A-Z]{2})\s*[-,]\s*(.+)$"
-        bits = F.filter(F.transform(F.split(p, ","), lambda b: F.trim(b)), lambda b: (b != "") & ~F.lower(b).isin("us", "usa", "u.s.", "u.s.a.", "u.s.a", "united states", "united states of america"))
-        first, last = F.get(bits, F.size(bits) - 2), F.get(bits, F.size(bits) - 1)
-        city = F.when(p.rlike(led), F.regexp_extract(p, led, 2)).otherwise(F.when(F.size(bits) >= 2, first))
-        state = F.when(p.rlike(led), state_code(F.regexp_extract(p, led, 1))).otherwise(state_code(last))
-        tidy = F.regexp_replace(F.regexp_replace(F.trim(city), r"\s+", " "), r"(?i)^(?:remote|hybrid)\s*[-–:]\s*", "")
-        name = F.when(F.lower(tidy).isin("new york city", "nyc"), "New York").otherwise(title_case(tidy))
-        return F.when(~F.lower(city).contains("remote"), F.struct(name.alias("city"), state.alias("state")))
-
-    found = F.filter(F.transform(bare, place), lambda x: x["city"].isNotNull() & x["state"].isNotNull())
+    alone = F.split(F.regexp_replace(text, r"\([^)]*\)", " "), r"[;|/•\n]|\s+or\s+")
+
+    def place(part: Column) -> Column:
+        pieces = F.transform(F.split(F.trim(part), r",|\s[-–]\s|(?<=^USA?)\s?-|(?<=^USA?-[A-Z]{2})-|:"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+        known = F.filter(pieces, lambda x: (x != "") & ~F.lower(x).isin(*COUNTRY) & ~F.lower(x).isin(*WORKPLACE))
+        at = F.array_max(F.transform(known, lambda x, i: F.when(state_code(x).isNotNull(), i)))
+        city = F.get(known, F.when(at == 0, 1).otherwise(at - 1))
+        name = F.when(F.lower(city).isin("new york city", "nyc"), "New York").otherwise(title_case(city))
+        away = F.exists(F.split(F.lower(city), "[^a-z-]+"), lambda w: w.isin(*WORKPLACE))
+        return F.when(~away, F.struct(name.alias("city"), state_code(F.get(known, at)).alias("state")))
+
+    found = F.filter(F.transform(alone, place), lambda x: x["city"].isNotNull() & x["state"].isNotNull())
     return F.coalesce(F.array_distinct(found), F.array().cast("array<struct<city:string,state:string>>"))
 
 
 def is_us(text: Column) -> Column:
-    """A job in the US: in one of its cities, or where the country is named."""
-    return (F.size(us_places(text)) > 0) | F.coalesce(text.rlike(r"(?i)\b(united states|usa|u\.s\.a?\b|us[- ]remote|remote[-, ]+us)\b|^us$"), F.lit(False))
+    """A job in the US: in one of its cities, or where a piece of its place is the country, alone or with a kind of workplace."""
+    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[;|/•\n,()-]|\s[–]\s|\s+or\s+")
+    bare = lambda x: F.trim(F.regexp_replace(x, rf"\b(?:{'|'.join(WORKPLACE)})\b|\b(?:in|within|the|anywhere)\b", ""))
+    return (F.size(us_places(text)) > 0) | F.exists(pieces, lambda x: bare(x).isin(*COUNTRY))
 
 
 def city_key(city: Column) -> Column:

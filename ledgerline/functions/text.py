@@ -130,16 +130,21 @@ def job_title(spelling: Column) -> Column:
 
 
 def employer_key(name: Column) -> Column:
-    """What employers are matched by: small letters, one space between words, without legal endings."""
-    n = F.regexp_replace(F.lower(name), r"['’]", "")
-    #: A register's mark of a state, the name that a firm trades under, and points within initials.
-    n = F.regexp_replace(n, r"\s*[/\\][a-z. ]{0,12}[/\\]?\s*$", "")
-    n = F.regexp_replace(n, r"\b(d/?b/?a|dba)\b.*$", " ")
-    n = F.regexp_replace(n, r"(?<=\b[a-z])\.(?=[a-z]\.)|(?<=\.[a-z])\.", "")
-    n = F.regexp_replace(F.replace(n, F.lit(" & "), F.lit(" and ")), "&", "")
-    n = F.trim(F.regexp_replace(n, r"[^a-z0-9]+", " "))
-    n = F.regexp_replace(n, r"^the ", "")
-    return F.regexp_replace(n, rf"( ({'|'.join(LEGAL_WORDS)}))+$", "")
+    """What employers are matched by: small letters, one space between words, without legal endings.
+
+    The words before the name that a firm trades under and before a register's mark (/DE/) count; initials with points are
+    one word, a lone & is "and", other marks part words. The legal words at the end go, all but a first word.
+    """
+    every = F.filter(F.split(F.regexp_replace(F.lower(name), "['’]", ""), r"\s+"), lambda w: w != "")
+    ends = lambda w, i: (i > 0) & (w.isin("dba", "d/b/a", "d/b/a:", "dba:") | w.rlike(r"^[/\\]"))
+    first_end = F.get(F.filter(F.transform(every, lambda w, i: F.when(ends(w, i), i)), lambda i: i.isNotNull()), F.lit(0))
+    own = F.slice(every, F.lit(1), F.coalesce(first_end, F.size(every)))
+    whole = lambda w: F.when(w == "&", "and").when(w.rlike(r"^(?:[a-z]\.)+[a-z]?,?$"), F.regexp_replace(w, "[.,]", "")).otherwise(F.replace(w, F.lit("&"), F.lit("")))
+    apart = F.flatten(F.transform(own, lambda w: F.split(F.regexp_replace(whole(w), r"[/\\].*$", ""), "[^a-z0-9]+")))
+    words = F.filter(apart, lambda w: w != "")
+    words = F.when((F.get(words, F.lit(0)) == "the") & (F.size(words) > 1), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    last = F.array_max(F.transform(words, lambda w, i: F.when((i == 0) | ~w.isin(*LEGAL_WORDS), i)))
+    return F.coalesce(F.array_join(F.slice(words, F.lit(1), last + 1), " "), F.when(name.isNotNull(), ""))
 
 
 @F.pandas_udf(StringType())

@@ -5,6 +5,7 @@ Tables and ranges need a parser: small Python helpers that Arrow batches call; S
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -65,8 +66,12 @@ def pay_range(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["pay_min", "pay_max"]).astype("float64")
 
 
-_DOLLARS = regex.compile(r"(?P<d>\$ ?)?(?<![\d,.])(?P<n>\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?P<m> million)?", regex.I)
-_RATIO = regex.compile(r"(?<![\d,.$])(\d[\d,]*(?:\.\d+)?)(?: ?-?to-? ?| ?: ?)(?:1|one)\b(?![\d,.]\d)|(?<![\d,.$])1(?: ?: ?| to )(\d[\d,]*(?:\.\d+)?)|(?<![\d,.$])(\d[\d,]*(?:\.\d+)?) times\b", regex.I)
+#: A number of a text about a pay ratio, with what stands beside it.
+_NUMBER = regex.compile(r"(?<![\w.,])(?P<dollar>\$ ?)?(?P<digits>\d[\d,]*(?:\.\d+)?|one\b)(?: (?P<million>million)\b)?(?P<times> times\b)?", regex.I)
+_AGAINST = regex.compile(r" ?(?:to|-to-|:) ?", regex.I)
+#: How far around a mention numbers belong to it, before and behind; fixed values: what ratios and amounts may be.
+_NEAR = (1500, 5000)
+RATIOS, MEDIANS, LEAST_CHIEF = (2, 20_000), (1_000, 1_500_000), 50_000
 
 
 def ratio_agrees(computed: float, stated: float) -> bool:
@@ -75,23 +80,37 @@ def ratio_agrees(computed: float, stated: float) -> bool:
 
 
 def stated_ratio(text: str | None) -> dict | None:
-    """median, ceo and ratio of a pay-ratio text: a stated ratio and two amounts that have it, the median nearest to that word."""
+    """median, ceo and ratio of a text about pay ratios: a stated ratio and two amounts that have it, the median nearest to
+    that word. All mentions count; amounts are sorted, so each ratio and amount looks only at those that fit."""
     text = " ".join((text or "").split())
-    at = regex.search(r"pay ratio|median", text, regex.I)
-    if not at:
-        return None
-    part = text[max(0, at.start() - 1500) : at.start() + 5000]
-    ratios = [float(next(g for g in m.groups() if g).replace(",", "")) for m in _RATIO.finditer(part)]
-    ratios = [r for r in ratios if 2 <= r <= 20_000 and not 1900 <= r < 2100]
-    amounts = [(round(float(m["n"].replace(",", "")) * (1e6 if m["m"] else 1)), m.start(), bool(m["d"])) for m in _DOLLARS.finditer(part)]
-    words = [m.start() for m in regex.finditer("median", part, flags=regex.I)] or [0]
-    pairs = [(min(abs(w - where) for w in words), n, low, high, ratio)
-             for ratio in ratios for n, (low, where, dollar) in enumerate(amounts) if dollar and 1000 <= low <= 1_500_000
-             for high, _, paid in amounts if (paid or high >= 1_000_000) and high > low and high >= 50_000 and ratio_agrees(high / low, ratio)]
-    if not pairs:
-        return None
-    _, _, low, high, ratio = min(pairs, key=lambda p: p[:2])
-    return {"median": float(low), "ceo": float(high), "ratio": ratio}
+    spans: list[list[int]] = []
+    for m in regex.finditer("pay ratio|median", text, flags=regex.I):
+        if spans and m.start() - _NEAR[0] <= spans[-1][1]:
+            spans[-1][1] = m.start() + _NEAR[1]
+        else:
+            spans.append([max(0, m.start() - _NEAR[0]), m.start() + _NEAR[1]])
+    best = None
+    for start, end in spans:
+        numbers = [(m, 1.0 if m["digits"].lower() == "one" else float(m["digits"].rstrip(",").replace(",", "")) * (1e6 if m["million"] else 1)) for m in _NUMBER.finditer(text, start, end)]
+        ratios = {v for m, v in numbers if m["times"] and not m["dollar"]}
+        for (a, x), (b, y) in zip(numbers, numbers[1:]):
+            if not a["dollar"] and not b["dollar"] and 1 in (x, y) and _AGAINST.fullmatch(text, a.end(), b.start()):
+                ratios.add(max(x, y))
+        ratios = {r for r in ratios if RATIOS[0] <= r <= RATIOS[1] and not 1900 <= r < 2100}
+        paid = sorted((round(v), bool(m["dollar"]), m.start()) for m, v in numbers)
+        words = [m.start() for m in regex.finditer("median", text, flags=regex.I, pos=start, endpos=end)] or [start]
+        for ratio in ratios:
+            slack = max(1.0, 0.02 * ratio)
+            for low, dollar, where in paid:
+                if not dollar or not MEDIANS[0] <= low <= MEDIANS[1]:
+                    continue
+                for high, marked, _ in paid[bisect_left(paid, (low * (ratio - slack),)) :]:
+                    if high > low * (ratio + slack):
+                        break
+                    if high > low and high >= LEAST_CHIEF and (marked or high >= 1_000_000) and ratio_agrees(high / low, ratio):
+                        found = min(abs(w - where) for w in words), where, low, high, ratio
+                        best = min(best, found) if best else found
+    return best and {"median": float(best[2]), "ceo": float(best[3]), "ratio": best[4]}
 
 
 @F.pandas_udf(_doubles("median", "ceo", "ratio"))

@@ -44,7 +44,7 @@ class QualityRules:
         "alle rechte vorbehalten", "nutzungsbedingungen gelten", "datenschutzerklärung lesen", "wir verwenden cookies", "klicken sie hier",
         "todos los derechos reservados", "aviso legal", "política de privacidad", "utilizamos cookies", "haga clic aquí",
     )
-    teaser: str = r"(\.\.\.|…)[\x20\x09-\x0D]*(\[?(more|read more|lire la suite|weiterlesen|leer más)\]?)?[\x20\x09-\x0D»>]*$"
+    leads_on: tuple[str, ...] = ("more", "read more", "lire la suite", "weiterlesen", "leer más")
 
 
 def _symbols(text: Column) -> Column:
@@ -72,6 +72,19 @@ def repeat_words(w: Column) -> Column:
     return let(w, of_words)
 
 
+_BLANK = "\x20\t\n\x0b\f\r"
+
+
+def _teases(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a line ends with an ellipsis, a word that leads on (in square brackets or not) behind it or not. Ends are
+    trimmed and looked at in a few characters, so the time does not grow with a line's white space."""
+    ended = F.rtrim(low, F.lit(_BLANK + "»>"))
+    few = max(map(len, words)) + 2
+    rest = F.concat(F.left(ended, F.greatest(F.length(ended) - few, F.lit(0))), F.regexp_replace(F.right(ended, F.lit(few)), rf"\[?(?:{'|'.join(words)})\]?$", ""))
+    left = F.rtrim(rest, F.lit(_BLANK))
+    return left.endswith("...") | left.endswith("…")
+
+
 def _line_fails(line: Column, rules: QualityRules) -> Column:
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     bars = F.regexp_count(line, F.lit(r"[|»•·]"))
@@ -86,7 +99,7 @@ def _line_fails(line: Column, rules: QualityRules) -> Column:
         (_symbols(line) > n * rules.max_symbols)
         | let(bars, lambda b: (b >= rules.min_bars) & (b >= n * rules.max_bars))
         | ((n >= 5) & (shouted > n * rules.max_shouted))
-        | ((n <= rules.boilerplate_words) & (phrase | low.rlike(rules.teaser)))))
+        | ((n <= rules.boilerplate_words) & (phrase | _teases(low, rules.leads_on)))))
 
 
 def _lines(text: Column) -> Column:

@@ -86,6 +86,7 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 
 def _quality_sql(rules: quality.QualityRules) -> str:
     """What quality_report states, over words and lines as rows; windows of five words are equal if their words are."""
+    teaser = rf"(\.\.\.|…)[\x20\x09-\x0D]*(\[?({'|'.join(rules.leads_on)})\]?)?[\x20\x09-\x0D»>]*$"
     phrases = " OR ".join(f"contains(lower(line), '{p}')" for p in rules.boilerplate)
     return f"""
         WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -101,7 +102,7 @@ def _quality_sql(rules: quality.QualityRules) -> str:
                      OR (len(regexp_extract_all(line, '[|»•·]')) >= {rules.min_bars} AND len(regexp_extract_all(line, '[|»•·]')) >= n * {rules.max_bars}::DOUBLE)
                      OR (n >= 5 AND len(list_filter(regexp_extract_all(line, {_WORD}), lambda x: regexp_matches(x, '\\p{{Lu}}.*\\p{{Lu}}')
                          AND NOT regexp_matches(x, '\\p{{Ll}}'))) > n * {rules.max_shouted}::DOUBLE)
-                     OR (n <= {rules.boilerplate_words} AND ({phrases} OR regexp_matches(lower(line), '{rules.teaser}'))) AS bad
+                     OR (n <= {rules.boilerplate_words} AND ({phrases} OR regexp_matches(lower(line), '{teaser}'))) AS bad
               FROM l),
         s AS (SELECT k, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS bad, sum(chars) FILTER (NOT bad) AS kept_chars FROM f GROUP BY k),
         c AS (SELECT k, doc_id, len(regexp_extract_all(t, {_WORD}))::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,

@@ -86,6 +86,19 @@ def _keyed(words: DataFrame) -> DataFrame:
     return words.select("word", "n", "mask", F.explode(F.array(*keys)).alias("k")).select("word", "n", "mask", "k.*")
 
 
+#: Spark's distance of long words takes time with the square of their length.
+LONG_WORD = 64
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether b, as long as a or longer by one, is exactly one inserted or replaced letter away from a."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.isNull() | (x != y))
+    first = F.array_position(differ, F.lit(True)).cast("int")
+    without = F.concat(F.left(b, first - 1), F.substr(b, first + 1))
+    long = F.when(F.length(a) == F.length(b), F.size(F.filter(differ, lambda d: d)) == 1).otherwise(without == a)
+    return F.when(F.length(a) > LONG_WORD, long).otherwise(F.levenshtein(a, b, 1) == 1)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n) for all pairs of words (word, n), both ways, that are exactly one edit apart."""
     keyed = _keyed(words.withColumn("mask", parity_mask(F.col("word"))))
@@ -98,7 +111,7 @@ def near_words(words: DataFrame) -> DataFrame:
         first = F.when(_band(F.col("a_mask"), j) == _band(F.col("b_mask"), j), j).otherwise(first)
     shorter = F.length("a")
     side = F.when(_halves(F.col("a"), shorter)[0] == _halves(F.col("b"), shorter)[0], 0).otherwise(1)
-    pairs = met.filter((F.col("slot") == 2 * first + side) & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
+    pairs = met.filter(F.when(F.col("slot") == 2 * first + side, one_edit(F.col("a"), F.col("b"))).otherwise(False)).select("a", "a_n", "b", "b_n")
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("other"), F.col("b_n").alias("other_n")),
                              F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("other"), F.col("a_n").alias("other_n"))))
     return pairs.select(both.alias("p")).select("p.*")

@@ -10,6 +10,7 @@ that runs into it has had; with it each block's lengths become those of whole do
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import Bpe
+from .bpe import encoder as encoder_of_runs
 from .files import file_size, filesystem, read_range, write_once
 from .shared import fresh_path, only, written
 
@@ -56,9 +59,17 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: The library's pattern overflows its stack on some hundred thousand white-space characters in a row; a text that has
+#: half of that goes through the transducer, which gives the same ids in bounded memory.
+LONG_RUN = 100_000
+_SPACES = re.compile(r"\s+")
+
+
 def encoded(text: str | None, form: TokenFormat) -> np.ndarray:
     if not text:
         return np.empty(0, form.kind)
+    if len(text) > LONG_RUN and max(map(len, _SPACES.findall(text)), default=0) > LONG_RUN:
+        return encoder_of_runs(Bpe(form.vocabulary)).encode(text).astype(form.kind)
     return np.asarray(encoder(form.vocabulary).encode_ordinary(text), form.kind)
 
 

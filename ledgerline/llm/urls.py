@@ -16,15 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import only, written
+from .shared import let, only, written
 
 ORDER = 3
 #: Characters of a URL as the models see them: the whole text as it is, all beyond printable ASCII as one.
 OTHER = "\x7f"
 START, END = "\x02", "\x03"
-#: A spelling that more pages have than this is dealt over one task for each so many.
+#: A spelling that more pages have than this is dealt over one task for each so many; a gram likewise by its places in URLs.
 HOT_PAGES = 100_000
-SALTS = 8
+HOT_GRAMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,8 @@ def _spelled(url: Column) -> Column:
 
 def _grams(text: Column) -> Column:
     """array of the grams that end at each character: the ORDER characters before it and itself."""
-    padded = F.concat(F.lit(START * ORDER), text, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(padded, i, F.lit(ORDER + 1)))
+    characters = F.split(F.concat(F.lit(START * ORDER), text, F.lit(END)), "")
+    return let(characters, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - ORDER - 1), lambda i: F.concat(*[F.get(c, i + k) for k in range(ORDER + 1)])))
 
 
 def _markov(counts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,10 +106,15 @@ def _markov(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return df.select("fold", "gram", F.log10(F.col("p_good") / F.col("p_bad")).alias("llr"))
 
 
-def _scored(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """(key, score): the mean llr of the grams (fold, key, gram) of each URL. Grams that most URLs have are dealt over SALTS tasks."""
-    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    grams = grams.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+def _scored(grams: DataFrame, wanted: DataFrame, model: DataFrame) -> DataFrame:
+    """(key, score): the mean llr of the grams (fold, key, gram) of each URL. A gram with many places (wanted: fold, gram,
+    places) is dealt over as many tasks as these ask for."""
+    salts = F.ceil(F.col("places") / HOT_GRAMS).cast("int")
+    salted = model.join(wanted.select("fold", "gram", salts.alias("of")), ["fold", "gram"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
+    hot = wanted.filter(F.col("places") > HOT_GRAMS).select("fold", "gram", salts.alias("of"))
+    #: Rows of some 30 bytes, no more than all places over HOT_GRAMS.
+    grams = grams.join(F.broadcast(hot) if hot.count() <= HOT_GRAMS else hot, ["fold", "gram"], "left")
+    grams = grams.withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("of", F.lit(1))).cast("int"))
     return grams.join(salted, ["fold", "gram", "salt"]).groupBy("key").agg(F.avg("llr").alias("score"))
 
 
@@ -155,7 +160,8 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "p
     every = written(spelled.select("fold", "key", F.explode(_grams(F.col("spelled"))).alias("gram")), "url-asked")
     taught = counts.select(F.explode(F.array((1 - F.col("half")).cast("int"), F.lit(2))).alias("fold"), "gram", "n_good", "n_bad")
     taught = written(taught.groupBy("fold", "gram").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad")), "url-taught")
-    scored = _scored(every, _markov(taught, every.select("fold", "gram").distinct()))
+    wanted = written(every.groupBy("fold", "gram").agg(F.count("*").alias("places")), "url-wanted")
+    scored = _scored(every, wanted, _markov(taught, wanted.select("fold", "gram")))
     scored = written(spelled.join(scored, "key"), "url-scores")
     threshold = _threshold(scored.filter("fold < 2"))
     scores = scored.filter("fold = 2").select(F.col("spelled").alias("__spelled"), "score")

@@ -101,6 +101,16 @@ def test_masks_of_near_words_share_a_band(spark):
         assert (a ^ b).bit_count() <= 2 and any((a ^ b) >> 21 * j & (1 << 21) - 1 == 0 for j in range(3))
 
 
+def test_long_words_are_compared_as_short_ones(spark, monkeypatch):
+    r = random.Random(11)
+    words = {"".join(r.choices("abé", k=r.randint(1, 5))) for _ in range(150)}
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    want = sorted((a, b) for a in words for b in words if one_edit(a, b))
+    assert sorted((x["word"], x["other"]) for x in spelling.near_words(df).collect()) == want
+    monkeypatch.setattr(spelling, "LONG_WORD", 0)
+    assert sorted((x["word"], x["other"]) for x in spelling.near_words(df).collect()) == want
+
+
 def test_a_chain_of_forms_ends_at_its_root_and_a_crowded_key_loses_no_pair(spark):
     chain = [("w" + "a" * i + "end", 3**i) for i in range(3, 20)]
     forms = spark.createDataFrame([(a, b) for (a, _), (b, _) in zip(chain, chain[1:])], "word string, form string")

@@ -61,5 +61,28 @@ def visits(events: DataFrame, idle_minutes: int = 30) -> DataFrame:
     ).drop("visit")
 
 
+def visit_steps(events: DataFrame, idle_minutes: int = 30, most: int = 200) -> DataFrame:
+    """(day, visitor, started, steps): what each visit did in order: its first events as structs (at, name, subject, label).
+
+    No slot gives more than the first few events: these are numbered in parts of a slot first, then among the parts' first
+    ones, so that a visitor with a third of all events is no single window. Visits are put together from slots as visits() does.
+    """
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    slot = F.floor(micros / (idle_minutes * 60_000_000))
+    df = events.select("day", "visitor", "event_id", "at", "name", "subject", "label", micros.alias("micros"), slot.alias("slot"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part"))
+    for group in (["day", "visitor", "slot", "part"], ["day", "visitor", "slot"]):
+        df = df.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("micros", "event_id"))).filter(F.col("nth") <= most)
+    step = F.struct("micros", "event_id", "at", "name", "subject", "label")
+    firsts = df.groupBy("day", "visitor", "slot").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    spans = events.groupBy("day", "visitor", slot.alias("slot")).agg(F.min(micros).alias("first"), F.max(micros).alias("last"))
+    own = Window.partitionBy("day", "visitor").orderBy("slot")
+    gap = F.col("first") - F.lag("last").over(own)
+    slots = spans.withColumn("visit", F.sum(F.coalesce((gap > idle_minutes * 60_000_000).cast("int"), F.lit(1))).over(own)).join(firsts, ["day", "visitor", "slot"])
+    whole = slots.groupBy("day", "visitor", "visit").agg(F.min("first").alias("started"), F.array_sort(F.collect_list(F.struct("slot", "steps"))).alias("parts"))
+    steps = F.slice(F.flatten(F.transform("parts", lambda p: p["steps"])), F.lit(1), F.lit(most))
+    bare = F.transform(steps, lambda x: F.struct(x["at"].alias("at"), x["name"].alias("name"), x["subject"].alias("subject"), x["label"].alias("label")))
+    return whole.select("day", "visitor", "started", bare.alias("steps"))
+
+
 def newest_visits(events: DataFrame, top: int = 200) -> DataFrame:
     return visits(events).orderBy(F.desc("started"), "visitor").limit(top)

@@ -77,7 +77,9 @@ def find_regions(asked: DataFrame, text: str) -> DataFrame:
     names = F.broadcast(regions(asked.sparkSession))
     key = plain(F.col(text))
     ends = names.filter(~F.contains("code", F.lit("-"))).select(F.col("name").alias("__end"), F.col("code").alias("__country"))
-    df = asked.withColumn("__key", key).withColumn("__n", F.size(F.split("__key", " ")))
+    keyed = asked.withColumn("__key", key)
+    #: Each text is looked up once, however many ask for it.
+    df = keyed.select("__key").distinct().withColumn("__n", F.size(F.split("__key", " ")))
     #: The last one to four words may be a country.
     cuts = F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.col("__n"))), lambda k: F.struct(
         F.array_join(F.slice(F.split("__key", " "), -k, k), " ").alias("end"),
@@ -89,9 +91,10 @@ def find_regions(asked: DataFrame, text: str) -> DataFrame:
     meets = (F.col("rest") == F.col("__name")) & F.col("__code").startswith(F.concat("__country", F.lit("-")))
     within = split.join(F.broadcast(states), meets).groupBy("__key").agg(F.max_by("__code", "__size").alias("__state"))
     whole = names.select(F.col("name").alias("__whole"), F.col("code").alias("__found"))
-    df = df.join(whole, F.col("__key") == F.col("__whole"), "left").join(F.broadcast(within.withColumnRenamed("__key", "__k")), F.col("__key") == F.col("__k"), "left")
+    df = df.join(whole, F.col("__key") == F.col("__whole"), "left").join(within.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left")
     direct = F.when(~F.col("__key").isin(*CITY_FIRST), F.col("__found"))
-    return df.select(*asked.columns, F.coalesce(direct, F.col("__state")).alias("region"))
+    found = df.select(F.col("__key").alias("__text"), F.coalesce(direct, F.col("__state")).alias("__region"))
+    return keyed.join(found, F.col("__key") == F.col("__text"), "left").select(*[keyed[c] for c in asked.columns], F.col("__region").alias("region"))
 
 
 def postcode_digits(country: Column, code: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 YEAR, QUARTER = r"^CY\d{4}$", r"^CY\d{4}Q[1-4]$"
 #: How the forms of proxy statements begin.
 PROXIES = ("DEF 14", "DEFA14", "PRE 14", "DEFM14")
@@ -91,10 +93,13 @@ def merged(facts: DataFrame, revenue: list[str], net: list[str]) -> DataFrame:
     """
     clean = reported(facts)
     clean = clean.join(reporting_currency(facts, revenue).withColumnRenamed("currency", "main"), "company_id").filter("currency = main").drop("main")
+    #: Read by each of the branches below, so worked out once.
+    clean = stored(clean)
     bank = summed_by_frame(clean, *BANK.split(" + "), BANK, "RevenuesNetOfInterestExpense")
     top = largest_by_frame(clean.unionByName(bank), [*revenue, BANK])
     profit = first_by_frame(clean, net).select("company_id", "frame", F.col("value").alias("net_income"))
     both = top.join(profit, ["company_id", "frame"]).select("company_id", "frame", "start", "end", F.col("value").alias("revenue"), "net_income")
+    both = stored(both)
     years = both.filter(F.col("frame").rlike(YEAR))
     code = (F.substring("frame", 3, 4).cast("int") * 10 + F.substring("frame", 8, 1).cast("int")).alias("code")
     quarters = both.filter(F.col("frame").rlike(QUARTER)).select("company_id", code, "revenue", "net_income")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import convert, usd_rate
 from ..functions.text import chief_role
+from ..sources.stored import stored
 from .ranking import log_bucket, percentiles, ranked, summed_before
 
 
@@ -125,8 +125,8 @@ def _panels(companies_pay: DataFrame) -> DataFrame:
     years = c.select("sector", "market", (F.col("year") - 1).alias("since")).distinct()
     panels = c.join(years, ["sector", "market"]).filter("year >= since").withColumn("asked", F.col("year") == F.col("since") + 1)
     placed = ranked(panels, PANEL, [F.col("revenue_usd"), F.col("company_id")], log_bucket(F.col("revenue_usd")), "pos")
-    #: Read several times below: kept on disk, and worked out again where an executor is lost.
-    return placed.withColumn("pos", F.col("pos") - 1).persist(StorageLevel.DISK_ONLY)
+    #: Read several times below.
+    return stored(placed.withColumn("pos", F.col("pos") - 1))
 
 
 def _in_band(panels: DataFrame, band: float) -> DataFrame:
@@ -209,7 +209,7 @@ def peer_pay(companies_pay: DataFrame, band: float = 3, closest: int = 20, least
     peers have no row. Places in the order of revenue take the place of pairs: see _paid_less and _neighbours.
     """
     panels = _panels(companies_pay)
-    ranges = panels.filter("asked").join(_in_band(panels, band), [*PANEL, "company_id"]).withColumn("peers", F.col("high") - F.col("low") - 1)
+    ranges = stored(panels.filter("asked").join(_in_band(panels, band), [*PANEL, "company_id"]).withColumn("peers", F.col("high") - F.col("low") - 1))
     wide = ranges.filter(F.col("peers") >= closest)
     by_band = wide.select(*PANEL, "company_id", "top_pay", "peers").join(_paid_less(panels, wide), [*PANEL, "company_id"])
     by_band = by_band.select("company_id", "top_pay", "peers", F.col("below").alias("lower"))

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import MILES_PER_DEGREE, box, convert, miles, usd_rate
+from ..sources.stored import stored
 
 
 def near(locations: DataFrame, latitude: float, longitude: float, radius: float) -> DataFrame:
@@ -134,7 +134,7 @@ def matching(rows: DataFrame, text: str | None) -> DataFrame:
 
 
 #: Searches for neighbours widen in these steps, in shares of the radius.
-RINGS = (1 / 16, 1.0)
+RINGS = (1 / 64, 1 / 16, 1 / 4, 1.0)
 
 
 def _closest(own: DataFrame, other: DataFrame, radius: float, top: int, same: bool) -> DataFrame:
@@ -153,7 +153,7 @@ def _closest(own: DataFrame, other: DataFrame, radius: float, top: int, same: bo
         pairs = pairs.withColumn("whole", whole).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
         pairs = pairs.select("company_id", "other_id", "miles", "whole", "place")
         if n + 1 < len(RINGS):
-            pairs = pairs.persist(StorageLevel.DISK_ONLY)
+            pairs = stored(pairs)
             #: One further away than reach is at whole miles of floor(reach - 0.5) at least.
             done = pairs.groupBy("company_id").agg(F.count_if(F.col("whole") < F.floor(F.lit(reach) - 0.5)).alias("sure")).filter(F.col("sure") >= top)
             pairs, open_ = pairs.join(done, "company_id", "left_semi"), open_.join(done, "company_id", "left_anti")
@@ -166,7 +166,8 @@ def similar(stats: DataFrame, sector_miles: float = 100, any_miles: float = 25,
 
     Whole miles count, then revenue in dollars.
     """
-    stats = stats.select("company_id", "sector", "latitude", "longitude", "ttm_revenue", "revenue_usd").persist(StorageLevel.DISK_ONLY)
+    stats = stats.select("company_id", "sector", "latitude", "longitude", "ttm_revenue", "revenue_usd")
+    stats = stored(stats)
     own = stats.select("company_id", "sector", "latitude", "longitude")
     other = stats.filter("ttm_revenue > 0").select(F.col("company_id").alias("other_id"), F.col("sector").alias("other_sector"), "revenue_usd",
                                                    F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"))
@@ -181,6 +182,8 @@ def located_codes(asked: DataFrame, codes: DataFrame) -> DataFrame:
     """asked (id, country, code) with the place of its code: the code itself, else the numerically nearest of those that
     share three digits, else two. codes: country, known, place."""
     length = F.length("code") == F.length("known")
+    #: Each code is looked up once, however many ask for it.
+    every, asked = asked, asked.select("country", "code").distinct().withColumn("id", F.struct("country", "code"))
     exact = asked.join(codes.withColumnRenamed("known", "code"), ["country", "code"], "left_semi")
     hits = exact.join(codes.withColumnRenamed("known", "code"), ["country", "code"]).select("id", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("gap"), F.col("code").alias("known"), "place")
     rest = asked.join(exact.select("id"), "id", "left_anti")
@@ -190,7 +193,7 @@ def located_codes(asked: DataFrame, codes: DataFrame) -> DataFrame:
         gap = F.abs(F.col("code").cast("long") - F.col("known").cast("long"))
         hits = hits.unionByName(a.join(b, ["country", "area"]).filter(length).select("id", F.lit(tier).alias("tier"), gap.alias("gap"), "known", "place"))
     best = hits.groupBy("id").agg(F.min(F.struct("tier", "gap", "known", "place")).alias("b"))
-    return asked.join(best.select("id", F.col("b.tier").alias("tier"), F.col("b.known").alias("known"), F.col("b.place").alias("place")), "id", "left")
+    return every.join(best.select("id.country", "id.code", F.col("b.tier").alias("tier"), F.col("b.known").alias("known"), F.col("b.place").alias("place")), ["country", "code"], "left").select(*every.columns, "tier", "known", "place")
 
 
 def metro(points: DataFrame, circles: list[tuple[str, float, float, float]], states: dict[str, str], rest: str) -> DataFrame:

@@ -151,3 +151,34 @@ def office_addresses(lines: DataFrame, towns: DataFrame) -> DataFrame:
     begun = F.array_position(F.transform(pieces, lambda x: x.rlike(_STARTS)), F.lit(True)).cast("int")
     street = F.array_join(F.filter(F.slice(pieces, F.greatest(begun, F.lit(1)), F.size(pieces)), lambda x: x != ""), ", ")
     return best.select("id", F.left(street, F.lit(160)).alias("street"), "town", "code")
+
+
+def appointed_people(appointments: DataFrame, known: DataFrame, insiders: DataFrame, people: DataFrame) -> DataFrame:
+    """(appointment_id, person_id, how): who was appointed: known (the company has a person of that name), an insider of the
+    company, or the one person of that name anywhere; null where none of these is certain.
+
+    appointments: appointment_id, company_id, name. known: company_id, name, person_id. insiders: as insider_matches takes
+    them, their ids are persons'. people: name, person_id. Names count without case; one that several persons of a company
+    have is not known.
+    """
+    alone = lambda df, by: df.groupBy(*by).agg(F.min("person_id").alias("id"), F.count_distinct("person_id").alias("n")).filter("n = 1").drop("n")
+    low = F.lower(F.trim("name"))
+    own = alone(known.select("company_id", low.alias("k"), "person_id"), ["company_id", "k"])
+    every = alone(people.select(low.alias("k"), "person_id"), ["k"]).withColumnRenamed("id", "only")
+    df = appointments.select("appointment_id", "company_id", "name", low.alias("k")).join(own, ["company_id", "k"], "left").join(every, "k", "left")
+    asked = df.filter("id IS NULL").select("company_id", F.col("appointment_id").alias("person_id"), "name")
+    met = insider_matches(asked, insiders).select("company_id", F.col("person_id").alias("appointment_id"), F.col("insider_id").alias("inside"))
+    df = df.join(met, ["company_id", "appointment_id"], "left")
+    how = F.when(F.col("id").isNotNull(), "known").when(F.col("inside").isNotNull(), "insider").when(F.col("only").isNotNull(), "name")
+    return df.select("appointment_id", F.coalesce("id", "inside", "only").alias("person_id"), how.alias("how"))
+
+
+def pay_by_year(rows: DataFrame, near: DataFrame, others: DataFrame) -> DataFrame:
+    """(person_id, year, total, ticker): each person's pay in a year, and the company that paid most of it (of equals the one
+    of the smaller id): its ticker among near (company_id, ticker), else among others, else its id."""
+    payer = F.max_by("company_id", F.struct("total", (-F.col("company_id")).alias("c")))
+    sums = rows.groupBy("person_id", "year").agg(F.sum("total").alias("total"), payer.alias("company_id"))
+    n = near.select("company_id", F.col("ticker").alias("__near"))
+    o = others.select("company_id", F.col("ticker").alias("__other"))
+    df = sums.join(n, "company_id", "left").join(o, "company_id", "left")
+    return df.select("person_id", "year", "total", F.coalesce("__near", "__other", F.col("company_id").cast("string")).alias("ticker"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import web
-from ..operators import jobs, markup
+from ..functions import companies, web
+from ..operators import jobs, markup, matching
 from ..sources import directory as d
 from ..sources import documents
 from .catalogue import query
@@ -187,3 +187,42 @@ def q_page_table_cells(s, sf):
 @query("q_page_referrers", """SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', ''), '') AS host FROM pages""")
 def q_page_referrers(s, sf):
     return d.table(s, sf, "pages").select("page_id", web.referrer_host(F.col("url"), "own.example").alias("host"))
+
+
+# --- companies and people -------------------------------------------------------------------------------------------------
+
+
+@query("q_pay_by_year", """
+    SELECT person_id, year, sum(total)::DOUBLE AS total, any_value(CASE WHEN r = 1 THEN CASE WHEN company_id % 3 = 0 THEN 'T' || company_id WHEN company_id % 3 = 1 THEN 'O' || company_id ELSE company_id::VARCHAR END END) AS ticker
+    FROM (SELECT person_id, year, company_id, total, row_number() OVER (PARTITION BY person_id, year ORDER BY total DESC, company_id) AS r FROM pay) GROUP BY 1, 2""")
+def q_pay_by_year(s, sf):
+    c = d.table(s, sf, "customer").select(F.col("c_custkey").alias("company_id"))
+    near = c.filter("company_id % 3 = 0").withColumn("ticker", _text("T", F.col("company_id")))
+    paid = matching.pay_by_year(d.pay(s, sf), near, c.filter("company_id % 3 = 1").withColumn("ticker", _text("O", F.col("company_id"))))
+    return paid.withColumn("total", F.col("total").cast("double"))
+
+
+@query("q_company_names", """
+    SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(upper(replace(n, '&', ' AND ')), '[^A-Z0-9]+'), lambda w: w NOT IN ('GROUP', 'PLC', 'THE', 'LTD')), '') AS register,
+           array_to_string(list_filter(regexp_split_to_array(lower(n), '[^a-z0-9]+'), lambda w: w NOT IN ('group', 'plc', 'the', 'and', 'ltd')), '') AS listing
+    FROM (SELECT doc_id, 'The ' || regexp_replace(left(text, 20), '[^A-Za-z]+', ' ', 'g') || ' & Sons' || CASE WHEN doc_id % 2 = 0 THEN ' Group PLC' ELSE ', Ltd.' END AS n FROM documents)
+    WHERE NOT regexp_matches(lower(n), '\\b(limited|holdings?|company|co|inc|corporation|corp|sa|nv|ag|se|public|nl)\\b')""")
+def q_company_names(s, sf):
+    name = F.concat(F.lit("The "), F.regexp_replace(F.left("text", F.lit(20)), "[^A-Za-z]+", " "), F.lit(" & Sons"), F.when(F.col("doc_id") % 2 == 0, " Group PLC").otherwise(", Ltd."))
+    df = d.table(s, sf, "documents").select("doc_id", name.alias("n")).filter(~F.lower("n").rlike(r"\b(limited|holdings?|company|co|inc|corporation|corp|sa|nv|ag|se|public|nl)\b"))
+    return df.select("doc_id", companies.register_name(F.col("n")).alias("register"), companies.listing_name(F.col("n")).alias("listing"))
+
+
+@query("q_appointed_people", """
+    SELECT c_custkey AS appointment_id, CASE c_custkey % 4 WHEN 0 THEN 'k' || c_custkey WHEN 1 THEN 'i' || c_custkey WHEN 2 THEN 'p' || c_custkey END AS person_id,
+           (['known', 'insider', 'name', NULL])[c_custkey % 4 + 1] AS how FROM customer""")
+def q_appointed_people(s, sf):
+    k = F.col("c_custkey")
+    c = d.table(s, sf, "customer")
+    word = F.translate(k.cast("string"), "0123456789", "abcdefghij")
+    name = F.concat(F.lit("Mia "), F.initcap(F.concat(F.lit("vale"), word)))
+    appointments = c.select(k.alias("appointment_id"), k.alias("company_id"), name.alias("name"))
+    known = c.filter(k % 4 == 0).select(k.alias("company_id"), F.upper(name).alias("name"), _text("k", k).alias("person_id"))
+    insiders = c.filter(k % 4 == 1).select(k.alias("company_id"), F.concat(F.lit("VALE"), F.upper(word), F.lit(" MIA J")).alias("name"), _text("i", k).alias("insider_id"), F.lit(True).alias("is_officer"))
+    twice = F.explode(F.when(k % 4 == 3, F.array(_text("x", k), _text("y", k))).otherwise(F.array(_text("p", k))))
+    return matching.appointed_people(appointments, known, insiders, c.select(name.alias("name"), twice.alias("person_id")))

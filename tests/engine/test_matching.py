@@ -121,3 +121,19 @@ def test_steps_of_visits_match_brute_force(spark):
                 last = e[1]
     got = Counter((x["day"], x["visitor"], tuple((s["name"], s["subject"]) for s in x["steps"])) for x in visitors.visit_steps(df, most=12).collect())
     assert got == want
+
+
+def test_appointments_go_to_known_people_insiders_and_lone_names(spark):
+    appointments = spark.createDataFrame([(1, 1, "Mia Vale"), (2, 1, "Ivo Sand"), (3, 1, "Rose Fenn"), (4, 1, "Tom Ode"), (5, 1, None), (6, 2, "Mia Vale")], "appointment_id long, company_id long, name string")
+    known = spark.createDataFrame([(1, "MIA VALE", "k"), (1, "Mia Vale", "k"), (1, "Tom Ode", "a"), (1, "Tom Ode", "b")], "company_id long, name string, person_id string")
+    inside = spark.createDataFrame([(1, "SAND IVO", "i", True)], "company_id long, name string, insider_id string, is_officer boolean")
+    people = spark.createDataFrame([("rose fenn", "p"), ("Mia Vale", "q"), ("Tom Ode", "a"), ("Tom Ode", "b")], "name string, person_id string")
+    got = {r["appointment_id"]: (r["person_id"], r["how"]) for r in matching.appointed_people(appointments, known, inside, people).collect()}
+    assert got == {1: ("k", "known"), 2: ("i", "insider"), 3: ("p", "name"), 4: (None, None), 5: (None, None), 6: ("q", "name")}
+
+
+def test_pay_of_a_year_names_the_largest_payer(spark):
+    rows = spark.createDataFrame([("a", 2020, 1, 5.0), ("a", 2020, 2, 7.0), ("a", 2021, 3, 1.0), ("b", 2020, 1, 2.0), ("b", 2020, 3, 2.0)], "person_id string, year int, company_id int, total double")
+    one = lambda i, t: spark.createDataFrame([(i, t)], "company_id int, ticker string")
+    got = {(r["person_id"], r["year"]): (r["total"], r["ticker"]) for r in matching.pay_by_year(rows, one(1, "ONE"), one(2, "TWO")).collect()}
+    assert got == {("a", 2020): (12.0, "TWO"), ("a", 2021): (1.0, "3"), ("b", 2020): (4.0, "ONE")}

@@ -276,7 +276,7 @@ def q_repair_financials(s, sf):
 
 
 @query("q_repair_pay", """SELECT c_custkey AS company_id, CASE n WHEN 0 THEN 'a' ELSE 'c' END AS person_id,
-    CASE n WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'C. Douglas McMillon' ELSE 'Douglas McMillon' END ELSE 'John P. McDonald III' END AS name,
+    CASE n WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'T. Edward Marsh' ELSE 'Edward Marsh' END ELSE 'John P. McDonald III' END AS name,
     CASE n WHEN 0 THEN 'Chief Executive Officer' ELSE 'President and Chief Operating Officer' END AS title, y AS year, (c_custkey + 1000 * n + y)::DOUBLE AS total
     FROM customer, range(0, 2) a(n), range(2000, 2003) b(y)""")
 def q_repair_pay(s, sf):
@@ -284,11 +284,11 @@ def q_repair_pay(s, sf):
     a row that is no person."""
     k = F.col("c_custkey")
     y = _customers(s, sf).select(k, F.explode(F.sequence(F.lit(2000), F.lit(2002))).alias("y"))
-    long_name = F.when(k % 3 == 0, "C. Douglas McMillon (1)").otherwise("Douglas McMillon2")
+    long_name = F.when(k % 3 == 0, "T. Edward Marsh (1)").otherwise("Edward Marsh2")
     row = lambda id, name, title, total: F.struct(F.lit(id).alias("person_id"), name.alias("name"), F.lit(title).alias("title"), total.cast("decimal(28,4)").alias("total"))
     rows = F.array(
         row("a", long_name, "chief Executive Officer Represents the aggregate grant date fair value", k + F.col("y")),
-        row("b", F.when(F.col("y") == 2001, "Doug McMillon").otherwise("Other NEOs required"), "Chief Executive Officer", k + F.col("y")),
+        row("b", F.when(F.col("y") == 2001, "Ted Marsh").otherwise("Other NEOs required"), "Chief Executive Officer", k + F.col("y")),
         row("c", F.lit("JOHN P. MCDONALD III"), "age 59 President and Chief Operating Officer 108,150 2,000", k + F.col("y") + 1000))
     df = y.select(k.alias("company_id"), F.col("y").alias("year"), F.posexplode(rows).alias("row", "r"))
     zero = lambda c: F.lit(0).cast("decimal(28,4)").alias(c)

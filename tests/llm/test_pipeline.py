@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
+from test_brute_models import leaks
 
 import corpus_pipeline
-from ledgerline.llm import quality
+from ledgerline.llm import decontaminate, quality
 from ledgerline.llm.shared import written
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +32,10 @@ def test_stages_match_brute_force_each_on_its_own_input(spark):
                 assert sum(len(brute.words(x)) >= 1 for x in r["text"].split("\n")) == want[d][3]
         if name == "near dedup":
             assert set(after) == {d for d, w in brute.near_report([(d, r["text"]) for d, r in before.items()], 5).items() if w[2]}
+        if name == "decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+            held = leaks([(d, r["text"]) for d, r in before.items()], items, decontaminate.Leaks())
+            assert set(after) == {d for d in before if not held[d]}
         if name == "source mix":
             want = brute.mix([(d, r["text"], r["source"]) for d, r in before.items()])
             assert {d: (r["size"], r["source_size"], r["taken"]) for d, r in after.items()} == {d: (a, b, t) for d, (a, b, _, t) in want.items() if t}

@@ -87,11 +87,13 @@ def remapped(rows: DataFrame, merged: DataFrame, key: list[str], id: str) -> Dat
 
 def fuzzy_members(constituents: DataFrame, filers: DataFrame) -> DataFrame:
     """(ticker, filer_id): for each constituent (ticker, key) the filer (filer_id, key, filings) of whose key every word
-    begins a word of the constituent's key; ties: the shortest key, then most filings. They meet by the first three letters of the
-    filer's first word, which begin some word of the constituent."""
+    begins a word of the constituent's key; ties: the shortest key, then most filings. They meet where the filer's longest
+    word, of three letters or more, is a beginning of one of the constituent's words."""
     words = constituents.select("ticker", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("w")).filter(F.length("w") >= 3)
-    left = words.select("ticker", "key", F.substring("w", 1, 3).alias("start")).distinct()
-    right = filers.select("filer_id", F.col("key").alias("f_key"), "filings", F.substring("key", 1, 3).alias("start"))
+    starts = F.transform(F.sequence(F.lit(3), F.length("w")), lambda n: F.left(F.col("w"), n))
+    left = words.select("ticker", "key", F.explode(starts).alias("start")).distinct()
+    longest = F.element_at(F.array_sort(F.transform(F.split("key", " "), lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))), -1)["w"]
+    right = filers.select("filer_id", F.col("key").alias("f_key"), "filings", longest.alias("start"))
     met = left.join(right, "start")
     every = F.forall(F.split("f_key", " "), lambda w: F.exists(F.split("key", " "), lambda k: k.startswith(w)))
     order = F.struct(F.length("f_key").alias("l"), (-F.col("filings")).alias("n"), F.col("filer_id"))

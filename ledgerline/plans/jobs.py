@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import companies, web
-from ..operators import jobs, markup, matching
+from ..operators import jobs, markup, matching, quality, salaries
 from ..sources import directory as d
 from ..sources import documents
 from .catalogue import query
@@ -226,3 +226,20 @@ def q_appointed_people(s, sf):
     insiders = c.filter(k % 4 == 1).select(k.alias("company_id"), F.concat(F.lit("VALE"), F.upper(word), F.lit(" MIA J")).alias("name"), _text("i", k).alias("insider_id"), F.lit(True).alias("is_officer"))
     twice = F.explode(F.when(k % 4 == 3, F.array(_text("x", k), _text("y", k))).otherwise(F.array(_text("p", k))))
     return matching.appointed_people(appointments, known, insiders, c.select(name.alias("name"), twice.alias("person_id")))
+
+
+@query("q_orphan_orders", "SELECT DISTINCT o_custkey AS company_id FROM orders WHERE o_custkey % 3 <> 0")
+def q_orphan_orders(s, sf):
+    known = d.table(s, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("company_id"))
+    return quality.orphans(d.table(s, sf, "orders").select(F.col("o_custkey").alias("company_id")), known, "company_id")
+
+
+@query("q_usual_spellings", """
+    SELECT lower(t) AS key, min_by(t, (-n, t)) AS title, CAST(sum(n) AS BIGINT) AS filings FROM (
+        SELECT CASE l_linenumber % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN upper(left(p_name, 1)) || substr(p_name, 2) ELSE p_name END AS t, count(*) AS n
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) GROUP BY 1""")
+def q_usual_spellings(s, sf):
+    n = F.col("p_name")
+    t = F.when(F.col("l_linenumber") % 3 == 0, F.upper(n)).when(F.col("l_linenumber") % 3 == 1, F.concat(F.upper(F.left(n, F.lit(1))), F.substr(n, F.lit(2)))).otherwise(n)
+    rows = d.table(s, sf, "lineitem").join(d.table(s, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return salaries.spellings(rows.select(t.alias("title")))

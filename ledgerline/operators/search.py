@@ -134,7 +134,7 @@ def matching(rows: DataFrame, text: str | None) -> DataFrame:
 
 
 #: Searches for neighbours widen in these steps, in shares of the radius.
-RINGS = (1 / 64, 1 / 16, 1 / 4, 1.0)
+RINGS = (1 / 32, 1 / 4, 1.0)
 
 
 def _closest(own: DataFrame, other: DataFrame, radius: float, top: int, same: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filings
+from ..operators import filings, people
 from ..sources import directory as d
 from .catalogue import query
 from .text import _pick, _sql_array, _text
@@ -108,13 +108,8 @@ def q_pay_tables(s, sf):
     return rows.select("page_id", "name", "title", "year", "salary", "bonus", "stock", "options", "total", "adds_up")
 
 
-@query("q_performance_pay", f"""
-    SELECT k AS page_id, CAST(2023 - i - CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year, CAST(CASE WHEN k % 3 = 0 THEN DATE '2023-01-31' ELSE DATE '2023-12-31' END - to_years(CAST(i AS INTEGER)) AS DATE) AS ends_on,
-           CAST((CASE WHEN i = 1 AND k % 4 = 0 THEN -1 ELSE 1 END) * (100 + w + i) * (CASE WHEN k % 2 = 0 THEN 1000 ELSE 1 END) AS DOUBLE) AS total,
-           CASE WHEN i = 2 THEN NULL WHEN i = 1 THEN 'Second' ELSE name END AS name
-    FROM (SELECT *, unnest(range(3)) AS i FROM f)""", extra=f""",
-    p AS ({_PAGES_SQL}), f AS (SELECT *, {_NAME_SQL} AS name FROM p)""")
-def q_performance_pay(s, sf):
+def _tagged_pages(s, sf):
+    """Pages with three years of inline tags: a plain context, one of a person, one with two persons' names."""
     k, w = F.col("k"), F.col("w")
     parts = [F.col("html"), F.lit("<ix:header><ix:resources>")]
     end = [F.when(k % 3 == 0, f"{2023 - i}-01-31").otherwise(f"{2023 - i}-12-31") for i in range(3)]
@@ -130,5 +125,29 @@ def q_performance_pay(s, sf):
         names = {0: [("c0n", F.concat(F.lit("Mr. <b>"), _name(k), F.lit("</b>")))], 1: [("c1n", F.lit("Second")), ("c1m", F.lit("Other"))], 2: [("c2n", F.lit("One")), ("c2m", F.lit("Two"))]}[i]
         called = [x for context, n in names for x in (F.lit(f'<ix:nonNumeric name="ecd:PeoName" contextRef="{context}">'), n, F.lit("</ix:nonNumeric>"))]
         parts += [F.lit("<tr><td>"), *called, tag, F.lit("</td><td>"), tag, F.lit("</td></tr>")]
-    pages = _pages(s, sf).select(k.alias("page_id"), F.concat(*parts).alias("html"))
-    return filings.performance_pay(pages, "page_id")
+    return _pages(s, sf).select(k.alias("page_id"), F.concat(*parts).alias("html"))
+
+
+@query("q_performance_pay", f"""
+    SELECT k AS page_id, CAST(2023 - i - CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year, CAST(CASE WHEN k % 3 = 0 THEN DATE '2023-01-31' ELSE DATE '2023-12-31' END - to_years(CAST(i AS INTEGER)) AS DATE) AS ends_on,
+           CAST((CASE WHEN i = 1 AND k % 4 = 0 THEN -1 ELSE 1 END) * (100 + w + i) * (CASE WHEN k % 2 = 0 THEN 1000 ELSE 1 END) AS DOUBLE) AS total,
+           CASE WHEN i = 2 THEN NULL WHEN i = 1 THEN 'Second' ELSE name END AS name
+    FROM (SELECT *, unnest(range(3)) AS i FROM f)""", extra=f""",
+    p AS ({_PAGES_SQL}), f AS (SELECT *, {_NAME_SQL} AS name FROM p)""")
+def q_performance_pay(s, sf):
+    return filings.performance_pay(_tagged_pages(s, sf), "page_id")
+
+
+@query("q_filing_tags_check", f"""
+    SELECT k AS tag_id, CASE k % 5 WHEN 2 THEN 'corrected' WHEN 3 THEN 'dropped' WHEN 4 THEN 'unmatched' ELSE 'verified' END AS outcome, CASE WHEN k % 5 IN (2, 3) THEN k END AS person_id,
+           CASE WHEN k % 5 IN (2, 3) THEN CAST(2023 - CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) END AS year, CASE WHEN k % 5 = 2 THEN CAST((100 + w) * CASE WHEN k % 2 = 0 THEN 1000 ELSE 1 END AS DOUBLE) END AS total
+    FROM p""", extra=f""",
+    p AS ({_PAGES_SQL})""")
+def q_filing_tags_check(s, sf):
+    tags = filings.performance_pay(_tagged_pages(s, sf), "page_id").filter("name <> 'Second'")
+    tags = tags.select(F.col("page_id").alias("tag_id"), F.col("page_id").alias("company_id"), "name", "fiscal_year", F.year("ends_on").alias("period_end_year"), F.col("total").alias("tagged"))
+    k, w = F.col("k"), F.col("w")
+    stated = (100 + w) * F.when(k % 2 == 0, 1000).otherwise(1)
+    share = F.when(k % 5 == 1, 0.001).when(k % 5 == 2, 0.8).when(k % 5 == 3, 1.2).when(k % 5 == 4, 3.0).otherwise(1.0)
+    rows = _pages(s, sf).select(k.alias("company_id"), k.alias("person_id"), _name(k).alias("name"), (2023 - F.when(k % 3 == 0, 1).otherwise(0)).alias("year"), (stated * share).alias("total"), F.lit(0.0).alias("other"))
+    return people.tagged_pay(rows, tags)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, statements, visitors
+from ..operators import matching, pages, statements, visitors
 from ..sources import directory as d
 from .catalogue import query
 from .filings import FIRST, LAST
@@ -99,11 +99,8 @@ def q_office_addresses(s, sf):
     return matching.office_addresses(_lines(s, sf, more), towns)
 
 
-@query("q_reported_years", """
-    SELECT doc_id % 40 AS company_id, CAST(2015 + doc_id % 8 AS INTEGER) AS report_year, doc_id AS basis, CAST((1000 + n_chars) * u AS DOUBLE) AS revenue,
-           CAST((CASE WHEN doc_id % 4 = 0 THEN -1 ELSE 1 END) * (n_chars % 700 + 1) * u AS DOUBLE) AS net_income, CAST((900 + n_chars) * u AS DOUBLE) AS prior_revenue, CAST(50 * u AS DOUBLE) AS prior_net
-    FROM (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS u FROM documents)""")
-def q_reported_years(s, sf):
+def _report_lines(s, sf):
+    """Documents with a contents page, a statement in a unit of its own, and pages that look like one."""
     def more(i, c):
         y = 2015 + i % 8
         two = lambda a, b: F.when(i % 2 == 0, _text(a, "  ", b)).otherwise(_text(b, "  ", a))
@@ -115,8 +112,26 @@ def q_reported_years(s, sf):
             (3, _text("Cost of sales  ", two("(70)", "(60)"))), (3, _text("Profit before income tax  ", two(figure(c), "55"))), (3, _text("Profit for the year  ", two(net, "50"))), (3, "Earnings per share"),
             (4, "Balance sheet"), (4, _text("Revenue received early 9  ", two("5", "6"))), (5, "Notes to the accounts"), (5, _text(y, " ", y - 1)), (5, _text("Revenue  ", two("1", "2")))]
 
+    return _lines(s, sf, more)
+
+
+@query("q_reported_years", """
+    SELECT doc_id % 40 AS company_id, CAST(2015 + doc_id % 8 AS INTEGER) AS report_year, doc_id AS basis, CAST((1000 + n_chars) * u AS DOUBLE) AS revenue,
+           CAST((CASE WHEN doc_id % 4 = 0 THEN -1 ELSE 1 END) * (n_chars % 700 + 1) * u AS DOUBLE) AS net_income, CAST((900 + n_chars) * u AS DOUBLE) AS prior_revenue, CAST(50 * u AS DOUBLE) AS prior_net
+    FROM (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS u FROM documents)""")
+def q_reported_years(s, sf):
     reports = d.table(s, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("company_id"), F.col("doc_id").alias("basis"))
-    return statements.reported_years(_lines(s, sf, more), reports)
+    return statements.reported_years(_report_lines(s, sf), reports)
+
+
+@query("q_years_of_reports", """
+    SELECT company_id, year, max_by(revenue, report_year) AS revenue, max_by(net, report_year) AS net_income FROM (
+        SELECT company_id, report_year, report_year AS year, CAST((1000 + n_chars) * u AS DOUBLE) AS revenue, CAST(CASE WHEN doc_id % 4 = 0 THEN -1 ELSE 1 END * (n_chars % 700 + 1) * u AS DOUBLE) AS net FROM r
+        UNION ALL SELECT company_id, report_year, report_year - 1, CAST((900 + n_chars) * u AS DOUBLE), CAST(50 * u AS DOUBLE) FROM r) GROUP BY 1, 2""", extra=""",
+    r AS (SELECT doc_id, n_chars, doc_id // 8 AS company_id, CAST(2015 + doc_id % 8 AS INTEGER) AS report_year, CASE doc_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS u FROM documents)""")
+def q_years_of_reports(s, sf):
+    reports = d.table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 8).alias("company_id"), F.lit("ifrs").alias("basis"))
+    return pages.filled_years(statements.reported_years(_report_lines(s, sf), reports))
 
 
 @query("q_directors_pay", f"""

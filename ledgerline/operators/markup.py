@@ -8,6 +8,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
@@ -127,23 +128,25 @@ class _Tables(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tables: list[list[tuple[int, int, int, str]]] = []
-        self.depth, self.row, self.taken, self.cells, self.open = 0, -1, set(), [], None
+        self.depth, self.row, self.free, self.taken, self.cells, self.open = 0, -1, 0, set(), [], None
 
     def handle_starttag(self, tag, attrs):
         self.depth += tag == "table"
         if self.depth != 1:
             return
         if tag == "table":
-            self.row, self.taken, self.cells = -1, set(), []
+            self.row, self.free, self.taken, self.cells = -1, 0, set(), []
         elif tag == "tr":
             self._close()
-            self.row += 1
+            self.row, self.free = self.row + 1, 0
         elif tag in ("td", "th") and self.row >= 0:
             self._close()
             given = dict(attrs)
             wide, tall = (self._span(given.get(a)) for a in ("colspan", "rowspan"))
-            column = next(c for c in range(len(self.taken) + 1) if (self.row, c) not in self.taken)
+            column = next(c for c in count(self.free) if (self.row, c) not in self.taken)
             self.taken |= {(self.row + r, column + c) for r in range(tall) for c in range(wide)}
+            #: All columns before it are taken.
+            self.free = column + wide
             self.open = (self.row, column, column + wide - 1, [])
 
     @staticmethod
@@ -177,22 +180,35 @@ def grids(page: str | None) -> list[list[tuple[int, int, int, str]]]:
     parser.close()
     out = []
     for cells in parser.tables:
-        rows = sorted({c[0] for c in cells if any(d[3] for d in cells if d[0] == c[0])})
+        rows = sorted({row for row, _, _, text in cells if text})
         place = {r: n for n, r in enumerate(rows)}
         out.append([(place[r], a, z, t) for r, a, z, t in cells if r in place])
     return out
 
 
+#: So many cells leave Python at once.
+CELLS = 20_000
+
+
 def table_cells(pages: DataFrame, id: str, markup: str) -> DataFrame:
     """(id, n_table, row, first_column, last_column, text): every cell of every table of every page."""
     names = ("n_table", "row", "first_column", "last_column")
 
+    def made(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        which, *numbers, texts = map(list, zip(*rows)) if rows else [[] for _ in range(6)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), *[pa.array(n, pa.int64()) for n in numbers], pa.array(texts, pa.string())], names=["id", *names, "text"])
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, *cell) for i, page in enumerate(batch.column("markup").to_pylist()) for k, table in enumerate(grids(page)) for cell in table]
-            which, *numbers, texts = map(list, zip(*rows)) if rows else [[] for _ in range(6)]
-            ids = batch.column("id").take(pa.array(which, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(n, pa.int64()) for n in numbers], pa.array(texts, pa.string())], names=["id", *names, "text"])
+            rows: list[tuple] = []
+            for i, page in enumerate(batch.column("markup")):
+                for k, table in enumerate(grids(page.as_py())):
+                    for cell in table:
+                        rows.append((i, k, *cell))
+                        if len(rows) == CELLS:
+                            yield made(batch.column("id"), rows)
+                            rows = []
+            yield made(batch.column("id"), rows)
 
     plain = pages.select(F.col(id).alias("id"), F.col(markup).alias("markup"))
     kind = plain.schema["id"].dataType.simpleString()

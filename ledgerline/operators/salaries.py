@@ -70,10 +70,11 @@ def matched_employers(employers: DataFrame, companies: DataFrame, aliases: DataF
     names = companies.withColumn("key", employer_key(F.col("name"))).filter(F.length("key") >= 3)
     unique = names.groupBy("key").agg(F.min("company_id").alias("by_name"), F.count_distinct("company_id").alias("n")).filter("n = 1").drop("n")
     named = aliases.groupBy(employer_key(F.col("alias")).alias("key")).agg(F.min("company_id").alias("by_alias"))
-    first = F.substring_index("key", " ", 1)
-    starts = e.select("key").distinct().withColumn("first", first)
-    whole = unique.select(first.alias("first"), F.col("key").alias("whole"), F.col("by_name").alias("by_start"))
-    starts = starts.join(whole, "first").filter(F.col("key").startswith(F.concat("whole", F.lit(" "))))
+    #: Each beginning of an employer's name, by whole words, meets the names by equality: a common first word pairs nothing.
+    words = F.split("key", " ")
+    begun = F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")))
+    starts = e.select("key").distinct().filter(F.contains("key", F.lit(" "))).select("key", begun.alias("whole"))
+    starts = starts.join(unique.select(F.col("key").alias("whole"), F.col("by_name").alias("by_start")), "whole")
     rest = F.split(F.substr("key", F.length("whole") + 2), " ")
     unit = F.forall(rest, lambda w: w.isin(*UNIT_WORDS)) & (F.length("whole") >= 5)
     starts = starts.filter(F.contains("whole", F.lit(" ")) | unit)

@@ -25,3 +25,20 @@ def test_cells_leave_in_parts(spark):
     pages = spark.createDataFrame([(7, "<table>" + "<tr><td>x</td></tr>" * (markup.CELLS + 5) + "</table>"), (8, None), (9, "<table><tr><td>y</table>")], "id long, h string")
     counts = markup.table_cells(pages.coalesce(1), "id", "h").groupBy("id").agg(F.count("*").alias("n"), F.max("row").alias("last")).collect()
     assert {(r["id"], r["n"], r["last"]) for r in counts} == {(7, markup.CELLS + 5, markup.CELLS + 4), (9, 1, 0)}
+
+
+def test_a_common_first_word_pairs_no_names(spark):
+    k = F.col("id")
+    companies = spark.range(30_000).select(k.alias("company_id"), F.concat(F.lit("Customer "), k).alias("name"))
+    employers = spark.range(30_000).select(F.concat(F.lit("Customer "), k, F.lit(" Services")).alias("employer"))
+    began = time.time()
+    none = spark.createDataFrame([], "alias string, company_id long")
+    assert salaries.matched_employers(employers, companies, none).filter("how = 'subsidiary'").count() == 30_000 and time.time() - began < 60
+
+
+def test_the_longest_beginning_of_whole_words_counts(spark):
+    companies = spark.createDataFrame([(1, "Alpha"), (2, "Alpha Beta"), (3, "Alpha Bet"), (4, "Gamma")], "company_id long, name string")
+    employers = spark.createDataFrame([("Alpha Beta Works",), ("Alpha Services",), ("Alpha Works",), ("Gammas Bank",), ("Gamma",), (None,)], "employer string")
+    none = spark.createDataFrame([], "alias string, company_id long")
+    got = {r["employer"]: (r["company_id"], r["how"]) for r in salaries.matched_employers(employers, companies, none).collect()}
+    assert got == {"Alpha Beta Works": (2, "subsidiary"), "Alpha Services": (1, "subsidiary"), "Alpha Works": (None, None), "Gammas Bank": (None, None), "Gamma": (4, "name"), None: (None, None)}

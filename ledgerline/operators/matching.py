@@ -45,7 +45,8 @@ def insider_matches(people: DataFrame, insiders: DataFrame) -> DataFrame:
     p = people.select("company_id", "person_id", name_words(F.col("name")).alias("w")).filter(F.size("w") >= 2)
     p = p.select("company_id", "person_id", F.get("w", F.lit(0)).alias("first"), F.element_at("w", -1).alias("last")).distinct()
     i = insiders.select("company_id", "insider_id", F.coalesce("is_officer", F.lit(False)).alias("officer"), name_words(F.col("name")).alias("words"))
-    met = p.join(i.withColumn("last", F.explode(F.array_distinct("words"))), ["company_id", "last"])
+    #: Both sides grow with the companies, whatever their files' sizes say: neither is broadcast.
+    met = p.join(i.withColumn("last", F.explode(F.array_distinct("words"))).hint("merge"), ["company_id", "last"])
     others = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
     named = F.exists(others, lambda w: F.arrays_overlap(_forms(w), _forms(F.col("first"))))
     initial = F.exists(others, lambda w: F.left(w, F.lit(1)) == F.left(F.col("first"), F.lit(1)))

@@ -1,5 +1,6 @@
 """What grows with the tables: work, memory, and results that only larger tables show."""
 
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -42,3 +43,12 @@ def test_the_longest_beginning_of_whole_words_counts(spark):
     none = spark.createDataFrame([], "alias string, company_id long")
     got = {r["employer"]: (r["company_id"], r["how"]) for r in salaries.matched_employers(employers, companies, none).collect()}
     assert got == {"Alpha Beta Works": (2, "subsidiary"), "Alpha Services": (1, "subsidiary"), "Alpha Works": (None, None), "Gammas Bank": (None, None), "Gamma": (4, "name"), None: (None, None)}
+
+
+def test_insiders_of_all_companies_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, 1, "Ann Lee", True)], "company_id long, person_id long, name string, is_officer boolean")
+    insiders = rows.select("company_id", F.lit(5).cast("long").alias("insider_id"), F.lit("Lee Ann").alias("name"), "is_officer")
+    df = matching.insider_matches(rows.drop("is_officer"), insiders)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortMergeJoin \[company_id#\d+L?, last#\d+\]", plan)
+    assert [tuple(r) for r in df.collect()] == [(1, 1, 5, 1)]

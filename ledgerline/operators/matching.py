@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import SHORT_FORMS
+from ..functions.text import capitals
 
 #: A table of so many rows of a word and an id is broadcast; a longer one is joined by its key.
 BROADCAST_ROWS = 200_000
@@ -76,9 +77,9 @@ def canonical_names(rows: DataFrame, group: str = "company_id", name: str = "nam
     """
     names = rows.select(F.col(group).alias("g"), F.col(name).alias("name")).filter("name IS NOT NULL").distinct()
     words = F.filter(F.split(F.trim("name"), r"\s+"), lambda w: ~F.lower(F.regexp_replace(w, r"[.,]", "")).isin(*_HONOURS) & (w != ""))
-    last = F.upper(F.regexp_replace(F.coalesce(F.try_element_at("w", F.lit(-1)), F.col("name")), r"^[.,]+|[.,]+$", ""))
+    last = capitals(F.regexp_replace(F.coalesce(F.try_element_at("w", F.lit(-1)), F.col("name")), r"^[.,]+|[.,]+$", ""))
     first = F.regexp_replace(F.get("w", F.lit(0)), r"\.", "")
-    df = names.withColumn("w", words).select("g", "name", last.alias("last"), F.when(F.size("w") >= 2, F.upper(F.left(first, F.lit(1)))).alias("initial"),
+    df = names.withColumn("w", words).select("g", "name", last.alias("last"), F.when(F.size("w") >= 2, capitals(F.left(first, F.lit(1)))).alias("initial"),
                                              ((F.size("w") >= 2) & (F.length(first) > 1)).alias("full"))
     by_initial = df.filter("full").groupBy("g", "last", "initial").agg(F.count("*").alias("n"), F.min("name").alias("one"))
     #: The null initial stands for all of a surname.

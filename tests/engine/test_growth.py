@@ -52,3 +52,9 @@ def test_insiders_of_all_companies_are_not_broadcast(spark):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert re.search(r"SortMergeJoin \[company_id#\d+L?, last#\d+\]", plan)
     assert [tuple(r) for r in df.collect()] == [(1, 1, 5, 1)]
+
+
+def test_capitals_of_one_letter_stay_one(spark):
+    rows = spark.createDataFrame([("a", n) for n in ("Erbezu ß", "Anna SS", "E. ß", "A. SS", "Ms ss", "Ms ß")], "g string, name string")
+    got = {r["name"]: r["canonical"] for r in matching.canonical_names(rows, "g").collect()}
+    assert got == {"Erbezu ß": "Erbezu ß", "Anna SS": "Anna SS", "E. ß": "Erbezu ß", "A. SS": "Anna SS", "Ms ss": "Anna SS", "Ms ß": "Erbezu ß"}

@@ -297,6 +297,8 @@ def statement_unit(line: Column) -> Column:
     """struct(scale, currency) of a statement's header line; null without either."""
     low = F.lower(line)
     scale = F.when(low.rlike(r"\bbillions?\b|\bbn\b"), 1e9).when(low.rlike(r"\bmillions?\b|[$€£]m\b"), 1e6).when(low.rlike(r"\bthousands?\b|['’]000|\b000s?\b"), 1e3)
+    #: Single units, said so, take the place of a scale stated before.
+    scale = scale.when(low.rlike(r"\bin (?:whole )?(?:dollars|pounds|euros?|rupees)\b"), 1.0)
     currency = F.coalesce(F.nullif(F.regexp_extract(line, r"\b(AUD|NZD|USD|GBP|EUR|PKR|CAD)\b", 1), F.lit("")), F.when(low.rlike(r"a\$"), "AUD").when(low.rlike(r"nz\$"), "NZD")
                           .when(low.rlike(r"us\$"), "USD").when(line.contains("£"), "GBP").when(line.contains("€"), "EUR").when(low.rlike(r"\brs\b|rupees"), "PKR"))
     return F.when(scale.isNotNull() | currency.isNotNull(), F.struct(F.coalesce(scale, F.lit(1.0)).alias("scale"), currency.alias("currency")))

@@ -69,7 +69,7 @@ def q_insider_matches(s, sf):
 def _lines(s, sf, more):
     """The lines of each document as page 0, and more pages with lines worked out from its columns."""
     docs = d.table(s, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("n_chars").alias("c"))
-    own = F.transform(F.split("text", "\n"), lambda t: F.struct(F.lit(0).alias("page"), t.alias("text")))
+    own = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.struct(F.lit(0).alias("page"), t.alias("text")))
     added = F.array(*[F.struct(F.lit(p).alias("page"), (t if not isinstance(t, str) else F.lit(t)).alias("text")) for p, t in more(F.col("id"), F.col("c"))])
     return docs.select("id", F.posexplode(F.concat(own, added)).alias("n", "l")).select("id", "n", "l.*")
 

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text
-from ledgerline.operators import markup, matching, salaries
+from ledgerline.operators import markup, matching, salaries, statements
 
 
 def test_a_table_of_many_rows_is_laid_out_in_linear_time():
@@ -64,3 +64,11 @@ def test_an_entity_ends_with_a_semicolon(spark):
     rows = [("a &amp b",), ("a &amp;amp b",), ("&lt;p>x&copy;&copy &#39;&#39 &nosuch; &ampx;",), ("AT&ampT &amp;lt;i&amp;gt;",)]
     got = [r[0] for r in spark.createDataFrame(rows, "h string").select(text.plain_text("h")).collect()]
     assert got == ["a &amp b", "a &amp b", "x©&copy '&#39 &nosuch; &ampx;", "AT&ampT"]
+
+
+def test_single_units_replace_a_scale_stated_before(spark):
+    texts = [(0, "Sales of 3 million last year"), (1, None), (2, "In dollars"), (3, "Income statement"), (3, "Note  2016  2015"), (3, "Revenue 4  1,000  900"), (3, "Profit before income tax  9  8"),
+             (3, "Profit for the year  7  6")]
+    lines = spark.createDataFrame([(1, p, n, t) for n, (p, t) in enumerate(texts)], "id long, page int, n int, text string")
+    (row,) = statements.reported_years(lines, spark.createDataFrame([(1, 5, "a")], "id long, company_id long, basis string")).collect()
+    assert (row["revenue"], row["net_income"], row["prior_revenue"], row["prior_net"]) == (1000.0, 7.0, 900.0, 6.0)

@@ -1,12 +1,14 @@
 """What grows with the tables: work, memory, and results that only larger tables show."""
 
+import math
+import random
 import re
 import time
 
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text
-from ledgerline.operators import markup, matching, salaries, statements
+from ledgerline.operators import markup, matching, salaries, search, statements
 
 
 def test_a_table_of_many_rows_is_laid_out_in_linear_time():
@@ -72,3 +74,29 @@ def test_single_units_replace_a_scale_stated_before(spark):
     lines = spark.createDataFrame([(1, p, n, t) for n, (p, t) in enumerate(texts)], "id long, page int, n int, text string")
     (row,) = statements.reported_years(lines, spark.createDataFrame([(1, 5, "a")], "id long, company_id long, basis string")).collect()
     assert (row["revenue"], row["net_income"], row["prior_revenue"], row["prior_net"]) == (1000.0, 7.0, 900.0, 6.0)
+
+
+def test_nearest_places_are_those_of_all_pairs(spark):
+    r = random.Random(3)
+    points = [(i, 40 + r.choice((0.01, 0.2, 3)) * r.random(), -100 + r.choice((0.01, 0.2, 3)) * r.random()) for i in range(150)]
+    points += [(200 + i, points[i][1], points[i][2]) for i in range(20)] + [(300, None, -100.0)]
+    places = [(f"p{i}", 40 + r.choice((0.02, 1, 3)) * r.random(), -100 + r.choice((0.02, 1, 3)) * r.random()) for i in range(60)]
+    places += [(f"a{i}", *places[i][1:]) for i in range(9)]
+    p, q = spark.createDataFrame(points, "id long, latitude double, longitude double"), spark.createDataFrame(places, "place string, to_latitude double, to_longitude double")
+    want = {}
+    for i, y, x in points:
+        flat = lambda t: (round((t[1] - y) ** 2 + ((t[2] - x) * math.cos(math.radians(y))) ** 2, 12), t[0])  # noqa: B023, E731
+        want[i] = min(places, key=flat) if y is not None else None
+    got = {row["id"]: (row["place"], row["miles"]) for row in search.nearest_place(p, q, "id", 30.0).collect()}
+    assert set(got) == set(want) and all(got[i][0] in (want[i] and want[i][0], None) for i in want)
+    #: A degree of latitude is 69 miles, and one of longitude less.
+    near = {i for i, y, x in points if want[i] and math.dist((y, x), want[i][1:]) < 30 / 70}
+    assert len(near) > 100 and all(got[i][0] == want[i][0] and got[i][1] <= 30 for i in near)
+
+
+def test_points_of_one_spot_make_no_pairs(spark):
+    spots = spark.range(40_000).select("id", (40 + F.col("id") % 2).cast("double").alias("latitude"), F.lit(-100.0).alias("longitude"))
+    places = spots.select(F.concat(F.lit("p"), "id").alias("place"), F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"))
+    began = time.time()
+    assert {(r["place"], r["miles"], r["count"]) for r in search.nearest_place(spots, places, "id", 15.0).groupBy("place", "miles").count().collect()} == {("p0", 0.0, 20_000), ("p1", 0.0, 20_000)}
+    assert time.time() - began < 60

@@ -100,3 +100,19 @@ def test_points_of_one_spot_make_no_pairs(spark):
     began = time.time()
     assert {(r["place"], r["miles"], r["count"]) for r in search.nearest_place(spots, places, "id", 15.0).groupBy("place", "miles").count().collect()} == {("p0", 0.0, 20_000), ("p1", 0.0, 20_000)}
     assert time.time() - began < 60
+
+
+def test_nearest_codes_are_those_of_all_pairs(spark):
+    r = random.Random(5)
+    number = lambda: f"{r.randrange(2000 if r.random() < 0.7 else 100_000):05d}"
+    asked = [(i, r.choice((1, 2, None)), r.choice((number(), number()[1:], None))) for i in range(300)]
+    known = [(r.choice((1, 2, None)), r.choice((number(), number()[1:])), f"n{r.randrange(50)}") for i in range(80)]
+    rows = search.located_codes(spark.createDataFrame(asked, "id long, country long, code string"), spark.createDataFrame(known, "country long, known string, place string")).collect()
+
+    def best(country, code):
+        fits = [(0 if k == code else 1 if k[:3] == code[:3] and len(k) == len(code) else 2 if k[:2] == code[:2] and len(k) == len(code) else 9, abs(int(k) - int(code)), k, p) for c, k, p in known
+                if code and country and c == country]
+        found = min(fits, default=(9,))
+        return (found[0], *found[2:]) if found[0] < 9 else (None, None, None)
+
+    assert {row["id"]: (row["tier"], row["known"], row["place"]) for row in rows} == {i: best(c, k) for i, c, k in asked}

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.places import us_places
 from ..functions.text import job_key
 from .ranking import percentiles
-from .salaries import SHARES
+from .salaries import SHARES, range_medians
 
 
 def mode(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -57,18 +57,16 @@ def ad_summaries(ads: DataFrame) -> DataFrame:
     upper ends, the middle kept between the others. url, for a whole company only, is that of the ad seen last (of equals the
     last address).
     """
-    keyed = ads.withColumn("key", job_key(F.col("title"))).filter("key <> ''")
-    place = F.concat(F.array(F.lit(None).cast("struct<city:string,state:string>")), us_places(F.col("location")))
-    rows = keyed.select("company_id", "key", F.explode(place).alias("place"), "pay_min", "pay_max", ((F.col("pay_min") + F.col("pay_max")) / 2).alias("middle"))
-    rows = rows.select("company_id", "key", "place.city", "place.state", "pay_min", "pay_max", "middle")
+    #: Titles and locations repeat: they are read once for each pair.
+    read = ads.select("title", F.coalesce("location", F.lit("")).alias("location")).distinct().withColumn("key", job_key(F.col("title"))).filter("key <> ''")
+    read = read.withColumn("places", F.concat(F.array(F.lit(None).cast("struct<city:string,state:string>")), us_places(F.col("location"))))
+    keyed = ads.withColumn("location", F.coalesce("location", F.lit(""))).join(read, ["title", "location"])
+    rows = keyed.select("company_id", "key", F.explode("places").alias("place"), "pay_min", "pay_max")
     group = ["company_id", "key", "city", "state"]
-    low = percentiles(rows, group, "pay_min", {"p25": 0.5}).select(*group, F.col("n").alias("ads"), "low", F.bround("p25", 0).alias("p25"))
-    high = percentiles(rows, group, "pay_max", {"p75": 0.5}).select(*group, F.bround("p75", 0).alias("p75"), "high")
-    middle = percentiles(rows, group, "middle", {"p50": 0.5}).select(*group, F.bround("p50", 0).alias("p50"))
+    medians = range_medians(rows.select("company_id", "key", "place.city", "place.state", "pay_min", "pay_max"), group).filter("ads IS NOT NULL")
     newest = keyed.groupBy("company_id", "key").agg(F.max_by("url", F.struct("seen", "url")).alias("url"))
-    df = _joined(_joined(low, middle, group), high, group).join(newest, ["company_id", "key"])
-    return df.select("company_id", F.col("key").alias("title"), "city", "state", F.when(F.col("city").isNull(), F.col("url")).alias("url"), "ads", "low", "p25",
-                     F.least(F.greatest("p50", "p25"), "p75").alias("p50"), "p75", "high")
+    df = medians.join(newest, ["company_id", "key"])
+    return df.select("company_id", F.col("key").alias("title"), "city", "state", F.when(F.col("city").isNull(), F.col("url")).alias("url"), "ads", "low", "p25", "p50", "p75", "high")
 
 
 def salary_sources(kinds: DataFrame, extras: DataFrame, legacy: str = "visa") -> DataFrame:

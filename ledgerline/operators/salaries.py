@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,22 +31,26 @@ def spellings(filings: DataFrame) -> DataFrame:
     return counts.groupBy("key").agg(F.min_by("title", F.struct(-F.col("n"), "title")).alias("title"), F.sum("n").alias("filings"))
 
 
+def range_medians(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, ads, low, p25, p50, p75, high) of rows (group, pay_min, pay_max): the medians of lower ends, middles and upper
+    ends, whole amounts, the middle kept between the others; ads and low count the lower ends, high the upper ends. Null where
+    a group has none. The three are percentiles of one table, so rows move once."""
+    ends = {"p25": F.col("pay_min"), "p50": (F.col("pay_min") + F.col("pay_max")) / 2, "p75": F.col("pay_max")}
+    end = F.explode(F.array(*[F.struct(F.lit(n).alias("end"), v.cast("double").alias("v")) for n, v in ends.items()]))
+    stats = percentiles(rows.select(*group, end.alias("e")).select(*group, "e.*"), [*group, "end"], "v", {"median": 0.5})
+    of = lambda n, c: F.max(F.when(F.col("end") == n, F.col(c)))
+    df = stats.groupBy(*group).agg(of("p25", "n").alias("ads"), of("p25", "low").alias("low"), *[F.bround(of(n, "median"), 0).alias(n) for n in ends], of("p75", "high").alias("high"))
+    return df.withColumn("p50", F.least(F.greatest("p50", "p25"), "p75"))
+
+
 def ads(postings: DataFrame) -> DataFrame:
     """(company_id, title, city, ads, low, p25, p50, p75, high): medians of the lower ends, middles and upper ends of
     advertised ranges; the middle lies between the others."""
-    rows = postings.withColumn("key", job_key(F.col("title"))).filter("key <> ''")
-    rows = rows.withColumn("city", F.explode(F.array(F.lit(None).cast("string"), F.col("city"))))
-    group = ["company_id", "key", "city"]
-    parts = [
-        percentiles(rows.withColumn("v", v), group, "v", {name: 0.5}).select(*group, F.bround(name, 0).alias(name), *more)
-        for name, v, more in (
-            ("p25", F.col("pay_min"), [F.col("low"), F.col("n").alias("ads")]), ("p75", F.col("pay_max"), [F.col("high")]),
-            ("p50", (F.col("pay_min") + F.col("pay_max")) / 2, []))
-    ]
-    on = lambda a, b: a.join(b.select(*[F.col(g).alias(f"_{g}") for g in group], *[c for c in b.columns if c not in group]),
-                             reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])).drop(*[f"_{g}" for g in group])
-    df = reduce(on, parts)
-    return df.select("company_id", F.col("key").alias("title"), "city", "ads", "low", "p25", F.least(F.greatest("p50", "p25"), "p75").alias("p50"), "p75", "high")
+    #: Titles repeat: their key is worked out once for each spelling.
+    keys = postings.select("title").distinct().withColumn("key", job_key(F.col("title"))).filter("key <> ''")
+    rows = postings.join(keys, "title").withColumn("city", F.explode(F.array(F.lit(None).cast("string"), F.col("city"))))
+    df = range_medians(rows, ["company_id", "key", "city"]).filter("ads IS NOT NULL AND high IS NOT NULL AND p50 IS NOT NULL")
+    return df.select("company_id", F.col("key").alias("title"), "city", "ads", "low", "p25", "p50", "p75", "high")
 
 
 #: Words behind a company's name that say what part of it an employer is.

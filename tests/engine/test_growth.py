@@ -116,3 +116,12 @@ def test_nearest_codes_are_those_of_all_pairs(spark):
         return (found[0], *found[2:]) if found[0] < 9 else (None, None, None)
 
     assert {row["id"]: (row["tier"], row["known"], row["place"]) for row in rows} == {i: best(c, k) for i, c, k in asked}
+
+
+def test_ranges_of_ads_are_read_in_one_pass(spark):
+    rows = [(1, "Sr Dev", "Provo", 10.0, 30.0), (1, "Senior Developer", "Provo", 20.0, 40.0), (1, "Sr Dev", None, 90.0, 100.0), (2, "Clerk", "Ogden", None, 50.0), (2, "(x)", "Ogden", 1.0, 2.0)]
+    df = salaries.ads(spark.createDataFrame(rows, "company_id long, title string, city string, pay_min double, pay_max double"))
+    got = {(r["company_id"], r["city"]): tuple(r)[3:] for r in df.collect()}
+    #: A null city is the whole company; its ad counts there twice, as before.
+    assert got == {(1, None): (4, 10.0, 55.0, 62.0, 70.0, 100.0), (1, "Provo"): (2, 10.0, 15.0, 25.0, 35.0, 40.0)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") + df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4

@@ -1,17 +1,20 @@
 """Repair of filed figures: periods in the wrong unit, and pay rows with broken names, wrong owners or two ids for a person.
 
 Both work company by company, since each correction is judged by figures that may have been corrected before it. A company
-has a few dozen rows; Spark groups and shuffles them, and a group's rows are all that a task holds at once.
+has a few dozen rows; Spark brings them together and sorts them, and a task holds one batch of rows and one company's.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import names
 
@@ -21,6 +24,21 @@ ORDINARY_REVENUE, LARGE_QUARTER = 10_000_000, 100_000_000
 THOUSAND = Decimal(1000)
 
 
+def _company_by_company(rows: DataFrame, order: list[str], repaired: Callable[[list[dict]], list[dict]], out: pa.Schema, ddl: str) -> DataFrame:
+    """What repaired makes of each company's rows, in order. Many companies go to Python in one batch; one that goes on in the next
+    batch waits for it."""
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in given:
+            companies = [list(g) for _, g in groupby(held + batch.to_pylist(), lambda r: r["company_id"])]
+            held = companies.pop() if companies else []
+            yield pa.RecordBatch.from_pylist([r for c in companies for r in repaired(c)], schema=out)
+        yield pa.RecordBatch.from_pylist(repaired(held) if held else [], schema=out)
+
+    return rows.repartition("company_id").sortWithinPartitions("company_id", *order).mapInArrow(batches, ddl)
+
+
 def _sizes(a: Decimal, b: Decimal, factor: int) -> bool:
     """Whether two figures are within a factor of each other, whatever their signs."""
     return a != 0 and b != 0 and abs(b) < abs(a) * factor and abs(a) < abs(b) * factor
@@ -46,9 +64,11 @@ class History:
             if r["period_type"] == "Quarterly":
                 self.quarters[r["fiscal_year"]][r["fiscal_quarter"]] = {m: r[m] for m in self.MEASURES}
         self.mended: set = set()
+        #: No repair changes these.
+        self.firsts = {(y, m): [qs[q][m] for q in (1, 2, 3) if q in qs] for y, qs in self.quarters.items() for m in self.MEASURES}
 
     def first(self, year: int, measure: str) -> list[Decimal]:
-        return [v[measure] for q, v in sorted(self.quarters.get(year, {}).items()) if q in (1, 2, 3)]
+        return self.firsts.get((year, measure), [])
 
     def outlook(self, year: int, measure: str) -> Decimal | None:
         """The year that its first quarters point to, if there are two of one sign at least."""
@@ -197,19 +217,20 @@ def repair_financials(periods: DataFrame) -> DataFrame:
     kinds = pa.schema([("company_id", pa.int64()), ("period_type", pa.string()), ("fiscal_year", pa.int64()), ("fiscal_quarter", pa.int64()),
                        ("revenue", pa.decimal128(28, 4)), ("net_income", pa.decimal128(28, 4))])
 
-    def company(rows: pa.Table) -> pa.Table:
-        history = History(rows.to_pylist())
+    exact = Decimal("0.0001")
+
+    def company(rows: list[dict]) -> list[dict]:
+        history = History(rows)
         history.repaired()
-        id = rows.column("company_id")[0].as_py()
+        id = rows[0]["company_id"]
         out = [{"company_id": id, "period_type": "Annual", "fiscal_year": y, "fiscal_quarter": None, **v} for y, v in history.now.items()]
         out += [{"company_id": id, "period_type": "Quarterly", "fiscal_year": y, "fiscal_quarter": q, **v} for y, qs in history.quarters.items() for q, v in qs.items()]
-        exact = Decimal("0.0001")
         for r in out:
             r.update({m: r[m].quantize(exact) for m in History.MEASURES})
-        return pa.Table.from_pylist(out, schema=kinds)
+        return out
 
     plain = periods.select("company_id", "period_type", "fiscal_year", "fiscal_quarter", *[F.col(m).cast("decimal(28,4)").alias(m) for m in History.MEASURES])
-    return plain.groupBy("company_id").applyInArrow(company, PERIOD)
+    return _company_by_company(plain, [], company, kinds, PERIOD)
 
 
 PAY = ("company_id", "person_id", "name", "title", "year", "salary", "bonus", "stock", "other", "total", "filing")
@@ -298,9 +319,9 @@ def repair_pay(pay: DataFrame, insiders: DataFrame) -> DataFrame:
     numbers = insiders.filter("number is not null and number <> ''").groupBy("person_id").agg(F.min("number").alias("number"))
     joined = pay.join(numbers, "person_id", "left").select(*PAY, "row", "number")
 
-    def company(rows: pa.Table) -> pa.Table:
-        given = rows.sort_by("row").to_pylist()
-        insider = {r["person_id"]: r["number"] for r in given}
-        return pa.Table.from_pylist([{c: r[c] for c in PAY} for r in _repaired_pay(given, insider)], schema=pa.schema([rows.schema.field(c) for c in PAY]))
+    def company(rows: list[dict]) -> list[dict]:
+        insider = {r["person_id"]: r["number"] for r in rows}
+        return [{c: r[c] for c in PAY} for r in _repaired_pay(rows, insider)]
 
-    return joined.groupBy("company_id").applyInArrow(company, joined.select(*PAY).schema)
+    out = joined.select(*PAY).schema
+    return _company_by_company(joined, ["row"], company, to_arrow_schema(out), out)

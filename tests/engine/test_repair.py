@@ -1,6 +1,8 @@
+import time
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.functions import names
 from ledgerline.operators import repair
@@ -128,3 +130,28 @@ def test_pay_given_to_the_wrong_person_goes_and_founders_stay(spark):
     rows = [("a", "Kurt Abel", "Chief Executive Officer Paul F. Ostrander Special Advisor", 2023, 90), ("b", "Paul F. Ostrander", "Special Advisor", 2023, 90)]
     assert {g[0] for g in paid(spark, rows)} == {"b"}
     assert len(paid(spark, [("a", "Ann Lee", "Co-founder", 2023, 90), ("b", "Odile Brun", "Co-founder", 2023, 90)])) == 2
+
+
+def test_companies_that_go_on_in_the_next_batch_are_repaired_whole(spark):
+    k = F.col("id")
+    years = spark.range(40).select(k.alias("company_id"), F.explode(F.sequence(F.lit(1996).cast("long"), F.lit(2001).cast("long"))).alias("fiscal_year"))
+    periods = years.select("company_id", F.lit("Annual").alias("period_type"), "fiscal_year", F.lit(None).cast("int").alias("fiscal_quarter"),
+                           (F.col("fiscal_year") * 10_000 * F.when((F.col("company_id") % 2 == 0) & (F.col("fiscal_year") == 1998), 1000).otherwise(1)).alias("revenue"), F.lit(1000).alias("net_income"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = repair.repair_financials(periods).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 240 and all(r["revenue"] == r["fiscal_year"] * 10_000 for r in got)
+
+
+def test_names_and_titles_of_many_companies_are_cleaned_fast():
+    def rows(k):
+        common = {"year": 2000, "salary": 1, "bonus": 0, "stock": 0, "other": 0, "total": k + 5, "filing": "f"}
+        return [{"company_id": k, "person_id": p, "name": n, "title": t, **common} for p, n, t in (
+            ("a", f"T. Edward Marsh{k} (1)", f"chief Executive Officer {k} Represents the aggregate grant date fair value"),
+            ("b", f"JOHN P. MCDONALD{k} III", f"age 59 President and Chief Operating Officer {k} 108,150 2,000"), ("c", f"Other NEOs {k} required", "Chief"))]
+
+    began = time.time()
+    assert sum(len(repair._repaired_pay(rows(k), {})) for k in range(1500)) == 3000 and time.time() - began < 2.5

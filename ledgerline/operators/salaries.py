@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import yearly_pay
 from ..functions.text import employer_key, job_key
-from .ranking import percentiles
+from ..sources.stored import stored
+from .ranking import SMALL, percentiles, percentiles_at
 
 SHARES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def by_title_and_place(filings: DataFrame, least: int = 3) -> DataFrame:
+def by_title_and_place(filings: DataFrame, least: int = 3, titles: DataFrame | None = None, holding: str = "", small: int = SMALL) -> DataFrame:
     """(company_id, title, city, state, filings, low, p25, p50, p75, high): one row for a title at a company and one for
-    each of its places (null for the whole company), wherever there are at least least filings. Whole amounts."""
+    each of its places (null for the whole company), wherever there are at least least filings. Whole amounts.
+
+    titles (title): a table that holds all titles, if there is one smaller than filings. holding: a text whose words all stand in
+    the titles asked for. Rows of a title at a company move once, and its places are sorted beside it; those of more than small rows
+    are counted by bucket instead.
+    """
     #: Titles repeat: their key is worked out once for each spelling.
-    keys = filings.select("title").distinct().withColumn("key", job_key(F.col("title"))).filter("key <> ''")
-    rows = filings.join(keys, "title").withColumn("place", F.explode(F.array(F.lit(None).cast("struct<city:string,state:string>"), F.struct("city", "state"))))
-    group = ["company_id", "key", "place"]
-    stats = percentiles(rows.select(*group, "salary"), group, "salary", SHARES).filter(F.col("n") >= least)
+    keys = (filings if titles is None else titles).select("title").distinct().withColumn("key", job_key(F.col("title"))).filter("key <> ''")
+    keys = title_search(keys, holding, "key")
+    rows = filings.join(keys, "title").select("company_id", "key", F.struct("city", "state").alias("place"), F.col("salary").cast("double").alias("salary"))
+    #: Read twice or more below.
+    rows, title = stored(rows.filter("salary is not null")), ["company_id", "key"]
+    large = stored(rows.groupBy(*title).agg(F.count("*").alias("n")).filter(F.col("n") > small).drop("n"))
+    group = [*title, "place"]
+    both = lambda whole, place: F.explode(F.array(whole, place))
+    whole_place = F.lit(None).cast("struct<city:string,state:string>")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in title])
+    hidden = F.broadcast(large.select(*[F.col(c).alias(f"__{c}") for c in title]))
+
+    at = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("salary")) - 1
+    of = lambda by: F.count("*").over(Window.partitionBy(*by))
+    df = rows.join(hidden, same, "left_anti").repartition(*title)
+    df = df.withColumn("i", at(title)).withColumn("n", of(title)).filter(F.col("n") >= least).withColumn("pi", at(group)).withColumn("pn", of(group))
+    spot = lambda place, i, n: F.struct(place.alias("place"), F.col(i).alias("i"), F.col(n).alias("n"))
+    df = df.select(*title, "salary", both(spot(whole_place, "i", "n"), spot(F.col("place"), "pi", "pn")).alias("e")).select(*title, "salary", "e.*")
+    stats = percentiles_at(df.filter(F.col("n") >= least), group, "salary", "i", "n", SHARES)
+    if not large.isEmpty():
+        many = rows.join(hidden, same, "left_semi").withColumn("place", both(whole_place, F.col("place")))
+        stats = stats.unionByName(percentiles(many, group, "salary", SHARES).filter(F.col("n") >= least))
     return stats.select("company_id", F.col("key").alias("title"), "place.city", "place.state", F.col("n").alias("filings"), "low",
                         *[F.bround(c, 0).alias(c) for c in SHARES], "high")
 
@@ -126,9 +153,9 @@ def titles_with_places(salaries: DataFrame, places: int = 4) -> DataFrame:
     return salaries.filter("city is null").select("company_id", "title", "filings").join(inner, ["company_id", "title"], "left")
 
 
-def title_search(salaries: DataFrame, text: str) -> DataFrame:
+def title_search(salaries: DataFrame, text: str, title: str = "title") -> DataFrame:
     """Rows whose title holds every word of a text."""
     df = salaries
     for w in text.lower().split():
-        df = df.filter(F.lower("title").contains(w))
+        df = df.filter(F.lower(title).contains(w))
     return df

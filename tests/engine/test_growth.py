@@ -157,3 +157,28 @@ def test_a_company_is_in_one_panel_and_makes_few_rows(spark):
     own = df.filter("company_id = 7").first()
     lower = df.filter((F.col("year") >= own["year"] - 1) & F.col("revenue_usd").between(own["revenue_usd"] / 3, own["revenue_usd"] * 3) & (F.col("top_pay") < own["top_pay"])).count()
     assert whole[7] == lower
+
+
+def test_salaries_move_once_and_large_groups_are_counted_by_bucket(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.choice(["Engineer", "engineer", "Clerk", "Night Clerk", None]), rng.choice(["a", "b", None]), "s", rng.choice([None, 1.0, 2.0, 5.5, 900.0, float(rng.randrange(2000))])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "company_id long, title string, city string, state string, salary double")
+    groups = {}
+    for c, t, city, state, v in rows:
+        if t and v is not None:
+            groups.setdefault((c, t.lower(), None, None, "all"), []).append(v)
+            groups.setdefault((c, t.lower(), city, state, "place"), []).append(v)
+
+    def at(values, share):
+        x = (len(values) - 1) * share
+        low, high = values[math.floor(x)], values[math.ceil(x)]
+        return float(round(low + (high - low) * (x - math.floor(x))))
+
+    want = list((*k[:4], len(v), min(v), *[at(sorted(v), p) for p in (0.25, 0.5, 0.75)], max(v)) for k, v in groups.items() if len(v) >= 3)
+    order = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    for small in (1_000_000, 60, 0):
+        assert order(salaries.by_title_and_place(df, small=small).collect()) == order(want)
+    found = salaries.by_title_and_place(df, titles=df.select("title"), holding="CLERK night")
+    assert order(found.collect()) == order(r for r in want if r[1] == "night clerk")
+    plan = salaries.by_title_and_place(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

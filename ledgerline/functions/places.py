@@ -178,16 +178,24 @@ def us_places(text: Column) -> Column:
     """
     alone = F.split(F.regexp_replace(text, r"\([^)]*\)", " "), r"[;|/•\n]|\s+or\s+")
 
-    def place(part: Column) -> Column:
-        pieces = F.transform(F.split(F.trim(part), r",|\s[-–]\s|(?<=^USA?)\s?-|(?<=^USA?-[A-Z]{2})-|:"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-        known = F.filter(pieces, lambda x: (x != "") & ~F.lower(x).isin(*COUNTRY) & ~F.lower(x).isin(*WORKPLACE))
-        at = F.array_max(F.transform(known, lambda x, i: F.when(state_code(x).isNotNull(), i)))
-        city = F.get(known, F.when(at == 0, 1).otherwise(at - 1))
-        name = F.when(F.lower(city).isin("new york city", "nyc"), "New York").otherwise(title_case(city))
-        away = F.exists(F.split(F.lower(city), "[^a-z-]+"), lambda w: w.isin(*WORKPLACE))
-        return F.when(~away, F.struct(name.alias("city"), state_code(F.get(known, at)).alias("state")))
-
-    found = F.filter(F.transform(alone, place), lambda x: x["city"].isNotNull() & x["state"].isNotNull())
+    def pieces(part: Column) -> Column:
+        cut = F.transform(F.split(F.trim(part), r",|\s[-–]\s|(?<=^USA?)\s?-|(?<=^USA?-[A-Z]{2})-|:"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+        return F.filter(cut, lambda x: (x != "") & ~F.lower(x).isin(*COUNTRY) & ~F.lower(x).isin(*WORKPLACE))
+
+    def cited(p: Column) -> Column:
+        city = F.get(p["known"], F.when(p["at"] == 0, 1).otherwise(p["at"] - 1))
+        return F.struct(city.alias("city"), F.get(p["states"], p["at"]).alias("state"))
+
+    def place(p: Column) -> Column:
+        name = F.when(F.lower(p["city"]).isin("new york city", "nyc"), "New York").otherwise(title_case(p["city"]))
+        away = F.exists(F.split(F.lower(p["city"]), "[^a-z-]+"), lambda w: w.isin(*WORKPLACE))
+        return F.when(~away, F.struct(name.alias("city"), p["state"].alias("state")))
+
+    #: One step after the other: an expression that is named twice within one lambda is worked out twice.
+    known = F.transform(F.transform(alone, pieces), lambda k: F.struct(k.alias("known"), F.transform(k, state_code).alias("states")))
+    last = F.transform(known, lambda p: F.struct(p["known"].alias("known"), p["states"].alias("states"), F.array_max(F.transform(p["states"], lambda x, i: F.when(x.isNotNull(), i))).alias("at")))
+    cities = F.filter(F.transform(last, cited), lambda p: p["city"].isNotNull() & p["state"].isNotNull())
+    found = F.filter(F.transform(cities, place), lambda x: x["city"].isNotNull() & x["state"].isNotNull())
     return F.coalesce(F.array_distinct(found), F.array().cast("array<struct<city:string,state:string>>"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import USD_PER, usd_rate
+from ..sources.stored import stored
 
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,6 +43,8 @@ def _counted(df: DataFrame, checks: list[tuple[str, str, str, Column]]) -> DataF
 def checks(companies: DataFrame, locations: DataFrame, periods: DataFrame, pay: DataFrame, people: DataFrame, this_year: int, least_usd: float = 10_000_000) -> DataFrame:
     """(area, name, severity, n) of each check; n is 0 where all is well. Jumps and profits count from a revenue of
     least_usd dollars on. Each table is read once for all that can be told from its rows or its companies."""
+    #: Sums of orders and items are worked out once, not by each check.
+    periods, pay = stored(periods), stored(pay.select("company_id", "person_id", "name", "year", "total"))
     usd = F.col("revenue").cast("double") * usd_rate(F.col("currency"))
     located = locations.groupBy("company_id").agg(F.count("*").alias("places"), F.count_if(F.col("type") == "Headquarters").alias("seats"))
     annual_year = F.when(F.col("period_type") == "Annual", F.col("fiscal_year"))

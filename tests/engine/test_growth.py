@@ -7,8 +7,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions import places as functions_places
 from ledgerline.functions import text
-from ledgerline.operators import markup, matching, people, salaries, search, statements
+from ledgerline.operators import markup, matching, people, quality, salaries, search, statements
 
 
 def test_a_table_of_many_rows_is_laid_out_in_linear_time():
@@ -182,3 +183,23 @@ def test_salaries_move_once_and_large_groups_are_counted_by_bucket(spark):
     assert order(found.collect()) == order(r for r in want if r[1] == "night clerk")
     plan = salaries.by_title_and_place(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pay_is_summed_once_for_all_steps_that_read_it(spark):
+    pay = spark.createDataFrame([(1, 1, 2000, 5.0), (1, 1, 1999, 4.0)], "person_id long, company_id long, year long, total double").select(
+        "*", F.lit("n").alias("name"), F.concat(F.lit("Chief Executive Officer of pay_"), F.rand(1).cast("string")).alias("title"))
+    companies = spark.createDataFrame([(1, "T1", "a", "USD", "x")], "company_id long, ticker string, sector string, currency string, name string")
+    periods = spark.createDataFrame([(1, "Annual", y, None, 10.0 * y, 1.0) for y in (1999, 2000)], "company_id long, period_type string, fiscal_year long, fiscal_quarter long, revenue double, net_income double")
+    places = companies.select("company_id", F.lit("Headquarters").alias("type"), F.lit("c").alias("city"), F.lit(1.0).alias("latitude"), F.lit(1.0).alias("longitude"))
+    against = people.pay_against_results(pay, companies, periods, 2001)
+    near = people.people_near(pay, companies.select("company_id"), 3, 2001)
+    checked = quality.checks(companies, places, periods, pay, pay.select("person_id"), 2001)
+    for df in (against, near, checked):
+        assert "rand(1)" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["person_id"], r["pay_change"]) for r in against.collect()] == [(1, 0.25)]
+
+
+def test_the_steps_of_a_place_are_worked_out_once(spark):
+    ads = spark.createDataFrame([("Provo, UT; NYC, New York, USA or Remote, TX",)], "ad string").select(functions_places.us_places(F.col("ad")).alias("p"))
+    assert [tuple(p) for p in ads.first()["p"]] == [("Provo", "UT"), ("New York", "NY")]
+    assert ads._jdf.queryExecution().analyzed().toString().count("split(trim(") == 1

@@ -90,12 +90,12 @@ def in_focus(lines: DataFrame, hires: DataFrame) -> DataFrame:
     """
     people = hires.select("id", "surname", F.lit(True).alias("hired")).unionByName(
         lines.select("id", F.explode(F.regexp_extract_all("s", F.lit(_HONOUR), F.lit(1))).alias("surname"), F.lit(False).alias("hired")))
-    people = people.groupBy("id", "surname").agg(F.max("hired").alias("hired"))
-    words = lines.select("id", "n", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(r"[\p{L}'’-]+"), F.lit(0)))).alias("surname"))
-    words = words.withColumn("surname", F.regexp_replace("surname", "['’]s$", "")).distinct()
-    met = words.join(people, ["id", "surname"]).groupBy("id", "n").agg(
-        F.count("*").alias("named"), F.sum(F.col("hired").cast("int")).alias("n_hired"), F.max(F.when(F.col("hired"), F.col("surname"))).alias("hire"))
-    df = lines.join(met, ["id", "n"], "left")
+    #: A filing's people meet its sentences as one row: the words of sentences never leave them.
+    people = people.groupBy("id").agg(F.collect_set("surname").alias("people"), F.collect_set(F.when(F.col("hired"), F.col("surname"))).alias("hires"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(r"[\p{L}'’-]+"), F.lit(0)), lambda w: F.regexp_replace(w, "['’]s$", "")))
+    met = lambda names: F.array_intersect(words, F.coalesce(names, F.array().cast("array<string>")))
+    df = lines.join(people, "id", "left").withColumn("named", F.size(met("people"))).withColumn("hires", met("hires"))
+    df = df.withColumn("n_hired", F.size("hires")).withColumn("hire", F.array_max("hires"))
     about = F.when((F.col("n_hired") == 1), F.col("hire"))
     said = F.when(F.col("s").rlike(_BOARD_PAY), F.struct(F.lit(None).cast("string").alias("who"))).when(F.col("named") > 0, F.struct(about.alias("who")))
     last = F.last(said, ignorenulls=True).over(Window.partitionBy("id").orderBy("n"))
@@ -138,7 +138,9 @@ def pay_items(sentence: Column, filed_year: Column) -> Column:
     kept = F.transform(F.filter(items, counts), lambda x: F.struct(
         _kind(x["before"], x["after"]).alias("kind"), x["amount"].alias("amount"), F.right(x["before"], F.lit(60)).rlike(r"(?i)\btarget").alias("target")))
     kept = F.filter(kept, lambda x: x["kind"].isNotNull())
-    return F.filter(kept, lambda x, i: ~is_total(F.transform(kept, lambda y: y["amount"]), i))
+    #: Amounts are read once for a sentence, not once more for each of them.
+    once = F.transform(F.array(kept), lambda k: F.filter(k, lambda x, i: ~is_total(F.transform(k, lambda y: y["amount"]), i)))
+    return F.get(once, F.lit(0))
 
 
 def bonus_share(sentence: Column) -> Column:
@@ -161,16 +163,19 @@ def new_hires(filings: DataFrame, id: str = "id", markup: str = "html", filed: s
     """
     given = filings.select(filings[id].alias("id"), filings[markup].alias("markup"), F.year(filings[filed]).alias("year"))
     given = given.filter(F.col("markup").rlike(r"(?i)item(?:\s|&nbsp;|<[^>]*>)*5\.02"))
-    lines = stored(given.select("id", "year", F.posexplode(sentences(item_section(F.col("markup"), "5.02"))).alias("n", "s")).filter("s <> ''"))
-    hires = appointments(lines)
-    about = in_focus(lines, hires).filter("surname IS NOT NULL")
+    lines = given.select("id", "year", F.posexplode(sentences(item_section(F.col("markup"), "5.02"))).alias("n", "s")).filter("s <> ''")
     #: A sentence that opens with a later year is about that year's awards, unless they are granted now.
     opens = F.regexp_extract("s", r"^\W{0,3}(?i:in|for|beginning in|starting in) (?:fiscal )?(20\d\d)\b", 1).try_cast("int")
     later = (opens > F.col("year")) & F.col("s").rlike(r"(?i)\bannual") & ~F.exists(
         F.regexp_extract_all("s", F.lit(r"(?i)granted (?:in|on|during) (?:\p{L}+ ){0,4}(20\d\d)"), F.lit(1)), lambda y: y.cast("int") <= F.col("year"))
-    items = F.when(~F.coalesce(later, F.lit(False)), pay_items(F.col("s"), F.col("year")))
-    begins = F.to_date(F.nullif(F.regexp_extract("s", _STARTS, 1), F.lit("")), "MMMM d, yyyy")
-    read = about.select("id", "surname", "n", items.alias("items"), begins.alias("begins"), bonus_share(F.col("s")).alias("share"))
+    items = F.when(~F.coalesce(later, F.lit(False)) & F.col("s").contains("$"), pay_items(F.col("s"), F.col("year")))
+    begins = F.try_to_timestamp(F.nullif(F.regexp_extract("s", _STARTS, 1), F.lit("")), F.lit("MMMM d, yyyy")).cast("date")
+    #: Sentences are read where they are cut; behind that only those that say something of a hire's terms go on.
+    lines = stored(lines.select("id", "n", "s", items.alias("items"), begins.alias("begins"), bonus_share(F.col("s")).alias("share")))
+    hires = stored(appointments(lines.select("id", "n", "s")))
+    hired = lines.join(hires.select("id").distinct(), "id", "left_semi")
+    says = (F.size(F.coalesce("items", F.array().cast(lines.schema["items"].dataType))) > 0) | F.col("begins").isNotNull() | F.col("share").isNotNull()
+    read = stored(in_focus(hired, hires).filter(F.col("surname").isNotNull() & says).drop("s"))
     rows = read.select("id", "surname", "n", F.posexplode("items").alias("i", "x")).select("id", "surname", "n", "i", "x.*")
     once = Window.partitionBy("id", "surname", "kind", F.when(F.col("kind") != "salary", F.col("amount"))).orderBy("n", "i")
     rows = rows.withColumn("nth", F.row_number().over(once)).filter("nth = 1")

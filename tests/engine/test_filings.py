@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import date
 
 import pytest
@@ -54,6 +55,23 @@ def test_filings_without_text_or_item_give_no_rows(spark):
     assert filings.new_hires(df).count() == 0 and filings.new_hires(df.filter("false")).count() == 0
 
 
+def test_sentences_of_many_amounts_are_read_once_and_days_that_are_none_are_no_start(spark):
+    many = ", ".join(f"a bonus of ${(i + 20) * 1000:,}.25 for year {i}" for i in range(60))
+    began = time.time()
+    (got,) = hired(spark, f"Ana Ruiz was appointed as President, effective June 31, 2025. Ms. Ruiz will receive a base salary of $500,000. Ms. Ruiz's terms are {many}.")
+    assert got["Ana Ruiz"][1] is None and [p[0] for p in got["Ana Ruiz"][2]] == ["salary"] + ["bonus"] * 60 and time.time() - began < 40
+
+
+def test_a_sentence_is_about_whom_it_names_without_rows_of_words(spark):
+    said = ["Ms. Ruiz’s salary and that of Ode.", "He is paid.", "Ruiz's bonus", "Mr. Stone left.", "She stays.", "each director is paid", "She goes on."]
+    lines = spark.createDataFrame([(i, n, s) for i in (1, 2) for n, s in enumerate(said)], "id long, n int, s string")
+    df = filings.in_focus(lines, spark.createDataFrame([(1, "Ruiz"), (1, "Ode")], "id long, surname string"))
+    got = {(r["id"], r["n"]): r["surname"] for r in df.collect()}
+    assert [got[1, n] for n in range(7)] == [None, None, "Ruiz", None, None, None, None] and {got[2, n] for n in range(7)} == {None}
+    #: One Generate for the names with an honour, none for words.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
 KINDS = {"salary": "Salary ($)", "bonus": "Bonus", "stock": "Stock<br/>Awards", "options": "Option Awards(2)", "incentive": "Non-Equity Incentive Plan Compensation",
          "pension": "Change in Pension Value", "other": "All Other"}
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.places import us_places
 from ..functions.text import job_key
+from ..sources.stored import stored
 from .ranking import percentiles
 from .salaries import SHARES, range_medians
 
@@ -36,12 +37,14 @@ def job_salaries(filings: DataFrame, codes: DataFrame, least: int = 3) -> DataFr
     and places of titles that are too rare go.
     """
     keys = filings.select("title").distinct().withColumn("key", job_key(F.col("title"))).filter("key <> ''")
-    rows = filings.join(keys, "title")
-    frequent = rows.groupBy("company_id", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
-    rows = rows.join(frequent, ["company_id", "key"])
+    rows = filings.join(keys, "title").filter("company_id IS NOT NULL").select("company_id", "key", "occupation", "city", "state", "code", F.col("salary").cast("double").alias("salary"))
+    #: Read three times below. (A place with least filings is one of a title that has as many.)
+    rows = stored(rows)
     group = ["company_id", "key", "city", "state"]
-    whole = rows.withColumn("city", F.lit(None).cast("string")).withColumn("state", F.lit(None).cast("string"))
-    stats = percentiles(whole.unionByName(rows.filter("city <> ''")).select(*group, "salary"), group, "salary", SHARES).filter(F.col("n") >= least)
+    whole = F.struct(F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("state"))
+    spots = F.explode(F.when(F.col("city") != "", F.array(whole, F.struct("city", "state"))).otherwise(F.array(whole)))
+    both = rows.filter("salary IS NOT NULL").select("company_id", "key", spots.alias("spot"), "salary").select("company_id", "key", "spot.*", "salary")
+    stats = percentiles(both, group, "salary", SHARES).filter(F.col("n") >= least)
     placed = _joined(stats, mode(rows.filter("city <> ''"), group, "code"), group)
     points = codes.select(F.col("code").alias("__c"), "latitude", "longitude")
     df = placed.join(mode(rows, ["company_id", "key"], "occupation"), ["company_id", "key"], "left").join(points, F.col("code") == F.col("__c"), "left")

@@ -48,7 +48,8 @@ def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, f
     cells = cells.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__bucket").alias("__b"), "__start", "__all")
     inside = Window.partitionBy(*group, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("__upto", F.sum("__c").over(inside))
-    on = F.col("__bucket") == F.col("__b")
+    #: No bucket is null. By a plain equality Spark would ask one side for that, and count the rows once for each side.
+    on = F.col("__bucket").eqNullSafe(F.col("__b"))
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
     placed = counts.join(cells, on)

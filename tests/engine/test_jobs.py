@@ -22,6 +22,14 @@ def test_salaries_have_the_usual_occupation_and_the_point_of_the_usual_code(spar
     assert (out["Provo"]["filings"], out["Provo"]["code"], out["Provo"]["longitude"], out["Provo"]["low"], out["Provo"]["high"]) == (3, "2", -111.0, 10.0, 40.0)
 
 
+def test_filings_are_read_once_and_those_without_a_company_go(spark, tmp_path):
+    rows = [(c, "Engineer", "a", "Provo", None, "1", float(p)) for c in (1, None) for p in (10, 20, 30, 40)] + [(1, "Engineer", "b", None, "UT", "2", None)] * 5
+    spark.createDataFrame(rows, FILINGS).write.parquet(f"{tmp_path}/given")
+    df = jobs.job_salaries(spark.read.parquet(f"{tmp_path}/given"), spark.createDataFrame([("1", 1.0, 2.0)], "code string, latitude double, longitude double"))
+    assert not any("/given/" in f for f in df.inputFiles())
+    assert {(r["company_id"], r["city"], r["state"], r["occupation"], r["code"], r["filings"], r["p50"]) for r in df.collect()} == {(1, None, None, "b", None, 4, 25.0), (1, "Provo", None, "b", "1", 4, 25.0)}
+
+
 def test_ads_count_in_each_of_their_cities_and_link_the_newest(spark):
     rows = [(1, "Engineer", "Austin, TX; Provo, UT", 100.0, 200.0, "u1", date(2024, 1, 1)), (1, "engineer", "Austin, Texas", 120.0, 140.0, "u2", date(2024, 5, 1)),
             (1, "Engineer", None, 300.0, 310.0, "u0", date(2023, 1, 1)), (1, None, "Austin, TX", 1.0, 2.0, "u9", date(2025, 1, 1))]

@@ -345,6 +345,69 @@ def test_lm_beats_the_word_base_on_held_out_documents_and_repeats(spark):
     assert one == two
 
 
+def test_classes_hold_each_frequent_word_once_and_their_shares_add_up_to_one():
+    r = np.random.default_rng(3)
+    spellings = sorted({bytes(r.integers(97, 123, r.integers(1, 9)).astype(np.uint8)) for _ in range(3000)})
+    hashes, counts = r.permutation(len(spellings)).astype(np.uint64) * np.uint64(7919), r.integers(2, 500, len(spellings))
+    form = lm.Lm()
+    got = lm.Classes.of(hashes, counts, spellings, 3.0, form)
+    assert got.kind[-1] == form.spelled and got.kind[:-1].max() < form.spelled and got.share[-1] == 0
+    assert np.allclose(np.bincount(got.kind[:-1], 10 ** got.share[:-1])[np.unique(got.kind[:-1])], 1)
+    assert (np.bincount(got.kind[:-1]) == 1).sum() >= form.own
+    at = got.places(np.sort(hashes))
+    assert (got.hashes[at] == np.sort(hashes)).all() and got.places(np.asarray([5], np.uint64))[0] == len(hashes)
+    assert np.allclose(got.base[at], np.log10(counts[np.argsort(hashes)] + 0.1) - 3.0)
+    none = lm.Classes.of(hashes[:0], counts[:0], [], 0.0, form)
+    assert none.kind.tolist() == [form.spelled] and none.places(hashes[:2]).tolist() == [0, 0]
+
+
+def test_a_place_of_a_text_costs_one_step_and_a_word_is_spelled_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    docs = docs.withColumn("held_out", toxicity.fold(F.col("id"), 10) == 0)
+    form, words = lm.Lm(frequent=2000), lm.word_counts(docs)
+    model, read, seldom = lm.learnt(docs, words, 4.0, form)
+    assert seldom.count() == seldom.select("word").distinct().count() and words.count() == seldom.count() + len(model.classes.hashes)
+    assert len(model.classes.hashes) <= 2000
+    spelling = {r["spelling"]: r["word"] for r in seldom.collect()}
+    rows = {r["id"]: r for r in read.collect()}
+    frequent, seen = {r["spelling"]: r["word"] for r in words.join(seldom, "word", "left_anti").collect()}, 0
+    for r in docs.collect():
+        got, every = rows[r["id"]], [w.translate({c: c + 32 for c in range(65, 91)}).encode() for w in brute.words(r["text"])]
+        seen += len(every)
+        kinds = lm.streams([bytes(got["kinds"])])[0].tolist()
+        at = [model.classes.places(np.asarray([frequent[w]]).astype(np.int64).view(np.uint64))[0] if w in frequent else -1 for w in every]
+        assert kinds == [*model.classes.kind[at].tolist(), form.end]
+        assert abs(got["share"] - model.classes.share[at].sum()) < 1e-6
+        rest = [spelling[w] for w in every if w not in frequent]
+        assert dict(zip(got["rare"], got["times"], strict=True)) == {w: rest.count(w) for w in rest} and got["found"] == len(every) - len(rest)
+    cut = lm.cut_texts([r["text"] for r in docs.collect()], form)[0]
+    assert sum(len(r["kinds"]) // 2 for r in rows.values()) == seen + len(rows) < len(cut) / 2
+
+
+def test_lm_scores_are_classes_shares_and_spellings(spark):
+    docs = spark.createDataFrame([(i, f"Common words {'and' if i % 3 else 'or'} rare{i} rare{i // 2}\tone", "a", "en") for i in range(60)] + [(98, "", "a", "en"), (99, None, "a", "en")], DOCS)
+    got = {r["doc_id"]: r for r in lm.lm_report(docs).collect()}
+    plain = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), (toxicity.fold(F.col("doc_id"), 10) == 0).alias("held_out"))
+    model, read, seldom = lm.learnt(plain, lm.word_counts(plain), 0.0, lm.Lm())
+    assert any(r["held_out"] for r in got.values()) and seldom.filter("c = 0").count() > 0
+    spelled = {r["word"]: model.speller.score(*lm.cut_texts([bytes(r["spelling"])], lm.Lm()))[0] for r in seldom.collect()}
+    for r in read.collect():
+        want = model.network.score(*lm.streams([bytes(r["kinds"])]))[0] + r["share"] + sum(spelled[w] * n for w, n in zip(r["rare"], r["times"], strict=True))
+        assert abs(got[r["id"]]["score"] - want) < 1e-3
+    assert got[98]["score"] == got[99]["score"] and got[98]["n_tokens"] == 1
+
+
+def test_weights_count_as_repeats_do():
+    net, r = lm.Network(lm.Lm(bits=9)), np.random.default_rng(4)
+    ids, cells = batch_of(net, r, 4)
+    some = cells.before.reshape(-1, 16), *cells.at(np.arange(len(ids)))
+    weights = np.repeat([1.0, 2.0, 0.0, 1.0], 16).astype(np.float32)
+    at = np.concatenate([np.arange(32), np.arange(16, 32), np.arange(48, 64)])
+    again = cells.before[at].reshape(-1, 16), *cells.at(at)
+    one, two = net.gradient(*some, weights)[0], net.gradient(*again)[0]
+    assert all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
+
+
 def test_url_models_read_the_whole_url(spark):
     known = [f"http://a{i}.com/fr/x?topic=news{i}" for i in range(30)] + [f"http://a{i}.com/de/x?topic=casino{i}" for i in range(30)]
     asked = ["http://q.net/x?topic=news1", "http://q.net/x?topic=casino1", "http://q.net/x#news7", "http://q.net/x9", "http://q.net/x11", "topic=news1", "topic=casino1", None]

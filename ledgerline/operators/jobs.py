@@ -62,11 +62,11 @@ def ad_summaries(ads: DataFrame) -> DataFrame:
     """
     #: Titles and locations repeat: they are read once for each pair.
     read = ads.select("title", F.coalesce("location", F.lit("")).alias("location")).distinct().withColumn("key", job_key(F.col("title"))).filter("key <> ''")
-    read = read.withColumn("places", F.concat(F.array(F.lit(None).cast("struct<city:string,state:string>")), us_places(F.col("location"))))
+    read = stored(read.withColumn("places", F.concat(F.array(F.lit(None).cast("struct<city:string,state:string>")), us_places(F.col("location")))))
     keyed = ads.withColumn("location", F.coalesce("location", F.lit(""))).join(read, ["title", "location"])
-    rows = keyed.select("company_id", "key", F.explode("places").alias("place"), "pay_min", "pay_max")
-    group = ["company_id", "key", "city", "state"]
-    medians = range_medians(rows.select("company_id", "key", "place.city", "place.state", "pay_min", "pay_max"), group).filter("ads IS NOT NULL")
+    #: Read three times below.
+    keyed = stored(keyed.select("company_id", "key", "places", "pay_min", "pay_max", "url", "seen"))
+    medians = range_medians(keyed.drop("url", "seen"), ["company_id", "key"], F.col("places")).filter("ads IS NOT NULL").select("*", "place.*").drop("place")
     newest = keyed.groupBy("company_id", "key").agg(F.max_by("url", F.struct("seen", "url")).alias("url"))
     df = medians.join(newest, ["company_id", "key"])
     return df.select("company_id", F.col("key").alias("title"), "city", "state", F.when(F.col("city").isNull(), F.col("url")).alias("url"), "ads", "low", "p25", "p50", "p75", "high")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,6 +69,42 @@ def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, f
     return placed.groupBy(*group).agg(*out)
 
 
+#: Rows up to which the values of a group are held as lists.
+LISTED = 100_000
+
+
+def listed_percentile(values: Column, share: float) -> Column:
+    """The exact percentile, as above, of a sorted array; null if it is empty."""
+    at = (F.size(values) - 1) * F.lit(share)
+    a, b = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return a + (b - a) * (at - F.floor(at))
+
+
+def percentiles_of_few(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """percentiles of large groups, so few that their buckets can be broadcast: df is read twice, first to count its buckets;
+    then only values of the buckets that hold a place asked for move, equal ones as one row from each task."""
+    some = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v")).withColumn("__bucket", log_bucket(F.col("__v")))
+    whole = Window.partitionBy(*group)
+    ahead = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = some.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    cells = cells.withColumns({"__start": F.coalesce(F.sum("__n").over(ahead), F.lit(0)), "__all": F.sum("__n").over(whole), "__low": F.min("__low").over(whole), "__high": F.max("__high").over(whole)})
+    at = {name: (F.col("__all") - 1) * F.lit(share) for name, share in shares.items()}
+    held = lambda x: (F.col("__start") <= x) & (x < F.col("__start") + F.col("__n"))
+    asked = reduce(or_, [held(f(x)) for x in at.values() for f in (F.floor, F.ceil)])
+    cells = cells.filter(asked).select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__bucket").alias("__b"), "__start", "__all", "__low", "__high")
+    on = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group], F.col("__bucket").eqNullSafe(F.col("__b")))
+    known = ["__start", "__all", "__low", "__high"]
+    counts = some.join(F.broadcast(cells), on).groupBy(*group, "__bucket", "__v", *known).agg(F.count("*").alias("__c"))
+    inside = Window.partitionBy(*group, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("__start") + F.sum("__c").over(inside) - 1
+    placed = counts.withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__c") + 1)
+    out = [F.max("__all").alias("n"), F.min("__low").alias("low"), F.max("__high").alias("high")]
+    for name, x in at.items():
+        a, b = (F.max(F.when((F.col("__first") <= f(x)) & (f(x) <= F.col("__last")), F.col("__v"))) for f in (F.floor, F.ceil))
+        out.append((a + (b - a) * F.max(x - F.floor(x))).alias(name))
+    return placed.groupBy(*group).agg(*out)
+
+
 #: Rows up to which a group counts as small: one task sorts them.
 SMALL = 1_000_000
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import yearly_pay
 from ..functions.text import employer_key, job_key
 from ..sources.stored import stored
-from .ranking import SMALL, percentiles, percentiles_at
+from .ranking import LISTED, SMALL, listed_percentile, percentiles, percentiles_at, percentiles_of_few
 
 SHARES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -58,26 +58,42 @@ def spellings(filings: DataFrame) -> DataFrame:
     return counts.groupBy("key").agg(F.min_by("title", F.struct(-F.col("n"), "title")).alias("title"), F.sum("n").alias("filings"))
 
 
-def range_medians(rows: DataFrame, group: list[str]) -> DataFrame:
-    """(group, ads, low, p25, p50, p75, high) of rows (group, pay_min, pay_max): the medians of lower ends, middles and upper
-    ends, whole amounts, the middle kept between the others; ads and low count the lower ends, high the upper ends. Null where
-    a group has none. The three are percentiles of one table, so rows move once."""
+def range_medians(rows: DataFrame, group: list[str], places: Column, small: int = LISTED) -> DataFrame:
+    """(group, place, ads, low, p25, p50, p75, high) for each of the places (an array of each row's) of stored rows (group,
+    pay_min, pay_max, what places reads): the medians of lower ends, middles and upper ends, whole amounts, the middle kept
+    between the others; ads and low count the lower ends, high the upper ends. Null where there are none.
+
+    Rows of a group move once, as they are: they are repeated for their places, and their values listed, only where they have met.
+    Of groups of more than small rows only the values about the medians move.
+    """
     ends = {"p25": F.col("pay_min"), "p50": (F.col("pay_min") + F.col("pay_max")) / 2, "p75": F.col("pay_max")}
-    end = F.explode(F.array(*[F.struct(F.lit(n).alias("end"), v.cast("double").alias("v")) for n, v in ends.items()]))
-    stats = percentiles(rows.select(*group, end.alias("e")).select(*group, "e.*"), [*group, "end"], "v", {"median": 0.5})
-    of = lambda n, c: F.max(F.when(F.col("end") == n, F.col(c)))
-    df = stats.groupBy(*group).agg(of("p25", "n").alias("ads"), of("p25", "low").alias("low"), *[F.bround(of(n, "median"), 0).alias(n) for n in ends], of("p75", "high").alias("high"))
+    large = stored(rows.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > small).drop("n"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group])
+    hidden = F.broadcast(large.select(*[F.col(c).alias(f"__{c}") for c in group]))
+    spread = lambda df: df.select(*group, F.explode(places).alias("place"), *[v.cast("double").alias(n) for n, v in ends.items()])
+
+    lists = spread(rows.join(hidden, same, "left_anti").repartition(*group)).groupBy(*group, "place").agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in ends])
+    first, last = F.get("p25", F.lit(0)), F.get("p75", F.size("p75") - 1)
+    df = lists.select(*group, "place", F.nullif(F.size("p25").cast("long"), F.lit(0).cast("long")).alias("ads"), first.alias("low"), *[listed_percentile(F.col(n), 0.5).alias(n) for n in ends], last.alias("high"))
+    if not large.isEmpty():
+        end = F.explode(F.array(*[F.struct(F.lit(n).alias("end"), F.col(n).alias("v")) for n in ends]))
+        many = spread(rows.join(hidden, same, "left_semi")).select(*group, "place", end.alias("e")).select(*group, "place", "e.*")
+        of = lambda n, c: F.max(F.when(F.col("end") == n, F.col(c))).alias(n if c == "median" else c)
+        stats = percentiles_of_few(many, [*group, "place", "end"], "v", {"median": 0.5}).groupBy(*group, "place")
+        df = df.unionByName(stats.agg(of("p25", "n").alias("ads"), of("p25", "low"), *[of(n, "median") for n in ends], of("p75", "high")))
+    df = df.select(*group, "place", "ads", "low", *[F.bround(n, 0).alias(n) for n in ends], "high")
     return df.withColumn("p50", F.least(F.greatest("p50", "p25"), "p75"))
 
 
-def ads(postings: DataFrame) -> DataFrame:
+def ads(postings: DataFrame, titles: DataFrame | None = None, small: int = LISTED) -> DataFrame:
     """(company_id, title, city, ads, low, p25, p50, p75, high): medians of the lower ends, middles and upper ends of
-    advertised ranges; the middle lies between the others."""
-    #: Titles repeat: their key is worked out once for each spelling.
-    keys = postings.select("title").distinct().withColumn("key", job_key(F.col("title"))).filter("key <> ''")
-    rows = postings.join(keys, "title").withColumn("city", F.explode(F.array(F.lit(None).cast("string"), F.col("city"))))
-    df = range_medians(rows, ["company_id", "key", "city"]).filter("ads IS NOT NULL AND high IS NOT NULL AND p50 IS NOT NULL")
-    return df.select("company_id", F.col("key").alias("title"), "city", "ads", "low", "p25", "p50", "p75", "high")
+    advertised ranges; the middle lies between the others. titles (title): a table that holds all titles, if there is one smaller
+    than postings."""
+    #: Titles repeat: their key is worked out once for each spelling, and Spark sees how large their table is.
+    keys = stored((postings if titles is None else titles).select("title").distinct().withColumn("key", job_key(F.col("title"))).filter("key <> ''"))
+    rows = stored(postings.join(keys, "title").filter("pay_min IS NOT NULL OR pay_max IS NOT NULL").select("company_id", "key", "city", "pay_min", "pay_max"))
+    df = range_medians(rows, ["company_id", "key"], F.array(F.lit(None).cast("string"), F.col("city")), small).filter("ads IS NOT NULL AND high IS NOT NULL AND p50 IS NOT NULL")
+    return df.select("company_id", F.col("key").alias("title"), F.col("place").alias("city"), "ads", "low", "p25", "p50", "p75", "high")
 
 
 #: Words behind a company's name that say what part of it an employer is.

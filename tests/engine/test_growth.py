@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+from statistics import median
 
 from pyspark.sql import functions as F
 
@@ -128,6 +129,25 @@ def test_ranges_of_ads_are_read_in_one_pass(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") + df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
 
 
+def test_ads_move_once_and_large_groups_only_about_their_medians(spark):
+    r = random.Random(8)
+    pay = lambda: r.choice((None, float(r.randrange(1, 40) * 500), r.random() * 90_000))
+    rows = [(r.choice((1, 1, 1, 2, None)), r.choice(("Sr Dev", "Senior Developer", "Clerk")), r.choice(("Provo", "Ogden", None)), pay(), pay()) for _ in range(600)]
+    df = spark.createDataFrame(rows, "company_id long, title string, city string, pay_min double, pay_max double")
+    listed, counted = (salaries.ads(df, small=n) for n in (10_000, 60))
+    assert listed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    groups: dict = {}
+    for company, title, city, low, high in rows:
+        for place in (None, city):
+            groups.setdefault((company, "clerk" if title == "Clerk" else "senior developer", place), []).append((low, high))
+    want, whole = {}, lambda values: float(round(median(values)))
+    for key, pairs in groups.items():
+        lows, highs, mids = [a for a, _ in pairs if a is not None], [b for _, b in pairs if b is not None], [(a + b) / 2 for a, b in pairs if None not in (a, b)]
+        p25, p75 = whole(lows), whole(highs)
+        want[key] = (len(lows), min(lows), p25, min(max(whole(mids), p25), p75), p75, max(highs))
+    assert {tuple(x)[:3]: tuple(x)[3:] for x in listed.collect()} == {tuple(x)[:3]: tuple(x)[3:] for x in counted.collect()} == want
+
+
 def test_peers_of_copies_are_the_closest_by_id_and_lists_are_sorted(spark):
     rng = random.Random(3)
     base = [(rng.choice(["a", "b"]), rng.choice(["USD", "GBP"]), rng.choice([1999, 2000, 2001]), rng.choice([100.0, 250.0, 10_000.0]) * rng.randrange(1, 4), float(rng.randrange(1, 40))) for _ in range(25)]

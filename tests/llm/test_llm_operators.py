@@ -397,6 +397,31 @@ def test_lm_scores_are_classes_shares_and_spellings(spark):
     assert got[98]["score"] == got[99]["score"] and got[98]["n_tokens"] == 1
 
 
+def test_a_spelled_word_teaches_as_often_as_it_occurs(spark):
+    c = np.asarray([1, 5, 0, 2, 300])
+    parts = list(lm.occurrences(c, 7))
+    assert np.bincount(np.concatenate(parts), minlength=5).tolist() == c.tolist() and max(map(len, parts)) < 14
+    counts = [(i, f"spelt{i}".encode(), 40 if i == 3 else 1 + i % 3) for i in range(60)] + [(99, b"heldout", 0)]
+    words = spark.createDataFrame(counts, "word long, spelling binary, c long")
+    met, averaged = {}, lm.averaged
+
+    def seen(dealt, shards, network, teach, name):
+        met.update((bytes(r["spelling"]), (r["c"], r["shards"])) for r in dealt.groupBy("spelling").agg(F.sum("c").alias("c"), F.count_distinct("shard").alias("shards")).collect())
+        own = lm.Network(network.lm)
+        met["ids"] = teach(own, dealt.toArrow()), int(own.met[0].sum())
+        return averaged(dealt, shards, network, teach, name)
+
+    lm.averaged = seen
+    try:
+        lm.train_speller(words, lm.Lm(word_bytes=100, bits=9, first_words=5))
+    finally:
+        lm.averaged = averaged
+    ids = met.pop("ids")
+    assert {k: v[0] for k, v in met.items()} == {w: n for _, w, n in counts if n} and met[b"spelt3"][1] > 1
+    lengths = lm.cut_texts([w for _, w, n in counts if n], lm.Lm())[1]
+    assert ids[0] == (lengths * [n for *_, n in counts if n]).sum() <= ids[1]
+
+
 def test_weights_count_as_repeats_do():
     net, r = lm.Network(lm.Lm(bits=9)), np.random.default_rng(4)
     ids, cells = batch_of(net, r, 4)
